@@ -72,8 +72,8 @@ def pieces(docs: DataFrame, vocabulary: str, kind: str, end_id: int, capacity: i
         coder = ids_of(vocabulary, kind)
         for rb in batches:
             out = []
-            for at in range(0, rb.num_rows, 64):
-                part = rb.slice(at, 64)
+            for at in range(0, rb.num_rows, 2048):
+                part = rb.slice(at, 2048)
                 for key, ids in zip(part.column(0).to_pylist(), coder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     ids += end
                     for k, i in enumerate(range(0, len(ids), 4 * capacity)):

@@ -50,8 +50,8 @@ def write_files(docs: DataFrame, where: str, vocabulary: str, kind: str, end_id:
             held, size = [], 0
 
         for rb in batches:
-            for at in range(0, rb.num_rows, 64):
-                part = rb.slice(at, 64)
+            for at in range(0, rb.num_rows, 2048):
+                part = rb.slice(at, 2048)
                 for key, ids in zip(part.column(0).to_pylist(), coder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     held.append((key, ids + end))
                     size += len(ids) // 4 + 1
