@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import media, mixing, packing, quality, token_files, warc
 
 
 def queries():
     return {
+        "op3_media_archives": media.query,
+        "op4_warc_normaliser": warc.query,
+        "op5_source_mixing": mixing.query,
         "op6_simple8b_token_files": token_files.query,
         "op7_best_fit_packing": packing.query,
+        "op10_decision_list": quality.query,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op4_warc_normaliser": warc.ORACLE_SQL}
