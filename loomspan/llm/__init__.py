@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, quality, token_files, warc
+from . import jaccard, media, mixing, packing, quality, token_files, warc
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op5_source_mixing": mixing.query,
         "op6_simple8b_token_files": token_files.query,
         "op7_best_fit_packing": packing.query,
+        "op8_token_group_join": jaccard.query,
         "op10_decision_list": quality.query,
     }
 

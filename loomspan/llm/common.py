@@ -64,9 +64,14 @@ def scan_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, mb: float) -> int:
-    """Partitions so that each holds about that many MB of the files below the plan; one wave of cores at least."""
+    """Partitions so that each holds about that many MB of the files below the plan; one wave of cores at least.
+
+    Where Spark knows no size (rows of the driver, other sources), spark.sql.shuffle.partitions stands in.
+    """
     spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, -(-scan_bytes(df) // int(mb * 1e6)))
+    size, most = scan_bytes(df), 1 << 55
+    known = -(-size // int(mb * 1e6)) if size < most else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(spark.sparkContext.defaultParallelism, known)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
