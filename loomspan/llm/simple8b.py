@@ -22,22 +22,23 @@ BLOCK = 256
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20))
 WIDEST = 20
 COUNTS = np.array([n for n, _ in SELECTORS])
+#: Bits of each value that is no escape.
+BITS = np.repeat(np.arange(WIDEST + 1, dtype=np.uint8), [1, *(1 << b for b in range(WIDEST))])
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, block offsets, escape positions, escape values) of uint32 ids."""
-    ids = ids.astype(np.uint64)
     at = np.flatnonzero(ids >> WIDEST)
     values = ids[at].astype(np.uint32)
-    ids[at] = 0
+    if len(at):
+        ids = ids.copy()
+        ids[at] = 0
     blocks = -(-len(ids) // BLOCK)
-    grid = np.zeros((blocks, BLOCK + 240), np.uint64)
-    flat = np.zeros(blocks * BLOCK, np.uint64)
+    grid = np.zeros((blocks, BLOCK + 240), np.uint32)
+    flat = np.zeros(blocks * BLOCK, np.uint32)
     flat[: len(ids)] = ids
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    bits = np.zeros(grid.shape, np.uint8)
-    for b in range(WIDEST):
-        bits += (grid >> np.uint64(b)) > 0
+    bits = BITS[grid]
     widest, best = {1: bits}, np.full((blocks, BLOCK), len(SELECTORS) - 1, np.uint8)
 
     def window(n: int) -> np.ndarray:
@@ -69,7 +70,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     for s, (n, w) in enumerate(SELECTORS):
         if w and len(k := np.flatnonzero(sel == s)):
             for j in range(n):
-                words[k] |= grid[block[k], start[k] + j] << np.uint64(j * w)
+                words[k] |= grid[block[k], start[k] + j].astype(np.uint64) << np.uint64(j * w)
     offsets = np.searchsorted(block, np.arange(blocks)).astype(np.uint32)
     return words, offsets, at.astype(np.uint32), values
 
