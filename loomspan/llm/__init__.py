@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from . import jaccard, media, mixing, packing, quality, token_files, warc
+from . import jaccard, lm_score, media, mixing, packing, pii_crf, quality, suffix_dedup, token_files, warc
 
 
 def queries():
     return {
+        "op1_repeated_strings": suffix_dedup.query,
+        "op2_skip_chain_pii": pii_crf.query,
+        "op1_repeated_strings": suffix_dedup.query,
+        "op2_skip_chain_pii": pii_crf.query,
         "op3_media_archives": media.query,
         "op4_warc_normaliser": warc.query,
         "op5_source_mixing": mixing.query,
         "op6_simple8b_token_files": token_files.query,
         "op7_best_fit_packing": packing.query,
         "op8_token_group_join": jaccard.query,
+        "op9_cross_entropy_difference": lm_score.query,
+        "op9_cross_entropy_difference": lm_score.query,
         "op10_decision_list": quality.query,
     }
 

@@ -257,7 +257,8 @@ def _fetched(wanted: DataFrame, keyed: DataFrame, parts: int, length: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(BODY)], schema=BODY)
 
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "start", "strings", "off", "heavy")).alias("items"))
-    joined = keyed.select(F.col("key").alias("k"), "text").join(lists, F.col("k") == F.col("key")).dropDuplicates(["k"])
+    # Merge joins at every size: lists of places grow with the input, so they are never broadcast.
+    joined = keyed.select(F.col("key").alias("k"), "text").hint("merge").join(lists, F.col("k") == F.col("key")).dropDuplicates(["k"])
     return joined.select("key", "text", "items").mapInArrow(run, BODY_DDL)
 
 
@@ -402,7 +403,7 @@ def cut(keyed: DataFrame, repeated: DataFrame, length: int = LENGTH) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     lists = repeated.groupBy("key").agg(F.collect_list(F.struct("start", "strings")).alias("items")).withColumnRenamed("key", "k")
-    return keyed.join(lists, F.col("key") == F.col("k"), "left").select("doc_id", "text", "items").mapInArrow(run, schema)
+    return keyed.hint("merge").join(lists, F.col("key") == F.col("k"), "left").select("doc_id", "text", "items").mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
