@@ -122,7 +122,9 @@ class Reader(DataSourceReader):
             archives = json.loads(f.read())
         return [Range(name, at, min(at + self.range_bytes, size)) for name, size in archives for at in range(0, size, self.range_bytes)]
 
-    def read(self, partition: Range):
+    def read(self, partition: Range | None):
+        if partition is None:  # no archive
+            return
         fs, base = common.filesystem(self.where)
         source = fs.open_input_file(f"{base}/{partition.path}")
         with zipfile.ZipFile(source) as z:
