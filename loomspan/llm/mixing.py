@@ -176,7 +176,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, slots = mix(common.table(spark, sf_dir, "documents"))
     placed = common.written(placed)
     copies = slots.groupBy("source_no", "block").agg(F.count("*").alias("copies"))
-    taken = spans(placed).join(copies, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("copies") * (F.col("upto") - F.col("first"))).alias("taken"))
+    # Spark takes the drawn slots for a small table, since it knows no size of theirs.
+    taken = spans(placed).join(copies.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("copies") * (F.col("upto") - F.col("first"))).alias("taken"))
     # An empty document has no words, and may share its start with the next one.
     out = placed.join(taken, (placed.source_no == taken.source_no) & (placed.start == taken.start) & (placed["size"] > 0), "left")
     return out.select(placed.doc_id, placed["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
