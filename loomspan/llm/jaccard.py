@@ -2,7 +2,9 @@
 
 1. Texts with equal shingle sets are one set. Sets whose sizes allow a link are partitioned by segments of
    the hash space: at the threshold two sets differ in at most D tokens, so of D + 1 + z segments at least z + 1
-   agree. Each set sends the hash of each of its segments; sets that share one are candidates.
+   agree. Each set sends the hash of each of its segments; sets that share one are candidates. Shingles that are
+   frequent in a sample are left out of the segments of all sets. That loses no pair, whatever is left out, since
+   sets without them differ in no more tokens; it keeps common lines from making candidates.
 2. Candidates that hang together are a cluster of similar sets; clusters over TOKENS tokens are dealt to chunks.
 3. In a chunk the sets form groups around leaders. The token-group matrix holds each group's token union; a
    query's overlap with it bounds its overlap with every member, and only groups whose bound reaches the
@@ -17,6 +19,8 @@ component's smallest known id. An empty table gives no rows; extra columns are i
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +31,15 @@ from . import common
 from .shingles import mixed, set_key, shingle_sets
 
 #: Tokens of a chunk, and so of a token-group matrix.
-TOKENS = 1_000_000
+TOKENS = 3_000_000
 #: MB of the input's files whose signatures one task holds.
 SIGNATURE_MB = 8
 BUCKETS_PER_PART = 8
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+#: Documents in which frequent shingles are looked for, and how many of them are left out of segments at most.
+SAMPLE_DOCS, FREQUENT = 10_000, 65_536
+#: A shingle is frequent from this share of the sampled documents on.
+FREQUENT_SHARE = 0.002
 SIGNED = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary())])
 
 
@@ -53,25 +61,43 @@ def classes(percent: int, upto: int) -> list[tuple[int, int, int]]:
 class Signer:
     """Segment hashes of a set: as a member of its own size class, and as a visitor of the class below."""
 
-    def __init__(self, percent: int):
-        self.percent, self.known = percent, classes(percent, 64)
+    def __init__(self, percent: int, frequent: np.ndarray):
+        self.percent, self.known, self.frequent = percent, classes(percent, 64), frequent
         self.lows = np.array([c[0] for c in self.known])
 
+    def _segments(self, tokens: np.ndarray, m: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, tokens) of each of m segments."""
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(tokens), dtype=np.uint64)])
+        edges = np.searchsorted(((tokens >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32), np.arange(m + 1, dtype=np.uint64))
+        return mixed(mixed(sums[edges[1:]] - sums[edges[:-1]] + np.uint64(tag << 40)) + np.arange(m, dtype=np.uint64)), np.diff(edges)
+
     def sign(self, tokens: np.ndarray) -> np.ndarray:
+        """Linked sets agree in spare + 1 segments at least, empty and thin ones included.
+
+        Where a set has more thin segments than are spare, all that agree may be thin; then they are so in both sets, and
+        both fall back: first to segments of all tokens, and where those have too many thin ones too, to triples of them.
+        """
         if len(tokens) > self.known[-2][0]:
             self.known = classes(self.percent, 2 * len(tokens))
             self.lows = np.array([c[0] for c in self.known])
         own = int(np.searchsorted(self.lows, len(tokens), side="right")) - 1
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(tokens), dtype=np.uint64)])
+        rare = tokens
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
+            rare = tokens[self.frequent[at] != tokens]
         out = []
         for c in (own, own - 1) if own else (own,):
             _, m, spare = self.known[c]
-            segment = ((tokens >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            edges = np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
-            held = np.diff(edges)
-            weak = held <= (1 if len(tokens) >= 4 * m else 0)
-            send = np.arange(m) if weak.sum() > spare else np.flatnonzero(~weak)
-            out.append(mixed(mixed(sums[edges[1:]] - sums[edges[:-1]] + np.uint64(c << 40))[send] + send.astype(np.uint64)))
+            least = 2 if len(tokens) >= 4 * m else 1
+            for k, some in enumerate((rare, tokens)):
+                hashes, held = self._segments(some, m, 4 * c + k)
+                thin = np.flatnonzero(held < least)
+                out.append(hashes[held >= least])
+                if len(thin) <= spare:
+                    break
+            else:
+                together = np.array(list(itertools.combinations(thin.tolist(), min(spare + 1, 3))))
+                out.append(mixed(hashes[together].sum(axis=1, dtype=np.uint64) + np.uint64((4 * c + 2) << 40)))
         return np.concatenate(out)
 
 
@@ -98,13 +124,31 @@ def sizes_and_keys(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
 
 
+def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """Sorted shingles that a bounded sample of documents finds frequent; any answer gives right results."""
+    ids = docs.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
+    sample = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text")
+
+    def count(batches):
+        held = [s for rb in batches for _, s in _sets(rb, 0, k)]
+        if held:
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            some = n >= max(2, FREQUENT_SHARE * len(held) / 2)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(n[some])], ["token", "n"])
+
+    counts = sample.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") >= max(8, int(FREQUENT_SHARE * SAMPLE_DOCS))).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    return np.sort(rows["token"].to_numpy().view(np.uint64))
+
+
 def candidate_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): sets, by the first half of their keys, that share a segment, as a forest per task."""
     parts = common.parts_for(docs, SIGNATURE_MB)
     buckets = parts * BUCKETS_PER_PART
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))  # FREQUENT longs at most
 
     def sign(batches):
-        signer, seen, held, size = Signer(percent), set(), [], 0
+        signer, seen, held, size = Signer(percent, frequent.value), set(), [], 0
 
         def packed():
             nonlocal held, size
@@ -172,11 +216,12 @@ def components(edges: DataFrame) -> DataFrame:
 class Groups:
     """Sets in groups around leaders, with the matrix of tokens by groups.
 
-    add() links a set with everything before it; links are kept as components.
+    add() links a set with everything before it; links are kept as components. Tokens that only one set of the
+    chunk has cannot overlap with anything: `shared` leaves them out, and sizes are kept beside.
     """
 
     def __init__(self, percent: int):
-        self.percent, self.of_token, self.members, self.sets, self.up = percent, {}, [], [], []
+        self.percent, self.of_token, self.members, self.sets, self.sizes, self.up = percent, {}, [], [], [], []
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -184,14 +229,16 @@ class Groups:
             i = self.up[i]
         return i
 
-    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
-        if self.percent * max(len(a), len(b)) > 100 * min(len(a), len(b)):
+    def linked(self, a: np.ndarray, n: int, b: np.ndarray, m: int) -> bool:
+        if self.percent * max(n, m) > 100 * min(n, m) or 100 * min(len(a), len(b)) < self.percent * max(n, m):
             return False
         both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= self.percent * (len(a) + len(b) - both)
+        return 100 * both >= self.percent * (n + m - both)
 
-    def qualifying(self, tokens: np.ndarray) -> list[int]:
+    def qualifying(self, tokens: np.ndarray, size: int) -> list[int]:
         """Groups whose token union holds enough of the query, most overlap first."""
+        if 100 * len(tokens) < self.percent * size:
+            return []
         overlap: dict[int, int] = {}
         get = self.of_token.get
         for t in tokens.tolist():
@@ -202,36 +249,38 @@ class Groups:
                 else:
                     for x in g:
                         overlap[x] = overlap.get(x, 0) + 1
-        need = self.percent * len(tokens)
+        need = self.percent * size
         return sorted((g for g, n in overlap.items() if 100 * n >= need), key=lambda g: (-overlap[g], g))
 
     def _enter(self, group: int, tokens: np.ndarray) -> None:
+        of_token = self.of_token
         for t in tokens.tolist():
-            g = self.of_token.get(t)
+            g = of_token.get(t)
             if g is None:
-                self.of_token[t] = group
+                of_token[t] = group
             elif type(g) is int:
                 if g != group:
-                    self.of_token[t] = {g, group}
-            else:
-                g.add(group)
-
-    def query(self, tokens: np.ndarray, root: int | None = None):
-        """A member of each qualifying group that the set links with; groups of the component `root` are passed over."""
-        for g in self.qualifying(tokens):
-            if root is not None and self.root(self.members[g][0]) == self.root(root):
+                    of_token[t] = [g, group]
+            elif g[-1] != group and group not in g:
+                g.append(group)
+
+    def query(self, tokens: np.ndarray, size: int, me: int | None = None):
+        """A member of each qualifying group that the set links with; groups of the set's own component are passed over."""
+        for g in self.qualifying(tokens, size):
+            if me is not None and self.root(self.members[g][0]) == self.root(me):
                 continue
             for m in self.members[g]:
-                if self.linked(tokens, self.sets[m]):
+                if self.linked(tokens, size, self.sets[m], self.sizes[m]):
                     yield g, m
                     break
 
-    def add(self, tokens: np.ndarray) -> int:
+    def add(self, tokens: np.ndarray, size: int) -> int:
         me = len(self.sets)
         self.sets.append(tokens)
+        self.sizes.append(size)
         self.up.append(me)
         home = None
-        for g, m in self.query(tokens, me):
+        for g, m in self.query(tokens, size, me):
             if home is None and m == self.members[g][0]:
                 home = g
             a, b = sorted((self.root(me), self.root(m)))
@@ -245,6 +294,16 @@ class Groups:
         return me
 
 
+def shared(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets without the tokens that only one of them has, as small numbers."""
+    if not sets:
+        return []
+    distinct, which, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.where(n > 1, np.cumsum(n > 1) - 1, -1).astype(np.int32)[which]
+    ends = np.cumsum([len(s) for s in sets]).tolist()
+    return [x[x >= 0] for x in (number[i:j] for i, j in zip([0, *ends], ends, strict=False))]
+
+
 def _grouped(batches, keys: int):
     """(key, rows) of consecutive rows with equal first `keys` columns."""
     now, rows = None, []
@@ -270,14 +329,15 @@ def link_chunks(texts: DataFrame, parts: int, k: int, percent: int) -> DataFrame
 
     def run(batches):
         for _, rows in _grouped(batches, 2):
-            groups, reps, seen = Groups(percent), [], set()
-            for k1, k2, rep, text in rows:
+            groups, found = Groups(percent), {}
+            while rows:
+                k1, k2, rep, text = rows.pop()
                 tokens = _tokens(text or "", k)
-                if set_key(tokens) != (k1, k2) or rep in seen:  # another row with the same doc_id
-                    continue
-                seen.add(rep)
-                groups.add(tokens)
-                reps.append(rep)
+                if set_key(tokens) == (k1, k2):  # else another row with the same doc_id
+                    found[rep] = tokens
+            reps = sorted(found)
+            for rep, tokens in zip(reps, shared([found[r] for r in reps]), strict=True):
+                groups.add(tokens, len(found[rep]))
             roots = [reps[groups.root(i)] for i in range(len(reps))]
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(roots, pa.int64())], ["rep", "root"])
 
@@ -291,13 +351,13 @@ def link_across(base: DataFrame, queries: DataFrame, parts: int, k: int, percent
     def run(batches):
         for _, rows in _grouped(batches, 2):
             groups, reps, out = Groups(percent), [], []
-            for asks, rep, text in rows:  # the chunk's own sets come first
-                tokens = _tokens(text or "", k)
+            sets = [_tokens(text or "", k) for _, _, text in rows]
+            for (asks, rep, _), tokens, whole in zip(rows, shared(sets), sets, strict=True):  # the chunk's own sets come first
                 if not asks:
-                    groups.add(tokens)
+                    groups.add(tokens, len(whole))
                     reps.append(rep)
                 else:
-                    out += [(rep, reps[m]) for _, m in groups.query(tokens)]
+                    out += [(rep, reps[m]) for _, m in groups.query(tokens, len(whole))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
@@ -316,22 +376,24 @@ def link(docs: DataFrame, k: int, percent: int, tokens: int = TOKENS) -> DataFra
     totals = live.groupBy("cluster").agg(F.sum("n").alias("all"))
     live = live.join(totals, "cluster").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("all") / tokens)))
     live = common.written(live.withColumn("several", F.col("all") > tokens).drop("all", "n"))
-    texts = live.join(docs.select(F.col("doc_id").alias("d"), "text"), F.col("rep") == F.col("d")).drop("d")
+    # A merge join at every size: what is live grows with the input, so it is never broadcast.
+    text = docs.select(F.col("doc_id").alias("d"), "text").hint("merge")
+    texts = common.written(live.join(text, F.col("rep") == F.col("d")).select("cluster", "chunk", "k1", "k2", "rep", "text", "several"))
     found = common.written(link_chunks(texts, parts, k, percent))
     if not live.where("several").isEmpty():
-        found = _across(live, docs, found, parts, k, percent)
+        found = _across(live, texts.where("several").select(F.col("rep").alias("d"), "text"), found, parts, k, percent)
     sets = sets.join(found.select(F.col("rep").alias("r"), "root"), F.col("rep") == F.col("r"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("component"))
     out = rows.join(sets, ["k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _across(live: DataFrame, docs: DataFrame, found: DataFrame, parts: int, k: int, percent: int) -> DataFrame:
+def _across(live: DataFrame, text: DataFrame, found: DataFrame, parts: int, k: int, percent: int) -> DataFrame:
     """Components over all chunks of clusters that have several."""
     several = common.written(live.where("several").join(found, "rep"))
     # The chunks' largest components are compared through one set each, so that the main ones merge first.
     size = several.groupBy("cluster", "chunk", "root").agg(F.count("*").alias("n"))
     largest = size.withColumn("r", F.row_number().over(Window.partitionBy("cluster", "chunk").orderBy(F.desc("n"), "root"))).where("r = 1").select("cluster", F.col("root").alias("rep"))
-    heads = several.join(largest, ["cluster", "rep"]).join(docs.select(F.col("doc_id").alias("d"), "text"), F.col("rep") == F.col("d"))
+    heads = several.join(largest, ["cluster", "rep"]).join(text, F.col("rep") == F.col("d"))
     first = link_chunks(heads.withColumn("chunk", F.lit(0).cast("long")), parts, k, percent).select(F.col("rep").alias("a"), F.col("root").alias("b")).where("a <> b")
     inside = several.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     so_far = components(inside.union(first)).withColumnRenamed("root", "now")
@@ -339,7 +401,6 @@ def _across(live: DataFrame, docs: DataFrame, found: DataFrame, parts: int, k: i
     known = common.written(known)
     count = known.groupBy("cluster", "now").agg(F.count("*").alias("n"))
     main = count.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "now"))).where("r = 1").select("cluster", F.col("now").alias("main"))
-    text = docs.select(F.col("doc_id").alias("d"), "text")
     base = known.join(text, F.col("rep") == F.col("d"))
     chunks = known.select("cluster", F.col("chunk").alias("to")).distinct()
     outside = known.join(main, "cluster").where("now <> main").join(text, F.col("rep") == F.col("d"))
