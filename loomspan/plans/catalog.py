@@ -1,21 +1,21 @@
-"""Registry of the reference operators' queries and of their SQL twins."""
+"""All queries of the reference operators and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from . import curation, evaluation, joins, ledger, mixture, streams, vectors  # noqa: F401  (they register themselves)
+from .registry import ORACLES, QUERIES
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries():
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["bucket_mix"](spark, sf_dir)
+    """The mixture query with a hold-out that fits the smallest scale."""
+    return mixture.bucket_mix(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), 100)
