@@ -63,11 +63,11 @@ def mth06(t):
     return t("embeddings").select("vec_id", F.round(N.gauss_logp(F.col("embedding"), zero, F.lit(0.5)), 9).alias("logp"))
 
 
-@query("mth07_sde_step", "WITH s AS (SELECT event_id, value AS x, user_id / 1e1 AS v, (event_id % 10) / 1e1 AS t FROM events), g AS (SELECT *, 7e-1 * sqrt((1 - t) / CASE WHEN t > 0 THEN t ELSE 1e-1 END) AS sigma FROM s) SELECT event_id, round(x * (1 - sigma * sigma * 1e-1 / (2 * (1 - t))) + v * (1 + sigma * sigma * t / (2 * (1 - t))) * 1e-1, 6) AS m FROM g")
+@query("mth07_sde_step", "WITH s AS (SELECT event_id, value AS x, user_id / 1e1 AS v, (event_id % 10) / 1e1 AS t FROM events), g AS (SELECT *, 7e-1 * sqrt((1 - t) / CASE WHEN t > 0 THEN t ELSE 1e-1 END) AS sigma FROM s) SELECT event_id, round(x * (1 - sigma * sigma * 1e-1 / (2 * (1 - t))) + v * (1 + sigma * sigma * t / (2 * (1 - t))) * 1e-1, 8) AS m FROM g")
 def mth07(t):
     s = t("events").select("event_id", F.col("value").alias("x"), (F.col("user_id") / 10).alias("v"), (F.col("event_id") % 10 / F.lit(10.0)).alias("t"))
     s = s.withColumn("sigma", N.sde_sigma(F.col("t"), F.lit(0.1), 0.7))
-    return s.select("event_id", F.round(N.sde_mean(F.col("x"), F.col("v"), F.col("t"), F.lit(0.1), F.col("sigma")), 6).alias("m"))
+    return s.select("event_id", F.round(N.sde_mean(F.col("x"), F.col("v"), F.col("t"), F.lit(0.1), F.col("sigma")), 8).alias("m"))
 
 
 @query("mth16_u8", "SELECT vec_id, list_transform(embedding[1:4]::double[], lambda x: floor(x / greatest(list_max(embedding[1:4]::double[]), 1e-9) * 255)::int) AS u FROM embeddings WHERE list_max(embedding[1:4]) > 1e-3")
