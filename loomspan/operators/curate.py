@@ -91,9 +91,17 @@ def overwritten(main: DataFrame, side: DataFrame, key: str, columns: list[str])
     return out.select(*[(F.when(F.col("_m"), F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)) for c in main.columns])
 
 
-def held_out(df: DataFrame, source: str, order: list[Column | str], n: int = HOLD_OUT) -> DataFrame:
-    """WIN-01: flag `val` for the first n rows of each ingest source."""
-    return df.withColumn("val", F.row_number().over(Window.partitionBy(source).orderBy(*order)) <= n)
+def held_out(df: DataFrame, source: str, order: list[str], n: int = HOLD_OUT) -> DataFrame:
+    """WIN-01: flag `val` for the first n rows of each ingest source. The order must be total.
+
+    Spark keeps n rows a source and task to find where each source's hold-out ends; the rows themselves stay in place and
+    compare with that one row.
+    """
+    w = Window.partitionBy(source).orderBy(*order)
+    first = df.select(source, *order).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    ends = first.groupBy(F.col(source).alias("_source")).agg(F.max(F.struct(*order)).alias("_end"))
+    out = df.join(F.broadcast(ends), F.col(source).eqNullSafe(F.col("_source")), "left")
+    return out.withColumn("val", F.struct(*order) <= F.col("_end")).drop("_source", "_end")
 
 
 def merged(parts: list[DataFrame]) -> DataFrame:

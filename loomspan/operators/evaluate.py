@@ -23,13 +23,29 @@ def average_rank(partition: list[str], value: str) -> Column:
     return F.rank().over(ordered) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / F.lit(2.0)
 
 
+#: Value ranges that a group's scores are dealt to, so that a large group is not one task.
+RANGES = 1024
+
+
 def auroc(df: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
-    """AGG-11: P(pos > neg) + P(equal) / 2 per group by ranks; null where a side is empty. All contrasts in one pass (AGG-16)."""
-    d = numbers(df, score).withColumn("_r", average_rank(by, score)).withColumn("_p", F.col(positive).cast("double"))
-    g = d.groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.count("*").alias("n"), F.sum(F.col("_p") * F.col("_r")).alias("ranks"))
-    neg = F.col("n") - F.col("n_pos")
-    area = (F.col("ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * neg)
-    return g.select(*by, F.col("n_pos").cast("bigint").alias("n_pos"), neg.cast("bigint").alias("n_neg"), F.when((F.col("n_pos") > 0) & (neg > 0), area).alias("auroc"))
+    """AGG-11: P(pos > neg) + P(equal) / 2 per group; null where a side is empty. All contrasts in one pass (AGG-16).
+
+    Equal scores are counted before the shuffle. Each group's values are dealt to ranges in order; the negatives below a
+    value are those of the ranges below, from one row a range, and those below it in its own range.
+    """
+    d = numbers(df, score).groupBy(*by, F.col(score).cast("double").alias("_s")).agg(F.sum(F.col(positive).cast("double")).alias("_p"), F.count("*").alias("_n"))
+    d = d.withColumn("_q", F.col("_n") - F.col("_p"))
+    finite = F.when(F.abs("_s") < float("inf"), F.col("_s"))
+    ends = d.groupBy(*by).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+    at = F.floor((F.col("_s") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES)
+    d = d.join(ends, by).withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(RANGES - 1), F.greatest(F.lit(0), at))).otherwise(F.signum(F.col("_s") - F.col("_lo"))).cast("int")).drop("_lo", "_hi")
+    below = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = d.groupBy(*by, "_b").agg(F.sum("_q").alias("_t")).withColumn("_under", F.coalesce(F.sum("_t").over(below), F.lit(0.0))).drop("_t")
+    inside = Window.partitionBy(*by, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(ranges, [*by, "_b"]).withColumn("_less", F.col("_under") + F.coalesce(F.sum("_q").over(inside), F.lit(0.0)))
+    g = d.groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg"), F.sum(F.col("_p") * (F.col("_less") + F.col("_q") / 2)).alias("_u"))
+    area = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_u") / (F.col("n_pos") * F.col("n_neg")))
+    return g.select(*by, F.col("n_pos").cast("bigint").alias("n_pos"), F.col("n_neg").cast("bigint").alias("n_neg"), area.alias("auroc"))
 
 
 def detection(metric: Column, area: Column) -> Column:
@@ -108,10 +124,11 @@ def frechet(a: list, b: list) -> float:
     return float(((ma - mb) ** 2).sum() + np.trace(sa) + np.trace(sb) - 2 * np.sqrt(np.maximum(values.real, 0)).sum())
 
 
-def group_advantage(reward: str, group: str, eps: float = 1e-4) -> Column:
-    """WIN-02: centred in the group, over the sample deviation of all."""
-    whole = Window.partitionBy()
-    return (F.col(reward) - F.avg(reward).over(Window.partitionBy(group))) / (F.stddev_samp(reward).over(whole) + F.lit(eps))
+def group_advantage(df: DataFrame, reward: str, group: str, eps: float = 1e-4) -> DataFrame:
+    """WIN-02: df with `advantage`: centred in the group, over the sample deviation of all, which is one aggregated row."""
+    spread = df.agg(F.stddev_samp(reward).alias("_sd"))
+    centred = F.col(reward) - F.avg(reward).over(Window.partitionBy(group))
+    return df.crossJoin(F.broadcast(spread)).withColumn("advantage", centred / (F.col("_sd") + F.lit(eps))).drop("_sd")
 
 
 def combined_advantage(df: DataFrame, group: str, weights: dict[str, float], veto: str, centred: tuple[str, ...] = ("style",), eps: float = 1e-4) -> DataFrame:

@@ -20,6 +20,8 @@ from loomspan.operators.curate import channel_stats
 from loomspan.operators.sampling import per_group
 
 STATS_ROWS = 40_000
+#: Sequence numbers whose places one task counts.
+BLOCK = 1_000_000
 
 
 class Store:
@@ -67,12 +69,13 @@ class Store:
     def merge(self, exclude: tuple[str, ...] = (), stats_rows: int = STATS_ROWS) -> dict:
         """SNK-04, SET-09: all staged sources but `exclude`; position in a bucket goes by source, then by order in it (WIN-12)."""
         rows = self.staged().where(~F.col("ingest_source").isin(*exclude)) if exclude else self.staged()
-        w = Window.partitionBy("bucket", "ingest_source").orderBy("seq")
-        sizes = rows.groupBy("bucket", "ingest_source").agg(F.count("*").alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.partitionBy("bucket").orderBy("ingest_source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        # Offsets of sources come from their counts, so a bucket's rows are never one window.
-        placed = rows.join(F.broadcast(sizes.withColumn("_before", before).drop("_n")), ["bucket", "ingest_source"])
-        placed = placed.withColumn("row_no", F.col("_before") + F.row_number().over(w) - 1).drop("_before")
+        rows = rows.withColumn("_block", F.floor(F.col("seq") / BLOCK))
+        keys = ["bucket", "ingest_source", "_block"]
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy("bucket").orderBy("ingest_source", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # Offsets of blocks come from their counts, so neither a bucket's nor a source's rows are ever one window.
+        placed = rows.join(sizes.withColumn("_before", before).drop("_n"), keys)
+        placed = placed.withColumn("row_no", F.col("_before") + F.row_number().over(Window.partitionBy(*keys).orderBy("seq")) - 1).drop("_before", "_block")
         n = self._next_part()
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/rows/part={n}")
         merged = self.spark.read.parquet(f"{self.root}/rows/part={n}")

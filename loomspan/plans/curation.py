@@ -316,3 +316,14 @@ def map01(t):
 def jsn01(t):
     cut = F.when(F.col("event_id") % 3 == 0, F.substring("props", 2, 1000)).otherwise(F.col("props"))
     return t("events").where(F.from_json(cut, "map<string,string>").isNotNull()).select("event_id")
+
+
+@query("arr03_unique_repeat", "SELECT conv_id, list_sort(list_distinct(list(role))) AS roles, list_sort(list(role)) AS every FROM conversations GROUP BY 1")
+def arr03(t):
+    return t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.array_sort(F.collect_list("role")).alias("every"))
+
+
+@query("src02_row_groups", "SELECT count(*)::bigint AS n, sum(l_quantity)::double AS q FROM lineitem")
+def src02(t):
+    """Splits bound a task's memory; only one column is read."""
+    return t("lineitem").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))

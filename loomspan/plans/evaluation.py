@@ -179,9 +179,7 @@ def agg24(t):
 
 @query("win02_advantage", "SELECT event_id, round((value - avg(value) OVER (PARTITION BY user_id)) / ((SELECT stddev_samp(value) FROM events) + 1e-4), 6) AS a FROM events")
 def win02(t):
-    spread = t("events").agg(F.stddev_samp("value").alias("sd"))
-    e = t("events").crossJoin(F.broadcast(spread))
-    return e.select("event_id", F.round((F.col("value") - F.avg("value").over(Window.partitionBy("user_id"))) / (F.col("sd") + 1e-4), 6).alias("a"))
+    return E.group_advantage(t("events"), "value", "user_id").select("event_id", F.round("advantage", 6).alias("a"))
 
 
 TERMS = "SELECT event_id, user_id, value AS align, (value * 7 + user_id) % 11 AS real, -((event_id % 5))::double AS style, (event_id % 97 = 0)::int AS veto FROM events"

@@ -77,6 +77,12 @@ def test_last_wins_and_overwrite(spark):
     assert sorted(map(tuple, C.overwritten(d.where("o = 0"), side, "k", ["v"]).collect())) == [(1, 0, None), (2, 0, "b")]
 
 
+def test_held_out(spark):
+    d = spark.createDataFrame([("a", i) for i in range(7)] + [("b", i) for i in range(2)], "s string, o int").repartition(3)
+    got = {(r.s, r.o): r.val for r in C.held_out(d, "s", ["o"], 3).collect()}
+    assert {k for k, v in got.items() if v} == {("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1)} and len(got) == 9
+
+
 def test_required(spark):
     with pytest.raises(ValueError, match="missing columns: b, z"):
         C.required(spark.range(1), ["id", "z", "b"])
@@ -90,6 +96,9 @@ def test_auroc_ties_nan_and_empty_side(spark):
     r = random.Random(0)
     rows = [("m", float(r.randint(0, 5)), r.randint(0, 1)) for _ in range(60)] + [("m", float("nan"), 1), ("m", None, 0), ("all", 1.0, 1)]
     got = {x.g: x.auroc for x in E.auroc(spark.createDataFrame(rows, "g string, s double, p int"), "s", "p", ["g"]).collect()}
+    wide = [("w", x, k % 2) for k, x in enumerate([float("inf"), 1e300, -1e300, 0.0, 1e-300, float("-inf"), 5.0, float("inf")])]
+    got |= {x.g: x.auroc for x in E.auroc(spark.createDataFrame(wide, "g string, s double, p int"), "s", "p", ["g"]).collect()}
+    assert got["w"] == pytest.approx(pairwise([x for _, x, p in wide if p], [x for _, x, p in wide if not p]))
     side = lambda k: [s for g, s, p in rows if g == "m" and p == k and s is not None and s == s]
     assert got["m"] == pytest.approx(pairwise(side(1), side(0))) and got["all"] is None
 
@@ -121,7 +130,7 @@ def test_advantage_fixture(spark):
 def test_group_advantage_has_equal_masses(spark):
     r = random.Random(1)
     d = spark.createDataFrame([(i // 8, r.random()) for i in range(40)], "g int, r double")
-    a = [(x.g, x.a) for x in d.select("g", E.group_advantage("r", "g").alias("a")).collect()]
+    a = [(x.g, x.advantage) for x in E.group_advantage(d, "r", "g").collect()]
     for g in range(5):
         mine = [v for k, v in a if k == g]
         assert sum(mine) == pytest.approx(0, abs=1e-9)
