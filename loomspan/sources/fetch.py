@@ -21,7 +21,7 @@ def http_get(url: str, timeout: float = 20.0) -> bytes:
         return r.read()
 
 
-def attempt(get: Callable[[str], bytes], url: str, wait: Callable[[float], None] = time.sleep) -> tuple[bytes | None, str | None]:
+def attempt(get: Callable[[str], bytes], url: str, wait: Callable[[float], None] = time.sleep, back_off: float = BACK_OFF) -> tuple[bytes | None, str | None]:
     reason = "no url"
     for k in range(ATTEMPTS if url else 0):
         try:
@@ -31,16 +31,16 @@ def attempt(get: Callable[[str], bytes], url: str, wait: Callable[[float], None]
             if getattr(e, "code", None) in GONE:
                 break
             if k < ATTEMPTS - 1:
-                wait(BACK_OFF * (k + 1))
+                wait(back_off * (k + 1))
     return None, reason
 
 
-def fetched(df: DataFrame, url: str, at_once: int, get: Callable[[str], bytes] = http_get) -> DataFrame:
+def fetched(df: DataFrame, url: str, at_once: int, get: Callable[[str], bytes] = http_get, back_off: float = BACK_OFF) -> DataFrame:
     """df with data and error; `at_once` tasks bound how many requests run together."""
 
     @F.pandas_udf("data binary, error string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for urls in batches:
-            yield pd.DataFrame([attempt(get, u) for u in urls], columns=["data", "error"])
+            yield pd.DataFrame([attempt(get, u, back_off=back_off) for u in urls], columns=["data", "error"])
 
     return df.repartition(at_once).withColumn("_f", run(url)).select("*", "_f.data", "_f.error").drop("_f")

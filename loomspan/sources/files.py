@@ -46,7 +46,8 @@ def prompt_lines(spark: SparkSession, path: str) -> DataFrame:
 def run_logs(spark: SparkSession, pattern: str, schema: StructType | str) -> DataFrame:
     """SRC-19: many files, keyed by their names without extension."""
     d = spark.read.schema(schema).json(pattern)
-    return d.withColumn("run", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
+    name = F.url_decode(F.regexp_replace(F.col("_metadata.file_name"), r"\+", "%2B"))
+    return d.withColumn("run", F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
 def parquet_peek(spark: SparkSession, path: str) -> DataFrame:
