@@ -91,3 +91,19 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in columns.items()], schema=schema)
+
+
+def release() -> None:
+    """Gives a worker's freed memory back: workers outlive their task, and others of their executor need room."""
+    import ctypes
+    import gc
+
+    from . import shingles
+
+    shingles._powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -31,9 +31,9 @@ from . import common
 from .shingles import mixed, set_key, shingle_sets
 
 #: Tokens of a chunk, and so of a token-group matrix.
-TOKENS = 3_000_000
+TOKENS = 1_000_000
 #: MB of the input's files whose signatures one task holds.
-SIGNATURE_MB = 8
+SIGNATURE_MB = 4
 BUCKETS_PER_PART = 8
 BATCH_BYTES = 1 << 20
 #: Documents in which frequent shingles are looked for, and how many of them are left out of segments at most.
@@ -88,7 +88,7 @@ class Signer:
         out = []
         for c in (own, own - 1) if own else (own,):
             _, m, spare = self.known[c]
-            least = 2 if len(tokens) >= 4 * m else 1
+            least = 2 if len(tokens) >= 5 * m else 1  # thin segments must stay rarer than the spare ones
             for k, some in enumerate((rare, tokens)):
                 hashes, held = self._segments(some, m, 4 * c + k)
                 thin = np.flatnonzero(held < least)
@@ -120,6 +120,7 @@ def sizes_and_keys(docs: DataFrame, k: int) -> DataFrame:
         for rb in batches:
             rows = [(len(s), *set_key(s)) for _, s in _sets(rb, 1, k)]
             yield pa.RecordBatch.from_arrays([rb.column(0), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]], ["doc_id", "n_shingles", "k1", "k2"])
+        common.release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
 
@@ -135,6 +136,8 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
             some = n >= max(2, FREQUENT_SHARE * len(held) / 2)
             yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(n[some])], ["token", "n"])
+        held.clear()
+        common.release()
 
     counts = sample.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counts.where(F.col("n") >= max(8, int(FREQUENT_SHARE * SAMPLE_DOCS))).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
@@ -177,6 +180,8 @@ def candidate_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     yield packed()
         if held:
             yield packed()
+        seen.clear()
+        common.release()
 
     def join(batches):
         pairs = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2) for rb in batches for x in rb.column(1)]
@@ -191,6 +196,7 @@ def candidate_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
         edges = np.unique(np.stack([a[a != b], b[a != b]], axis=1), axis=0)
         if len(edges):
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, i].view(np.int64)) for i in (0, 1)], ["a", "b"])
+        common.release()
 
     signed = docs.select(F.col("text").cast("string")).mapInArrow(sign, "bucket int, pairs binary")
     return signed.repartition(parts, "bucket").mapInArrow(join, "a long, b long").distinct()
@@ -220,8 +226,9 @@ class Groups:
     chunk has cannot overlap with anything: `shared` leaves them out, and sizes are kept beside.
     """
 
-    def __init__(self, percent: int):
-        self.percent, self.of_token, self.members, self.sets, self.sizes, self.up = percent, {}, [], [], [], []
+    def __init__(self, percent: int, n_tokens: int):
+        """n_tokens: tokens are numbers below it, as `shared` makes them. of_token has a group, or a list of groups, of each."""
+        self.percent, self.of_token, self.members, self.sets, self.sizes, self.up = percent, [None] * n_tokens, [], [], [], []
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -240,9 +247,9 @@ class Groups:
         if 100 * len(tokens) < self.percent * size:
             return []
         overlap: dict[int, int] = {}
-        get = self.of_token.get
+        of_token = self.of_token
         for t in tokens.tolist():
-            g = get(t)
+            g = of_token[t]
             if g is not None:
                 if type(g) is int:
                     overlap[g] = overlap.get(g, 0) + 1
@@ -255,7 +262,7 @@ class Groups:
     def _enter(self, group: int, tokens: np.ndarray) -> None:
         of_token = self.of_token
         for t in tokens.tolist():
-            g = of_token.get(t)
+            g = of_token[t]
             if g is None:
                 of_token[t] = group
             elif type(g) is int:
@@ -294,14 +301,21 @@ class Groups:
         return me
 
 
-def shared(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """The sets without the tokens that only one of them has, as small numbers."""
+def shared(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """The sets without the tokens that only one of them has, as small numbers, and how many numbers there are."""
     if not sets:
-        return []
-    distinct, which, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    number = np.where(n > 1, np.cumsum(n > 1) - 1, -1).astype(np.int32)[which]
-    ends = np.cumsum([len(s) for s in sets]).tolist()
-    return [x[x >= 0] for x in (number[i:j] for i, j in zip([0, *ends], ends, strict=False))]
+        return [], 0
+    every = np.concatenate(sets)
+    every.sort()
+    several = np.unique(every[1:][every[1:] == every[:-1]])
+    del every
+    if not len(several):
+        return [np.zeros(0, np.int32) for _ in sets], 0
+    out = []
+    for s in sets:
+        at = np.minimum(np.searchsorted(several, s), len(several) - 1)
+        out.append(at[several[at] == s].astype(np.int32))
+    return out, len(several)
 
 
 def _grouped(batches, keys: int):
@@ -329,17 +343,26 @@ def link_chunks(texts: DataFrame, parts: int, k: int, percent: int) -> DataFrame
 
     def run(batches):
         for _, rows in _grouped(batches, 2):
-            groups, found = Groups(percent), {}
+            found = {}
             while rows:
                 k1, k2, rep, text = rows.pop()
                 tokens = _tokens(text or "", k)
                 if set_key(tokens) == (k1, k2):  # else another row with the same doc_id
                     found[rep] = tokens
             reps = sorted(found)
-            for rep, tokens in zip(reps, shared([found[r] for r in reps]), strict=True):
-                groups.add(tokens, len(found[rep]))
+            sizes = [len(found[r]) for r in reps]
+            sets, n_tokens = shared([found[r] for r in reps])
+            del found
+            groups = Groups(percent, n_tokens)
+            for tokens, size in zip(sets, sizes, strict=True):
+                groups.add(tokens, size)
             roots = [reps[groups.root(i)] for i in range(len(reps))]
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(roots, pa.int64())], ["rep", "root"])
+            large = n_tokens > 50_000
+            del groups, sets, reps, roots, sizes  # before the next chunk is gathered
+            if large:
+                common.release()
+        common.release()
 
     dealt = texts.select("cluster", "chunk", "k1", "k2", "rep", "text").repartition(parts, "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "rep")
     return dealt.mapInArrow(run, "rep long, root long")
@@ -350,16 +373,21 @@ def link_across(base: DataFrame, queries: DataFrame, parts: int, k: int, percent
 
     def run(batches):
         for _, rows in _grouped(batches, 2):
-            groups, reps, out = Groups(percent), [], []
+            reps, out = [], []
             sets = [_tokens(text or "", k) for _, _, text in rows]
-            for (asks, rep, _), tokens, whole in zip(rows, shared(sets), sets, strict=True):  # the chunk's own sets come first
+            rows = [(asks, rep, len(s)) for (asks, rep, _), s in zip(rows, sets, strict=True)]
+            sets, n_tokens = shared(sets)
+            groups = Groups(percent, n_tokens)
+            for (asks, rep, size), tokens in zip(rows, sets, strict=True):  # the chunk's own sets come first
                 if not asks:
-                    groups.add(tokens, len(whole))
+                    groups.add(tokens, size)
                     reps.append(rep)
                 else:
-                    out += [(rep, reps[m]) for _, m in groups.query(tokens, len(whole))]
+                    out += [(rep, reps[m]) for _, m in groups.query(tokens, size)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+            del groups, sets, rows
+            common.release()
 
     rows = base.select("cluster", "chunk", F.lit(False).alias("asks"), "rep", "text").union(queries.select("cluster", "chunk", F.lit(True).alias("asks"), "rep", "text"))
     return rows.repartition(parts, "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "asks", "rep").mapInArrow(run, "a long, b long")
@@ -368,7 +396,7 @@ def link_across(base: DataFrame, queries: DataFrame, parts: int, k: int, percent
 def link(docs: DataFrame, k: int, percent: int, tokens: int = TOKENS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = common.parts_for(docs, 2 * SIGNATURE_MB)
+    parts = common.parts_for(docs, 4 * SIGNATURE_MB)
     rows = common.written(sizes_and_keys(docs, k))
     sets = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     nodes = components(candidate_edges(docs, k, percent)).select(F.col("node").alias("k1"), F.col("root").alias("cluster"))

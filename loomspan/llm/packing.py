@@ -64,8 +64,11 @@ class Bins:
         return b, self.capacity - free
 
 
-def pieces(docs: DataFrame, vocabulary: str, kind: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """Tokens of each document cut into pieces of at most `capacity`; ids stay behind, their checksum goes on."""
+def pieces(docs: DataFrame, vocabulary: str, kind: str, end_id: int, capacity: int = CAPACITY, keep_cache: bool = True) -> DataFrame:
+    """Tokens of each document cut into pieces of at most `capacity`; ids stay behind, their checksum goes on.
+
+    keep_cache: workers keep the chunks they know for their next task; without it each task ends with an empty cache.
+    """
 
     def cut(batches):
         end = end_id.to_bytes(4, "little")
@@ -80,6 +83,10 @@ def pieces(docs: DataFrame, vocabulary: str, kind: str, end_id: int, capacity: i
                         piece = ids[i : i + 4 * capacity]
                         out.append((key, k, i // 4, len(piece) // 4, zlib.crc32(piece)))
             yield common.batch({n: [x[i] for x in out] for i, n in enumerate(PIECES.names)}, PIECES)
+        if not keep_cache:
+            coder.cache.clear()
+            ids_of.cache_clear()
+            common.release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECE)
 

@@ -174,9 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> list[
 
 
 def where(df: DataFrame, keep: Column) -> DataFrame:
-    """df.where(keep) that Catalyst doesn't push below the statistics, whose expressions it would repeat for each element."""
-    row = F.struct(*[F.col(c) for c in df.columns])
-    return df.select(F.explode(F.when(keep, F.array(row)).otherwise(F.slice(F.array(row), 1, 0))).alias("_row")).select("_row.*")
+    """df.where(keep) that Catalyst doesn't push below the statistics, whose expressions it would repeat for each element.
+
+    A row number is not deterministic to Catalyst, so a filter stays above the projection that makes one.
+    """
+    return df.withColumn("_row", F.monotonically_increasing_id()).where(keep & (F.col("_row") >= 0)).drop("_row")
 
 
 def verdict(rules: list[Rule]) -> Column:
