@@ -38,8 +38,8 @@ BUCKETS_PER_PART = 8
 BATCH_BYTES = 1 << 20
 #: Documents in which frequent shingles are looked for, and how many of them are left out of segments at most.
 SAMPLE_DOCS, FREQUENT = 10_000, 65_536
-#: A shingle is frequent from this share of the sampled documents on.
-FREQUENT_SHARE = 0.002
+#: A shingle is frequent from so many of the sampled documents on.
+FREQUENT_DOCS = 4
 SIGNED = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary())])
 
 
@@ -130,17 +130,14 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     ids = docs.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
     sample = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text")
 
-    def count(batches):
-        held = [s for rb in batches for _, s in _sets(rb, 0, k)]
-        if held:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            some = n >= max(2, FREQUENT_SHARE * len(held) / 2)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(n[some])], ["token", "n"])
-        held.clear()
+    def tokens(batches):
+        for rb in batches:
+            for _, s in _sets(rb, 0, k):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["token"])
         common.release()
 
-    counts = sample.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= max(8, int(FREQUENT_SHARE * SAMPLE_DOCS))).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    counts = sample.mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("n"))
+    rows = counts.where(F.col("n") >= FREQUENT_DOCS).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     return np.sort(rows["token"].to_numpy().view(np.uint64))
 
 
