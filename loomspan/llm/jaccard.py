@@ -74,8 +74,9 @@ class Signer:
     def sign(self, tokens: np.ndarray) -> np.ndarray:
         """Linked sets agree in spare + 1 segments at least, empty and thin ones included.
 
-        Where a set has more thin segments than are spare, all that agree may be thin; then they are so in both sets, and
-        both fall back: first to segments of all tokens, and where those have too many thin ones too, to triples of them.
+        What is thin depends on the class alone, so that both sets of a pair decide alike. Where a set has more thin segments
+        than are spare, all that agree may be thin; then they are so in both sets, and both fall back: first to segments of
+        all tokens, and where those have too many thin ones too, to triples of them.
         """
         if len(tokens) > self.known[-2][0]:
             self.known = classes(self.percent, 2 * len(tokens))
@@ -87,8 +88,8 @@ class Signer:
             rare = tokens[self.frequent[at] != tokens]
         out = []
         for c in (own, own - 1) if own else (own,):
-            _, m, spare = self.known[c]
-            least = 2 if len(tokens) >= 5 * m else 1  # thin segments must stay rarer than the spare ones
+            low, m, spare = self.known[c]
+            least = 2 if low >= 5 * m else 1  # thin segments must stay rarer than the spare ones
             for k, some in enumerate((rare, tokens)):
                 hashes, held = self._segments(some, m, 4 * c + k)
                 thin = np.flatnonzero(held < least)

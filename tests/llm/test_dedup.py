@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from loomspan.llm import jaccard, suffix_dedup
@@ -116,3 +117,17 @@ def test_linked_sizes_are_in_neighbouring_classes():
     known = jaccard.classes(85, 4000)
     of = lambda n: max(i for i, c in enumerate(known) if c[0] <= n)
     assert all(of(100 * n // 85) - of(n) <= 1 for n in range(1, 3000))
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_nested_sets_share_a_signature(percent):
+    """Every linked pair becomes a candidate, also where most shingles are frequent and the sizes straddle a multiple of the segments."""
+    r = np.random.default_rng(9)
+    for small, large in [(30, 35), (40, 47), (68, 75), (90, 100), (170, 200)]:
+        if 100 * small < percent * large:
+            continue
+        for _ in range(1500):
+            tokens = r.integers(0, 1 << 64, large, dtype=np.uint64)
+            signer = jaccard.Signer(percent, np.sort(r.permutation(tokens)[: large * 7 // 10]))
+            a, b = signer.sign(np.sort(tokens[:small])), signer.sign(np.sort(tokens))
+            assert len(np.intersect1d(a, b)), (small, large)
