@@ -4,9 +4,9 @@ Two word bigram models, target (documents labelled good) and background (all doc
 and one list of bigrams, counted over all documents. A document's score is the mean over its words of target
 loss minus background loss, in nats: low scores look like the target.
 
-Both lists are cut by count at a fixed size, so that the models can be broadcast: VOCABULARY words and
-BIGRAMS bigrams. The cut is by count alone, so equal counts stay or go together. Other words are one unknown
-word; other bigrams fall back to the second word.
+whole(), which the query runs, keeps every word and bigram in written tables and joins each row's distinct bigrams
+to them by merge. train() and score() keep a model for a broadcast: both lists are cut there by count at a fixed size,
+equal counts together; other words are one unknown word and other bigrams fall back to the second word.
 
     p(b | a) = MIX * c(a b) / c(a) + (1 - MIX) * (c(b) + ADD) / (n + ADD * words)
 
@@ -204,6 +204,53 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, difference double")
 
 
+def grams(texts: DataFrame) -> DataFrame:
+    """row, doc_id, wanted, words, a, b, n: the distinct bigrams of each row by their words' hashes; a row without words has one with null a."""
+
+    def run(batches):
+        for rb in batches:
+            for at, flat, offsets in _slices(rb, 3):
+                hashes, before = word_hashes(flat, offsets)
+                counts = np.diff(before)
+                first = np.empty_like(hashes)
+                first[1:] = hashes[:-1]
+                first[before[:-1][counts > 0]] = START
+                text = np.repeat(np.arange(len(counts)), counts)
+                _, some, n = np.unique(mixed(mixed(mixed(first) + hashes) + text.astype(np.uint64)), return_index=True, return_counts=True)
+                none = np.flatnonzero(counts == 0)
+                of = pa.array(at + np.concatenate([text[some], none]))
+                blank = np.arange(len(of)) >= len(some)
+                keys = [pa.array(np.concatenate([x, np.zeros(len(none), x.dtype)]), mask=blank) for x in (first[some].view(np.int64), hashes[some].view(np.int64), n.astype(np.int64))]
+                words = pa.array(counts[of.to_numpy() - at].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*[rb.column(i).take(of) for i in range(3)], words, *keys], ["row", "doc_id", "wanted", "words", "a", "b", "n"])
+
+    return texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "wanted", "text").mapInArrow(run, "row long, doc_id long, wanted long, words long, a long, b long, n long")
+
+
+def whole(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss, difference of each row, by models of all words and all bigrams."""
+    good = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = 1 and hi = 1").select(F.col("doc_id").alias("good"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(good.hint("merge"), F.col("doc_id") == F.col("good"), "left")
+    rows = common.written(grams(texts.select("doc_id", "text", F.col("good").isNotNull().cast("long").alias("wanted"))))
+    held = rows.where("a is not null")
+    pairs = common.written(held.groupBy("a", "b").agg(F.sum("n").alias("every"), F.sum(F.col("n") * F.col("wanted")).alias("target")))
+    words = common.written(pairs.groupBy("b").agg(F.sum("every").alias("b0"), F.sum("target").alias("b1")))  # each word is second once
+    size, *totals = words.agg(F.count("*"), F.sum("b0"), F.sum("b1")).first()
+    starts = pairs.where(F.col("a") == START).agg(F.lit(START).cast("long").alias("a"), F.sum("every").alias("a0"), F.sum("target").alias("a1"))
+    before = words.select(F.col("b").alias("a"), F.col("b0").alias("a0"), F.col("b1").alias("a1")).union(starts)
+    model = pairs.join(words.hint("merge"), "b").join(before.hint("merge"), "a")
+    loss = []
+    for k, both in enumerate(("every", "target")):
+        alone = (F.col(f"b{k}") + F.lit(ADD)) / F.lit((totals[k] or 0) + ADD * (size + 2))
+        loss.append(-F.log(F.lit(MIX) * F.col(both) / F.greatest(F.col(f"a{k}"), F.lit(1)) + F.lit(1 - MIX) * alone))
+    model = common.written(model.select("a", "b", loss[0].alias("l0"), loss[1].alias("l1")))
+    sums = held.join(model.hint("merge"), ["a", "b"]).groupBy("row", "doc_id", "words").agg(F.sum(F.col("n") * F.col("l1")).alias("t"), F.sum(F.col("n") * F.col("l0")).alias("g"))
+    nothing = F.lit(None).cast("double")
+    every = sums.union(rows.where("a is null").select("row", "doc_id", "words", nothing, nothing))
+    target, background = F.col("t") / F.col("words"), F.col("g") / F.col("words")
+    return every.select("doc_id", F.col("words").alias("n_words"), target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("difference"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, train(docs, common.table(spark, sf_dir, "labels")))
+    return whole(docs, common.table(spark, sf_dir, "labels"))

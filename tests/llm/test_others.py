@@ -263,3 +263,28 @@ def test_losses_equal_brute_force(spark, odd):
 
 def test_losses_of_nothing(spark, none):
     assert lm_score.score(none, lm_score.train(none, spark.createDataFrame([], LABELS))).count() == 0
+
+
+def test_losses_of_every_word_and_bigram(spark, odd, none, tmp_path):
+    """More words than a capped vocabulary holds: words and bigrams of one occurrence count like others."""
+    extra = " ".join(f"u{i}" for i in range(lm_score.VOCABULARY + 9))
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(70, extra), (71, extra[:600]), (71, "u1 u1 u2 a")], "doc_id long, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    good = {4, 6, 8, 71}
+    spark.createDataFrame([(i, 1, 0) for i in good], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    got = lm_score.query(spark, str(tmp_path)).collect()
+    rows = [(r.doc_id, WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), r.text or ""))) for r in docs.collect()]
+    two = lambda x: list(zip(["<s>", *x[:-1]], x, strict=True)) if x else []
+    sides = [rows, [r for r in rows if r[0] in good]]
+    c1 = [Counter(w for _, x in s for w in x) for s in sides]
+    c2 = [Counter(p for _, x in s for p in two(x)) for s in sides]
+    starts, n = [sum(bool(x) for _, x in s) for s in sides], [sum(c.values()) for c in c1]
+
+    def loss(k, a, b):
+        both = c2[k][a, b] / max(starts[k] if a == "<s>" else c1[k][a], 1)
+        return -math.log(lm_score.MIX * both + (1 - lm_score.MIX) * (c1[k][b] + lm_score.ADD) / (n[k] + lm_score.ADD * (len(c1[0]) + 2)))
+
+    text = lambda i, m, t: str((str(i), m, None if t[0] is None else [f"{v:.5f}" for v in t]))
+    want = [text(i, len(x), [sum(loss(k, a, b) for a, b in two(x)) / len(x) if x else None for k in (1, 0)]) for i, x in rows]
+    assert sorted(want) == sorted(text(r.doc_id, r.n_words, [r.target_loss, r.background_loss]) for r in got)
+    assert lm_score.whole(none, spark.createDataFrame([], LABELS)).count() == 0
