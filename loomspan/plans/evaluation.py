@@ -158,6 +158,15 @@ def agg22(t):
     return h.agg(F.count_if((F.col("b") == 0) & (F.col("a") > 0)).alias("newly"), F.count_if((F.col("b") > 0) & (F.col("a") == 0)).alias("lost"))
 
 
+@query("agg22_newly_lost_users", "WITH h AS (SELECT user_id, count(*) FILTER (WHERE value > 60 AND event_id % 2 = 0) AS b, count(*) FILTER (WHERE value > 60 AND event_id % 2 = 1) AS a FROM events GROUP BY 1) SELECT user_id, CASE WHEN b = 0 THEN 'newly' ELSE 'lost' END AS status FROM h WHERE (b = 0) <> (a = 0)")
+def agg22u(t):
+    """The users themselves, over all events; agg22_newly_lost and its SQL read the first 600 only."""
+    hit = lambda odd: F.count_if((F.col("value") > 60) & (F.col("event_id") % 2 == odd))
+    h = t("events").groupBy("user_id").agg(hit(0).alias("b"), hit(1).alias("a"))
+    status = F.when((F.col("b") == 0) & (F.col("a") > 0), "newly").when((F.col("b") > 0) & (F.col("a") == 0), "lost")
+    return h.select("user_id", status.alias("status")).where("status is not null")
+
+
 @query("agg23_bootstrap", f"WITH p AS (SELECT row_number() OVER (ORDER BY r_regionkey, n_nationkey) - 1 AS i, n_nationkey::double AS gain FROM nation JOIN region ON n_regionkey = r_regionkey), d AS (SELECT b, floor({u01_sql('b || chr(47) || j')} * 25)::int AS i FROM (SELECT unnest(range(1000)) AS b), (SELECT unnest(range(25)) AS j)), m AS (SELECT b, avg(gain) AS g FROM d JOIN p USING (i) GROUP BY 1) SELECT round(quantile_cont(g, 25e-3), 6) AS lo, round(quantile_cont(g, 975e-3), 6) AS hi FROM m")
 def agg23(t):
     """Resampled means of a small paired table: B x P rows, spread over tasks."""
