@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import factorial, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,6 +50,30 @@ def ema(values: Column, decay: float) -> Column:
     return F.aggregate(values, start, step, lambda a: a["s"])
 
 
+def ema_whole(df: DataFrame, run: str, order: str, value: str, decay: float, width: int = 1 << 16) -> DataFrame:
+    """WIN-09 over runs of any length: run, ema. Steps are affine, so the last state is a sum with weights that the place gives.
+
+    Places are counted in chunks of `width` values of the order, so that a long run is not one task. The product of the
+    decays up to t is 9! / ((t + 2) ... (t + 10)) while they warm up, and falls by `decay` a step after.
+    """
+    d = df.withColumn("_c", F.floor(F.col(order) / F.lit(width)))
+    chunks = d.groupBy(run, "_c").agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(run)
+    chunks = chunks.select(run, "_c", (F.sum("_k").over(w.orderBy("_c")) - F.col("_k")).alias("_before"), F.sum("_k").over(w).alias("_n"))
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy(run, "_c").orderBy(order)) - 1).join(chunks, [run, "_c"])
+    t, warm = F.col("_before") + F.col("_r"), int((10 * decay - 1) / (1 - decay))
+
+    def product(x: Column) -> Column:
+        """Logarithm of the decays' product up to step x."""
+        y = F.least(x, F.lit(warm)).cast("double")
+        return F.lit(log(factorial(9))) - sum((F.log(y + j) for j in range(3, 11)), F.log(y + 2)) + F.greatest(x - F.lit(warm), F.lit(0)) * F.lit(log(decay))
+
+    own = F.lit(1.0) - F.least(F.lit(decay), (t + 1.0) / (t + 10.0))
+    last = product(F.col("_n") - 1)
+    weight = own * F.exp(last - product(t)) + F.when(t == 0, F.exp(last)).otherwise(0.0)
+    return d.groupBy(run).agg(F.sum(F.col(value) * weight).alias("ema"))
+
+
 def even_sample(df: DataFrame, run: str, order: str, n: int) -> DataFrame:
     """WIN-10: n evenly spaced rows of each run, half-even places; short runs repeat rows."""
     ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(run).orderBy(order)) - 1)

@@ -117,6 +117,12 @@ def win09(t):
     return a.select("event_type", F.round(L.ema(F.transform("a", lambda x: x["value"]), 0.999), 6).alias("ema"))
 
 
+@query("win09_ema_whole")
+def win09w(t):
+    """Every step of the ledger; win09_ema and its recursive SQL fold the first 500 only."""
+    return L.ema_whole(t("events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 0.999).select("event_type", F.round("ema", 6).alias("ema"))
+
+
 @query("win10_downsample", "WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), p AS (SELECT event_type, n, unnest(range(80)) AS point FROM (SELECT DISTINCT event_type, n FROM r)) SELECT p.event_type, point::int AS point, event_id FROM p JOIN r ON r.event_type = p.event_type AND r.i = round_even(point * (p.n - 1) / 79e0, 0)")
 def win10(t):
     return L.even_sample(t("events").select("event_type", "event_id"), "event_type", "event_id", 80).select("event_type", "point", "event_id")
