@@ -50,6 +50,16 @@ def mth04(t):
     return p.crossJoin(F.broadcast(top)).agg(F.round(F.first("m") + F.log(F.sum(F.exp(F.col("e") - F.col("m")))) - F.log(F.count("*")), 6).alias("loss"))
 
 
+@query("mth04_dispersive_batches")
+def mth04b(t):
+    """Every vector, in batches of 200 ids; mth04_dispersive and its SQL take one label of the first batch only."""
+    x = t("embeddings").select(F.floor(F.col("vec_id") / 200).alias("batch"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    p = x.alias("a").join(x.alias("b").hint("merge"), (F.col("a.batch") == F.col("b.batch")) & (F.col("a.vec_id") != F.col("b.vec_id")))
+    p = p.select("a.batch", (-F.greatest(2 - 2 * N.cosine(F.col("a.v"), F.col("b.v")), F.lit(0.0)) / 0.5).alias("e"))
+    # Exponents are in [-8, 0], so they need no shift by the largest.
+    return p.groupBy("batch").agg(F.round(F.log(F.avg(F.exp("e"))), 6).alias("loss"))
+
+
 @query("mth05_mse", "WITH m AS (SELECT label, vec_id, embedding::double[] AS v FROM embeddings) SELECT a.vec_id, round(list_sum(list_transform(range(64), lambda i: pow(a.v[i + 1] - b.v[i + 1], 2))) / 64, 9) AS mse FROM m a JOIN m b ON b.vec_id = a.vec_id + 1")
 def mth05(t):
     e = t("embeddings").select("vec_id", "embedding")
