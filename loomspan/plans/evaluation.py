@@ -157,6 +157,36 @@ def agg21(t):
     return passes(t).agg(F.count_if(F.col("c") == 0).alias("n_zero"), F.count_if(F.col("c") == F.col("n")).alias("n_all"), F.round(F.avg(F.col("c") / F.col("n")), 9).alias("mean_p"))
 
 
+def all_passes(t, least=1):
+    """n and c of each user over all events; passes() and the SQL of its queries take six a user."""
+    e = t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("c"))
+    return e.where(F.col("n") >= least)
+
+
+@query("agg19_passk_whole")
+def agg19w(t):
+    return all_passes(t, 4).select("user_id", F.round(E.pass_at(F.col("c"), F.col("n"), 4), 9).alias("p4"))
+
+
+@query("agg19_passk_families_whole")
+def agg19fw(t):
+    return all_passes(t, 4).groupBy((F.col("user_id") % 3).alias("family")).agg(F.round(F.avg(E.pass_at(F.col("c"), F.col("n"), 4)), 9).alias("p4"))
+
+
+@query("agg20_softbest_whole")
+def agg20w(t):
+    """Weights C(i, 2) / C(n, 3) by each user's own n."""
+    w = Window.partitionBy("user_id")
+    e = t("events").withColumn("i", (F.row_number().over(w.orderBy("value")) - 1).cast("double")).withColumn("n", F.count("*").over(w).cast("double")).where("n >= 3")
+    weight = 3 * F.col("i") * (F.col("i") - 1) / (F.col("n") * (F.col("n") - 1) * (F.col("n") - 2))
+    return e.groupBy("user_id").agg(F.round(F.sum(F.col("value") * weight), 6).alias("soft3"))
+
+
+@query("agg21_counts_whole")
+def agg21w(t):
+    return all_passes(t).agg(F.count_if(F.col("c") == 0).alias("n_zero"), F.count_if(F.col("c") == F.col("n")).alias("n_all"), F.round(F.avg(F.col("c") / F.col("n")), 9).alias("mean_p"))
+
+
 @query("agg22_newly_lost", "WITH h AS (SELECT user_id, count(*) FILTER (WHERE value > 60 AND event_id % 2 = 0) AS b, count(*) FILTER (WHERE value > 60 AND event_id % 2 = 1) AS a FROM events WHERE event_id < 600 GROUP BY 1) SELECT count(*) FILTER (WHERE b = 0 AND a > 0)::bigint AS newly, count(*) FILTER (WHERE b > 0 AND a = 0)::bigint AS lost FROM h")
 def agg22(t):
     hit = lambda odd: F.count_if((F.col("value") > 60) & (F.col("event_id") % 2 == odd))
@@ -173,18 +203,28 @@ def agg22u(t):
     return h.select("user_id", status.alias("status")).where("status is not null")
 
 
-@query("agg23_bootstrap", f"WITH p AS (SELECT row_number() OVER (ORDER BY r_regionkey, n_nationkey) - 1 AS i, n_nationkey::double AS gain FROM nation JOIN region ON n_regionkey = r_regionkey), d AS (SELECT b, floor({u01_sql('b || chr(47) || j')} * 25)::int AS i FROM (SELECT unnest(range(1000)) AS b), (SELECT unnest(range(25)) AS j)), m AS (SELECT b, avg(gain) AS g FROM d JOIN p USING (i) GROUP BY 1) SELECT round(quantile_cont(g, 25e-3), 6) AS lo, round(quantile_cont(g, 975e-3), 6) AS hi FROM m")
-def agg23(t):
+def bootstrap(t, draws):
     """Resampled means of a small paired table: B x P rows, spread over tasks."""
     p = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     p = p.select((F.row_number().over(Window.orderBy("r_regionkey", "n_nationkey")) - 1).alias("i"), F.col("n_nationkey").cast("double").alias("gain"))
-    d = t("nation").sparkSession.range(1000).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("j"))
+    d = t("nation").sparkSession.range(draws).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("j"))
     d = d.select("b", E.resampled(25, F.col("j").cast("string"), F.col("b").cast("string")).alias("i"))
     m = d.join(F.broadcast(p), "i").groupBy("b").agg(F.avg("gain").alias("g"))
     q = m.agg(F.percentile("g", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return q.select(F.round(F.get("q", 0), 6).alias("lo"), F.round(F.get("q", 1), 6).alias("hi"))
 
 
+@query("agg23_bootstrap", f"WITH p AS (SELECT row_number() OVER (ORDER BY r_regionkey, n_nationkey) - 1 AS i, n_nationkey::double AS gain FROM nation JOIN region ON n_regionkey = r_regionkey), d AS (SELECT b, floor({u01_sql('b || chr(47) || j')} * 25)::int AS i FROM (SELECT unnest(range(1000)) AS b), (SELECT unnest(range(25)) AS j)), m AS (SELECT b, avg(gain) AS g FROM d JOIN p USING (i) GROUP BY 1) SELECT round(quantile_cont(g, 25e-3), 6) AS lo, round(quantile_cont(g, 975e-3), 6) AS hi FROM m")
+def agg23(t):
+    return bootstrap(t, 1000)
+
+
+@query("agg23_bootstrap_whole")
+def agg23w(t):
+    """The reference's 10,000 resamples; agg23_bootstrap and its SQL draw 1,000."""
+    return bootstrap(t, 10_000)
+
+
 @query("agg24_object_acc", "WITH d AS (SELECT user_id, list(event_type) FILTER (WHERE value >= 50) AS found FROM events GROUP BY 1) SELECT round(avg((list_contains(coalesce(found, []), CASE WHEN user_id % 2 = 0 THEN 'view' ELSE 'click' END))::int), 9) AS accuracy FROM d")
 def agg24(t):
     d = t("events").groupBy("user_id").agg(F.collect_set(F.when(F.col("value") >= 50, F.col("event_type"))).alias("found"))
