@@ -1,7 +1,8 @@
 """Exact token ids with the tokenizers library, each distinct chunk encoded once per worker.
 
 Both public vocabularies split a text before they merge, and no token crosses the chunk borders
-used here, so ids of a text are the ids of its chunks in order. Chunks repeat, so each goes through the
+used here, so ids of a text are the ids of its chunks in order; a text that holds an added token's literal is encoded
+whole. Chunks repeat, so each goes through the
 library once and is then looked up; the cache is bounded by its number of entries.
 """
 
@@ -80,7 +81,8 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Added tokens are found in the raw text before it is split, so texts with one go through the library whole.
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks = CHUNKS[kind].findall
         self.spaced = kind == "byte_bpe"
         self.cache: dict[bytes, bytes] = {}
@@ -123,6 +125,10 @@ class Ids:
         out: list[bytes] = [b""] * len(texts)
         held, size = [], 0
         for i, t in enumerate(texts):
+            if any(x in t for x in self.added):
+                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
+                continue
             if _ODD.search(t):
                 out[i] = b"".join(self._known([c.encode() for c in self.chunks(t)]))
                 continue

@@ -20,6 +20,17 @@ def test_chunked_ids_equal_the_librarys(kind):
         assert np.frombuffer(ids, "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+@pytest.mark.parametrize("kind", list(FILES))
+def test_added_tokens_are_ids_of_their_own(kind):
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(default_path(FILES[kind]))
+    added = [x.content for x in untouched.get_added_tokens_decoder().values()]
+    texts = [f"a {x} b{x}{x}\u3000c {x.upper()}" for x in added] + ["a <|endoftext|> x", "plain", "", "last <|endoftext|>"]
+    for text, ids in zip(texts, Ids(default_path(FILES[kind]), kind).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == untouched.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
 @pytest.mark.parametrize("high", [1, 2, 300, 50257, 1 << 20, 1 << 32])
 def test_simple8b_round_trip(n, high):
