@@ -1,22 +1,34 @@
 """Language-model scoring by cross-entropy difference.
 
-Two word bigram models, target (documents labelled good) and background (all documents), share one vocabulary
-and one list of bigrams, counted over all documents. A document's score is the mean over its words of target
-loss minus background loss, in nats: low scores look like the target.
+Two matched word bigram models, target (documents labelled good) and background (all documents), share one
+vocabulary: every word and every bigram of the corpus, with no cap and no least count. A document's score is the mean
+over its words of target loss minus background loss, in nats: low scores look like the target. A document's own
+words do not count when it is scored, in either model (else a labelled document would vouch for itself, and
+one that occurs twice would look like one that occurs once):
 
-whole(), which the query runs, keeps every word and bigram in written tables and joins each row's distinct bigrams
-to them by merge. train() and score() keep a model for a broadcast: both lists are cut there by count at a fixed size,
-equal counts together; other words are one unknown word and other bigrams fall back to the second word.
+    p(b | a) = MIX * c(a b) / max(c(a), 1) + (1 - MIX) * (c(b) + ADD) / (n + ADD * (words + 1))
 
-    p(b | a) = MIX * c(a b) / c(a) + (1 - MIX) * (c(b) + ADD) / (n + ADD * words)
+with c and n counted over all other documents; a start mark stands before the first word, and c(start) is the number of
+texts with words.
 
-Null and blank texts have 0 words and a null score. Repeated rows count and are scored each. Labels that contradict
-each other, null ids and labels of unknown documents do not make a target; with no target all target counts are 0.
-Very long texts are rows like others. An empty table gives no rows; extra columns are ignored.
+1. A chunk is some consecutive texts of a task (CHUNK_BYTES). It sends its distinct words and bigrams, by 64-bit
+   hashes, with its counts, to the keys' owners: each key once a chunk, however frequent it is.
+2. An owner adds up and answers each chunk with the totals, in the order in which the chunk asked. Answers are
+   written to one file a chunk in the shared folder.
+3. The texts are read again; each chunk finds its file by its name, which holds a checksum of the chunk's content.
+   Texts are never shuffled, and a chunk of other content than asked for is an error, not a wrong score.
+
+The labels' ids are broadcast where they are few (BROADCAST_BYTES), else joined by merge; both give the same rows.
+
+Null and blank texts have 0 words and null losses. Repeated rows count and are scored each. Labels that contradict
+each other, null ids and labels of unknown documents make no target; with no target all target counts are 0.
+A text longer than a chunk is a chunk of its own. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,232 +37,297 @@ from pyspark.sql import functions as F
 from . import common
 from .shingles import mixed, word_hashes
 
-VOCABULARY = 65_534
-BIGRAMS = 1 << 20
 MIX, ADD = 0.6, 0.5
-#: Entries that a counting task folds at a time.
-HELD = 1 << 22
-COUNT_MB = 16
-BUCKETS_PER_PART = 8
-BATCH_BYTES = 1 << 20
-START = 1  #: stands before a text; 0 is the unknown word
-
-
-def _slices(rb: pa.RecordBatch, column: int):
-    """(first row, flat bytes, offsets) of some megabytes of text at a time."""
-    at = 0
-    while at < rb.num_rows:
-        flat, offsets = common.utf8(rb.column(column).slice(at))
-        n = min(max(1, int(np.searchsorted(offsets, BATCH_BYTES, side="right")) - 1), rb.num_rows - at)
-        yield at, flat[: offsets[n]], offsets[: n + 1]
-        at += n
+#: Bytes of text that one chunk holds, and MB of the input's files whose keys one owner adds up.
+CHUNK_BYTES = 24 << 20
+COUNT_MB = 12
+#: Owners in a task that adds up; it holds one owner's keys at a time beside the requests.
+OWNERS_PER_PART = 4
+#: Labelled ids are broadcast up to so many bytes of ids.
+BROADCAST_BYTES = 32 << 20
+START = np.uint64(1)
+WORDS, PAIRS = 0, 1
+ASKED = pa.schema([("owner", pa.int32()), ("chunk", pa.string()), ("kind", pa.int8()), ("data", pa.binary())])
+ANSWERED = pa.schema([("chunk", pa.string()), ("kind", pa.int8()), ("owner", pa.int32()), ("data", pa.binary()), ("words", pa.int64()), ("every", pa.int64()), ("target", pa.int64())])
+ANSWERED_DDL = "chunk string, kind byte, owner int, data binary, words long, every long, target long"
+
+
+def small(values: np.ndarray) -> bytes:
+    """Counts as a byte each; what is over 254 follows as (place, count)."""
+    values = values.astype(np.uint64)
+    far = np.flatnonzero(values > 254)
+    return len(values).to_bytes(8, "little") + len(far).to_bytes(8, "little") + np.minimum(values, 255).astype(np.uint8).tobytes() + far.astype("<u8").tobytes() + values[far].astype("<u8").tobytes()
+
+
+def unsmall(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """(counts, where the next array starts)."""
+    n, m = int.from_bytes(data[at : at + 8], "little"), int.from_bytes(data[at + 8 : at + 16], "little")
+    at += 16
+    out = np.frombuffer(data, np.uint8, n, at).astype(np.int64)
+    at += n
+    far = np.frombuffer(data, "<u8", m, at)
+    out[far.astype(np.int64)] = np.frombuffer(data, "<u8", m, at + 8 * m).astype(np.int64)
+    return out, at + 16 * m
+
+
+class Chunk:
+    """Words and bigrams of some texts. `wanted` tells the texts of the target."""
+
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray):
+        """texts: (flat bytes, offsets) of consecutive texts."""
+        hashes, counts = [], []
+        for flat, offsets in texts:
+            h, before = word_hashes(flat, offsets)
+            hashes.append(h)
+            counts.append(np.diff(before))
+        self.words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        self.wanted = wanted.astype(bool)
+        self.text = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.first = (np.cumsum(self.counts) - self.counts)[self.counts > 0]
+        before = np.empty_like(self.words)
+        before[1:] = self.words[:-1]
+        before[self.first] = START
+        # The start mark is a word before each text with words, so that its count comes like any other.
+        starts = np.flatnonzero(self.counts > 0)
+        self.keys, self.at = [], []
+        for keys in (np.concatenate([self.words, np.full(len(starts), START)]), mixed(mixed(before) + self.words)):
+            known, at = np.unique(keys, return_inverse=True)
+            self.keys.append(known)
+            self.at.append(at)
+        self.of_text = [np.concatenate([self.text, starts]), self.text]
+
+    def counted(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of each key, in all texts and in those of the target."""
+        n = len(self.keys[kind])
+        return np.bincount(self.at[kind], minlength=n), np.bincount(self.at[kind][self.wanted[self.of_text[kind]]], minlength=n)
+
+    def own(self, kind: int) -> np.ndarray:
+        """For each place, how often its key stands in its own text."""
+        key = self.at[kind].astype(np.int64) * max(len(self.counts), 1) + self.of_text[kind]
+        _, back, n = np.unique(key, return_inverse=True, return_counts=True)
+        return n[back]
+
+    def losses(self, totals: list[tuple[np.ndarray, np.ndarray]], size: int, n: tuple[int, int]) -> list[np.ndarray]:
+        """Mean target loss and background loss of each text; totals: corpus counts of words and of bigrams."""
+        m = len(self.words)
+        own_word, own_pair = self.own(WORDS), self.own(PAIRS)
+        place = np.empty(m, np.int64)  # of the word before, among words and start marks
+        place[1:] = np.arange(m - 1) if m else 0
+        place[self.first] = m + np.arange(len(self.first))
+        out = []
+        for side in (1, 0):
+            mine = np.ones(len(self.counts), np.int64) if side == 0 else self.wanted.astype(np.int64)
+            of = mine[self.text]
+            word, pair = totals[WORDS][side], totals[PAIRS][side]
+            b = word[self.at[WORDS][:m]] - own_word[:m] * of
+            a = word[self.at[WORDS][place]] - own_word[place] * of
+            both = pair[self.at[PAIRS]] - own_pair * of
+            rest = n[side] - self.counts * mine
+            p = MIX * both / np.maximum(a, 1) + (1 - MIX) * (b + ADD) / (rest[self.text] + ADD * (size + 1))
+            out.append(np.bincount(self.text, -np.log(p), minlength=len(self.counts)) / np.maximum(self.counts, 1))
+        return out
+
+
+def chunks(batches, size: int):
+    """(name, doc ids, Chunk) of consecutive texts; the name holds the task, the place and a checksum of what is in it.
+
+    A text goes to the chunk before it while both fit in `size`, wherever Arrow batches end.
+    """
+    from pyspark import TaskContext
+
+    task, number = TaskContext.get().partitionId(), 0
+    ids, texts, wanted, held, crc = [], [], [], 0, 0
+    for rb in batches:
+        at = 0
+        while at < rb.num_rows:
+            flat, offsets = common.utf8(rb.column(1).slice(at))
+            n = min(int(np.searchsorted(offsets, size - held, side="right")) - 1, rb.num_rows - at)
+            if n <= 0 and ids:
+                flags = np.concatenate(wanted)
+                yield f"{task:07d}-{number:05d}-{zlib.crc32(flags.tobytes(), crc):08x}", pa.concat_arrays(ids), Chunk(texts, flags)
+                number, held, crc = number + 1, 0, 0
+                ids, texts, wanted = [], [], []
+                continue
+            n = max(n, 1)
+            flat, offsets = flat[: offsets[n]].copy(), offsets[: n + 1].copy()
+            ids.append(rb.column(0).slice(at, n))
+            wanted.append(rb.column(2).slice(at, n).to_numpy(zero_copy_only=False).astype(np.uint8))
+            texts.append((flat, offsets))
+            crc = zlib.crc32(flat, crc)
+            held += len(flat)
+            at += n
+    if ids:
+        flags = np.concatenate(wanted)
+        yield f"{task:07d}-{number:05d}-{zlib.crc32(flags.tobytes(), crc):08x}", pa.concat_arrays(ids), Chunk(texts, flags)
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def asked(texts: DataFrame, owners: int, size: int) -> DataFrame:
+    """What each chunk sends to each owner: sorted keys and its counts of them."""
 
+    def run(batches):
+        edges = np.arange(owners + 1, dtype=np.uint64)
+        for name, _, chunk in chunks(batches, size):
+            for kind in (WORDS, PAIRS):
+                keys, (every, target) = chunk.keys[kind], chunk.counted(kind)
+                # An owner ascends with the keys, so its share is a run of them.
+                cuts = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32), edges).tolist()
+                for o, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if i < j:
+                        yield _rows([(o, name, kind, (j - i).to_bytes(8, "little") + keys[i:j].tobytes() + small(every[i:j]) + small(target[i:j]))], ASKED)
+            del chunk, keys, every, target
+        common.release()
 
-def _folded(keys: np.ndarray, every: np.ndarray, target: np.ndarray):
-    """Distinct keys with the sums of both counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, first = np.unique(keys[order], return_index=True)
-    return keys, np.add.reduceat(every[order], first), np.add.reduceat(target[order], first)
+    return texts.mapInArrow(run, "owner int, chunk string, kind byte, data binary")
 
 
-def _counted(texts: DataFrame, of, parts: int, most: int) -> tuple[pa.Table, DataFrame]:
-    """The most frequent keys (key, every, target), `most` at most, and the exact counts over all texts.
+def answered(requests: DataFrame, parts: int) -> DataFrame:
+    """Totals of each request's keys, in its order, and for each owner a row without chunk: its words and their counts."""
 
-    `of` gives the keys of flat texts and the text that each stands in. Tasks fold before they send.
+    def run(batches):
+        held: dict[tuple[int, int], list[tuple[str, bytes]]] = {}
+        for rb in batches:
+            for owner, chunk, kind, data in zip(*[c.to_pylist() for c in rb.columns], strict=True):
+                held.setdefault((owner, kind), []).append((chunk, data))
+        for owner, kind in sorted(held):
+            names, keys, sides = [], [], ([], [])
+            for name, data in held.pop((owner, kind)):
+                n = int.from_bytes(data[:8], "little")
+                names.append(name)
+                keys.append(np.frombuffer(data, np.uint64, n, 8))
+                at = 8 + 8 * n
+                for side in sides:
+                    counts, at = unsmall(data, at)
+                    side.append(counts)
+            ends = np.cumsum([0, *map(len, keys)]).tolist()
+            known, at = np.unique(np.concatenate(keys), return_inverse=True)
+            totals = []
+            for side in sides:
+                total = np.zeros(len(known), np.int64)
+                np.add.at(total, at, np.concatenate(side))
+                totals.append(total)
+            for name, i, j in zip(names, ends[:-1], ends[1:], strict=True):
+                yield _rows([(name, kind, owner, b"".join(small(t[at[i:j]]) for t in totals), None, None, None)], ANSWERED)
+            if kind == WORDS:
+                real = known != START
+                yield _rows([(None, kind, owner, None, int(real.sum()), int(totals[0][real].sum()), int(totals[1][real].sum()))], ANSWERED)
+        common.release()
+
+    return requests.repartition(parts, "owner").mapInArrow(run, ANSWERED_DDL)
+
+
+def kept(answers: DataFrame, parts: int, where: str) -> DataFrame:
+    """Writes one file a chunk with its answers in its own order; returns the rows without chunk.
+
+    A file appears under its name when it is whole; a task that runs again writes the same bytes.
     """
-    buckets = parts * BUCKETS_PER_PART
+    schema = pa.schema([("words", pa.int64()), ("every", pa.int64()), ("target", pa.int64())])
 
-    def send(batches):
-        held: list = []
-        size = 0
-
-        def packed():
-            keys, every, target = _folded(*(np.concatenate([h[i] for h in held]) for i in range(3)))
-            bucket = mixed(keys) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            rows = np.stack([keys, every, target], axis=1)[order]
-            which, first = np.unique(bucket[order], return_index=True)
-            ends = [*first[1:].tolist(), len(rows)]
-            return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array([rows[i:j].tobytes() for i, j in zip(first.tolist(), ends, strict=True)], pa.binary())], ["bucket", "data"])
+    def run(batches):
+        from pyspark import TaskContext
+
+        fs, base = common.filesystem(where)
+        fs.create_dir(base, recursive=True)
+        now, held = None, []
+
+        def put():
+            if held:
+                draft = f"{base}/.{now}-{TaskContext.get().taskAttemptId()}"
+                with fs.open_output_stream(draft, compression=None) as sink:
+                    for kind, data in held:
+                        sink.write(bytes([kind]) + len(data).to_bytes(8, "little") + data)
+                try:
+                    fs.move(draft, f"{base}/{now}")
+                except OSError:  # a store that does not replace: another attempt has put the same bytes there
+                    if fs.get_file_info(f"{base}/{now}").type.name != "File":
+                        raise
+                    fs.delete_file(draft)
 
         for rb in batches:
-            wanted = rb.column(1).to_numpy(zero_copy_only=False)
-            for at, flat, offsets in _slices(rb, 0):
-                keys, text = of(flat, offsets)
-                if not len(keys):
+            for name, kind, _, data, *sums in zip(*[c.to_pylist() for c in rb.columns], strict=True):
+                if name is None:
+                    yield _rows([tuple(sums)], schema)
                     continue
-                aim = wanted[at + text].astype(np.uint64)
-                held.append(_folded(keys, np.ones(len(keys), np.uint64), aim))
-                size += len(held[-1][0])
-                if size >= HELD:
-                    yield packed()
-                    held.clear()
-                    size = 0
-        if held:
-            yield packed()
-
-    def fold(batches):
-        rows = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, 3) for rb in batches for x in rb.column(1)]
-        if rows:
-            rows = np.concatenate(rows)
-            keys, every, target = _folded(rows[:, 0], rows[:, 1], rows[:, 2])
-            for at in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)].view(np.int64)) for x in (keys, every, target)], ["key", "every", "target"])
-
-    counts = texts.mapInArrow(send, "bucket int, data binary").repartition(parts, "bucket").mapInArrow(fold, "key long, every long, target long")
-    counts = common.written(counts)
-    # Least count that leaves at most `most` keys, from a table of counts of counts.
-    steps = counts.groupBy("every").agg(F.count("*").alias("n")).orderBy(F.desc("every")).limit(most).collect()
-    least, kept = None, 0
-    for r in steps:
-        if kept + r.n > most:
-            break
-        least, kept = r.every, kept + r.n
-    if least is None:
-        least = 1 << 62
-    return counts.where(F.col("every") >= least).toArrow().sort_by("key"), counts
-
-
-class Models:
-    """Vocabulary, unigram and bigram log-probabilities of target and background."""
-
-    def __init__(self, words: pa.Table, pairs: pa.Table, totals: np.ndarray):
-        """totals: all words of background and target, unknown ones too."""
-        self.words = np.sort(words["key"].to_numpy().view(np.uint64))
-        order = np.argsort(words["key"].to_numpy().view(np.uint64))
-        size = len(self.words) + 2
-        pair = np.sort(pairs["key"].to_numpy().view(np.uint64)) if len(pairs) else np.zeros(0, np.uint64)
-        by = np.argsort(pairs["key"].to_numpy().view(np.uint64)) if len(pairs) else np.zeros(0, np.int64)
-        self.pairs = pair.astype(np.uint32)
-        self.one, self.two = [], []
-        for k, column in enumerate(("every", "target")):
-            c = np.zeros(size)
-            c[2:] = words[column].to_numpy()[order]
-            c[0] = totals[k] - c.sum()
-            alone = (c + ADD) / (totals[k] + ADD * size)
-            context = c.copy()
-            context[START] = totals[2 + k]
-            both = pairs[column].to_numpy()[by].astype(float) if len(pairs) else np.zeros(0)
-            a, b = (pair >> np.uint64(16)).astype(np.int64), (pair & np.uint64(0xFFFF)).astype(np.int64)
-            self.one.append(np.log((1 - MIX) * alone))
-            self.two.append(np.log(MIX * both / np.maximum(context[a], 1) + (1 - MIX) * alone[b]))
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        return ids_of(self.words, hashes)
-
-    def losses(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(target, background) loss of each bigram."""
-        at = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
-        known = self.pairs[at] == pair if len(self.pairs) else np.zeros(len(pair), bool)
-        second = (pair & np.uint32(0xFFFF)).astype(np.int64)
-        return tuple(-np.where(known, self.two[k][at] if len(self.pairs) else 0, self.one[k][second]) for k in (1, 0))
-
-
-def ids_of(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    if not len(words):
-        return np.zeros(len(hashes), np.uint32)
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[at] == hashes, at + 2, 0).astype(np.uint32)
-
-
-def bigrams(words: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first id << 16 | second id, text) for every word; the first word of a text follows START."""
-    hashes, before = word_hashes(flat, offsets)
-    ids = ids_of(words, hashes)
-    first = np.empty_like(ids)
-    first[1:] = ids[:-1]
-    counts = np.diff(before)
-    first[before[:-1][counts > 0]] = START
-    return (first << np.uint32(16)) | ids, np.repeat(np.arange(len(counts)), counts)
-
-
-def train(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, most: int = BIGRAMS) -> Models:
-    """Models from exact counts over all documents. What the driver holds is bounded by `vocabulary` and `most`."""
-    good = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = 1 and hi = 1").select(F.col("doc_id").alias("good"))
-    texts = docs.join(good.hint("merge"), F.col("doc_id") == F.col("good"), "left").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("good").isNotNull().alias("wanted"))
-    parts = common.parts_for(docs, COUNT_MB)
+                if name != now:
+                    put()
+                    now, held = name, []
+                held.append((kind, data))
+        put()
 
-    def words_of(flat, offsets):
-        hashes, before = word_hashes(flat, offsets)
-        return hashes, np.repeat(np.arange(len(before) - 1), np.diff(before))
+    return answers.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "owner").mapInArrow(run, "words long, every long, target long")
 
-    words, all_words = _counted(texts, words_of, parts, vocabulary)
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(words["key"].to_numpy().view(np.uint64)))
-
-    def pairs_of(flat, offsets):
-        pair, text = bigrams(known.value, flat, offsets)
-        return pair.astype(np.uint64), text
-
-    pairs, all_pairs = _counted(texts, pairs_of, parts, most)
-    totals = [x or 0 for t in (all_words, all_pairs.where(F.shiftright("key", 16) == START)) for x in t.agg(F.sum("every"), F.sum("target")).first()]
-    return Models(words, pairs, np.array(totals, float))
-
-
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss, difference of each row; a map over the texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches):
-        m = shared.value
-        for rb in batches:
-            for at, flat, offsets in _slices(rb, 1):
-                pair, text = bigrams(m.words, flat, offsets)
-                target, background = m.losses(pair)
-                n = np.bincount(text, minlength=len(offsets) - 1)
-                sums = [np.bincount(text, x, minlength=len(n)) / np.maximum(n, 1) for x in (target, background)]
-                out = [pa.array(x, mask=n == 0) for x in (*sums, sums[0] - sums[1])]
-                yield pa.RecordBatch.from_arrays([rb.column(0).slice(at, len(n)), pa.array(n.astype(np.int64)), *out], ["doc_id", "n_words", "target_loss", "background_loss", "difference"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, difference double")
-
-
-def grams(texts: DataFrame) -> DataFrame:
-    """row, doc_id, wanted, words, a, b, n: the distinct bigrams of each row by their words' hashes; a row without words has one with null a."""
 
+def _totals(fs, path: str, chunk: Chunk) -> list[tuple[np.ndarray, np.ndarray]]:
+    with fs.open_input_stream(path, compression=None) as file:
+        data = file.read()
+    found: tuple = (([], []), ([], []))
+    at = 0
+    while at < len(data):
+        kind, stop = data[at], at + 9 + int.from_bytes(data[at + 1 : at + 9], "little")
+        at += 9
+        for side in found[kind]:
+            counts, at = unsmall(data, at)
+            side.append(counts)
+        if at != stop:
+            raise ValueError(f"{path}: damaged")
+    out = [tuple(np.concatenate([np.zeros(0, np.int64), *side]) for side in found[kind]) for kind in (WORDS, PAIRS)]
+    if any(len(out[k][0]) != len(chunk.keys[k]) for k in (WORDS, PAIRS)):
+        raise ValueError(f"{path}: counts of other keys")
+    return out
+
+
+def _scored(texts: DataFrame, where: str, words: int, n: tuple[int, int], size: int) -> DataFrame:
     def run(batches):
-        for rb in batches:
-            for at, flat, offsets in _slices(rb, 3):
-                hashes, before = word_hashes(flat, offsets)
-                counts = np.diff(before)
-                first = np.empty_like(hashes)
-                first[1:] = hashes[:-1]
-                first[before[:-1][counts > 0]] = START
-                text = np.repeat(np.arange(len(counts)), counts)
-                _, some, n = np.unique(mixed(mixed(mixed(first) + hashes) + text.astype(np.uint64)), return_index=True, return_counts=True)
-                none = np.flatnonzero(counts == 0)
-                of = pa.array(at + np.concatenate([text[some], none]))
-                blank = np.arange(len(of)) >= len(some)
-                keys = [pa.array(np.concatenate([x, np.zeros(len(none), x.dtype)]), mask=blank) for x in (first[some].view(np.int64), hashes[some].view(np.int64), n.astype(np.int64))]
-                words = pa.array(counts[of.to_numpy() - at].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*[rb.column(i).take(of) for i in range(3)], words, *keys], ["row", "doc_id", "wanted", "words", "a", "b", "n"])
-
-    return texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "wanted", "text").mapInArrow(run, "row long, doc_id long, wanted long, words long, a long, b long, n long")
-
-
-def whole(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss, difference of each row, by models of all words and all bigrams."""
-    good = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = 1 and hi = 1").select(F.col("doc_id").alias("good"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(good.hint("merge"), F.col("doc_id") == F.col("good"), "left")
-    rows = common.written(grams(texts.select("doc_id", "text", F.col("good").isNotNull().cast("long").alias("wanted"))))
-    held = rows.where("a is not null")
-    pairs = common.written(held.groupBy("a", "b").agg(F.sum("n").alias("every"), F.sum(F.col("n") * F.col("wanted")).alias("target")))
-    words = common.written(pairs.groupBy("b").agg(F.sum("every").alias("b0"), F.sum("target").alias("b1")))  # each word is second once
-    size, *totals = words.agg(F.count("*"), F.sum("b0"), F.sum("b1")).first()
-    starts = pairs.where(F.col("a") == START).agg(F.lit(START).cast("long").alias("a"), F.sum("every").alias("a0"), F.sum("target").alias("a1"))
-    before = words.select(F.col("b").alias("a"), F.col("b0").alias("a0"), F.col("b1").alias("a1")).union(starts)
-    model = pairs.join(words.hint("merge"), "b").join(before.hint("merge"), "a")
-    loss = []
-    for k, both in enumerate(("every", "target")):
-        alone = (F.col(f"b{k}") + F.lit(ADD)) / F.lit((totals[k] or 0) + ADD * (size + 2))
-        loss.append(-F.log(F.lit(MIX) * F.col(both) / F.greatest(F.col(f"a{k}"), F.lit(1)) + F.lit(1 - MIX) * alone))
-    model = common.written(model.select("a", "b", loss[0].alias("l0"), loss[1].alias("l1")))
-    sums = held.join(model.hint("merge"), ["a", "b"]).groupBy("row", "doc_id", "words").agg(F.sum(F.col("n") * F.col("l1")).alias("t"), F.sum(F.col("n") * F.col("l0")).alias("g"))
-    nothing = F.lit(None).cast("double")
-    every = sums.union(rows.where("a is null").select("row", "doc_id", "words", nothing, nothing))
-    target, background = F.col("t") / F.col("words"), F.col("g") / F.col("words")
-    return every.select("doc_id", F.col("words").alias("n_words"), target.alias("target_loss"), background.alias("background_loss"), (target - background).alias("difference"))
+        fs, base = common.filesystem(where)
+        for name, ids, chunk in chunks(batches, size):
+            blank = chunk.counts == 0
+            losses = chunk.losses(_totals(fs, f"{base}/{name}", chunk), words, n) if len(chunk.words) else [np.zeros(len(blank))] * 2
+            out = [pa.array(x, mask=blank) for x in (*losses, losses[0] - losses[1])]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(chunk.counts.astype(np.int64)), *out], ["doc_id", "n_words", "target_loss", "background_loss", "difference"])
+            del chunk
+        common.release()
+
+    return texts.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, difference double")
+
+
+def _rereadable(df: DataFrame) -> bool:
+    """Whether a plan is files, filters and columns alone: then it gives the same rows in the same partitions when it runs again."""
+    plans = [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        plan = plans.pop()
+        if plan.nodeName() not in ("Project", "Filter") and not plan.nodeName().startswith(("LogicalRelation", "RelationV2")):
+            return False
+        children = plan.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return True
+
+
+def good_ids(labels: DataFrame) -> DataFrame:
+    """Ids (good) that are labelled good and never bad."""
+    held = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
+    return held.where("lo = 1 and hi = 1").select(F.col("doc_id").cast("long").alias("good"))
+
+
+def score(docs: DataFrame, labels: DataFrame, chunk_bytes: int = CHUNK_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss, difference of each row."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # Chunks must come again as they were, so what is not read from files is written first.
+    docs = docs if _rereadable(docs) else common.written(docs)
+    parts = common.parts_for(docs, COUNT_MB)
+    good = common.written(good_ids(labels))
+    few = 8 * good.count() <= broadcast_bytes
+    texts = docs.join(F.broadcast(good) if few else good.hint("merge"), F.col("doc_id") == F.col("good"), "left").select("doc_id", "text", F.col("good").isNotNull().alias("wanted"))
+    texts = texts if few else common.written(texts)
+    where = common.shared_dir(spark)
+    sums = common.written(kept(answered(asked(texts, OWNERS_PER_PART * parts, chunk_bytes), parts), parts, where))
+    words, every, target = (x or 0 for x in sums.agg(F.sum("words"), F.sum("every"), F.sum("target")).first())
+    return _scored(texts, where, words, (every, target), chunk_bytes)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return whole(docs, common.table(spark, sf_dir, "labels"))
+    return score(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))

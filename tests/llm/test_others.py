@@ -226,65 +226,69 @@ def test_find_and_redact(odd, none):
     assert pii_crf.find(none, pii_crf.train(none)).count() == 0
 
 
-def test_losses_equal_brute_force(spark, odd):
-    docs = odd.select("doc_id", "text")
-    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(12)] + [(3, 1, 0), (None, 1, 0), (999, 1, 0)], LABELS)
-    most, pairs = 40, 60
-    got = lm_score.score(docs, lm_score.train(docs, labels, most, pairs)).collect()
-    good = {i for i in range(12) if i % 2 == 0}
-    rows = [(r.doc_id, WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), r.text or ""))) for r in docs.collect()]
-
-    def top(counts, n):
-        least, kept = math.inf, 0
-        for value, m in sorted(Counter(counts.values()).items(), reverse=True):
-            if kept + m > n:
-                break
-            least, kept = value, kept + m
-        return {x for x, v in counts.items() if v >= least}
-
-    known = top(Counter(w for _, x in rows for w in x), most)
-    one = lambda w: w if w in known else None
-    two = lambda x: list(zip(["<s>", *map(one, x[:-1])], map(one, x), strict=True)) if x else []
-    sides = [rows, [r for r in rows if r[0] in good]]
-    c1, c2 = [Counter(one(w) for _, x in s for w in x) for s in sides], [Counter(p for _, x in s for p in two(x)) for s in sides]
-    held, starts = top(c2[0], pairs), [sum(bool(x) for _, x in s) for s in sides]
-
-    def loss(k, a, b):
-        n = sum(c1[k].values())
-        both = c2[k][a, b] / max(starts[k] if a == "<s>" else c1[k][a], 1) if (a, b) in held else 0
-        return -math.log(lm_score.MIX * both + (1 - lm_score.MIX) * (c1[k][b] + lm_score.ADD) / (n + lm_score.ADD * (len(known) + 2)))
-
-    want = []
-    for i, x in rows:
-        t = [sum(loss(k, a, b) for a, b in two(x)) / len(x) for k in (1, 0)] if x else None
-        want.append((str(i), len(x), None if t is None else round(t[0], 5), None if t is None else round(t[1], 5)))
-    assert sorted(map(str, want)) == sorted(str((str(r.doc_id), r.n_words, r.target_loss and round(r.target_loss, 5), r.background_loss and round(r.background_loss, 5))) for r in got)
-
-
-def test_losses_of_nothing(spark, none):
-    assert lm_score.score(none, lm_score.train(none, spark.createDataFrame([], LABELS))).count() == 0
-
-
-def test_losses_of_every_word_and_bigram(spark, odd, none, tmp_path):
-    """More words than a capped vocabulary holds: words and bigrams of one occurrence count like others."""
-    extra = " ".join(f"u{i}" for i in range(lm_score.VOCABULARY + 9))
-    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(70, extra), (71, extra[:600]), (71, "u1 u1 u2 a")], "doc_id long, text string"))
+def scored(rows, good):
+    """Brute force of the scores: both models count all other documents."""
+    rows = [(i, WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))) for i, t in rows]
+    two = lambda x: list(zip(["<s>", *x[:-1]], x, strict=True)) if x else []
+    words = [(i, x, Counter(x), Counter(two(x))) for i, x in rows]
+    size = len({w for _, x in rows for w in x})
+    sides = []
+    for some in (words, [r for r in words if r[0] in good]):
+        c1, c2 = Counter(), Counter()
+        for _, _, a, b in some:
+            c1.update(a)
+            c2.update(b)
+        sides.append((c1, c2, sum(bool(x) for _, x, _, _ in some), sum(c1.values())))
+    out = []
+    for i, x, own1, own2 in words:
+        losses = []
+        for k in (1, 0):
+            c1, c2, starts, n = sides[k]
+            mine = int(k == 0 or i in good)
+            total = 0.0
+            for a, b in two(x):
+                before = starts - mine if a == "<s>" else c1[a] - mine * own1[a]
+                both = (c2[a, b] - mine * own2[a, b]) / max(before, 1)
+                total -= math.log(lm_score.MIX * both + (1 - lm_score.MIX) * (c1[b] - mine * own1[b] + lm_score.ADD) / (n - mine * len(x) + lm_score.ADD * (size + 1)))
+            losses.append(total / len(x) if x else None)
+        out.append(str((str(i), len(x), *[None if v is None else f"{v:.6f}" for v in losses])))
+    return sorted(out)
+
+
+def shown(rows):
+    return sorted(str((str(r.doc_id), r.n_words, *[None if v is None else f"{v:.6f}" for v in (r.target_loss, r.background_loss)])) for r in rows)
+
+
+@pytest.mark.parametrize(("chunk", "few"), [(lm_score.CHUNK_BYTES, 1 << 20), (300, 1 << 20), (1 << 16, 0)])
+def test_scores_equal_brute_force(spark, odd, tmp_path, chunk, few):
+    extra = " ".join(f"u{i}" for i in range(70_000))
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(70, extra), (71, extra[:600]), (71, "u1 u1 u2 a"), (72, "the " * 900)], "doc_id long, text string"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     good = {4, 6, 8, 71}
-    spark.createDataFrame([(i, 1, 0) for i in good], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
-    got = lm_score.query(spark, str(tmp_path)).collect()
-    rows = [(r.doc_id, WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), r.text or ""))) for r in docs.collect()]
-    two = lambda x: list(zip(["<s>", *x[:-1]], x, strict=True)) if x else []
-    sides = [rows, [r for r in rows if r[0] in good]]
-    c1 = [Counter(w for _, x in s for w in x) for s in sides]
-    c2 = [Counter(p for _, x in s for p in two(x)) for s in sides]
-    starts, n = [sum(bool(x) for _, x in s) for s in sides], [sum(c.values()) for c in c1]
-
-    def loss(k, a, b):
-        both = c2[k][a, b] / max(starts[k] if a == "<s>" else c1[k][a], 1)
-        return -math.log(lm_score.MIX * both + (1 - lm_score.MIX) * (c1[k][b] + lm_score.ADD) / (n[k] + lm_score.ADD * (len(c1[0]) + 2)))
-
-    text = lambda i, m, t: str((str(i), m, None if t[0] is None else [f"{v:.5f}" for v in t]))
-    want = [text(i, len(x), [sum(loss(k, a, b) for a, b in two(x)) / len(x) if x else None for k in (1, 0)]) for i, x in rows]
-    assert sorted(want) == sorted(text(r.doc_id, r.n_words, [r.target_loss, r.background_loss]) for r in got)
-    assert lm_score.whole(none, spark.createDataFrame([], LABELS)).count() == 0
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(3, 1, 0), (3, 0, 0), (None, 1, 0), (999, 1, 0), (4, 1, 1)], LABELS)
+    want = scored([(r.doc_id, r.text) for r in docs.collect()], good)
+    assert shown(lm_score.score(spark.read.parquet(f"{tmp_path}/documents.parquet"), labels, chunk, few).collect()) == want
+    if chunk == 300:
+        assert shown(lm_score.score(docs.repartition(3), labels, chunk, few).collect()) == want
+
+
+def test_scores_tell_what_occurs_twice(spark):
+    r = random.Random(5)
+    text = lambda: " ".join(f"w{r.randint(0, 400)}" for _ in range(120))
+    rows = [(i, text()) for i in range(200)]
+    rows += [(1000 + i, rows[i][1]) for i in range(10)]
+    got = {x.doc_id: x.difference for x in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, 0) for i in range(100, 200)], LABELS)).collect()}
+    assert min(got[i] for i in [*range(10), *range(1000, 1010)]) > max(got[i] for i in range(10, 100))
+
+
+def test_scores_without_target_and_of_nothing(spark, odd, none):
+    labels = spark.createDataFrame([], LABELS)
+    assert shown(lm_score.score(odd, labels).collect()) == scored([(r.doc_id, r.text) for r in odd.collect()], set())
+    assert lm_score.score(none, labels).count() == 0
+
+
+def test_counts_of_any_size_come_back():
+    values = np.array([0, 1, 254, 255, 256, 1 << 40, 3])
+    data = b"x" + lm_score.small(values) + lm_score.small(values[:0])
+    got, at = lm_score.unsmall(data, 1)
+    assert got.tolist() == values.tolist() and lm_score.unsmall(data, at)[0].tolist() == []
