@@ -38,8 +38,9 @@ from . import common
 from .shingles import mixed, word_hashes
 
 MIX, ADD = 0.6, 0.5
-#: Bytes of text that one chunk holds, and MB of the input's files whose keys one owner adds up.
-CHUNK_BYTES = 24 << 20
+#: Bytes of text that one chunk holds, bytes that are hashed at once, and MB of the input's files whose keys one task adds up.
+CHUNK_BYTES = 8 << 20
+STEP_BYTES = 1 << 20
 COUNT_MB = 12
 #: Owners in a task that adds up; it holds one owner's keys at a time beside the requests.
 OWNERS_PER_PART = 4
@@ -77,9 +78,13 @@ class Chunk:
         """texts: (flat bytes, offsets) of consecutive texts."""
         hashes, counts = [], []
         for flat, offsets in texts:
-            h, before = word_hashes(flat, offsets)
-            hashes.append(h)
-            counts.append(np.diff(before))
+            at = 0
+            while at < len(offsets) - 1:
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, side="right")) - 1)
+                h, before = word_hashes(flat[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+                hashes.append(h)
+                counts.append(np.diff(before))
+                at = to
         self.words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         self.wanted = wanted.astype(bool)
@@ -239,7 +244,8 @@ def kept(answers: DataFrame, parts: int, where: str) -> DataFrame:
                 draft = f"{base}/.{now}-{TaskContext.get().taskAttemptId()}"
                 with fs.open_output_stream(draft, compression=None) as sink:
                     for kind, data in held:
-                        sink.write(bytes([kind]) + len(data).to_bytes(8, "little") + data)
+                        packed = pa.compress(data, codec="lz4", asbytes=True)
+                        sink.write(bytes([kind]) + len(packed).to_bytes(8, "little") + len(data).to_bytes(8, "little") + packed)
                 try:
                     fs.move(draft, f"{base}/{now}")
                 except OSError:  # a store that does not replace: another attempt has put the same bytes there
@@ -267,13 +273,12 @@ def _totals(fs, path: str, chunk: Chunk) -> list[tuple[np.ndarray, np.ndarray]]:
     found: tuple = (([], []), ([], []))
     at = 0
     while at < len(data):
-        kind, stop = data[at], at + 9 + int.from_bytes(data[at + 1 : at + 9], "little")
-        at += 9
+        kind, packed, size = data[at], int.from_bytes(data[at + 1 : at + 9], "little"), int.from_bytes(data[at + 9 : at + 17], "little")
+        answer, place = pa.decompress(data[at + 17 : at + 17 + packed], decompressed_size=size, codec="lz4", asbytes=True), 0
+        at += 17 + packed
         for side in found[kind]:
-            counts, at = unsmall(data, at)
+            counts, place = unsmall(answer, place)
             side.append(counts)
-        if at != stop:
-            raise ValueError(f"{path}: damaged")
     out = [tuple(np.concatenate([np.zeros(0, np.int64), *side]) for side in found[kind]) for kind in (WORDS, PAIRS)]
     if any(len(out[k][0]) != len(chunk.keys[k]) for k in (WORDS, PAIRS)):
         raise ValueError(f"{path}: counts of other keys")
