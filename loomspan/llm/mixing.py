@@ -1,19 +1,23 @@
 """Mixing sources to target weights, in blocks of words.
 
 Each source's documents, in an order by hash, are one stream of words cut into blocks of `block` words. The
-mix is a row of slots dealt over output shards. For each shard the counts of the sources are drawn: a
-multinomial draw conditioned on what the mix holds of each source in all (free draws would run past the cap
-of two copies). The k-th slot of a source then takes block permutation(k), with another pseudorandom
-permutation of the source's blocks for each pass, and the documents' pieces join the slots by block index.
+mix is a row of slots dealt over output shards. For each shard the counts of the sources are drawn: multinomial
+counts, conditioned on what the mix holds of each source in all (free draws would run past the cap
+of two copies), which makes them multivariate hypergeometric. The k-th slot of a source then takes block
+permutation(k), with another pseudorandom permutation of the source's blocks for each pass; inside its shard a slot
+stands at a pseudorandom place. The documents' pieces join the slots by block index and are written by shard:
+what a document gives to the mix is read from those shards.
 
 Null texts have size 0 and take 0; a null source is a source of its own and stands last; repeated rows are
 rows of their own; sizes of any length work, since a document spans as many blocks as it needs. An empty
-table gives no rows. All draws are seeded, so reruns agree.
+table gives no rows. All draws are seeded, so reruns agree. The driver holds a row per source, and refuses more
+than MAX_SOURCES.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,13 @@ BLOCK = 32
 SHARD = 8192
 #: Sources that the driver plans for at most: a row each.
 MAX_SOURCES = 1_000_000
-#: Documents whose offsets one task adds up.
+#: Documents whose offsets one task adds up, and buckets of them in a group.
 BUCKET_DOCS = 2048
+GROUP_BUCKETS = 4096
+#: From so many slots on numpy draws no hypergeometric counts; `hypergeometric` then draws the same distribution.
+NUMPY_SLOTS = 1_000_000_000
+#: MB of the input's files whose share of the mix one task writes.
+SHARD_MB = 64
 SEED = 20
 
 
@@ -58,16 +67,65 @@ def _rng(*key) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256(repr(key).encode()).digest()[:8], "big"))
 
 
+def _stirling(n: float) -> float:
+    """log(n!) less Stirling's formula for it."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x * log(x / mean) + mean - x, without cancellation where both are close."""
+    if abs(x - mean) < 0.1 * (x + mean):
+        v = (x - mean) / (x + mean)
+        total, term, k = (x - mean) * v, 2 * x * v, 1
+        while True:
+            term *= v * v
+            new = total + term / (2 * k + 1)
+            if new == total:
+                return total
+            total, k = new, k + 1
+    return x * math.log(x / mean) + mean - x if x else mean
+
+
+def binomial_log(y: int, n: int, p: float) -> float:
+    """log of the binomial probability, precise for counts of any size (saddle-point form)."""
+    if y < 0 or y > n:
+        return -math.inf
+    if y == 0 or y == n:
+        return n * (math.log1p(-p) if y == 0 else math.log(p))
+    return _stirling(n) - _stirling(y) - _stirling(n - y) - _deviance(y, n * p) - _deviance(n - y, n * (1 - p)) + 0.5 * math.log(n / (2 * math.pi * y * (n - y)))
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """Good ones among n drawn of good + bad, of any size.
+
+    Two binomial counts with one probability, given that they add up to n, are hypergeometric: the count of the smaller
+    side is proposed, and accepted as probable as the other side's rest is.
+    """
+    if good > bad:
+        return n - hypergeometric(rng, bad, good, n)
+    if n == 0 or good == 0:
+        return 0
+    if n == good + bad:
+        return good
+    p = n / (good + bad)
+    top = binomial_log(min(int((bad + 1) * p), bad), bad, p)
+    while True:
+        x = int(rng.binomial(good, p))
+        if math.log(1 - rng.random()) <= binomial_log(n - x, bad, p) - top:
+            return x
+
+
 def _draw(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
-    """How many of n slots each source gets, of `counts` in all; totals are kept exactly."""
-    if counts.sum() < 1_000_000_000:
+    """How many of n slots each source gets, of `counts` in all: multivariate hypergeometric at every size."""
+    if counts.sum() < NUMPY_SLOTS:
         return rng.multivariate_hypergeometric(counts, n, method="marginals")
     out, left, rest = np.zeros(len(counts), np.int64), n, int(counts.sum())
     for i, c in enumerate(counts.tolist()):
         rest -= c
-        drawn = rng.binomial(left, c / (c + rest)) if c + rest else 0
-        out[i] = min(max(drawn, left - rest, 0), c, left)
-        left -= out[i]
+        out[i] = hypergeometric(rng, c, rest, left)
+        left -= int(out[i])
     return out
 
 
@@ -99,10 +157,11 @@ def plan(sizes: list[int], wanted: list[float], block: int, cap: int = CAP) -> t
 
 
 def draw_slots(spark: SparkSession, blocks: list[int], slots: list[int], seed: int = SEED, shard: int = SHARD) -> DataFrame:
-    """One row per slot of the mix: shard, source number, pass over the source, block."""
+    """One row per slot of the mix: shard, slot in it, source number, pass over the source, block."""
     total = sum(slots)
     shards = -(-total // shard)
-    schema = pa.schema([("shard", pa.int64()), ("source_no", pa.int32()), ("pass", pa.int32()), ("block", pa.int64())])
+    schema = pa.schema([("shard", pa.int64()), ("slot", pa.int32()), ("source_no", pa.int32()), ("pass", pa.int32()), ("block", pa.int64())])
+    key = lambda *of: int.from_bytes(hashlib.sha256("/".join(map(str, (seed, *of))).encode()).digest()[:6], "big")
 
     def of_shard(s: int, drawn: dict) -> tuple[np.ndarray, np.ndarray]:
         """(slots, first slot) of each source in a shard: the halves of a range of shards are drawn from the range's own counts."""
@@ -125,15 +184,19 @@ def draw_slots(spark: SparkSession, blocks: list[int], slots: list[int], seed: i
                 if len(drawn) > 4096:
                     drawn.clear()
                 counts, first = of_shard(s, drawn)
+                size = int(counts.sum())
+                place, at = permuted(np.arange(size), size, key("shard", s)), 0
                 for no in np.flatnonzero(counts).tolist():
                     k = first[no] + np.arange(counts[no])
                     turn, index = k // blocks[no], k % blocks[no]
                     for p in np.unique(turn).tolist():
-                        at = permuted(index[turn == p], blocks[no], int.from_bytes(hashlib.sha256(f"{seed}/{no}/{p}".encode()).digest()[:6], "big"))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x, t)) for x, t in ((s, np.int64), (no, np.int32), (p, np.int32))] + [pa.array(at)], schema=schema)
+                        to = permuted(index[turn == p], blocks[no], key(no, p))
+                        n = len(to)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s, np.int64)), pa.array(place[at : at + n].astype(np.int32)), *[pa.array(np.full(n, x, np.int32)) for x in (no, p)], pa.array(to)], schema=schema)
+                        at += n
 
     tasks = max(1, min(shards, max(spark.sparkContext.defaultParallelism, shards // 64)))
-    return spark.range(0, shards, 1, tasks).mapInArrow(draw, "shard long, source_no int, pass int, block long")
+    return spark.range(0, shards, 1, tasks).mapInArrow(draw, "shard long, slot int, source_no int, pass int, block long")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, share: float = SHARE, cap: int = CAP, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -153,8 +216,12 @@ def mix(docs: DataFrame, block: int = BLOCK, share: float = SHARE, cap: int = CA
     blocks, slots = plan(sizes, wanted, block, cap)
     schema = T.StructType.fromDDL("source_no int, name string, source_size long, target double, blocks long")
     figures = spark.createDataFrame([(i, r.source, sizes[i], wanted[i], blocks[i]) for i, r in enumerate(found)], schema)
-    before = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce("before", F.lit(0)).alias("before"))
+    # Words before a bucket: those of the groups of buckets before, and of the buckets before in its group. No window holds a whole source.
+    grouped = sums.withColumn("g", F.floor(F.col("bucket") / GROUP_BUCKETS).cast("long"))
+    upto = lambda by, of: F.coalesce(F.sum("words").over(Window.partitionBy(*by).orderBy(of).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = grouped.groupBy("source", "g").agg(F.sum("words").alias("words")).select(F.col("source").alias("gs"), F.col("g").alias("gg"), upto(["source"], "g").alias("groups"))
+    before = grouped.withColumn("inside", upto(["source", "g"], "bucket")).join(groups, F.col("source").eqNullSafe(F.col("gs")) & (F.col("g") == F.col("gg")))
+    before = before.select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.col("groups") + F.col("inside")).alias("before"))
     order = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumn("upto", F.sum("size").over(order))
     placed = placed.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
@@ -172,12 +239,24 @@ def spans(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     return d.select("doc_id", "source_no", "start", "block", first.alias("first"), upto.alias("upto"))
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, slots = mix(common.table(spark, sf_dir, "documents"))
+def shards(docs: DataFrame, block: int = BLOCK, share: float = SHARE, cap: int = CAP, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(a row per document as mix() gives it, the written mix).
+
+    The mix has a row for each document's piece of a slot, ordered by shard, slot and place: shard, slot, pass, source_no,
+    block, doc_id, start (the document's place in its source's stream), first and upto (the piece's words in the document).
+    """
+    placed, slots = mix(docs, block, share, cap, weights, seed)
     placed = common.written(placed)
-    copies = slots.groupBy("source_no", "block").agg(F.count("*").alias("copies"))
     # Spark takes the drawn slots for a small table, since it knows no size of theirs.
-    taken = spans(placed).join(copies.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("copies") * (F.col("upto") - F.col("first"))).alias("taken"))
+    joined = spans(placed, block).join(slots.hint("merge"), ["source_no", "block"])
+    parts = common.parts_for(docs, SHARD_MB)
+    out = joined.select("shard", "slot", "pass", "source_no", "block", "doc_id", "start", "first", "upto").repartition(parts, "shard")
+    return placed, common.written(out.sortWithinPartitions("shard", "slot", "start"))
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, mixed = shards(common.table(spark, sf_dir, "documents"))
+    taken = mixed.groupBy("source_no", "start").agg(F.sum(F.col("upto") - F.col("first")).alias("taken"))
     # An empty document has no words, and may share its start with the next one.
-    out = placed.join(taken, (placed.source_no == taken.source_no) & (placed.start == taken.start) & (placed["size"] > 0), "left")
+    out = placed.join(taken.hint("merge"), (placed.source_no == taken.source_no) & (placed.start == taken.start) & (placed["size"] > 0), "left")
     return out.select(placed.doc_id, placed["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))

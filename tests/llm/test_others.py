@@ -90,6 +90,44 @@ def test_shards_draw_every_slot_once(spark):
     assert rows == mixing.draw_slots(spark, blocks, slots, shard=64).collect()
 
 
+def test_large_draws_are_hypergeometric(monkeypatch):
+    """The draw beyond numpy's sizes has the same distribution, and right moments far beyond them."""
+    rng = np.random.default_rng(1)
+    for good, bad, n in [(5, 9, 6), (40, 3, 20), (7, 7, 13), (1, 30, 4), (0, 4, 2), (300, 500, 350)]:
+        got = np.bincount([mixing.hypergeometric(rng, good, bad, n) for _ in range(20_000)], minlength=n + 1)
+        want = [math.comb(good, x) * math.comb(bad, n - x) / math.comb(good + bad, n) for x in range(n + 1)]
+        assert got.sum() == 20_000 and max(abs(g / 20_000 - w) for g, w in zip(got, want, strict=True)) < 0.015
+    good, bad, n = 3 * 10**12, 7 * 10**12, 10**12
+    x = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(400)], float)
+    sd = math.sqrt(n * 0.3 * 0.7 * (1 - n / (good + bad)))
+    assert abs(x.mean() - 0.3 * n) < 5 * sd / 20 and 0.85 < x.std() / sd < 1.15
+    assert mixing.binomial_log(3, 10, 0.25) == pytest.approx(math.log(math.comb(10, 3) * 0.25**3 * 0.75**7))
+    monkeypatch.setattr(mixing, "NUMPY_SLOTS", 0)
+    drawn = mixing._draw(rng, np.array([10, 0, 500, 7]), 100)
+    assert drawn.sum() == 100 and (drawn <= [10, 0, 500, 7]).all()
+
+
+def test_written_shards_meet_targets_and_follow_the_seed(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(["w"] * r.randint(0, 300)), r.choice("aaaabbc") if i % 50 else None) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    placed, mixed = mixing.shards(docs)
+    source = {d: s for d, _, s in rows}
+    taken, held = Counter(), Counter()
+    contents = mixed.collect()
+    for x in contents:
+        taken[source[x.doc_id]] += x.upto - x.first
+        held[x.shard, x.slot] += x.upto - x.first
+    assert max(held.values()) <= mixing.BLOCK and all(x.slot < mixing.SHARD for x in contents)
+    for x in placed.select("source", "target").distinct().collect():
+        assert abs(taken[x.source] - x.target) <= 2 * mixing.BLOCK
+    where = lambda rows: {(x.shard, x.slot, x.source_no, x.block) for x in rows}
+    again, other = mixing.shards(docs)[1].collect(), mixing.shards(docs, seed=21)[1].collect()
+    assert where(again) == where(contents) and len(where(other) & where(contents)) < len(contents) / 5
+    share = lambda rows: Counter(x.source_no for x in rows if x.shard == 0)
+    assert share(other) != share(contents)  # the counts of a shard are drawn
+
+
 def test_mix(spark, odd, none, tmp_path):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     rows = mixing.query(spark, str(tmp_path)).collect()
