@@ -41,7 +41,7 @@ GROUP_BUCKETS = 4096
 #: From so many slots on numpy draws no hypergeometric counts; `hypergeometric` then draws the same distribution.
 NUMPY_SLOTS = 1_000_000_000
 #: MB of the input's files whose share of the mix one task writes.
-SHARD_MB = 64
+SHARD_MB = 16
 SEED = 20
 
 
