@@ -4,6 +4,10 @@ Bounded-space online best fit: a fixed number of open bins, found through a bits
 A piece goes to the open bin with the least free space that still takes it. Where none does and all
 bins are open, the fullest closes first. Only documents of over `capacity` tokens are cut.
 
+Pieces come in an order by hash, so that every stretch of them has long and short ones, and pass a buffer of AHEAD
+pieces that lets the long ones of a stretch go first. (Long ones of the whole input first would fill and close the open bins
+before short pieces come.) Memory is bounded by the buffer and the open bins.
+
 Null texts are empty and get the end id alone; repeated rows are pieces of their own; ties between bins
 go to the one that reached its free space last. An empty table gives no rows. Extra columns are ignored.
 """
@@ -12,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +27,8 @@ from .tokenize import default_path, ids_of
 CAPACITY = 4096
 #: Open bins of one packer: memory is bounded by this, whatever the number of pieces.
 OPEN_BINS = 4096
+#: Pieces of the buffer before the bins; more would let the long ones alone fill the open bins.
+AHEAD = 4 * OPEN_BINS
 #: Pieces that one packer sees. Each leaves a few bins part full, so there are few packers.
 PIECES_PER_PACKER = 200_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -91,21 +98,38 @@ def pieces(docs: DataFrame, vocabulary: str, kind: str, end_id: int, capacity: i
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECE)
 
 
-def pack(found: DataFrame, packers: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """Pieces with sequence_id and offset. Each packer takes a hash share of the pieces, long ones first.
+def pack(found: DataFrame, packers: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, ahead: int | None = None) -> DataFrame:
+    """Pieces with sequence_id and offset. Each packer takes a hash share of the pieces.
 
     The order is total, so that a task that runs again packs alike; only rows equal in all columns may swap.
+    `ahead` is 4 pieces an open bin unless given.
     """
+    ahead = ahead or AHEAD * open_bins // OPEN_BINS
 
     def run(batches):
         from pyspark import TaskContext
 
-        bins, first = Bins(capacity, open_bins), TaskContext.get().partitionId() << 40
-        for rb in batches:
-            placed = [bins.place(n) for n in rb.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], schema=PACKED)
+        bins, first, held, n = Bins(capacity, open_bins), TaskContext.get().partitionId() << 40, [], 0
 
-    dealt = found.repartition(packers, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+        def placed():
+            rows = pa.Table.from_batches(held).combine_chunks().select(PIECES.names)
+            rows = rows.take(np.argsort(-rows["length"].to_numpy(), kind="stable"))
+            put = [bins.place(x) for x in rows["length"].to_pylist()]
+            columns = [*[c.combine_chunks() for c in rows.columns], pa.array([first + b for b, _ in put], pa.int64()), pa.array([o for _, o in put], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, schema=PACKED)
+
+        for rb in batches:
+            while rb.num_rows:
+                held.append(rb.slice(0, ahead - n))
+                n, rb = n + held[-1].num_rows, rb.slice(ahead - n)
+                if n == ahead:
+                    yield placed()
+                    held, n = [], 0
+        if held:
+            yield placed()
+
+    mixed = found.withColumn("mixed", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    dealt = mixed.repartition(packers, "mixed").sortWithinPartitions("mixed", "doc_id", "piece", "ids_crc32", "length").drop("mixed")
     return dealt.mapInArrow(run, f"{PIECE}, sequence_id long, offset long")
 
 

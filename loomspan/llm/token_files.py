@@ -1,7 +1,10 @@
 """Token-id output: documents in ascending id order as Simple-8b files, read back with global offsets.
 
+A file is what one range of ids gives; the manifest is a table with a row per file, and readers get whole files, dealt
+evenly by their number. Neither files nor rows of the manifest come to the driver.
+
 Null texts are empty and get the end id alone. Rows with a null doc_id stand first; rows with equal doc_id
-keep one order within their file and share no ids. Very long texts are framed by their own. An empty table
+stand in one file, keep one order there and share no ids. Very long texts are framed by their own. An empty table
 writes no file and returns no row. Extra columns are ignored.
 """
 
@@ -13,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common, simple8b
 from .tokenize import default_path, ids_of
@@ -20,13 +24,15 @@ from .tokenize import default_path, ids_of
 #: Ids in a frame: what a reader holds at once.
 FRAME_IDS = 1 << 20
 #: MB of the input's files in one token file.
-FILE_MB = 16
+FILE_MB = 64
+#: Tasks that read at most: beyond so many files each task reads several.
+READ_TASKS = 20_000
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 ROWS = pa.schema([("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32())])
 
 
-def write_files(docs: DataFrame, where: str, vocabulary: str, kind: str, end_id: int, file_mb: float = FILE_MB) -> list:
-    """Writes one file per range of ids and returns the manifest: a row per file, in id order."""
+def write_files(docs: DataFrame, where: str, vocabulary: str, kind: str, end_id: int, file_mb: float = FILE_MB) -> DataFrame:
+    """Writes one file per range of ids and returns the manifest: a row per file, numbered in id order."""
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def write(batches):
@@ -65,19 +71,20 @@ def write_files(docs: DataFrame, where: str, vocabulary: str, kind: str, end_id:
 
     parts = common.parts_for(docs, file_mb)
     ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    # One small row per file: the manifest grows with the number of files, not with the documents.
-    return sorted(ranged.mapInArrow(write, MANIFEST).collect())
+    return common.written(ranged.mapInArrow(write, MANIFEST))
+
+
+def planned(manifest: DataFrame) -> DataFrame:
+    """number, path and base (ids in the files before) of each file, in partitions of whole files."""
+    # A window over the manifest alone: a row per file.
+    order = Window.orderBy("part")
+    placed = manifest.select((F.row_number().over(order) - 1).alias("number"), "path", (F.sum("n_ids").over(order) - F.col("n_ids")).alias("base"))
+    tasks = max(1, min(manifest.count(), READ_TASKS))
+    return placed.repartitionById(tasks, F.pmod(F.col("number"), F.lit(tasks)).cast("int"))
 
 
-def read_files(spark: SparkSession, where: str, manifest: list) -> DataFrame:
+def read_files(spark: SparkSession, where: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the files."""
-    if not manifest:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    base, rows = 0, []
-    for r in manifest:
-        rows.append((r.part, r.path, base))
-        base += r.n_ids
-    names = spark.createDataFrame(rows, "part int, path string, base long").repartition(len(rows), "part")
 
     def read(batches):
         for rb in batches:
@@ -91,7 +98,7 @@ def read_files(spark: SparkSession, where: str, manifest: list) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(keys, mask=nulls), pa.array(at + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                         at += int(ends[-1])
 
-    return names.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return planned(manifest).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
