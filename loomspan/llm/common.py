@@ -11,6 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space that separates words: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,6 +53,21 @@ def written(df: DataFrame, where: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], least: int = 1000) -> DataFrame:
+    """left with the columns of right (a row per key), by a merge join; keys without a row in right give nulls.
+
+    A key that holds a thousandth of left's rows (and `least` at least) is joined by broadcast instead, so that no task
+    gets all its rows: there are 1,000 such keys at most.
+    """
+    least = max(least, left.count() // 1000)
+    heavy = written(left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*keys, F.lit(True).alias("_hot")))
+    if heavy.isEmpty():
+        return left.join(right.hint("merge"), keys, "left")
+    marked = left.join(F.broadcast(heavy), keys, "left")
+    hot = marked.where("_hot").join(F.broadcast(right.join(F.broadcast(heavy), keys, "left_semi")), keys, "left")
+    return hot.unionByName(marked.where("_hot is null").join(right.hint("merge"), keys, "left")).drop("_hot")
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that a plan reads (file sizes at its leaves)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -2,7 +2,9 @@
 
 1. Texts with equal shingle sets are one set. Sets whose sizes allow a link are partitioned by segments of
    the hash space: at the threshold two sets differ in at most D tokens, so of D + 1 + z segments at least z + 1
-   agree. Each set sends the hash of each of its segments; sets that share one are candidates. Shingles that are
+   agree. Each set sends the hash of each of its segments; sets that share one are candidates. Within a task sets
+   of one segment are tied to one of them, which alone is sent, so a segment that very many sets share costs a row a
+   task. Shingles that are
    frequent in a sample are left out of the segments of all sets. That loses no pair, whatever is left out, since
    sets without them differ in no more tokens; it keeps common lines from making candidates.
 2. Candidates that hang together are a cluster of similar sets; clusters over TOKENS tokens are dealt to chunks.
@@ -11,10 +13,12 @@
    threshold are opened. A group is left at its first link, since its members are linked already.
 4. Where a cluster has several chunks, sets outside its main component query all other chunks.
 
-Copies are never expanded into pairs, and a group's members are not paired with each other: a large group costs
+So segments find which sets may be similar, and the matrix decides, group by group, which are. Copies are never expanded into
+pairs, and a group's members are not paired with each other: a large group costs
 its size. No partner is capped. Null and blank texts have no shingles and link with nothing; a text of fewer
-words than a shingle is one shingle; repeated rows have one component. Rows with a null doc_id get the
-component's smallest known id. An empty table gives no rows; extra columns are ignored.
+words than a shingle is one shingle; repeated rows have one component. Rows are told apart by their sets, never by
+doc_id: rows with one doc_id and different texts link each by its own text. Rows with a null doc_id link others and get the
+component's smallest known id (null where it has none). An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 from .shingles import mixed, set_key, shingle_sets
@@ -40,7 +43,8 @@ BATCH_BYTES = 1 << 20
 SAMPLE_DOCS, FREQUENT = 10_000, 65_536
 #: A shingle is frequent from so many of the sampled documents on.
 FREQUENT_DOCS = 4
-SIGNED = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary())])
+SIGNED = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("pairs", pa.binary())])
+SIGNS, EDGES = 0, 1
 
 
 def classes(percent: int, upto: int) -> list[tuple[int, int, int]]:
@@ -115,15 +119,15 @@ def _sets(rb: pa.RecordBatch, column: int, k: int):
 
 
 def sizes_and_keys(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and the 128-bit key of each row's set."""
+    """doc_id, a hash of the text, n_shingles and the 128-bit key of each row's set."""
 
     def run(batches):
         for rb in batches:
-            rows = [(len(s), *set_key(s)) for _, s in _sets(rb, 1, k)]
-            yield pa.RecordBatch.from_arrays([rb.column(0), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]], ["doc_id", "n_shingles", "k1", "k2"])
+            rows = [(len(s), *set_key(s)) for _, s in _sets(rb, 2, k)]
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]], ["doc_id", "th", "n_shingles", "k1", "k2"])
         common.release()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, th long, n_shingles long, k1 long, k2 long")
 
 
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
@@ -151,16 +155,20 @@ def candidate_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def sign(batches):
         signer, seen, held, size = Signer(percent, frequent.value), set(), [], 0
 
+        def dealt(rows, bucket, kind):
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            which, first = np.unique(bucket, return_index=True)
+            ends = [*first[1:].tolist(), len(rows)]
+            return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(np.full(len(which), kind, np.int8)), pa.array([rows[i:j].tobytes() for i, j in zip(first.tolist(), ends, strict=True)], pa.binary())], schema=SIGNED)
+
         def packed():
             nonlocal held, size
-            pairs = np.concatenate(held)
+            firsts, edges = tied(np.concatenate(held))
             held, size = [], 0
-            bucket = pairs[:, 0] % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            pairs, bucket = pairs[order], bucket[order]
-            which, first = np.unique(bucket, return_index=True)
-            ends = [*first[1:].tolist(), len(pairs)]
-            return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array([pairs[i:j].tobytes() for i, j in zip(first.tolist(), ends, strict=True)], pa.binary())], schema=SIGNED)
+            if len(edges):
+                yield dealt(edges, mixed(edges[:, 0]) % np.uint64(buckets), EDGES)
+            yield dealt(firsts, firsts[:, 0] % np.uint64(buckets), SIGNS)
 
         for rb in batches:
             for _, s in _sets(rb, 0, k):
@@ -175,39 +183,57 @@ def candidate_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 held.append(np.stack([sigs, np.full(len(sigs), key[0] & 0xFFFFFFFFFFFFFFFF, np.uint64)], axis=1))
                 size += len(sigs)
                 if size >= 1 << 20:
-                    yield packed()
+                    yield from packed()
         if held:
-            yield packed()
+            yield from packed()
         seen.clear()
         common.release()
 
     def join(batches):
-        pairs = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2) for rb in batches for x in rb.column(1)]
-        if not pairs:
-            return
-        pairs = np.concatenate(pairs)
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        sig, key = pairs[order, 0], pairs[order, 1]
-        start = np.append(True, sig[1:] != sig[:-1])
-        first = np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))
-        a, b = key, key[first]  # of each segment the smallest key stands for all
-        edges = np.unique(np.stack([a[a != b], b[a != b]], axis=1), axis=0)
-        if len(edges):
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, i].view(np.int64)) for i in (0, 1)], ["a", "b"])
+        rows: tuple[list, list] = ([], [])
+        for rb in batches:
+            for kind, x in zip(rb.column(1).to_pylist(), rb.column(2), strict=True):
+                rows[kind].append(np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2))
+        edges = rows[EDGES]
+        if rows[SIGNS]:
+            edges.append(tied(np.concatenate(rows[SIGNS]))[1])
+        if edges:
+            edges = np.unique(np.concatenate(edges), axis=0)
+            for at in range(0, len(edges), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(edges[at : at + (1 << 18), i].copy().view(np.int64)) for i in (0, 1)], ["a", "b"])
         common.release()
 
-    signed = docs.select(F.col("text").cast("string")).mapInArrow(sign, "bucket int, pairs binary")
+    signed = docs.select(F.col("text").cast("string")).mapInArrow(sign, "bucket int, kind byte, pairs binary")
     return signed.repartition(parts, "bucket").mapInArrow(join, "a long, b long").distinct()
 
 
+def tied(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, smallest key) of each signature, and an edge from its other keys to that one."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    sig, key = pairs[order, 0], pairs[order, 1]
+    start = np.append(True, sig[1:] != sig[:-1])
+    first = np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))
+    other = key != key[first]
+    return np.stack([sig[start], key[start]], axis=1), np.unique(np.stack([key[other], key[first[other]]], axis=1), axis=0)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each connected component. Labels spread along edges and jump to their label's label."""
-    spark = edges.sparkSession
+    """(node, root): the smallest node of each connected component. Labels spread along edges and jump to their label's label.
+
+    Each round at least halves the longest way of labels, so rounds grow with the logarithm of the nodes.
+    """
     edges = common.written(edges.select("a", "b").where("a <> b").distinct())
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = common.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    # Nodes with a thousandth of the edges, and so 1,000 at most, are joined by broadcast: all others tie to one of a large group.
+    heavy = common.written(both.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") >= max(1000, edges.count() // 500)).select("b"))
+    some = not heavy.isEmpty()
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
+        of = labels.select(F.col("node").alias("b"), "root")
+        near = (both.join(F.broadcast(heavy), "b", "left_anti") if some else both).join(of.hint("merge"), "b")
+        if some:
+            near = near.unionByName(both.join(F.broadcast(of.join(F.broadcast(heavy), "b", "left_semi")), "b"))
+        near = near.groupBy("a").agg(F.min("root").alias("m"))
         low = labels.join(near, labels.node == near.a).select("node", F.least("root", "m").alias("root"), F.col("root").alias("was"))
         low = common.written(low)
         up = low.select(F.col("node").alias("n"), F.col("root").alias("r"))
@@ -337,103 +363,125 @@ def _tokens(text: str, k: int) -> np.ndarray:
 
 
 def link_chunks(texts: DataFrame, parts: int, k: int, percent: int) -> DataFrame:
-    """texts (cluster, chunk, k1, k2, rep, text) -> (rep, root): components inside each chunk."""
+    """texts (cluster, chunk, k1, k2, text) -> (node, root) by k1: components inside each chunk."""
 
     def run(batches):
         for _, rows in _grouped(batches, 2):
             found = {}
             while rows:
-                k1, k2, rep, text = rows.pop()
-                tokens = _tokens(text or "", k)
-                if set_key(tokens) == (k1, k2):  # else another row with the same doc_id
-                    found[rep] = tokens
-            reps = sorted(found)
-            sizes = [len(found[r]) for r in reps]
-            sets, n_tokens = shared([found[r] for r in reps])
+                k1, k2, text = rows.pop()
+                if (k1, k2) not in found:
+                    found[k1, k2] = _tokens(text or "", k)
+            keys = sorted(found)
+            sizes = [len(found[x]) for x in keys]
+            sets, n_tokens = shared([found[x] for x in keys])
             del found
             groups = Groups(percent, n_tokens)
             for tokens, size in zip(sets, sizes, strict=True):
                 groups.add(tokens, size)
-            roots = [reps[groups.root(i)] for i in range(len(reps))]
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(roots, pa.int64())], ["rep", "root"])
+            nodes, roots = [x[0] for x in keys], [keys[groups.root(i)][0] for i in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["node", "root"])
             large = n_tokens > 50_000
-            del groups, sets, reps, roots, sizes  # before the next chunk is gathered
+            del groups, sets, keys, nodes, roots, sizes  # before the next chunk is gathered
             if large:
                 common.release()
         common.release()
 
-    dealt = texts.select("cluster", "chunk", "k1", "k2", "rep", "text").repartition(parts, "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "rep")
-    return dealt.mapInArrow(run, "rep long, root long")
+    dealt = texts.select("cluster", "chunk", "k1", "k2", "text").repartition(parts, "cluster", "chunk").sortWithinPartitions("cluster", "chunk")
+    return dealt.mapInArrow(run, "node long, root long")
 
 
 def link_across(base: DataFrame, queries: DataFrame, parts: int, k: int, percent: int) -> DataFrame:
-    """Links between sets of different chunks of a cluster: queries (cluster, chunk, rep, text) against the chunk's own sets."""
+    """Links (a, b) between sets of different chunks of a cluster: queries (cluster, chunk, k1, text) against the chunk's own sets."""
 
     def run(batches):
         for _, rows in _grouped(batches, 2):
-            reps, out = [], []
+            nodes, out = [], []
             sets = [_tokens(text or "", k) for _, _, text in rows]
-            rows = [(asks, rep, len(s)) for (asks, rep, _), s in zip(rows, sets, strict=True)]
+            rows = [(asks, node, len(s)) for (asks, node, _), s in zip(rows, sets, strict=True)]
             sets, n_tokens = shared(sets)
             groups = Groups(percent, n_tokens)
-            for (asks, rep, size), tokens in zip(rows, sets, strict=True):  # the chunk's own sets come first
+            for (asks, node, size), tokens in zip(rows, sets, strict=True):  # the chunk's own sets come first
                 if not asks:
                     groups.add(tokens, size)
-                    reps.append(rep)
+                    nodes.append(node)
                 else:
-                    out += [(rep, reps[m]) for _, m in groups.query(tokens, size)]
+                    out += [(node, nodes[m]) for _, m in groups.query(tokens, size)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
             del groups, sets, rows
             common.release()
 
-    rows = base.select("cluster", "chunk", F.lit(False).alias("asks"), "rep", "text").union(queries.select("cluster", "chunk", F.lit(True).alias("asks"), "rep", "text"))
-    return rows.repartition(parts, "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "asks", "rep").mapInArrow(run, "a long, b long")
+    rows = base.select("cluster", "chunk", F.lit(False).alias("asks"), "k1", "text").union(queries.select("cluster", "chunk", F.lit(True).alias("asks"), "k1", "text"))
+    return rows.repartition(parts, "cluster", "chunk").sortWithinPartitions("cluster", "chunk", "asks", "k1").mapInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame, k: int, percent: int, tokens: int = TOKENS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def linked_sets(docs: DataFrame, k: int, percent: int, tokens: int = TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with their set's key, distinct sets, (node, root) of the sets that were compared)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = common.parts_for(docs, 4 * SIGNATURE_MB)
     rows = common.written(sizes_and_keys(docs, k))
-    sets = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    # A set's text is read from one of its rows, told by doc_id and text.
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    sets = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.max("n_shingles").alias("n"), row.alias("row"))
+    sets = sets.select("k1", "k2", "n", F.col("row.doc_id").alias("d"), F.col("row.th").alias("h"))
     nodes = components(candidate_edges(docs, k, percent)).select(F.col("node").alias("k1"), F.col("root").alias("cluster"))
-    live = common.written(sets.where("rep is not null").join(nodes, "k1").select("cluster", "k1", "k2", "rep", "n"))
+    live = common.written(sets.join(nodes, "k1").select("cluster", "k1", "k2", "d", "h", "n"))
     totals = live.groupBy("cluster").agg(F.sum("n").alias("all"))
-    live = live.join(totals, "cluster").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("all") / tokens)))
+    live = live.join(totals, "cluster").withColumn("chunk", F.pmod(F.xxhash64("k1"), F.ceil(F.col("all") / tokens)))
     live = common.written(live.withColumn("several", F.col("all") > tokens).drop("all", "n"))
     # A merge join at every size: what is live grows with the input, so it is never broadcast.
-    text = docs.select(F.col("doc_id").alias("d"), "text").hint("merge")
-    texts = common.written(live.join(text, F.col("rep") == F.col("d")).select("cluster", "chunk", "k1", "k2", "rep", "text", "several"))
+    text = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").hint("merge")
+    texts = live.join(text, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")))
+    texts = common.written(texts.select("cluster", "chunk", "k1", "k2", "text", "several"))
     found = common.written(link_chunks(texts, parts, k, percent))
     if not live.where("several").isEmpty():
-        found = _across(live, texts.where("several").select(F.col("rep").alias("d"), "text"), found, parts, k, percent)
-    sets = sets.join(found.select(F.col("rep").alias("r"), "root"), F.col("rep") == F.col("r"), "left").select("k1", "k2", F.coalesce("root", "rep").alias("component"))
-    out = rows.join(sets, ["k1", "k2"], "left")
+        found = common.written(_across(live, texts.where("several"), found, parts, k, percent))
+    return rows, sets, found
+
+
+def link(docs: DataFrame, k: int, percent: int, tokens: int = TOKENS) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rows, sets, found = linked_sets(docs, k, percent, tokens)
+    linked = common.written(sets.join(found.select(F.col("node").alias("k1"), "root").hint("merge"), "k1"))
+    least = linked.groupBy("root").agg(F.min("d").alias("component"))
+    alone = sets.join(found.select(F.col("node").alias("k1")).hint("merge"), "k1", "left_anti").select("k1", "k2", F.col("d").alias("component"))
+    every = common.hot_join(linked, least, ["root"]).select("k1", "k2", "component").unionByName(alone)
+    out = common.hot_join(rows.select("doc_id", "n_shingles", "k1", "k2"), every, ["k1", "k2"])
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _across(live: DataFrame, text: DataFrame, found: DataFrame, parts: int, k: int, percent: int) -> DataFrame:
-    """Components over all chunks of clusters that have several."""
-    several = common.written(live.where("several").join(found, "rep"))
+def representatives(docs: DataFrame, k: int, percent: int, tokens: int = TOKENS) -> DataFrame:
+    """(doc_id, th) of one document of each component: that with the smallest doc_id, unknown ids last, then hash of the text; and of all without shingles."""
+    rows, sets, found = linked_sets(docs, k, percent, tokens)
+    of = found.select(F.col("node").alias("k1"), "root").hint("merge")
+    best = F.min(F.struct(F.col("d").isNull().alias("none"), "d", "h")).alias("row")
+    first = sets.join(of, "k1").groupBy("root").agg(best).select(F.col("row.d").alias("doc_id"), F.col("row.h").alias("th"))
+    alone = sets.join(of, "k1", "left_anti").select(F.col("d").alias("doc_id"), F.col("h").alias("th"))
+    return first.union(alone).union(rows.where("n_shingles = 0").select("doc_id", "th").distinct())
+
+
+def _across(live: DataFrame, texts: DataFrame, found: DataFrame, parts: int, k: int, percent: int) -> DataFrame:
+    """(node, root) over all chunks of clusters that have several; texts has the texts of their sets."""
+    text = texts.select(F.col("k1").alias("node"), "text").dropDuplicates(["node"])
+    several = common.written(live.where("several").select("cluster", "chunk", F.col("k1").alias("node"), "k2").join(found, "node"))
     # The chunks' largest components are compared through one set each, so that the main ones merge first.
     size = several.groupBy("cluster", "chunk", "root").agg(F.count("*").alias("n"))
-    largest = size.withColumn("r", F.row_number().over(Window.partitionBy("cluster", "chunk").orderBy(F.desc("n"), "root"))).where("r = 1").select("cluster", F.col("root").alias("rep"))
-    heads = several.join(largest, ["cluster", "rep"]).join(text, F.col("rep") == F.col("d"))
-    first = link_chunks(heads.withColumn("chunk", F.lit(0).cast("long")), parts, k, percent).select(F.col("rep").alias("a"), F.col("root").alias("b")).where("a <> b")
-    inside = several.select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    largest = size.groupBy("cluster", "chunk").agg(F.max(F.struct("n", "root"))["root"].alias("node")).drop("chunk")
+    heads = several.join(largest, ["cluster", "node"]).join(text, "node").withColumn("k1", F.col("node"))
+    first = link_chunks(heads.withColumn("chunk", F.lit(0).cast("long")), parts, k, percent).select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
+    inside = several.select(F.col("node").alias("a"), F.col("root").alias("b"))
     so_far = components(inside.union(first)).withColumnRenamed("root", "now")
-    known = several.join(so_far, several.rep == so_far.node, "left").withColumn("now", F.coalesce("now", "rep")).drop("node")
-    known = common.written(known)
+    known = common.written(several.join(so_far, "node", "left").withColumn("now", F.coalesce("now", "node")))
     count = known.groupBy("cluster", "now").agg(F.count("*").alias("n"))
-    main = count.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "now"))).where("r = 1").select("cluster", F.col("now").alias("main"))
-    base = known.join(text, F.col("rep") == F.col("d"))
+    main = count.groupBy("cluster").agg(F.max(F.struct("n", "now"))["now"].alias("main"))
+    base = known.join(text, "node").withColumn("k1", F.col("node"))
     chunks = known.select("cluster", F.col("chunk").alias("to")).distinct()
-    outside = known.join(main, "cluster").where("now <> main").join(text, F.col("rep") == F.col("d"))
-    queries = outside.join(chunks, "cluster").where("to <> chunk").select("cluster", F.col("to").alias("chunk"), "rep", "text")
+    outside = known.join(main, "cluster").where("now <> main").join(text, "node")
+    queries = outside.join(chunks, "cluster").where("to <> chunk").select("cluster", F.col("to").alias("chunk"), F.col("node").alias("k1"), "text")
     more = link_across(base, queries, parts, k, percent)
-    every = components(inside.union(first).union(more)).select(F.col("node").alias("n"), F.col("root").alias("over"))
-    return found.join(every, found.rep == every.n, "left").select("rep", F.coalesce("over", "root").alias("root"))
+    every = components(inside.union(first).union(more)).select("node", F.col("root").alias("over"))
+    return found.join(every, "node", "left").select("node", F.coalesce("over", "root").alias("root"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loomspan.llm import jaccard, suffix_dedup
+from loomspan.llm import common, jaccard, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -113,6 +113,26 @@ def test_components_odd(odd, none):
     assert jaccard.link(none, 4, 85).count() == 0
 
 
+@pytest.mark.parametrize("tokens", [3_000_000, 300])
+def test_different_texts_of_one_id_and_null_ids_keep_their_links(spark, tokens):
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    near = lambda *at: " ".join("x" + w if i in at else w for i, w in enumerate(base))
+    rows = [(1, near()), (1, near(10, 40, 70)), (2, near(0)), (None, near(119)), (5, near(118, 0)), (None, "only null " * 9), (None, "only null " * 9), (None, near(3) + " y")]
+    rows += [(7, " ".join(f"v{r.randint(0, 99)}" for _ in range(50))) for _ in range(30)]
+    rows += [(8, "the same text again and again")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(str(tuple(x)) for x in jaccard.link(df, 4, 85, tokens).collect()) == linked(rows, 4, 85)
+
+
+def test_hot_keys_join_like_others(spark):
+    left = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id) as k")
+    right = spark.createDataFrame([(7, "a"), (8, "b")], "k long, v string")
+    want = sorted((r.id, 7 if r.id % 3 == 0 else r.id, {7: "a", 8: "b"}.get(7 if r.id % 3 == 0 else r.id)) for r in left.collect())
+    for least in (10, 100_000):
+        assert sorted((r.id, r.k, r.v) for r in common.hot_join(left, right, ["k"], least).collect()) == want
+
+
 def test_linked_sizes_are_in_neighbouring_classes():
     known = jaccard.classes(85, 4000)
     of = lambda n: max(i for i, c in enumerate(known) if c[0] <= n)
