@@ -9,8 +9,10 @@ Strings that follow one another and share their sampled place are one context, a
 2. Under each gram, equal contexts are collapsed into one weighted string: all its strings repeat. Grams with
    one light context are dropped.
 3. For the grams with several contexts their bytes are fetched and indexed: the aligned Burrows-Wheeler transform
-   (positional, since all contexts are aligned at their gram). Suffixes that start at the gram are sorted. Breadth-first
-   backward extension then prepends one byte a level to all intervals at once: each interval splits by its
+   (positional, since all contexts are aligned at their gram). Intervals of suffixes that start at the gram are expanded
+   breadth first, a byte a level: where an interval splits, the common prefix is the level, so common prefixes are found by
+   increasing value, from the gram's own bytes on. Breadth-first backward extension then prepends one byte a level to
+   all intervals at once: each interval splits by its
    preceding byte (the transform's column), keeps its order, and common prefixes grow by one inside it.
    Intervals of one suffix are dropped at once, and the extension stops at the threshold: a string repeats where a
    neighbour's common prefix reaches `length`.
@@ -181,19 +183,39 @@ def _meet(bucketed: DataFrame, parts: int, hot: int) -> DataFrame:
     return bucketed.repartition(parts, "bucket").mapInArrow(run, FOUND_DDL)
 
 
-def repeats_at(h: np.ndarray, right: np.ndarray, held: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, gram: int):
-    """(row, offset) of every string that another row has too, by breadth-first backward extension.
+def expanded(h: np.ndarray, right: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows in suffix order, common prefix of each with the row before it; one entry more ends the last interval).
 
-    Row: a context aligned at its gram h; `right` the bytes after the gram (`held` of them, then 255, which UTF-8
-    lacks), `left` the bytes before it, nearest first; its strings start low..high bytes before the gram.
+    Level by level: each interval of two rows or more splits by its next byte, and rows that the level parts have the level as
+    their common prefix. A row that ends leaves its interval at its end.
     """
     n = len(h)
-    key = np.concatenate([np.ascontiguousarray(h.astype(">u8")).view(np.uint8).reshape(n, 8), right], axis=1)
-    order = np.argsort(np.ascontiguousarray(key).view(f"S{key.shape[1]}").ravel(), kind="stable")
-    equal = right[order[1:]] == right[order[:-1]]
-    common_bytes = np.where(equal.all(axis=1), right.shape[1], equal.argmin(axis=1)) if n > 1 else np.zeros(0, np.int64)
-    prefix = np.zeros(n + 1, np.int64)  # common prefix with the row before; one entry more ends the last interval
-    prefix[1:n] = np.where(h[order[1:]] == h[order[:-1]], gram + np.minimum(common_bytes, np.minimum(held[order[1:]], held[order[:-1]])), 0)
+    order = np.argsort(h, kind="stable")
+    prefix = np.zeros(n + 1, np.int64)
+    new = np.append(True, h[order[1:]] != h[order[:-1]]) if n else np.zeros(0, bool)
+    for level in range(right.shape[1] + 1):
+        interval = np.cumsum(new)
+        live = np.flatnonzero(np.bincount(interval)[interval] > 1)  # rows in intervals of several
+        if not len(live):
+            break
+        rows, inside = order[live], interval[live]
+        symbol = np.where(held[rows] > level, right[rows, level].astype(np.int64) if level < right.shape[1] else 0, 256)
+        by = np.argsort(inside * 257 + symbol, kind="stable")
+        order[live], inside, symbol = rows[by], inside[by], symbol[by]
+        parted = np.zeros(len(live), bool)
+        parted[1:] = (inside[1:] == inside[:-1]) & ((symbol[1:] != symbol[:-1]) | (symbol[1:] == 256))
+        prefix[live[parted]] = level
+        new[live[parted]] = True
+    return order, prefix
+
+
+def repeats_at(h: np.ndarray, right: np.ndarray, held: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, gram: int):
+    """(row, offset) of every string that another row has too, by breadth-first interval expansion and backward extension.
+
+    Row: a context aligned at its gram h; `right` its bytes from the gram on (`held` of them), `left` the bytes before
+    the gram, nearest first; its strings start low..high bytes before the gram.
+    """
+    order, prefix = expanded(h, right, held)
     found_row, found_at = [], []
     for level in range(left.shape[1] + 1):
         if level:
@@ -277,12 +299,10 @@ def _compared(bodies: DataFrame, parts: int, length: int, gram: int, rows_held:
         flat = np.frombuffer(b"".join([x.as_py() for c in t["body"].chunks for x in c]), np.uint8)
         at = np.cumsum(sizes) - sizes + off  # of the gram
         low, high = off - strings + 1, off
-        held_right = length - low - gram
-        columns = np.arange(wide)
+        held_right = length - low
         padded = np.append(flat, np.full(length, 255, np.uint8))
-        right = padded[(at + gram)[:, None] + columns]
-        right[columns >= held_right[:, None]] = 255
-        left = padded[np.maximum(at[:, None] - 1 - columns, 0)]
+        right = padded[at[:, None] + np.arange(length)]
+        left = padded[np.maximum(at[:, None] - 1 - np.arange(wide), 0)]
         row, offset = repeats_at(h, right, held_right, left, low, high, length, gram)
         light = ~heavy[row]
         row, offset = row[light], offset[light]
