@@ -8,7 +8,7 @@ only the base rule rejects.
 Null and empty texts have zero words and fail the base rule. Repeated rows are judged alike, each by its own
 text. Labels: null ids and documents with contradicting labels are left out; a label that repeats counts once.
 Very long texts (over 2^21 words) take the slower exact path of `repeated_words`. Extra columns of the
-documents are carried through `with_stats`, whose own columns start with an underscore until they are final.
+documents are carried through, but those named like a column made here are replaced; helper columns start with an underscore.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+MADE = [*BASE, "n_upper", "n_bangs", "n_digits", "base_failed", "rule", "kept"]
 #: Labelled documents that the list is fitted on at most, taken by hash of their id.
 LABELLED_ROWS = 8192
 #: Candidate thresholds a feature.
@@ -40,7 +41,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with the base statistics and a few more for the learned rules."""
     mask, zero = (1 << INDEX_BITS) - 1, F.array().cast("array<long>")
     key = lambda v: F.shiftright(v, INDEX_BITS)
-    d = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    d = docs.drop(*MADE).withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit("")))
     d = d.withColumn("_w", F.regexp_extract_all("_t", F.lit(common.WORD), F.lit(0)))
     d = d.withColumn("_lines", F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(common.WORD)))
     d = d.select(
