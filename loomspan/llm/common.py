@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: White space that separates words: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,6 +69,16 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], least: int = 10
     return hot.unionByName(marked.where("_hot is null").join(right.hint("merge"), keys, "left")).drop("_hot")
 
 
+def dealt(rows: DataFrame, by: str, most: int = 20_000) -> DataFrame:
+    """rows with their `number` in order of `by`, one row a task, or several where there are more than `most`.
+
+    For small tables of work items (a row per file): Spark would gather their few bytes in one task.
+    """
+    numbered = written(rows.withColumn("number", F.row_number().over(Window.orderBy(by)) - 1))
+    tasks = max(1, min(numbered.count(), most))
+    return numbered.repartitionById(tasks, F.pmod(F.col("number"), F.lit(tasks)).cast("int"))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that a plan reads (file sizes at its leaves)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -75,12 +75,10 @@ def write_files(docs: DataFrame, where: str, vocabulary: str, kind: str, end_id:
 
 
 def planned(manifest: DataFrame) -> DataFrame:
-    """number, path and base (ids in the files before) of each file, in partitions of whole files."""
+    """part, path, base (ids in the files before) and number of each file, in partitions of whole files."""
     # A window over the manifest alone: a row per file.
-    order = Window.orderBy("part")
-    placed = manifest.select((F.row_number().over(order) - 1).alias("number"), "path", (F.sum("n_ids").over(order) - F.col("n_ids")).alias("base"))
-    tasks = max(1, min(manifest.count(), READ_TASKS))
-    return placed.repartitionById(tasks, F.pmod(F.col("number"), F.lit(tasks)).cast("int"))
+    before = F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids")
+    return common.dealt(manifest.select("part", "path", before.alias("base")), "part", READ_TASKS)
 
 
 def read_files(spark: SparkSession, where: str, manifest: DataFrame) -> DataFrame:

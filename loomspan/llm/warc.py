@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Raw bytes of a monolithic file: what one task inflates.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 128 << 20
 CHUNK = 1 << 20
-#: Records that one reading task takes from a file.
-READ_RECORDS = 4096
+#: Records that a reader takes from a file at a time, and tasks that work on files at most: beyond, a task has several.
+READ_RECORDS = 16_384
+TASKS = 20_000
 LEVEL = 1
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -44,10 +45,11 @@ def with_types(pages: DataFrame) -> DataFrame:
     """
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    keys = p.select("page_id", "digest")
-    firsts = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select(F.col("digest").alias("d"), "first")
-    again = keys.join(firsts, F.col("digest") == F.col("d")).where("page_id is null or page_id <> first")
-    again = common.written(again.select(F.col("page_id").alias("page"), "d", "first").distinct())
+    keys = common.written(p.select("page_id", "digest"))
+    firsts = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    # A page that very many others equal is a hot digest.
+    again = common.hot_join(keys, firsts, ["digest"]).where("first is not null and (page_id is null or page_id <> first)")
+    again = common.written(again.select(F.col("page_id").alias("page"), F.col("digest").alias("d"), "first").distinct())
     joined = p.join(again, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("d")), "left")
     return joined.select("page_id", "url", "html", "digest", F.col("first").alias("refers_to"))
 
@@ -168,7 +170,7 @@ def read(files: DataFrame, where: str) -> DataFrame:
     """A row per record, each read by its offset from the sidecar, its payload checked against its digest."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     slices = files.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_records") - 1, F.lit(0)), F.lit(READ_RECORDS).cast("long"))))
-    slices = slices.select("path", "first")
+    slices = slices.select("path", "first", F.format_string("%s/%012d", "path", "first").alias("place"))
 
     def key(urn: str) -> int | None:
         name = urn.removeprefix("<urn:page:").removesuffix(">")
@@ -198,14 +200,13 @@ def read(files: DataFrame, where: str) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    # Explicit counts: Spark would coalesce these tiny rows into one task.
-    return slices.repartition(max(1, slices.count())).mapInArrow(run, schema)
+    return common.dealt(slices, "place", TASKS).select("path", "first").mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = common.shared_dir(spark)
     raw = common.written(write_monolithic(with_types(common.table(spark, sf_dir, "pages")), where))
-    return read(common.written(normalise(raw.repartition(max(1, raw.count())), where)), where)
+    return read(common.written(normalise(common.dealt(raw, "path", TASKS).select("path"), where)), where)
 
 
 #: Base32 of a SHA-1: each 5 hex digits are 4 symbols of 5 bits.

@@ -63,6 +63,23 @@ def test_rules_without_bad_rows():
     assert quality.learn([], ["n_words"]) == []
 
 
+def test_rules_on_held_out_labels(spark):
+    """Fitted on two thirds of the labelled documents, the list finds the bad ones of the other third and leaves the good ones."""
+    docs = common.table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    labels = common.table(spark, "/root/testdata/sf0.1", "labels")
+    rules = quality.fit(docs, labels.where("pmod(xxhash64(doc_id), 3) <> 0"))
+    held = docs.join(labels.where("pmod(xxhash64(doc_id), 3) = 0").select("doc_id", "quality"), "doc_id")
+    rows = [r for r in common.written(quality.judged(held, rules).select("quality", "base_failed", "kept")).collect() if not r.base_failed]
+    bad, gone = [r for r in rows if r.quality == 0], [r for r in rows if not r.kept]
+    assert len(bad) > 50 and sum(not r.kept for r in bad) >= 0.95 * len(bad)
+    assert sum(r.quality == 0 for r in gone) >= 0.97 * len(gone)
+
+
+def test_columns_named_like_statistics_are_replaced(spark, odd):
+    rows = quality.judged(odd.selectExpr("doc_id", "text", "n_words", "kept", "size as rule"), []).collect()
+    assert all(r.n_words == statistics(r.text)[0] and r.rule == 0 and isinstance(r.kept, bool) for r in rows)
+
+
 def test_where_keeps_rows(spark, odd):
     docs = odd.select("doc_id", "text")
     judged = quality.judged(docs, [])

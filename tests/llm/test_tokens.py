@@ -97,8 +97,9 @@ def test_few_sequences(spark):
     assert used <= 1.005 * -(-sum(lengths) // 4096)
 
 
-def test_many_files_are_read_by_bounded_tasks(spark):
-    manifest = spark.range(0, 50_000, 1, 4).selectExpr("cast(id as int) as part", "'x' as path", "id as n_docs", "cast(2 as long) as n_ids")
+def test_many_files_are_read_by_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "READ_TASKS", 300)
+    manifest = spark.range(0, 1_000_000, 1, 4).selectExpr("cast(id as int) as part", "'x' as path", "id as n_docs", "cast(2 as long) as n_ids")
     plan = token_files.planned(manifest)
-    sizes = plan.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max(F.col("base") - 2 * F.col("number")).alias("off")).collect()
-    assert len(sizes) == token_files.READ_TASKS and max(x.n for x in sizes) == 3 and all(x.off == 0 for x in sizes)
+    sizes = plan.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.max(F.abs(F.col("base") - 2 * F.col("number"))).alias("off")).collect()
+    assert len(sizes) == 300 and max(x.n for x in sizes) == 3334 and all(x.off == 0 for x in sizes)
