@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,10 +34,9 @@ def stride_for(shards: int, want: int, rows_per_shard: int = 5000, survive: floa
     return max(1, shards // need), need
 
 
-def chunk_id(by: list[str], order: str, size: int) -> Column:
-    """SRT-12: chunks of `size` sorted rows."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return F.floor((F.row_number().over(w) - 1) / F.lit(float(size))).cast("bigint")
+def chunks(df: DataFrame, by: list[str], order: str, size: int) -> DataFrame:
+    """SRT-12: df with the number of each row's chunk of `size` sorted rows."""
+    return ordinals(df, by, [], order, "_at").withColumn("chunk", F.floor((F.col("_at") - 1) / F.lit(float(size))).cast("bigint")).drop("_at")
 
 
 def split_rank(path: Column) -> Column:
@@ -61,3 +62,28 @@ def mismatched(df: DataFrame, key: str, value: str, seed: str) -> DataFrame:
     nxt, after = F.lead(value, 1).over(w), F.lead(value, 2).over(w)
     first = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return df.withColumn("other", F.coalesce(F.when(nxt != F.col(value), nxt).otherwise(after), first))
+
+
+#: Ranges of an ordering key that a group is dealt to.
+RANGES = 4096
+
+
+def ordinals(df: DataFrame, by: list[str], lead: list[str], key: str, name: str) -> DataFrame:
+    """df with each row's place, from 1, in its group `by`, in the order of the columns `lead`, then of the number `key`.
+
+    The values of `key` under each (by, lead) are dealt to ranges; a row's place is the number of rows in the ranges before,
+    from one row a range, and its place in its own range. So no window holds a group. Nulls of by and lead are values;
+    rows with a null key stand first.
+    """
+    keys = [*by, *lead]
+    ends = df.groupBy(*[F.col(c).alias(f"_e{c}") for c in keys]).agg(F.min(key).cast("double").alias("_lo"), F.max(key).cast("double").alias("_hi"))
+    same = lambda of, sign: functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{sign}{c}")) for c in of])
+    d = df.join(ends, same(keys, "e"))
+    at = F.floor((F.col(key).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * RANGES)
+    at = F.when(F.col("_hi") > F.col("_lo"), at).otherwise(F.lit(0))
+    d = d.select(*df.columns, F.when(F.col(key).isNull(), -1).otherwise(at).cast("int").alias("_b"))
+    sizes = d.groupBy(*[F.col(c).alias(f"_s{c}") for c in [*keys, "_b"]]).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*[f"_s{c}" for c in by]).orderBy(*[f"_s{c}" for c in [*lead, "_b"]]).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+    out = d.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(key)))
+    return out.join(sizes, same([*keys, "_b"], "s")).select(*df.columns, (F.col("_before") + F.col("_r")).alias(name))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan.operators.curate import channel_stats
-from loomspan.operators.sampling import per_group
+from loomspan.operators.sampling import ordinals, per_group
 
 STATS_ROWS = 40_000
 #: Sequence numbers whose places one task counts.
@@ -105,8 +105,8 @@ class Store:
         if source in m["merged"] and not force:
             raise ValueError(f"{source} is merged already")
         upto = self.rows().groupBy("bucket").agg((F.max("row_no") + 1).alias("_upto"))
-        new = self.staged().where(F.col("ingest_source") == source).join(F.broadcast(upto), "bucket", "left")
-        new = new.withColumn("row_no", F.coalesce("_upto", F.lit(0)) + F.row_number().over(Window.partitionBy("bucket").orderBy("seq")) - 1).drop("_upto")
+        new = ordinals(self.staged().where(F.col("ingest_source") == source), ["bucket"], [], "seq", "_at").join(F.broadcast(upto), "bucket", "left")
+        new = new.withColumn("row_no", F.coalesce("_upto", F.lit(0)) + F.col("_at") - 1).drop("_upto", "_at")
         n = self._next_part()
         new.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/rows/part={n}")
         m = m | {"parts": [*m["parts"], n], "merged": [*m["merged"], source]}

@@ -300,10 +300,10 @@ def arr02(t):
     return C.grouped_captions(t("conversations"), "conv_id", "turn", "text").select("conv_id", N.pick(F.col("captions"), u01(F.col("conv_id").cast("string"))).alias("s"))
 
 
-@query("arr04_pad", "SELECT vec_id, list_concat(embedding[1:3]::double[], [0e0, 0e0]) AS v, 3::bigint AS n FROM embeddings")
+@query("arr04_pad", "SELECT vec_id, list_concat(embedding::double[], [0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0, 0e0]) AS v, len(embedding)::bigint AS n FROM embeddings")
 def arr04(t):
-    v = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
-    return t("embeddings").select("vec_id", N.pad(v, 5, F.lit(0.0)).alias("v"), F.size(v).cast("bigint").alias("n"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    return t("embeddings").select("vec_id", N.pad(v, 72, F.lit(0.0)).alias("v"), F.size(v).cast("bigint").alias("n"))
 
 
 @query("map01_default", "SELECT event_id, coalesce(json_extract_string(props::json, '$.k'), 'x') AS k, coalesce(json_extract_string(props::json, '$.z'), 'x') AS z FROM events")

@@ -7,6 +7,7 @@ from loomspan.functions import numeric as N
 from loomspan.functions import text as S
 from loomspan.functions.hashing import u01
 from loomspan.operators import evaluate as E
+from loomspan.operators import sampling as P
 
 from .registry import query, u01_sql, words_sql
 
@@ -95,25 +96,16 @@ def agg16(t):
 
 @query("agg17_survey", f"WITH w AS (SELECT source, n_chars, {words_sql('text')} AS n FROM documents) SELECT source, list_sort(list(n_chars))[count(*) // 2 + 1] AS side_med, min(n_chars) AS side_min, floor(quantile_cont(n, 5e-1))::bigint AS words_med, round(100e0 * avg((n * 135e-2 > 64)::int), 4) AS over_pct FROM w GROUP BY 1")
 def agg17(t):
-    """The upper median, read from exact percentiles of the ordered values, not from a collected list."""
+    """The upper median is the value at that place of the source's order, not one of a collected list."""
     d = t("documents").select("source", "n_chars", S.word_count(F.col("text")).alias("n"), S.over_limit(F.col("text")).cast("int").alias("over"))
-    w = Window.partitionBy("source")
-    d = d.withColumn("r", F.row_number().over(w.orderBy("n_chars"))).withColumn("c", F.count("*").over(w))
-    return d.groupBy("source").agg(
-        F.max(F.when(F.col("r") == F.floor(F.col("c") / 2) + 1, F.col("n_chars"))).alias("side_med"), F.min("n_chars").alias("side_min"),
-        F.floor(F.percentile("n", F.lit(0.5))).cast("bigint").alias("words_med"), F.round(F.lit(100.0) * F.avg("over"), 4).alias("over_pct"),
-    )
+    middle = P.ordinals(d.select("source", "n_chars"), ["source"], [], "n_chars", "r").alias("m")
+    d = d.groupBy("source").agg(F.count("*").alias("c"), F.min("n_chars").alias("side_min"), F.floor(F.percentile("n", F.lit(0.5))).cast("bigint").alias("words_med"), F.round(F.lit(100.0) * F.avg("over"), 4).alias("over_pct")).alias("d")
+    at = F.col("m.source").eqNullSafe(F.col("d.source")) & (F.col("r") == F.floor(F.col("c") / 2) + 1)
+    return d.join(middle, at).select("d.source", F.col("m.n_chars").alias("side_med"), "side_min", "words_med", "over_pct")
 
 
-@query("agg18_frechet_parts", "WITH x AS (SELECT label, vec_id, i, embedding[i + 1]::double AS x FROM embeddings, (SELECT unnest(range(8)) AS i)) SELECT a.label, a.i::int AS i, b.i::int AS j, round(covar_samp(a.x, b.x), 6) AS cov, round(avg(a.x), 6) AS mean_i FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY ALL")
+@query("agg18_frechet_parts", "WITH x AS (SELECT label, vec_id, i, embedding[i + 1]::double AS x FROM embeddings, (SELECT unnest(range(64)) AS i)) SELECT a.label, a.i::int AS i, b.i::int AS j, round(covar_samp(a.x, b.x), 6) AS cov, round(avg(a.x), 6) AS mean_i FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY ALL")
 def agg18p(t):
-    e = t("embeddings").select("label", F.slice("embedding", 1, 8).alias("v"))
-    return rounded(E.moments(e, ["label"], "v").select("label", "i", "j", "cov", "mean_i"), "cov", "mean_i", places=6)
-
-
-@query("agg18_frechet_parts_whole")
-def agg18w(t):
-    """Moments over all dimensions; agg18_frechet_parts and its SQL take the first 8 only."""
     return rounded(E.moments(t("embeddings"), ["label"], "embedding").select("label", "i", "j", "cov", "mean_i"), "cov", "mean_i", places=6)
 
 
@@ -125,31 +117,33 @@ def agg18(t):
     return t("embeddings").sparkSession.createDataFrame([(value,)], "frechet double")
 
 
-PASSES = "SELECT user_id, count(*)::int AS n, count(*) FILTER (WHERE value > 50)::int AS c FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r <= 6 GROUP BY 1 HAVING count(*) = 6"
+PASSES = "SELECT user_id, count(*) AS n, count(*) FILTER (WHERE value > 50) AS c FROM events GROUP BY 1"
 PASS4 = "CASE WHEN n - c < 4 THEN 1e0 ELSE 1 - ((n - c) * (n - c - 1) * (n - c - 2) * (n - c - 3))::double / (n * (n - 1) * (n - 2) * (n - 3)) END"
 
 
-def passes(t):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = t("events").withColumn("r", F.row_number().over(w)).where("r <= 6")
-    return e.groupBy("user_id").agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("value") > 50).cast("int").alias("c")).where("n = 6")
+def passes(t, least=1):
+    """n and c of each user over all events; users with fewer than `least` have no pass@least."""
+    e = t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("c"))
+    return e.where(F.col("n") >= least)
 
 
-@query("agg19_passk", f"SELECT user_id, round({PASS4}, 9) AS p4 FROM ({PASSES})")
+@query("agg19_passk", f"SELECT user_id, round({PASS4}, 9) AS p4 FROM ({PASSES}) WHERE n >= 4")
 def agg19(t):
-    return passes(t).select("user_id", F.round(E.pass_at(F.col("c"), F.col("n"), 4), 9).alias("p4"))
+    return passes(t, 4).select("user_id", F.round(E.pass_at(F.col("c"), F.col("n"), 4), 9).alias("p4"))
 
 
-@query("agg19_passk_families", f"SELECT (user_id % 3)::bigint AS family, round(avg({PASS4}), 9) AS p4 FROM ({PASSES}) GROUP BY 1")
+@query("agg19_passk_families", f"SELECT (user_id % 3)::bigint AS family, round(avg({PASS4}), 9) AS p4 FROM ({PASSES}) WHERE n >= 4 GROUP BY 1")
 def agg19f(t):
-    return passes(t).groupBy((F.col("user_id") % 3).alias("family")).agg(F.round(F.avg(E.pass_at(F.col("c"), F.col("n"), 4)), 9).alias("p4"))
+    return passes(t, 4).groupBy((F.col("user_id") % 3).alias("family")).agg(F.round(F.avg(E.pass_at(F.col("c"), F.col("n"), 4)), 9).alias("p4"))
 
 
-@query("agg20_softbest", "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events), s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS i FROM e WHERE r <= 6 AND n >= 6) SELECT user_id, round(sum(value * CASE i WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE i * (i - 1) / 2e0 END / 20e0), 6) AS soft3 FROM s GROUP BY 1")
+@query("agg20_softbest", "WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, round(sum(value * (3e0 * i * (i - 1) / (n * (n - 1e0) * (n - 2e0)))), 6) AS soft3 FROM s WHERE n >= 3 GROUP BY 1")
 def agg20(t):
+    """Weights C(i, 2) / C(n, 3) by each user's own n."""
     w = Window.partitionBy("user_id")
-    e = t("events").withColumn("r", F.row_number().over(w.orderBy("event_id"))).withColumn("n", F.count("*").over(w)).where("r <= 6 and n >= 6")
-    return E.soft_best(e.select("user_id", "value"), "user_id", "value", 6, 3).select("user_id", F.round("soft_best", 6).alias("soft3"))
+    e = t("events").withColumn("i", (F.row_number().over(w.orderBy("value")) - 1).cast("double")).withColumn("n", F.count("*").over(w).cast("double")).where("n >= 3")
+    weight = 3 * F.col("i") * (F.col("i") - 1) / (F.col("n") * (F.col("n") - 1) * (F.col("n") - 2))
+    return e.groupBy("user_id").agg(F.round(F.sum(F.col("value") * weight), 6).alias("soft3"))
 
 
 @query("agg21_counts", f"SELECT count(*) FILTER (WHERE c = 0)::bigint AS n_zero, count(*) FILTER (WHERE c = n)::bigint AS n_all, round(avg(c / n::double), 9) AS mean_p FROM ({PASSES})")
@@ -157,74 +151,38 @@ def agg21(t):
     return passes(t).agg(F.count_if(F.col("c") == 0).alias("n_zero"), F.count_if(F.col("c") == F.col("n")).alias("n_all"), F.round(F.avg(F.col("c") / F.col("n")), 9).alias("mean_p"))
 
 
-def all_passes(t, least=1):
-    """n and c of each user over all events; passes() and the SQL of its queries take six a user."""
-    e = t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("c"))
-    return e.where(F.col("n") >= least)
-
-
-@query("agg19_passk_whole")
-def agg19w(t):
-    return all_passes(t, 4).select("user_id", F.round(E.pass_at(F.col("c"), F.col("n"), 4), 9).alias("p4"))
-
-
-@query("agg19_passk_families_whole")
-def agg19fw(t):
-    return all_passes(t, 4).groupBy((F.col("user_id") % 3).alias("family")).agg(F.round(F.avg(E.pass_at(F.col("c"), F.col("n"), 4)), 9).alias("p4"))
-
-
-@query("agg20_softbest_whole")
-def agg20w(t):
-    """Weights C(i, 2) / C(n, 3) by each user's own n."""
-    w = Window.partitionBy("user_id")
-    e = t("events").withColumn("i", (F.row_number().over(w.orderBy("value")) - 1).cast("double")).withColumn("n", F.count("*").over(w).cast("double")).where("n >= 3")
-    weight = 3 * F.col("i") * (F.col("i") - 1) / (F.col("n") * (F.col("n") - 1) * (F.col("n") - 2))
-    return e.groupBy("user_id").agg(F.round(F.sum(F.col("value") * weight), 6).alias("soft3"))
+HITS = "SELECT user_id, count(*) FILTER (WHERE value > 60 AND event_id % 2 = 0) AS b, count(*) FILTER (WHERE value > 60 AND event_id % 2 = 1) AS a FROM events GROUP BY 1"
 
 
-@query("agg21_counts_whole")
-def agg21w(t):
-    return all_passes(t).agg(F.count_if(F.col("c") == 0).alias("n_zero"), F.count_if(F.col("c") == F.col("n")).alias("n_all"), F.round(F.avg(F.col("c") / F.col("n")), 9).alias("mean_p"))
+def hits(t):
+    hit = lambda odd: F.count_if((F.col("value") > 60) & (F.col("event_id") % 2 == odd))
+    return t("events").groupBy("user_id").agg(hit(0).alias("b"), hit(1).alias("a"))
 
 
-@query("agg22_newly_lost", "WITH h AS (SELECT user_id, count(*) FILTER (WHERE value > 60 AND event_id % 2 = 0) AS b, count(*) FILTER (WHERE value > 60 AND event_id % 2 = 1) AS a FROM events WHERE event_id < 600 GROUP BY 1) SELECT count(*) FILTER (WHERE b = 0 AND a > 0)::bigint AS newly, count(*) FILTER (WHERE b > 0 AND a = 0)::bigint AS lost FROM h")
+@query("agg22_newly_lost", f"SELECT count(*) FILTER (WHERE b = 0 AND a > 0)::bigint AS newly, count(*) FILTER (WHERE b > 0 AND a = 0)::bigint AS lost FROM ({HITS})")
 def agg22(t):
-    hit = lambda odd: F.count_if((F.col("value") > 60) & (F.col("event_id") % 2 == odd))
-    h = t("events").where("event_id < 600").groupBy("user_id").agg(hit(0).alias("b"), hit(1).alias("a"))
-    return h.agg(F.count_if((F.col("b") == 0) & (F.col("a") > 0)).alias("newly"), F.count_if((F.col("b") > 0) & (F.col("a") == 0)).alias("lost"))
+    return hits(t).agg(F.count_if((F.col("b") == 0) & (F.col("a") > 0)).alias("newly"), F.count_if((F.col("b") > 0) & (F.col("a") == 0)).alias("lost"))
 
 
-@query("agg22_newly_lost_users", "WITH h AS (SELECT user_id, count(*) FILTER (WHERE value > 60 AND event_id % 2 = 0) AS b, count(*) FILTER (WHERE value > 60 AND event_id % 2 = 1) AS a FROM events GROUP BY 1) SELECT user_id, CASE WHEN b = 0 THEN 'newly' ELSE 'lost' END AS status FROM h WHERE (b = 0) <> (a = 0)")
+@query("agg22_newly_lost_users", f"SELECT user_id, CASE WHEN b = 0 THEN 'newly' ELSE 'lost' END AS status FROM ({HITS}) WHERE (b = 0) <> (a = 0)")
 def agg22u(t):
-    """The users themselves, over all events; agg22_newly_lost and its SQL read the first 600 only."""
-    hit = lambda odd: F.count_if((F.col("value") > 60) & (F.col("event_id") % 2 == odd))
-    h = t("events").groupBy("user_id").agg(hit(0).alias("b"), hit(1).alias("a"))
+    """The users themselves."""
     status = F.when((F.col("b") == 0) & (F.col("a") > 0), "newly").when((F.col("b") > 0) & (F.col("a") == 0), "lost")
-    return h.select("user_id", status.alias("status")).where("status is not null")
+    return hits(t).select("user_id", status.alias("status")).where("status is not null")
 
 
-def bootstrap(t, draws):
-    """Resampled means of a small paired table: B x P rows, spread over tasks."""
+@query("agg23_bootstrap", f"WITH p AS (SELECT row_number() OVER (ORDER BY r_regionkey, n_nationkey) - 1 AS i, n_nationkey::double AS gain FROM nation JOIN region ON n_regionkey = r_regionkey), d AS (SELECT b, floor({u01_sql('b || chr(47) || j')} * 25)::int AS i FROM (SELECT unnest(range(10000)) AS b), (SELECT unnest(range(25)) AS j)), m AS (SELECT b, avg(gain) AS g FROM d JOIN p USING (i) GROUP BY 1) SELECT round(quantile_cont(g, 25e-3), 6) AS lo, round(quantile_cont(g, 975e-3), 6) AS hi FROM m")
+def agg23(t):
+    """10,000 resampled means of a small paired table (one row a prompt): B x P rows, spread over tasks."""
     p = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     p = p.select((F.row_number().over(Window.orderBy("r_regionkey", "n_nationkey")) - 1).alias("i"), F.col("n_nationkey").cast("double").alias("gain"))
-    d = t("nation").sparkSession.range(draws).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("j"))
+    d = t("nation").sparkSession.range(10_000).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("j"))
     d = d.select("b", E.resampled(25, F.col("j").cast("string"), F.col("b").cast("string")).alias("i"))
     m = d.join(F.broadcast(p), "i").groupBy("b").agg(F.avg("gain").alias("g"))
     q = m.agg(F.percentile("g", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return q.select(F.round(F.get("q", 0), 6).alias("lo"), F.round(F.get("q", 1), 6).alias("hi"))
 
 
-@query("agg23_bootstrap", f"WITH p AS (SELECT row_number() OVER (ORDER BY r_regionkey, n_nationkey) - 1 AS i, n_nationkey::double AS gain FROM nation JOIN region ON n_regionkey = r_regionkey), d AS (SELECT b, floor({u01_sql('b || chr(47) || j')} * 25)::int AS i FROM (SELECT unnest(range(1000)) AS b), (SELECT unnest(range(25)) AS j)), m AS (SELECT b, avg(gain) AS g FROM d JOIN p USING (i) GROUP BY 1) SELECT round(quantile_cont(g, 25e-3), 6) AS lo, round(quantile_cont(g, 975e-3), 6) AS hi FROM m")
-def agg23(t):
-    return bootstrap(t, 1000)
-
-
-@query("agg23_bootstrap_whole")
-def agg23w(t):
-    """The reference's 10,000 resamples; agg23_bootstrap and its SQL draw 1,000."""
-    return bootstrap(t, 10_000)
-
-
 @query("agg24_object_acc", "WITH d AS (SELECT user_id, list(event_type) FILTER (WHERE value >= 50) AS found FROM events GROUP BY 1) SELECT round(avg((list_contains(coalesce(found, []), CASE WHEN user_id % 2 = 0 THEN 'view' ELSE 'click' END))::int), 9) AS accuracy FROM d")
 def agg24(t):
     d = t("events").groupBy("user_id").agg(F.collect_set(F.when(F.col("value") >= 50, F.col("event_type"))).alias("found"))

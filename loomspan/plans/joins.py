@@ -5,6 +5,7 @@ from pyspark.sql.window import Window
 
 from loomspan.functions import text as S
 from loomspan.operators import curate as C
+from loomspan.operators import sampling as P
 
 from .registry import query, words_sql
 
@@ -99,10 +100,9 @@ def joi15(t):
 
 @query("joi16_ordinal", "WITH a AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents), b AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END AS lang, row_number() OVER (PARTITION BY item_id % 2 ORDER BY item_id) AS r FROM benchmark) SELECT doc_id, item_id FROM a JOIN b USING (lang, r)")
 def joi16(t):
-    a = t("documents").select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("r"))
+    a = P.ordinals(t("documents").select("doc_id", "lang"), ["lang"], [], "doc_id", "r")
     b = t("benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, "en").otherwise("fr").alias("lang"))
-    b = b.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("item_id")))
-    return a.join(b, ["lang", "r"]).select("doc_id", "item_id")
+    return a.join(P.ordinals(b, ["lang"], [], "item_id", "r"), ["lang", "r"]).select("doc_id", "item_id")
 
 
 @query("joi17_by_bucket", "SELECT lang, count(*)::bigint AS n, min(doc_id)::bigint AS first FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1")

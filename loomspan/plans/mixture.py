@@ -95,7 +95,8 @@ def mth11(t):
 
 @query("win12_address", "SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id)::int AS row_no FROM documents")
 def win12(t):
-    return t("documents").select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy("source", "doc_id")).alias("row_no"))
+    d = P.ordinals(t("documents").select("doc_id", "lang", "source"), ["lang"], ["source"], "doc_id", "row_no")
+    return d.select("doc_id", "lang", F.col("row_no").cast("int").alias("row_no"))
 
 
 @query("srt01_sorted", "SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey)::int AS pos FROM nation")
@@ -159,7 +160,7 @@ def srt11(t):
 
 @query("srt12_chunks", "SELECT doc_id, ((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 64)::bigint AS chunk FROM documents")
 def srt12(t):
-    return t("documents").select("doc_id", P.chunk_id(["lang"], "doc_id", 64).alias("chunk"))
+    return P.chunks(t("documents").select("doc_id", "lang"), ["lang"], "doc_id", 64).select("doc_id", "chunk")
 
 
 @query("srt13_sampler", f"WITH {holdout_sql(100)} {MIX}, f AS (SELECT source, bucket, sum(p_s) OVER (PARTITION BY bucket ORDER BY source) AS upto, p_s FROM p), d AS (SELECT event_id AS draw, ['1_1', '4_3', '3_4', '3_2', '2_3'][(1 + event_id % 5)::int] AS bucket, {u01_sql(chr(39) + 'b' + chr(39) + ' || event_id')} AS u FROM events) SELECT draw, d.bucket, source FROM d JOIN f ON d.bucket = f.bucket AND u >= upto - p_s AND u < upto")
@@ -194,8 +195,8 @@ def srt16(t):
 @query("snk04_merge", "SELECT source, lang, count(*)::bigint AS n, min(seq)::int AS first FROM (SELECT source, lang, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) AS seq FROM documents WHERE source <> 'src3') GROUP BY ALL")
 def snk04(t):
     parts = [t("documents").where(F.col("source") == s) for s in ("src0", "src1")] + [t("documents").where(~F.col("source").isin("src0", "src1", "src3"))]
-    m = C.merged(parts).withColumn("seq", F.row_number().over(Window.partitionBy("lang").orderBy("source", "doc_id")))
-    return m.groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    m = P.ordinals(C.merged(parts).select("doc_id", "lang", "source"), ["lang"], ["source"], "doc_id", "seq")
+    return m.groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("seq").cast("int").alias("first"))
 
 
 @query("snk05_append", "SELECT doc_id, doc_id % 2 = 1 AS appended FROM documents")

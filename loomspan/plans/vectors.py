@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomspan.functions import numeric as N
-from loomspan.operators import probe
+from loomspan.operators import nearest, probe
 
 from .registry import query
 
@@ -30,29 +30,14 @@ def mth02(t):
 
 @query("mth03_cosine_topk", "WITH q AS (SELECT vec_id AS qid, embedding::double[] AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT qid, vec_id, round(list_cosine_similarity(q, embedding::double[]), 6) AS sim FROM q, embeddings WHERE vec_id <> qid) SELECT qid, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS r FROM s) WHERE r <= 5")
 def mth03(t):
-    """Stated queries (ids divisible by 50) against all vectors, in blocks of queries that travel to the vectors."""
-    from pyspark.sql.window import Window
+    """Stated queries (ids divisible by 50) against all vectors, a block of queries at a time."""
+    e = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return nearest.top(e.where("vec_id % 50 = 0"), e, "vec_id", "v", 5)
 
-    e = t("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("q")).groupBy((F.col("qid") % 64).alias("block")).agg(F.collect_list(F.struct("qid", "q")).alias("qs"))
-    s = e.crossJoin(F.broadcast(q)).select("vec_id", "v", F.explode("qs").alias("x")).where("x.qid <> vec_id")
-    s = s.select(F.col("x.qid").alias("qid"), "vec_id", F.round(N.cosine(F.col("x.q"), F.col("v")), 6).alias("sim"))
-    return s.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "vec_id"))).where("r <= 5").drop("r")
 
-
-@query("mth04_dispersive", "WITH x AS (SELECT vec_id, embedding::double[] AS v FROM embeddings WHERE label = 0 AND vec_id < 200), p AS (SELECT -greatest(2 - 2 * list_cosine_similarity(a.v, b.v), 0) / 5e-1 AS e FROM x a JOIN x b ON a.vec_id <> b.vec_id) SELECT round(max(e) + ln(sum(exp(e - (SELECT max(e) FROM p)))) - ln(count(*)), 6) AS loss FROM p")
+@query("mth04_dispersive", "WITH x AS (SELECT vec_id // 200 AS batch, vec_id, embedding::double[] AS v FROM embeddings), p AS (SELECT a.batch, -greatest(2 - 2 * list_cosine_similarity(a.v, b.v), 0) / 5e-1 AS e FROM x a JOIN x b ON a.batch = b.batch AND a.vec_id <> b.vec_id) SELECT batch::bigint AS batch, round(ln(avg(exp(e))), 6) AS loss FROM p GROUP BY 1")
 def mth04(t):
-    """One batch of a training step: all of its pairs are the operator's definition, and batches are small."""
-    x = t("embeddings").where("label = 0 and vec_id < 200").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    p = x.alias("a").join(F.broadcast(x.alias("b")), F.col("a.vec_id") != F.col("b.vec_id"))
-    p = p.select((-F.greatest(2 - 2 * N.cosine(F.col("a.v"), F.col("b.v")), F.lit(0.0)) / 0.5).alias("e"))
-    top = p.agg(F.max("e").alias("m"))
-    return p.crossJoin(F.broadcast(top)).agg(F.round(F.first("m") + F.log(F.sum(F.exp(F.col("e") - F.col("m")))) - F.log(F.count("*")), 6).alias("loss"))
-
-
-@query("mth04_dispersive_batches")
-def mth04b(t):
-    """Every vector, in batches of 200 ids; mth04_dispersive and its SQL take one label of the first batch only."""
+    """Every vector, in training batches of 200 ids: all pairs of a batch are the operator's definition."""
     x = t("embeddings").select(F.floor(F.col("vec_id") / 200).alias("batch"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     p = x.alias("a").join(x.alias("b").hint("merge"), (F.col("a.batch") == F.col("b.batch")) & (F.col("a.vec_id") != F.col("b.vec_id")))
     p = p.select("a.batch", (-F.greatest(2 - 2 * N.cosine(F.col("a.v"), F.col("b.v")), F.lit(0.0)) / 0.5).alias("e"))
@@ -80,9 +65,9 @@ def mth07(t):
     return s.select("event_id", F.round(N.sde_mean(F.col("x"), F.col("v"), F.col("t"), F.lit(0.1), F.col("sigma")), 8).alias("m"))
 
 
-@query("mth16_u8", "SELECT vec_id, list_transform(embedding[1:4]::double[], lambda x: floor(x / greatest(list_max(embedding[1:4]::double[]), 1e-9) * 255)::int) AS u FROM embeddings WHERE list_max(embedding[1:4]) > 1e-3")
+@query("mth16_u8", "SELECT vec_id, list_transform(embedding::double[], lambda x: floor(x / greatest(list_max(embedding::double[]), 1e-9) * 255)::int) AS u FROM embeddings WHERE list_max(embedding) > 1e-3")
 def mth16(t):
-    return t("embeddings").where(F.array_max(F.slice("embedding", 1, 4)) > F.lit(0.001).cast("float")).select("vec_id", N.to_u8(F.slice("embedding", 1, 4)).alias("u"))
+    return t("embeddings").where(F.array_max("embedding") > F.lit(0.001).cast("float")).select("vec_id", N.to_u8(F.col("embedding")).alias("u"))
 
 
 @query("mth11_roundtrip", "SELECT vec_id, round(embedding[1]::double, 5) AS x FROM embeddings")

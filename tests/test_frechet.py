@@ -14,5 +14,5 @@ def test_frechet_distance_over_all_dimensions(spark, tmp_path):
     root = vectors * np.sqrt(values) @ vectors.T
     want = ((ma - mb) ** 2).sum() + np.trace(sa + sb) - 2 * np.sqrt(np.linalg.eigvalsh(root @ sb @ root)).sum()
     assert catalog.queries()["agg18_frechet"](spark, str(tmp_path)).first().frechet == pytest.approx(want, rel=1e-9)
-    parts = catalog.queries()["agg18_frechet_parts_whole"](spark, str(tmp_path)).where("label = 1").collect()
+    parts = catalog.queries()["agg18_frechet_parts"](spark, str(tmp_path)).where("label = 1").collect()
     assert len(parts) == 144 and all(abs(p.cov - sb[p.i, p.j]) < 1e-6 and abs(p.mean_i - mb[p.i]) < 1e-6 for p in parts)
