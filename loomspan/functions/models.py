@@ -56,6 +56,18 @@ def encoder(factory: Callable[[], Callable[[pd.Series], list]], size: int = 64)
     return run
 
 
+def detector(factory: Callable[[], Callable[[pd.Series], list[list[tuple[str, float]]]]]) -> Callable[[Column], Column]:
+    """UDF-10: pictures -> for each its (label, confidence) pairs."""
+
+    @F.pandas_udf("array<struct<label:string,confidence:double>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = _loaded(factory)
+        for pictures in batches:
+            yield pd.Series([[{"label": a, "confidence": float(c)} for a, c in found] for found in model(pictures)])
+
+    return run
+
+
 def yes_probability(yes: Column, no: Column) -> Column:
     """UDF-02: from the logits of the words that mean yes and of those that mean no."""
 

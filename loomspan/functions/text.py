@@ -17,9 +17,14 @@ LISTS = (
 TOKENS_PER_WORD, TOKEN_LIMIT = 1.35, 64
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: a plain column would be repeated wherever the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """STR-02: white space of any kind off both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -33,12 +38,15 @@ def word_count(c: Column) -> Column:
 
 def first_sentence(c: Column) -> Column:
     """STR-01: up to the first sentence end of the first kind that splits the text; kinds go by priority, not by place."""
-    t = strip(F.coalesce(c, F.lit("")))
-    out = t
-    for end in reversed(SENTENCE_ENDS):
-        at = F.instr(t, end)
-        out = F.when((at > 1) & (at < F.length(t)), strip(F.substring(t, F.lit(1), at))).otherwise(out)
-    return out
+
+    def split(t: Column) -> Column:
+        out = t
+        for end in reversed(SENTENCE_ENDS):
+            at = F.instr(t, end)
+            out = F.when((at > 1) & (at < F.length(t)), strip(F.substring(t, F.lit(1), at))).otherwise(out)
+        return out
+
+    return let(strip(F.coalesce(c, F.lit(""))), split)
 
 
 def url_id(c: Column) -> Column:

@@ -47,10 +47,14 @@ def bucket(aspect: Column, real: bool, key: Column) -> Column:
 def assemble(long: Column, short: Column) -> Column:
     """PRJ-01: struct (long, short) of trimmed captions, each falling back on the other; null where both are empty."""
     clean = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), S.strip), lambda x: x.isNotNull() & (x != ""))
-    ll, ss = clean(long), clean(short)
-    ss = F.when(F.size(ss) > 0, ss).when(F.size(ll) > 0, F.array(S.first_sentence(F.get(ll, 0)))).otherwise(ss)
-    ll = F.when(F.size(ll) > 0, ll).otherwise(ss)
-    return F.when(F.size(ll) > 0, F.struct(ll.alias("long"), ss.alias("short")))
+
+    def fall_back(c: Column) -> Column:
+        ll, ss = c["long"], c["short"]
+        first = F.when(F.size(ll) > 0, F.array(S.first_sentence(F.get(ll, 0)))).otherwise(ss)
+        found = F.struct(F.when(F.size(ll) > 0, ll).otherwise(ss).alias("long"), F.when(F.size(ss) > 0, ss).otherwise(first).alias("short"))
+        return F.when((F.size(ll) > 0) | (F.size(ss) > 0), found)
+
+    return S.let(F.struct(clean(long).alias("long"), clean(short).alias("short")), fall_back)
 
 
 def route_captions(entity: Column, composition: Column, detail: Column, crop: Column, most: float = 0.20) -> Column:

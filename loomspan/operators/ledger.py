@@ -94,3 +94,17 @@ def near_baseline(df: DataFrame, run: str, align: str, base: str, cost: str, sla
     d = df.withColumn("_ok", F.col(align) <= F.col(base) + F.lit(slack))
     d = d.withColumn("_any", F.max("_ok").over(w)).where("_ok or not _any")
     return d.withColumn("_min", F.min(cost).over(w)).where(F.col(cost) <= F.lit(reach) * F.col("_min")).drop("_ok", "_any", "_min")
+
+
+def rates(df: DataFrame, by: list[str], at: str, counters: list[str]) -> DataFrame:
+    """SNK-11: counters so far, seconds from the first to the last record, and the first counter's rows a second (1e-6 s at least)."""
+    seconds = F.unix_micros(F.max(F.col(at).cast("timestamp"))) - F.unix_micros(F.min(F.col(at).cast("timestamp")))
+    d = df.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counters], (seconds / F.lit(1e6)).alias("seconds"))
+    return d.withColumn("per_second", F.col(counters[0]) / F.greatest(F.col("seconds"), F.lit(1e-6)))
+
+
+def due(df: DataFrame, run: str, step: str, seconds: str, steps: int, minutes: float) -> DataFrame:
+    """STM-08: df with `due_steps`, true at every `steps`-th step, and `due_minutes`, true where the seconds so far pass another `minutes`."""
+    passed = F.floor(F.col(seconds) / F.lit(60.0 * minutes))
+    before = F.coalesce(F.lag(passed).over(Window.partitionBy(run).orderBy(step)), F.lit(0))
+    return df.withColumn("due_steps", F.col(step) % steps == 0).withColumn("due_minutes", passed > before)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, evaluation, formats, joins, ledger, mixture, streams, vectors  # noqa: F401  (they register themselves)
+from . import curation, evaluation, formats, joins, ledger, media, mixture, streams, vectors  # noqa: F401  (they register themselves)
 from .registry import ORACLES, QUERIES
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import models
 from loomspan.operators import evaluate as E
 from loomspan.operators import store
+from loomspan.session import shared_base
 from loomspan.sources import archives, fetch, files, tfrecord
 from loomspan.streaming import ingest
 
@@ -23,10 +24,7 @@ from .registry import ORACLES, QUERIES, query
 
 def folder(spark: SparkSession) -> str:
     """A new folder in the shared one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/loomspan"
-    if "://" not in base:
-        base = "file://" + base.removeprefix("file:")
-    return f"{base.rstrip('/')}/formats-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/formats-{uuid.uuid4().hex}"
 
 
 def put(where: str, name: str, data: bytes) -> None:
@@ -108,23 +106,30 @@ def src06(spark, sf_dir):
 
 @fixed("src07_tar_pairs", "SELECT n_nationkey::varchar AS key, n_name AS text FROM nation WHERE n_nationkey % 3 <> 0")
 def src07(spark, sf_dir):
+    """Pictures first, then their JSON in another order and folder: pairs meet by base name."""
     where = folder(spark)
-    entries = []
-    for r in nations(spark, sf_dir):
-        entries.append((f"{r.n_nationkey}.webp", b"picture"))
-        entries.append((f"{r.n_nationkey}.json", json.dumps({"name": r.n_name}).encode() if r.n_nationkey % 3 else b"{broken"))
+    rows = nations(spark, sf_dir)
+    entries = [(f"a/{r.n_nationkey}.webp", b"picture") for r in rows]
+    entries += [(f"b/{r.n_nationkey}.json", json.dumps({"name": r.n_name}).encode() if r.n_nationkey % 3 else b"{broken") for r in reversed(rows)]
     put(where, "shard.tar", tarred(entries))
     archives.register(spark)
     return spark.read.format("loomspan_tar_pairs").option("path", where).load().select("key", F.get_json_object("text", "$.name").alias("text"))
 
 
-@fixed("src08_tar_head", "SELECT n_nationkey::varchar AS key FROM nation WHERE n_nationkey < 3")
+@fixed("src08_tar_head", "SELECT n_nationkey::varchar AS key, CASE n_nationkey WHEN 0 THEN 't' END AS text FROM nation WHERE n_nationkey < 4")
 def src08(spark, sf_dir):
-    """Each pair takes 2048 bytes, so 7000 bytes hold three whole pairs."""
+    """A member takes 1024 bytes; 6600 bytes hold a picture with text, one without, one with broken JSON, and one whose text is cut."""
     where = folder(spark)
-    put(where, "shard.tar", tarred([x for r in nations(spark, sf_dir) for x in ((f"{r.n_nationkey}.png", b"p"), (f"{r.n_nationkey}.txt", b"t"))]))
+    texts = {0: ("txt", b"t"), 2: ("json", b"{broken"), 3: ("txt", b"t")}
+    entries = []
+    for r in nations(spark, sf_dir):
+        entries.append((f"{r.n_nationkey}.png", b"p"))
+        if r.n_nationkey in texts:
+            entries.append((f"{r.n_nationkey}.{texts[r.n_nationkey][0]}", texts[r.n_nationkey][1]))
+    put(where, "shard.tar", tarred(entries))
     archives.register(spark)
-    return spark.read.format("loomspan_tar_pairs").option("path", where).option("headBytes", 7000).load().select("key")
+    rows = spark.read.format("loomspan_tar_pairs").option("path", where).option("headBytes", 6600).load()
+    return rows.select("key", F.get_json_object("text", "$.txt").alias("text"))
 
 
 @fixed("src09_tar_json", "SELECT n_name AS name FROM nation")

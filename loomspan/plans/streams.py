@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.session import shared_base
 from loomspan.streaming import early_stop, ingest
 
 from .ledger import EARLY
@@ -14,8 +15,7 @@ from .registry import ORACLES, QUERIES
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/loomspan"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stm05_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +42,31 @@ def stm09_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{where}/out").select(F.col("step").alias("event_id"), "best", "bad")
 
 
-QUERIES.update({"stm05_ingest": stm05_ingest, "stm12_dead_letters": stm12_dead_letters, "stm09_early_stop": stm09_early_stop})
+def stm06_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event twice through the stream, in two files: what is read, kept, dead and repeated."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    where = _folder(spark)
+    for k in (0, 1):
+        e.coalesce(1).write.parquet(f"{where}/in/{k}")
+    ingest.run(spark, f"{where}/in", e.schema, where, f"{where}/checkpoint", F.col("event_type") != "error", ["event_id"], 1)
+    return ingest.counters(spark, where)
+
+
+def stm07_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of five files is stopped after each of its first two batches and goes on; no event is lost or doubled."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    where = _folder(spark)
+    for k in range(5):
+        e.where(F.col("event_id") % 5 == k).coalesce(1).write.parquet(f"{where}/in/{k}")
+    for stop in (lambda: True, lambda: True, None):
+        ingest.run(spark, f"{where}/in", e.schema, where, f"{where}/checkpoint", F.lit(True), ["event_id"], 1, stop=stop)
+    return spark.read.schema(e.schema).parquet(f"{where}/rows/*").select("event_id", "event_type")
+
+
+QUERIES.update({"stm06_counters": stm06_counters, "stm07_stop": stm07_stop, "stm05_ingest": stm05_ingest, "stm12_dead_letters": stm12_dead_letters, "stm09_early_stop": stm09_early_stop})
 ORACLES.update({
+    "stm06_counters": "SELECT 2 * count(*)::bigint AS read, count(*) FILTER (WHERE event_type <> 'error')::bigint AS kept, 2 * count(*) FILTER (WHERE event_type = 'error')::bigint AS dead, count(*) FILTER (WHERE event_type <> 'error')::bigint AS repeated FROM events",
+    "stm07_stop": "SELECT event_id, event_type FROM events",
     "stm05_ingest": "SELECT event_id, event_type, value FROM events WHERE event_type <> 'error'",
     "stm12_dead_letters": "SELECT event_type, count(*)::bigint AS n FROM events WHERE event_type = 'error' GROUP BY 1",
     "stm09_early_stop": EARLY,

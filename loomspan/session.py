@@ -21,3 +21,20 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "
     for k, v in CONF.items():
         b = b.config(k, v)
     return b.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).getOrCreate()
+
+
+def shared_base(spark: SparkSession) -> str:
+    """URI of the folder that driver and executors share: the cluster's spark.checkpoint.dir.
+
+    Where it is unset an own folder is set, which only a local master can share; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir("/tmp/checkpoints/loomspan")
+        base = "file:///tmp/checkpoints/loomspan"
+    if "://" not in base:
+        base = "file://" + base.removeprefix("file:")
+    return base.rstrip("/")

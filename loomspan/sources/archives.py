@@ -1,15 +1,17 @@
 """Archive sources (SRC-06..09): tar pairs, tars of JSON records and zip members, as Spark data sources.
 
-One partition an archive; an archive is read as a stream, so a head of a few megabytes costs a few megabytes.
+One partition a tar, read as a stream, so a head of a few megabytes costs a few megabytes; zips are read by ranges of members.
 """
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
 import os
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Picture kinds by priority.
 PICTURES = ("jpg", "jpeg", "png", "webp")
-TEXTS = ("json", "txt")
+#: Compressed bytes of zip members that one task reads.
+ZIP_BYTES = 64 << 20
 
 
 def listed(path: str, suffixes: tuple[str, ...]) -> list[str]:
@@ -44,57 +47,99 @@ def opened(uri: str, head: int | None = None):
     return io.BytesIO(stream.read(head)) if head else stream
 
 
-def members(stream, gz: bool) -> Iterator[tuple[str, bytes]]:
-    """Files of a tar in order; a truncated last one is left out."""
+def seekable(uri: str):
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(base)
+
+
+class _Info(tarfile.TarInfo):
+    """A header that ends early is an error; tarfile takes it for the archive's end."""
+
+    @classmethod
+    def fromtarfile(cls, tar):
+        try:
+            return super().fromtarfile(tar)
+        except tarfile.TruncatedHeaderError as e:
+            raise tarfile.ReadError(str(e)) from None
+
+
+def members(stream, gz: bool, head: bool = False) -> Iterator[tuple[str, bytes]]:
+    """Files of a tar in order. Only the head of a tar may end inside a member, which is then left out; a whole one that does is an error."""
     try:
-        with tarfile.open(fileobj=stream, mode="r|gz" if gz else "r|") as tar:
+        with tarfile.open(fileobj=stream, mode="r|gz" if gz else "r|", tarinfo=_Info) as tar:
             for m in tar:
                 if m.isfile():
                     data = tar.extractfile(m).read()
                     if len(data) != m.size:
-                        return
+                        raise EOFError(f"{m.name}: {len(data)} of {m.size} bytes")
                     yield m.name, data
-    except (tarfile.ReadError, EOFError, OSError):
-        return
+    except (tarfile.ReadError, EOFError, zlib.error, gzip.BadGzipFile):
+        if not head:
+            raise
+
+
+def _stem(name: str) -> tuple[str, str]:
+    """(base name without its last suffix, suffix in lower case)."""
+    stem, _, kind = name.rsplit("/", 1)[-1].rpartition(".")
+    return stem, kind.lower()
 
 
 def pairs(files: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, str, bytes, str]]:
-    """SRC-07, SRC-08: (key, kind, picture, text) of members with one stem; incomplete pairs and bad JSON are left out.
+    """SRC-07: (key, kind, picture, text) as soon as a key has a picture and its JSON, wherever in the archive they stand.
 
-    Members of a pair stand together; the best kind of picture wins, and JSON before plain text.
+    A key is the base name. A pair with broken JSON is left out, and so is what stays incomplete, which is held until the
+    archive ends. The best kind of picture that stands before the pair is complete wins.
     """
-
-    def whole(key: str | None, held: dict[str, bytes]):
-        picture = next((k for k in PICTURES if k in held), None)
-        text = next((k for k in TEXTS if k in held), None)
-        if picture and text:
+    held: dict[str, dict[str, bytes]] = {}
+    for name, data in files:
+        key, kind = _stem(name)
+        if kind not in PICTURES and kind != "json":
+            continue
+        of = held.setdefault(key, {})
+        of[kind] = data
+        picture = next((k for k in PICTURES if k in of), None)
+        if picture and "json" in of:
+            del held[key]
             try:
-                body = held[text].decode()
-                if text == "json":
-                    json.loads(body)
+                text = of["json"].decode()
+                json.loads(text)
             except ValueError:
-                return None
-            return key, picture, held[picture], body
-        return None
+                continue
+            yield key, picture, of[picture], text
+
 
-    key, held = None, {}
+def pictures(files: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, str, bytes, str]]:
+    """SRC-08: (key, kind, picture, text) of every picture of an archive's head, with its JSON, or its plain text as JSON {"txt": ...}, or {}."""
+    held: dict[str, dict[str, bytes]] = {}
     for name, data in files:
-        stem, _, kind = name.rpartition(".")
-        if stem != key:
-            if out := whole(key, held):
-                yield out
-            key, held = stem, {}
-        held[kind.lower()] = data
-    if out := whole(key, held):
-        yield out
+        key, kind = _stem(name)
+        held.setdefault(key, {})[kind] = data
+    for key, of in held.items():
+        picture = next((k for k in PICTURES if k in of), None)
+        if picture is None:
+            continue
+        text = "{}"
+        if "json" in of:
+            try:
+                text = of["json"].decode()
+                json.loads(text)
+            except ValueError:
+                text = "{}"
+        elif "txt" in of:
+            text = json.dumps({"txt": of["txt"].decode("utf-8", "ignore")}, ensure_ascii=False)
+        yield key, picture, of[picture], text
 
 
 class _File(InputPartition):
-    def __init__(self, uri: str):
-        self.uri = uri
+    def __init__(self, uri: str, first: int = 0, last: int = 0):
+        self.uri, self.first, self.last = uri, first, last
 
 
 class _Reader(DataSourceReader):
+    """rows(uri, stream, whether it is a head only)."""
+
     def __init__(self, options: dict, suffixes: tuple[str, ...], rows):
         self.options, self.suffixes, self.rows = options, suffixes, rows
 
@@ -104,16 +149,16 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         if partition is not None:
             head = self.options.get("headbytes")
-            yield from self.rows(partition.uri, opened(partition.uri, int(head) if head else None))
+            yield from self.rows(partition.uri, opened(partition.uri, int(head) if head else None), bool(head))
 
 
-def _pair_rows(uri, stream):
-    for row in pairs(members(stream, uri.endswith("gz"))):
+def _pair_rows(uri, stream, head):
+    for row in (pictures if head else pairs)(members(stream, uri.endswith("gz"), head)):
         yield (uri, *row)
 
 
-def _json_rows(uri, stream):
-    for name, data in members(stream, uri.endswith("gz")):
+def _json_rows(uri, stream, head):
+    for name, data in members(stream, uri.endswith("gz"), head):
         if name.endswith(".json"):
             try:
                 json.loads(data)
@@ -122,18 +167,40 @@ def _json_rows(uri, stream):
             yield uri, name, data.decode()
 
 
-def _zip_rows(uri, stream):
-    with zipfile.ZipFile(io.BytesIO(stream.read())) as z:
-        for i in z.infolist():
-            if not i.is_dir():
-                try:
-                    yield uri, i.filename, z.read(i), None
-                except (zipfile.BadZipFile, OSError) as e:
-                    yield uri, i.filename, None, str(e)
+class _ZipReader(DataSourceReader):
+    """Members by their offsets: an archive's directory is read first, then ranges of members, so no archive is held whole."""
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def partitions(self):
+        limit, out = int(self.options.get("rangebytes", ZIP_BYTES)), []
+        for uri in listed(self.options["path"], (".zip",)):
+            with zipfile.ZipFile(seekable(uri)) as z:
+                first, size, n = 0, 0, 0
+                for n, i in enumerate(z.infolist(), 1):
+                    size += i.compress_size
+                    if size >= limit:
+                        out.append(_File(uri, first, n))
+                        first, size = n, 0
+                if n > first:
+                    out.append(_File(uri, first, n))
+        return out
+
+    def read(self, partition):
+        if partition is None:
+            return
+        with zipfile.ZipFile(seekable(partition.uri)) as z:
+            for i in z.infolist()[partition.first : partition.last]:
+                if not i.is_dir():
+                    try:
+                        yield partition.uri, i.filename, z.read(i), None
+                    except (zipfile.BadZipFile, zlib.error) as e:  # the member; a fault of the store fails the task, which runs again
+                        yield partition.uri, i.filename, None, str(e)
 
 
 class TarPairs(DataSource):
-    """Options: path, headBytes."""
+    """Complete pairs of whole archives; with headBytes every picture of their heads. Options: path, headBytes."""
 
     @classmethod
     def name(cls):
@@ -161,7 +228,7 @@ class TarJson(DataSource):
 
 
 class ZipMembers(DataSource):
-    """SRC-06. A member that can't be read is a row with its error. Options: path."""
+    """SRC-06. A damaged member is a row with its error. Options: path, rangeBytes."""
 
     @classmethod
     def name(cls):
@@ -171,7 +238,7 @@ class ZipMembers(DataSource):
         return "archive string, name string, data binary, error string"
 
     def reader(self, schema):
-        return _Reader(dict(self.options), (".zip",), _zip_rows)
+        return _ZipReader(dict(self.options))
 
 
 def register(spark: SparkSession) -> None:

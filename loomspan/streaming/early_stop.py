@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -16,12 +17,15 @@ def track(stream: DataFrame, factor: float) -> DataFrame:
 
     def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         best, bad = state.get if state.exists else (float("inf"), 0)
-        rows = []
-        for r in pd.concat(list(batches)).sort_values("step").itertuples():
-            best = min(best, r.value)
-            bad = bad + 1 if r.value > best * factor else 0
-            rows.append((key[0], r.step, best, bad))
+        steps, values = [np.concatenate(x) for x in zip(*[(f["step"].to_numpy(), f["value"].to_numpy()) for f in batches], strict=True)]
+        order = np.argsort(steps, kind="stable")
+        for at in range(0, len(order), 10_000):  # two numbers a step are held, rows are made some at a time
+            rows = []
+            for i in order[at : at + 10_000].tolist():
+                best = min(best, float(values[i]))
+                bad = bad + 1 if values[i] > best * factor else 0
+                rows.append((key[0], int(steps[i]), best, bad))
+            yield pd.DataFrame(rows, columns=["run", "step", "best", "bad"])
         state.update((best, bad))
-        yield pd.DataFrame(rows, columns=["run", "step", "best", "bad"])
 
     return stream.groupBy("run").applyInPandasWithState(update, OUT, STATE, "append", "NoTimeout")

@@ -9,9 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructType
+
+#: Buckets of keys that batches have written.
+BUCKETS = 64
+
+
+class _Stopped(Exception):
+    """Ends a stream between two batches; the batch that it keeps out has written nothing."""
 
 
 def split(df: DataFrame, ok) -> tuple[DataFrame, DataFrame]:
@@ -26,21 +34,55 @@ def new_rows(batch: DataFrame, seen: DataFrame | None, keys: list[str]) -> DataF
     return rows if seen is None else rows.join(seen.select(*keys), keys, "left_anti")
 
 
-def run(spark: SparkSession, source: str, schema: StructType, where: str, checkpoint: str, ok, keys: list[str], files_per_trigger: int = 4, on_batch: Callable[[int], None] | None = None) -> None:
-    """Reads Parquet files under `source` until none is left; good rows go to where/rows, bad ones to where/dead."""
+def run(spark: SparkSession, source: str, schema: StructType, where: str, checkpoint: str, ok, keys: list[str], files_per_trigger: int = 4, on_batch: Callable[[int], None] | None = None, stop: Callable[[], bool] | None = None) -> None:
+    """Reads Parquet files under `source` until none is left; good rows go to where/rows, bad ones to where/dead.
+
+    A row's key is looked up among keys that earlier batches wrote in its own bucket of the hash space (STM-05), so a batch
+    reads the buckets that it has, and keys alone. Counters of each batch (read, kept, dead, repeated) go to where/ledger
+    (STM-06). `stop` is asked after every batch: where it says so, the stream ends there with its checkpoint (STM-07), and the
+    next run goes on. A batch that a stop or a crash cut short runs again and replaces what it wrote.
+    """
+    seen_schema = StructType([schema[k] for k in keys]).add("batch", LongType()).add("bucket", IntegerType())
+    stopping: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
+        if stopping:
+            raise _Stopped
+        batch = batch.persist()
         good, dead = split(batch, ok)
+        good = good.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/keys")
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
         seen = None
-        if number:
-            earlier = [f"{where}/rows/batch={k}" for k in range(number)]
-            fs = spark._jvm.org.apache.hadoop.fs
-            there = [p for p in earlier if fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs.Path(p))]
-            seen = spark.read.schema(schema).parquet(*there) if there else None
-        new_rows(good, seen, keys).write.mode("overwrite").parquet(f"{where}/rows/batch={number}")
+        if there:
+            touched = [r.bucket for r in good.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+            seen = spark.read.schema(seen_schema).option("basePath", f"{where}/keys").parquet(f"{where}/keys").where(F.col("bucket").isin(touched) & (F.col("batch") < number))
+        new = new_rows(good, seen, keys).drop("bucket")
+        new.write.mode("overwrite").parquet(f"{where}/rows/batch={number}")
+        kept = spark.read.schema(schema).parquet(f"{where}/rows/batch={number}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+        kept.select(*keys, bucket.alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{where}/keys/batch={number}")
         dead.write.mode("overwrite").parquet(f"{where}/dead/batch={number}")
+        read = batch.agg(F.count("*").alias("read"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("dead")).first()
+        n = kept.count()
+        counts = spark.createDataFrame([(read.read, n, read.dead, read.read - n - read.dead)], "read long, kept long, dead long, repeated long")
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{where}/ledger/batch={number}")
+        batch.unpersist()
         if on_batch:
             on_batch(number)
+        if stop and stop():
+            stopping.append(number)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").parquet(source)
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not stopping:
+            raise
+
+
+def counters(spark: SparkSession, where: str) -> DataFrame:
+    """STM-06: read, kept, dead and repeated rows of all batches."""
+    d = spark.read.schema("read long, kept long, dead long, repeated long").parquet(f"{where}/ledger/*")
+    return d.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("read", "kept", "dead", "repeated")])

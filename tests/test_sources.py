@@ -33,14 +33,44 @@ def test_tar_pairs(spark, tmp_path):
     (tmp_path / "x.tar").write_bytes(data)
     (tmp_path / "y.tar.gz").write_bytes(gzip.compress(data))
     rows = spark.read.format("loomspan_tar_pairs").option("path", str(tmp_path)).load().collect()
-    assert sorted((r.archive[-1], r.key, r.kind, bytes(r.picture), r.text) for r in rows) == sorted((z, k, kind, p, t) for z in "rz" for k, kind, p, t in [("a/1", "webp", b"P1", '{"id": 1}'), ("a/4", "jpg", b"P4", "hello")])
+    assert sorted((r.archive[-1], r.key, r.kind, bytes(r.picture), r.text) for r in rows) == [(z, "1", "webp", b"P1", '{"id": 1}') for z in "rz"]
 
 
-def test_tar_head_drops_the_cut_member(spark, tmp_path):
+def test_pairs_meet_wherever_they_stand():
+    files = [("x/a.webp", b"A"), ("x/b.webp", b"B"), ("y/a.json", b"{}"), ("y/b.json", b'{"k": 1}'), ("c.json", b"{}")]
+    assert list(archives.pairs(iter(files))) == [("a", "webp", b"A", "{}"), ("b", "webp", b"B", '{"k": 1}')]
+
+
+def test_tar_head_keeps_every_picture_and_drops_the_cut_member(spark, tmp_path):
     archives.register(spark)
-    (tmp_path / "x.tar").write_bytes(tar_bytes([("1.png", b"a" * 600), ("1.txt", b"t"), ("2.png", b"b" * 4000), ("2.txt", b"u")]))
-    rows = spark.read.format("loomspan_tar_pairs").option("path", str(tmp_path)).option("headBytes", 4000).load().collect()
-    assert [r.key for r in rows] == ["1"]
+    (tmp_path / "x.tar").write_bytes(tar_bytes([*ENTRIES, ("5.png", b"b" * 4000), ("5.txt", b"u")]))
+    rows = spark.read.format("loomspan_tar_pairs").option("path", str(tmp_path)).option("headBytes", 10_000).load().collect()
+    assert sorted((r.key, r.kind, r.text) for r in rows) == [("1", "webp", '{"id": 1}'), ("2", "webp", "{}"), ("3", "png", "{}"), ("4", "jpg", '{"txt": "hello"}')]
+
+
+def test_a_fault_inside_an_archive_is_an_error():
+    class Broken(io.BytesIO):
+        def read(self, n=-1):
+            if self.tell() > 3000:
+                raise OSError("gone")
+            return super().read(n)
+
+    data = tar_bytes([(f"{i}.webp", b"x" * 600) for i in range(30)])
+    with pytest.raises(OSError, match="gone"):
+        list(archives.members(Broken(data), False))
+    with pytest.raises((tarfile.ReadError, EOFError)):
+        list(archives.members(io.BytesIO(data[:2000]), False))
+    assert len(list(archives.members(io.BytesIO(data[:2000]), False, head=True))) == 1
+
+
+def test_zip_members_by_ranges(spark, tmp_path):
+    archives.register(spark)
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        for i in range(20):
+            z.writestr(f"{i}.bin", bytes([i]) * 100)
+    reader = spark.read.format("loomspan_zip").option("path", str(tmp_path)).option("rangeBytes", 250)
+    assert reader.load().rdd.getNumPartitions() == 7
+    assert {r.name: bytes(r.data) for r in reader.load().collect()} == {f"{i}.bin": bytes([i]) * 100 for i in range(20)}
 
 
 def test_tar_json_and_zip_with_fallback(spark, tmp_path):
