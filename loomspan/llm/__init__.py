@@ -7,8 +7,6 @@ from . import jaccard, lm_score, media, mixing, packing, pii_crf, quality, suffi
 
 def queries():
     return {
-        "op1_repeated_strings": suffix_dedup.query,
-        "op2_skip_chain_pii": pii_crf.query,
         "op1_repeated_strings": suffix_dedup.query,
         "op2_skip_chain_pii": pii_crf.query,
         "op3_media_archives": media.query,
@@ -18,7 +16,6 @@ def queries():
         "op7_best_fit_packing": packing.query,
         "op8_token_group_join": jaccard.query,
         "op9_cross_entropy_difference": lm_score.query,
-        "op9_cross_entropy_difference": lm_score.query,
         "op10_decision_list": quality.query,
     }
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspan.session import shared_base
+
 #: White space that separates words: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,16 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name (not created) under the folder that driver and executors share.
 
-    The cluster names that folder in spark.checkpoint.dir. Only where it is unset (tests) an own one is set.
+    The cluster names that folder in spark.checkpoint.dir. Only where it is unset, and the master local (tests), an own one is set.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir("/tmp/checkpoints/loomspan")
-        base = "file:///tmp/checkpoints/loomspan"
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/loomspan-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/loomspan-{uuid.uuid4().hex}"
 
 
 def filesystem(uri: str):
