@@ -424,7 +424,8 @@ def linked_sets(docs: DataFrame, k: int, percent: int, tokens: int = TOKENS) ->
     # A set's text is read from one of its rows, told by doc_id and text.
     row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
     sets = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.max("n_shingles").alias("n"), row.alias("row"))
-    sets = sets.select("k1", "k2", "n", F.col("row.doc_id").alias("d"), F.col("row.th").alias("h"))
+    # Written, since Catalyst would push joins of the sets below their aggregation, to all rows of a set with very many copies.
+    sets = common.written(sets.select("k1", "k2", "n", F.col("row.doc_id").alias("d"), F.col("row.th").alias("h")))
     nodes = components(candidate_edges(docs, k, percent)).select(F.col("node").alias("k1"), F.col("root").alias("cluster"))
     live = common.written(sets.join(nodes, "k1").select("cluster", "k1", "k2", "d", "h", "n"))
     totals = live.groupBy("cluster").agg(F.sum("n").alias("all"))
@@ -446,7 +447,7 @@ def link(docs: DataFrame, k: int, percent: int, tokens: int = TOKENS) -> DataFra
     linked = common.written(sets.join(found.select(F.col("node").alias("k1"), "root").hint("merge"), "k1"))
     least = linked.groupBy("root").agg(F.min("d").alias("component"))
     alone = sets.join(found.select(F.col("node").alias("k1")).hint("merge"), "k1", "left_anti").select("k1", "k2", F.col("d").alias("component"))
-    every = common.hot_join(linked, least, ["root"]).select("k1", "k2", "component").unionByName(alone)
+    every = common.written(common.hot_join(linked, least, ["root"]).select("k1", "k2", "component").unionByName(alone))
     out = common.hot_join(rows.select("doc_id", "n_shingles", "k1", "k2"), every, ["k1", "k2"])
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
