@@ -168,6 +168,30 @@ def test_media(spark, odd, none):
         assert sorted(str(tuple(r)[:5]) for r in got) == sorted(map(str, want))
 
 
+def test_media_forms_and_features(spark, odd, tmp_path):
+    """The query's stored form is a grey PNG that another reader decodes to the payload; features equal a plain count; equal texts are equal."""
+    from loomspan.functions import images
+
+    docs = odd.select("doc_id", "text").union(odd.where("doc_id = 12").selectExpr("doc_id + 900", "text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = media.query(spark, str(tmp_path)).collect()
+    seen = {}
+    for r in got:
+        seen.setdefault(r.payload_sha256, set()).add(tuple(r)[1:])
+    assert all(len(v) == 1 for v in seen.values()) and len(got) == docs.count()
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        form = media.to_png(payload)
+        assert images.decode(form)[:, :, 0].tobytes() == payload
+        edges = sum(abs(a - b) for a, b in zip(payload, payload[1:]))  # noqa: B905
+        counts = Counter(payload)
+        mode = min(counts, key=lambda x: (-counts[x], x))
+        feature = f"rows={len(payload) // media.WIDTH};sum={sum(payload)};square={sum(x * x for x in payload)};mode={mode};levels={len(counts)};edges={edges}"
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(form), hashlib.sha256(form).hexdigest(), feature)
+        assert seen[want[2]] == {want}
+
+
 def test_media_member_is_read_again_by_its_offset(spark, odd):
     where = common.shared_dir(spark)
     media.store(odd.coalesce(1), where)

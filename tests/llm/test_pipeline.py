@@ -1,5 +1,7 @@
+import random
+
 import corpus_pipeline
-from loomspan.llm import common
+from loomspan.llm import common, mixing
 
 
 def test_stages(spark, sf_dir):
@@ -32,3 +34,77 @@ def test_stages_on_nothing(spark, none, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.written(stage(spark, docs, sf_dir))
     assert docs.count() == 0
+
+
+def planted(spark):
+    """(documents, labels) of clean prose, junk, copies, near copies and personal data."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghilmnorstuvw") for _ in range(r.randint(2, 9)))
+    vocabulary = [word() for _ in range(3000)]
+    prose = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    rows, labels, group = [], [], {}
+    for i in range(160):
+        rows.append((i, " ".join(prose(r.randint(80, 400))), "clean"))
+        labels.append((i, 1, 0))
+    for i in range(200, 260):
+        rows.append((i, " ".join(w + "###" for w in prose(90)), "junk"))
+        labels.append((i, 0, 0))
+    for i in range(300, 310):
+        rows.append((i, "short text", "short"))
+    for i in range(20):
+        words = rows[i][1].split()
+        rows.append((400 + i, rows[i][1], "copy"))
+        words[len(words) // 2] = "changed"
+        rows.append((500 + i, " ".join(words), "near"))
+        group |= {400 + i: i, 500 + i: i}
+    for i in range(600, 620):
+        text = prose(100)
+        text[50] = f"user{i}@mail.example.com"
+        text[60] = f"10.0.{i - 600}.7"
+        text[70] = f"+1 (555) 123-{4000 + i}"
+        rows.append((i, " ".join(text), "private"))
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {i: k for i, _, k in rows}, group
+
+
+def test_decisions_on_planted_documents(spark, tmp_path):
+    docs, labels, kinds, group = planted(spark)
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs, sf_dir = common.table(spark, str(tmp_path), "documents"), str(tmp_path)
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, common.written(stage(spark, docs, sf_dir))
+        rows = docs.collect()
+        ids = {r.doc_id for r in rows}
+        if name == "quality_rules":
+            assert ids == {i for i, k in kinds.items() if k not in ("junk", "short")}
+        elif name == "near_duplicates":
+            assert not ids & set(group) and ids == {i for i, k in kinds.items() if k in ("clean", "private")}
+        elif name == "personal_data":
+            old = {r.doc_id: r.text for r in before.collect()}
+            for r in rows:
+                if kinds[r.doc_id] == "clean":
+                    assert r.text == old[r.doc_id]
+                else:
+                    assert "@" not in r.text and "555" not in r.text and "10.0." not in r.text and {"<EMAIL>", "<IP>", "<PHONE>"} <= set(r.text.split())
+        elif name == "source_mix":
+            sizes = {r.doc_id: len(r.text.split()) for r in before.collect()}
+            source = {r.doc_id: r.source for r in before.collect()}
+            words = lambda of, s: sum(n for i, n in of.items() if source[i] == s)
+            names = sorted(set(source.values()))
+            want = mixing.targets([words(sizes, s) for s in names], [5.0, 2.0, 1.0])
+            taken = {r.doc_id: len(r.text.split()) for r in rows}
+            assert all(taken[i] <= 2 * sizes[i] for i in taken)
+            assert all(abs(words(taken, s) - w) <= 2 * mixing.BLOCK for s, w in zip(names, want, strict=True))
+        else:
+            held = {}
+            for r in rows:
+                held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            for parts in held.values():
+                at = 0
+                for offset, length in sorted(parts):
+                    assert offset == at
+                    at += length
+                assert at <= 4096
+            total = sum(r.length for r in rows)
+            assert {r.doc_id for r in rows} == {r.doc_id for r in before.collect()} and len(held) <= -(-total // 4096) + 1
