@@ -16,8 +16,10 @@ Strings that follow one another and share their sampled place are one context, a
    preceding byte (the transform's column), keeps its order, and common prefixes grow by one inside it.
    Intervals of one suffix are dropped at once, and the extension stops at the threshold: a string repeats where a
    neighbour's common prefix reaches `length`.
-4. Grams with over HOT contexts are split by their strings instead: rows keyed by the whole string's hash are
-   collapsed as in 2, so that no task gathers such a group.
+4. A gram with over HOT contexts is made longer: a string has room for `half` bytes more after the gram, or else before it, so
+   each context gives at most two, each with a longer gram of its own and the strings that hold it; equal strings still
+   meet. These go to 3, or, where still hot, on in 4, until a gram is nearly a string; what is left then (very many different
+   contexts of one gram of length - 1 bytes) is keyed by the whole string's hash and collapsed as in 2.
 
 Keys of rows, contexts and whole strings have 64, 128 and 128 hash bits; candidates of step 3 are compared by bytes.
 Null texts are empty. Rows with equal doc_id and text count as two texts and are cut alike. Very long texts
@@ -42,7 +44,9 @@ GRAM = 40
 #: Text that is sampled at once.
 PIECE = 1 << 21
 #: Distinct contexts of a gram over which its strings are dealt one by one.
-HOT = 100_000
+HOT = 2_000
+#: Hot grams that are broadcast at most.
+HOT_GRAMS = 1_000_000
 #: Contexts that one index holds, whole grams at a time.
 INDEX_ROWS = 200_000
 SAMPLE_MB = 8
@@ -359,10 +363,48 @@ def ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
     bodies = _fetched(found.where(F.col("kind") == CANDIDATE), keyed, parts, length)
     out = found.where(F.col("kind") == RANGE).select("key", "start", "strings").union(_compared(bodies, parts, length, gram, rows_held))
     if not found.where(F.col("kind") == HOT_CANDIDATE).isEmpty():
-        out = out.union(_by_string(_fetched(found.where(F.col("kind") == HOT_CANDIDATE), keyed, parts, length), parts, length))
+        out = out.union(_longer(_fetched(found.where(F.col("kind") == HOT_CANDIDATE), keyed, parts, length), parts, length, gram, hot, rows_held))
     return keyed, out
 
 
+def split(rows: pa.RecordBatch, length: int, gram: int, half: int) -> pa.RecordBatch:
+    """BODY rows with grams of gram + half bytes: strings that have half bytes after their gram keep its start, the others' gram starts earlier."""
+    out = []
+    for h, key, start, strings, off, heavy, body in zip(*[c.to_pylist() for c in rows.columns], strict=True):
+        early = min(max(off - (length - gram - half), 0), strings)  # strings with fewer than half bytes after the gram
+        for first, n, to in ((0, early, off - half), (early, strings - early, off - early)):
+            if n:
+                part = body[first : first + n - 1 + length]
+                name = hashlib.blake2b(part[to : to + gram + half], digest_size=8, key=(h & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")).digest()
+                # The side is part of the key: a gram of one side is not compared with one of the other.
+                out.append((int.from_bytes(name, "little", signed=True) ^ (first == 0 and n == early), key, start + first, n, to, heavy, part))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(BODY)], schema=BODY)
+
+
+def _longer(bodies: DataFrame, parts: int, length: int, gram: int, hot: int, rows_held: int) -> DataFrame:
+    """Ranges in hot grams, by grams that grow until they are not hot."""
+    out = None
+    while half := (length - gram) // 2:
+
+        def grow(batches, gram=gram, half=half):
+            for rb in batches:
+                for at in range(0, rb.num_rows, 4096):
+                    yield split(rb.slice(at, 4096), length, gram, half)
+
+        bodies, gram = common.written(bodies.mapInArrow(grow, BODY_DDL)), gram + half
+        heavy = common.written(bodies.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h"))
+        none = heavy.isEmpty()
+        # Hot grams are told by broadcast while they are few; beyond, a merge join does.
+        few = F.broadcast(heavy) if none or heavy.count() <= HOT_GRAMS else heavy.hint("merge")
+        done = _compared(bodies if none else bodies.join(few, "h", "left_anti"), parts, length, gram, rows_held)
+        out = done if out is None else out.union(done)
+        if none:
+            return out
+        bodies = bodies.join(few, "h", "left_semi").select(*BODY.names)
+    rest = _by_string(bodies, parts, length)
+    return rest if out is None else out.union(rest)
+
+
 def _by_string(bodies: DataFrame, parts: int, length: int) -> DataFrame:
     """Ranges in grams of very many contexts: each string is a row, collapsed by its hash."""
     buckets = parts * BUCKETS_PER_PART
