@@ -44,7 +44,7 @@ GRAM = 40
 #: Text that is sampled at once.
 PIECE = 1 << 21
 #: Distinct contexts of a gram over which its strings are dealt one by one.
-HOT = 2_000
+HOT = 100_000
 #: Hot grams that are broadcast at most.
 HOT_GRAMS = 1_000_000
 #: Contexts that one index holds, whole grams at a time.
@@ -360,13 +360,22 @@ def ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
                 yield from _send(h, c, keys[text], meta, buckets)
 
     found = common.written(_meet(keyed.select("key", "text").mapInArrow(sample, "bucket int, kind byte, data binary"), parts, hot))
-    bodies = _fetched(found.where(F.col("kind") == CANDIDATE), keyed, parts, length)
-    out = found.where(F.col("kind") == RANGE).select("key", "start", "strings").union(_compared(bodies, parts, length, gram, rows_held))
-    if not found.where(F.col("kind") == HOT_CANDIDATE).isEmpty():
-        out = out.union(_longer(_fetched(found.where(F.col("kind") == HOT_CANDIDATE), keyed, parts, length), parts, length, gram, hot, rows_held))
+    out = found.where(F.col("kind") == RANGE).select("key", "start", "strings")
+    bodies = _fetched(found.where(F.col("kind") != RANGE), keyed, parts, length)
+    heavy = common.written(found.where(F.col("kind") == HOT_CANDIDATE).select("h").distinct())
+    if heavy.isEmpty():
+        return keyed, out.union(_compared(bodies, parts, length, gram, rows_held))
+    bodies, few = common.written(bodies), _few(heavy)  # texts are shuffled once for both
+    out = out.union(_compared(bodies.join(few, "h", "left_anti"), parts, length, gram, rows_held))
+    out = out.union(_longer(bodies.join(few, "h", "left_semi").select(*BODY.names), parts, length, gram, hot, rows_held))
     return keyed, out
 
 
+def _few(heavy: DataFrame) -> DataFrame:
+    """Hot grams are told by broadcast while they are few; beyond, a merge join does."""
+    return F.broadcast(heavy) if heavy.count() <= HOT_GRAMS else heavy.hint("merge")
+
+
 def split(rows: pa.RecordBatch, length: int, gram: int, half: int) -> pa.RecordBatch:
     """BODY rows with grams of gram + half bytes: strings that have half bytes after their gram keep its start, the others' gram starts earlier."""
     out = []
@@ -393,9 +402,7 @@ def _longer(bodies: DataFrame, parts: int, length: int, gram: int, hot: int, row
 
         bodies, gram = common.written(bodies.mapInArrow(grow, BODY_DDL)), gram + half
         heavy = common.written(bodies.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h"))
-        none = heavy.isEmpty()
-        # Hot grams are told by broadcast while they are few; beyond, a merge join does.
-        few = F.broadcast(heavy) if none or heavy.count() <= HOT_GRAMS else heavy.hint("merge")
+        none, few = heavy.isEmpty(), _few(heavy)
         done = _compared(bodies if none else bodies.join(few, "h", "left_anti"), parts, length, gram, rows_held)
         out = done if out is None else out.union(done)
         if none:
