@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, line_dedup, lm_score, media, mixing, packing, pii_crf, quality, suffix_dedup, token_files, warc
+from . import conversations, jaccard, line_dedup, lm_score, media, mixing, packing, pii_crf, quality, sort_means, suffix_dedup, token_files, warc
 
 
 def queries():
@@ -17,9 +17,11 @@ def queries():
         "op8_token_group_join": jaccard.query,
         "op9_cross_entropy_difference": lm_score.query,
         "op10_decision_list": quality.query,
+        "op11_conversation_repair": conversations.query,
+        "op12_sort_means": sort_means.query,
         "op13_line_dedup": line_dedup.query,
     }
 
 
 def oracle_sql():
-    return {"op4_warc_normaliser": warc.ORACLE_SQL, "op13_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op4_warc_normaliser": warc.ORACLE_SQL, "op12_sort_means": sort_means.ORACLE_SQL, "op13_line_dedup": line_dedup.ORACLE_SQL}
