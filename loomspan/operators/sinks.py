@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text as S
 from loomspan.operators.sampling import chunks
+from loomspan.sources.remote import filesystem
 
 #: Rows of one numpy file: what a task holds.
 FILE_ROWS = 65_536
@@ -23,10 +24,9 @@ def write_numpy(df: DataFrame, column: str, where: str, kind: str = "npy", name:
     """
 
     def run(batches):
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        system, base = fs.FileSystem.from_uri(where)
+        system, base = filesystem(where)
         system.create_dir(base, recursive=True)
         task, held, n, first, files = TaskContext.get(), [], 0, 0, 0
 

@@ -17,6 +17,7 @@ from loomspan.operators import evaluate as E
 from loomspan.operators import store
 from loomspan.session import shared_base
 from loomspan.sources import archives, fetch, files, tfrecord
+from loomspan.sources.remote import filesystem
 from loomspan.streaming import ingest
 
 from .registry import ORACLES, QUERIES, query
@@ -28,9 +29,7 @@ def folder(spark: SparkSession) -> str:
 
 
 def put(where: str, name: str, data: bytes) -> None:
-    from pyarrow import fs
-
-    system, base = fs.FileSystem.from_uri(where)
+    system, base = filesystem(where)
     system.create_dir(base, recursive=True)
     with system.open_output_stream(f"{base}/{name}", compression=None) as f:
         f.write(data)

@@ -35,6 +35,11 @@ def shared_base(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir("/tmp/checkpoints/loomspan")
         base = "file:///tmp/checkpoints/loomspan"
-    if "://" not in base:
-        base = "file://" + base.removeprefix("file:")
-    return base.rstrip("/")
+    return qualified(spark, base).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path as a full URI: what has no scheme lies in the cluster's default file system, as Hadoop resolves it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .remote import filesystem
+
 # Picture kinds by priority.
 PICTURES = ("jpg", "jpeg", "png", "webp")
 #: Compressed bytes of zip members that one task reads.
@@ -29,7 +31,7 @@ def listed(path: str, suffixes: tuple[str, ...]) -> list[str]:
     from pyarrow import fs
 
     uri = path if "://" in path else "file://" + os.path.abspath(path)
-    system, base = fs.FileSystem.from_uri(uri)
+    system, base = filesystem(uri)
     info = system.get_file_info(base)
     if info.type == fs.FileType.File:
         return [uri]
@@ -40,17 +42,13 @@ def listed(path: str, suffixes: tuple[str, ...]) -> list[str]:
 
 def opened(uri: str, head: int | None = None):
     """A readable stream of a file, or of its first `head` bytes."""
-    from pyarrow import fs
-
-    system, base = fs.FileSystem.from_uri(uri)
+    system, base = filesystem(uri)
     stream = system.open_input_stream(base, compression=None)
     return io.BytesIO(stream.read(head)) if head else stream
 
 
 def seekable(uri: str):
-    from pyarrow import fs
-
-    system, base = fs.FileSystem.from_uri(uri)
+    system, base = filesystem(uri)
     return system.open_input_file(base)
 
 

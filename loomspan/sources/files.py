@@ -11,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from .archives import listed, opened
+from .remote import filesystem
 
 
 def projected(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -60,9 +61,7 @@ def parquet_peek(spark: SparkSession, path: str) -> DataFrame:
         for rb in batches:
             rows = []
             for uri in rb.column(0).to_pylist():
-                from pyarrow import fs
-
-                system, base = fs.FileSystem.from_uri(uri)
+                system, base = filesystem(uri)
                 m = pq.read_metadata(base, filesystem=system)
                 rows.append((uri, system.get_file_info(base).size, m.num_rows, m.num_row_groups, m.num_columns))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(5)], ["file", "bytes", "n_rows", "row_groups", "columns"])
@@ -85,11 +84,9 @@ class _GroupReader(DataSourceReader):
         import random
 
         import pyarrow.parquet as pq
-        from pyarrow import fs
-
         out = []
         for uri in listed(self.options["path"], (".parquet",)):
-            system, base = fs.FileSystem.from_uri(uri)
+            system, base = filesystem(uri)
             n = pq.read_metadata(base, filesystem=system).num_row_groups
             if n:
                 out.append(_Group(uri, random.Random(f"{self.options.get('seed', '0')}/{os.path.basename(uri)}").randrange(n)))
@@ -100,9 +97,8 @@ class _GroupReader(DataSourceReader):
             import json
 
             import pyarrow.parquet as pq
-            from pyarrow import fs
 
-            system, base = fs.FileSystem.from_uri(partition.uri)
+            system, base = filesystem(partition.uri)
             columns = self.options.get("columns")
             with system.open_input_file(base) as f:
                 t = pq.ParquetFile(f).read_row_group(partition.group, columns.split(",") if columns else None)
