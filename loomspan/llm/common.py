@@ -10,6 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,11 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a URI; works on the driver and on executors."""
-    from pyarrow import fs
+    from loomspan.sources.remote import filesystem as opened
 
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)
+    return opened(uri)
 
 
 def written(df: DataFrame, where: str | None = None) -> DataFrame:
@@ -85,6 +84,30 @@ def scan_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+def one_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, text: of the rows with equal keys, the text with the smallest hash. A task sends on a row a key, so a key with many rows is no one's burden."""
+    return rows.groupBy(*keys).agg(F.min_by(F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).alias("text"))
+
+
+def sampled(docs: DataFrame, bound: int) -> DataFrame:
+    """_id, text: one row for each of at most `bound` ids, those whose hashes are smallest; rows without id are left out."""
+    ids = docs.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(bound)
+    return one_each(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")), "_id")
+
+
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_file` and `_row`, which tell rows apart whatever they hold: a hash of the file's name, and the place in it.
+
+    Rows that come from no file are written to one first; rows that have a key keep it.
+    """
+    if {"_file", "_row"} <= set(docs.columns):
+        return docs
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return written(docs).select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def parts_for(df: DataFrame, mb: float) -> int:
     """Partitions so that each holds about that many MB of the files below the plan; one wave of cores at least.
 

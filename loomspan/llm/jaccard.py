@@ -132,8 +132,7 @@ def sizes_and_keys(docs: DataFrame, k: int) -> DataFrame:
 
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Sorted shingles that a bounded sample of documents finds frequent; any answer gives right results."""
-    ids = docs.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
-    sample = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text")
+    sample = common.sampled(docs, SAMPLE_DOCS).select("text")
 
     def tokens(batches):
         for rb in batches:

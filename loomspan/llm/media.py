@@ -5,7 +5,7 @@ archives. Reading plans byte ranges over the archives; a partition streams the m
 range through Arrow, and reads each member by its own offset, again and on its own when a read fails.
 
 A null text is an empty one, and an empty payload is one row of padding. Repeated rows and equal doc_ids are
-members of their own; a null doc_id comes back null. A very long text is one member; batches are cut by bytes.
+members of their own; a null doc_id comes back null. A second write to a folder adds to the first. A very long text is one member; batches are cut by bytes.
 An empty table writes no archive and reads as no rows. Extra columns are ignored.
 """
 
@@ -15,6 +15,7 @@ import hashlib
 import json
 import struct
 import time
+import uuid
 import zipfile
 import zlib
 
@@ -35,7 +36,8 @@ BATCH_BYTES = 8 << 20
 BATCH_ROWS = 1024
 RETRIES = 4
 SCHEMA = "doc_id long, media binary"
-MANIFEST = "_archives.json"
+#: Folder of manifests: one for each committed write, so that writes add up.
+MANIFESTS = "_manifests"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -117,9 +119,13 @@ class Reader(DataSourceReader):
 
     def partitions(self):
         """Byte ranges over the committed archives; only names and sizes come to the planner."""
+        from pyarrow.fs import FileSelector
+
         fs, base = common.filesystem(self.where)
-        with fs.open_input_stream(f"{base}/{MANIFEST}") as f:
-            archives = json.loads(f.read())
+        archives = []
+        for found in sorted(fs.get_file_info(FileSelector(f"{base}/{MANIFESTS}")), key=lambda x: x.path):
+            with fs.open_input_stream(found.path) as f:
+                archives += json.loads(f.read())
         return [Range(name, at, min(at + self.range_bytes, size)) for name, size in archives for at in range(0, size, self.range_bytes)]
 
     def read(self, partition: Range | None):
@@ -144,10 +150,10 @@ class Reader(DataSourceReader):
 
 class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict):
-        self.where, self.limit = options["path"], int(options.get("archivebytes", ARCHIVE_BYTES))
+        self.where, self.limit, self.job = options["path"], int(options.get("archivebytes", ARCHIVE_BYTES)), uuid.uuid4().hex
 
     def write(self, iterator):
-        """Archives of one task, named by its attempt: only the attempt that commits gets into the manifest."""
+        """Archives of one task, named by its write and attempt: only the attempt that commits gets into the write's manifest."""
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -166,7 +172,7 @@ class Writer(DataSourceArrowWriter):
         for rb in iterator:
             for key, text in zip(rb.column(0).to_pylist(), rb.column(1), strict=True):
                 if archive is None:
-                    name = f"part-{task.partitionId():07d}-{task.taskAttemptId()}-{len(done):04d}.zip"
+                    name = f"part-{self.job}-{task.partitionId():07d}-{task.taskAttemptId()}-{len(done):04d}.zip"
                     sink = fs.open_output_stream(f"{base}/{name}")
                     archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
                 archive.writestr(zipfile.ZipInfo(f"{n}-{'null' if key is None else key}.png"), to_png(padded((text.as_py() or "").encode())))
@@ -178,8 +184,8 @@ class Writer(DataSourceArrowWriter):
 
     def commit(self, messages):
         fs, base = common.filesystem(self.where)
-        fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(f"{base}/{MANIFEST}") as f:
+        fs.create_dir(f"{base}/{MANIFESTS}", recursive=True)
+        with fs.open_output_stream(f"{base}/{MANIFESTS}/{self.job}.json") as f:
             f.write(json.dumps(sorted(a for m in messages if m for a in m.archives)).encode())
 
     def abort(self, messages):

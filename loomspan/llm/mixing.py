@@ -199,12 +199,18 @@ def draw_slots(spark: SparkSession, blocks: list[int], slots: list[int], seed: i
     return spark.range(0, shards, 1, tasks).mapInArrow(draw, "shard long, slot int, source_no int, pass int, block long")
 
 
+#: What tells a document's rows apart where its id does not: see common.row_keyed.
+ROW = ("_file", "_row")
+
+
 def mix(docs: DataFrame, block: int = BLOCK, share: float = SHARE, cap: int = CAP, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(a row per document with its source's figures and its place in the source's stream, slots of the mix)."""
+    """(a row per document with its key, its source's figures and its place in the source's stream, slots of the mix)."""
     spark = docs.sparkSession
-    sized = common.written(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(common.WORD)).cast("long").alias("size")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sized = common.written(common.row_keyed(docs).select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("size"), F.xxhash64(text).alias("th"), *ROW))
     n = sized.count()
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(max(1, n // BUCKET_DOCS))))
+    # The order goes by id and text, so that reruns agree wherever the files lie; rows with one id, or none, are in many buckets.
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "th", F.lit(seed)), F.lit(max(1, n // BUCKET_DOCS))))
     sums = common.written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     # One row per source; refused where even those would be too many for the driver.
     found = sums.groupBy("source").agg(F.sum("words").alias("words")).limit(MAX_SOURCES + 1).collect()
@@ -222,12 +228,12 @@ def mix(docs: DataFrame, block: int = BLOCK, share: float = SHARE, cap: int = CA
     groups = grouped.groupBy("source", "g").agg(F.sum("words").alias("words")).select(F.col("source").alias("gs"), F.col("g").alias("gg"), upto(["source"], "g").alias("groups"))
     before = grouped.withColumn("inside", upto(["source", "g"], "bucket")).join(groups, F.col("source").eqNullSafe(F.col("gs")) & (F.col("g") == F.col("gg")))
     before = before.select(F.col("source").alias("s"), F.col("bucket").alias("b"), (F.col("groups") + F.col("inside")).alias("before"))
-    order = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source", "bucket").orderBy("doc_id", "th", "size", *ROW).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumn("upto", F.sum("size").over(order))
     placed = placed.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     placed = placed.join(figures, F.col("source").eqNullSafe(F.col("name")))
     at = F.col("before") + F.col("upto") - F.col("size")
-    return placed.select("doc_id", "source", "size", "source_no", "source_size", "target", at.alias("start")), draw_slots(spark, blocks, slots, seed)
+    return placed.select("doc_id", "source", "size", "source_no", "source_size", "target", at.alias("start"), *ROW), draw_slots(spark, blocks, slots, seed)
 
 
 def spans(placed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -236,21 +242,22 @@ def spans(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     d = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block).cast("long"), last)))
     first = F.greatest(F.col("block") * block, F.col("start")) - F.col("start")
     upto = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size")) - F.col("start")
-    return d.select("doc_id", "source_no", "start", "block", first.alias("first"), upto.alias("upto"))
+    return d.select("doc_id", "source_no", "start", "block", first.alias("first"), upto.alias("upto"), *ROW)
 
 
 def shards(docs: DataFrame, block: int = BLOCK, share: float = SHARE, cap: int = CAP, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(a row per document as mix() gives it, the written mix).
 
     The mix has a row for each document's piece of a slot, ordered by shard, slot and place: shard, slot, pass, source_no,
-    block, doc_id, start (the document's place in its source's stream), first and upto (the piece's words in the document).
+    block, doc_id, start (the document's place in its source's stream), first and upto (the piece's words in the document),
+    and the key of the document's row.
     """
     placed, slots = mix(docs, block, share, cap, weights, seed)
     placed = common.written(placed)
     # Spark takes the drawn slots for a small table, since it knows no size of theirs.
     joined = spans(placed, block).join(slots.hint("merge"), ["source_no", "block"])
     parts = common.parts_for(docs, SHARD_MB)
-    out = joined.select("shard", "slot", "pass", "source_no", "block", "doc_id", "start", "first", "upto").repartition(parts, "shard")
+    out = joined.select("shard", "slot", "pass", "source_no", "block", "doc_id", "start", "first", "upto", *ROW).repartition(parts, "shard")
     return placed, common.written(out.sortWithinPartitions("shard", "slot", "start"))
 
 

@@ -160,14 +160,14 @@ def learn(rows: list[tuple[tuple[float, ...], bool, int]], names: list[str]) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS) -> list[Rule]:
-    """Decision list from `labels` (doc_id, quality) over at most `bound` labelled documents."""
+    """Decision list from `labels` (doc_id, quality) over at most `bound` labelled documents, one row each: an id has one vote."""
     sample = (
         labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
         .where("lo = hi").select(F.col("doc_id").alias("_id"), (F.col("lo") == 0).alias("_bad"))
         .orderBy(F.xxhash64("_id"), "_id").limit(bound)
     )
     # At most `bound` rows of 9 bytes: a broadcast of proven size.
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    labelled = common.one_each(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")), "_id", "_bad")
     named = features()
     # A filter on the statistics would be pushed below them and repeat their expressions, so it waits for the driver.
     got = with_stats(labelled).select("_id", "_bad", F.pmod(F.xxhash64(F.col("_id"), F.lit(7)), F.lit(3)).alias("_fold"), base_failed().alias("_failed"), *[c.alias(n) for n, c in named.items()]).collect()

@@ -436,3 +436,49 @@ def test_counts_of_any_size_come_back():
     data = b"x" + lm_score.small(values) + lm_score.small(values[:0])
     got, at = lm_score.unsmall(data, 1)
     assert got.tolist() == values.tolist() and lm_score.unsmall(data, at)[0].tolist() == []
+
+
+@pytest.mark.parametrize("place", ["{0} {1}", "{1}{0}", "{1}{0}{1}", "{0}{1}", "{1} {0} {1}"])
+def test_personal_data_in_words_of_megabytes(place):
+    """A word without white space beside, before and after a digit: time is linear in its length."""
+    import time
+
+    for long in ("a" * 1_500_000, "漢字" * 400_000):
+        text = place.format("1", long) + " call +1 (555) 123-4567"
+        began = time.process_time()
+        spans = [text[a:b] for a, b in pii_crf.candidates(text)]
+        assert "".join(text.split()).endswith("".join(spans[-3:])) and pii_crf.base_spans(text)[-1][0] == 3
+        pii_crf.Nodes(text)
+        assert time.process_time() - began < 5
+
+
+def test_candidates_are_the_words_with_a_sign():
+    r = random.Random(8)
+    for _ in range(3000):
+        text = "".join(r.choice("ab1@+ \t\n\x0b\x0c\r\x1c\u00a0.漢") for _ in range(r.randint(0, 40)))
+        want = [m.span() for m in WORD.finditer(text) if re.search("[0-9@+]", m.group())]
+        assert list(pii_crf.candidates(text)) == want
+
+
+def test_long_runs_of_numbers_are_linked():
+    digits = [f"{k:04d}" for k in range(1000, 1012)]
+    nodes = pii_crf.Nodes(" ".join(digits) + " and then " + "".join(digits))
+    assert any(j == 12 for _, j, k in nodes.edges if k != pii_crf.CHAIN)
+
+
+def test_two_writes_of_media_add_up(spark):
+    where = common.shared_dir(spark)
+    for i in (1, 2):
+        media.store(spark.createDataFrame([(i, f"text {i}")], "doc_id long, text string"), where)
+    media.store(spark.createDataFrame([], "doc_id long, text string"), where)
+    assert sorted(r.doc_id for r in media.load(spark, where).collect()) == [1, 2]
+
+
+def test_an_id_has_one_vote(spark, monkeypatch):
+    """One labelled id on thousands of rows is one row of every sample."""
+    docs = spark.range(5000).selectExpr("1 as doc_id", "concat('text number ', id) as text", "id as extra").union(spark.sql("select 2, null, 0L"))
+    assert sorted((r._id, r.text is None) for r in common.sampled(docs, 8).collect()) == [(1, False), (2, True)]
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda rows, names: seen.append(len(rows)) or [])
+    quality.fit(docs, spark.createDataFrame([(1, 0, 0), (1, 0, 0), (2, 1, 0)], LABELS), bound=8)
+    assert seen[0] <= 2

@@ -108,3 +108,19 @@ def test_decisions_on_planted_documents(spark, tmp_path):
                 assert at <= 4096
             total = sum(r.length for r in rows)
             assert {r.doc_id for r in rows} == {r.doc_id for r in before.collect()} and len(held) <= -(-total // 4096) + 1
+
+
+def test_mix_of_repeated_and_null_ids(spark):
+    """Each row has the words that the shards hold of it, and never more than two passes over its text."""
+    text = lambda n, w: " ".join(f"{w}{k}" for k in range(n))
+    rows = [(1, text(1000, "a"), "x"), (1, text(100, "b"), "x"), (None, text(300, "c"), "x"), (None, text(300, "d"), "y"), (None, text(40, "e"), "y"), (2, None, "y"), (None, text(40, "e"), "y")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = common.written(docs.repartition(3))
+    out = corpus_pipeline.source_mix(spark, docs, "").collect()
+    _, mixed = mixing.shards(docs)
+    assert sum(len(r.text.split()) for r in out) == sum(r.upto - r["first"] for r in mixed.collect())
+    size = {"a": 1000, "b": 100, "c": 300, "d": 300, "e": 40}
+    for r in out:
+        letters = {w[0] for w in r.text.split()}
+        assert len(letters) == 1 and len(r.text.split()) <= 2 * size[letters.pop()]
+    assert sum("e0" in r.text.split() for r in out) <= 2 and all(r.doc_id == 1 for r in out if r.text[0] in "ab")
