@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspan.operators.scan import ranged
+
 
 def count_window(step: Column, n: int) -> Column:
     """AGG-30: number of the window of n steps that a step (from 1) falls in."""
@@ -26,17 +28,19 @@ def mean_where(x: str, cond: Column) -> Column:
 
 def edges(df: DataFrame, run: str, order: str, n: int = 10) -> DataFrame:
     """AGG-25: flags of the first and last n rows of a run."""
-    up, down = Window.partitionBy(run).orderBy(order), Window.partitionBy(run).orderBy(F.desc(order))
-    return df.withColumn("is_first", F.row_number().over(up) <= n).withColumn("is_last", F.row_number().over(down) <= n)
+    r = ranged(df, [run], order).running(_at=("count", None)).totals(_n=None)
+    return r.with_columns({"is_first": F.col("_at") <= n, "is_last": F.col("_n") - F.col("_at") < n}).rows().drop("_at", "_n")
 
 
 def early_stop(df: DataFrame, run: str, order: str, value: str, factor: float) -> DataFrame:
-    """WIN-08: running best and the number of values in a row above best * factor."""
-    upto = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = df.withColumn("best", F.min(value).over(upto)).withColumn("_bad", F.col(value) > F.col("best") * F.lit(factor))
-    d = d.withColumn("_island", F.sum(F.when(F.col("_bad"), 0).otherwise(1)).over(upto))
-    inside = Window.partitionBy(run, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return d.withColumn("bad", F.sum(F.col("_bad").cast("bigint")).over(inside)).drop("_bad", "_island")
+    """WIN-08: running best and the number of values in a row above best * factor; a null value is not above it.
+
+    The counter is the distance to the last row that reset it, so both are running extremes: two scans over the same ranges.
+    """
+    r = ranged(df, [run], order).running(best=("min", value), _at=("count", None))
+    above = F.coalesce(F.col(value) > F.col("best") * F.lit(factor), F.lit(False))
+    r = r.with_columns({"_reset": F.when(~above, F.col("_at"))}).running(_last=("max", "_reset"))
+    return r.with_columns({"bad": F.col("_at") - F.coalesce("_last", F.lit(0))}).rows().drop("_at", "_reset", "_last")
 
 
 def ema(values: Column, decay: float) -> Column:
@@ -76,8 +80,8 @@ def ema_whole(df: DataFrame, run: str, order: str, value: str, decay: float, wid
 
 def even_sample(df: DataFrame, run: str, order: str, n: int) -> DataFrame:
     """WIN-10: n evenly spaced rows of each run, half-even places; short runs repeat rows."""
-    ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(run).orderBy(order)) - 1)
-    size = ranked.groupBy(run).agg(F.count("*").alias("_n"))
+    ranked = ranged(df, [run], order).running(_i=("count", None)).rows().withColumn("_i", F.col("_i") - 1)
+    size = df.groupBy(run).agg(F.count("*").alias("_n"))
     at = size.select(run, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("point"), "_n")
     at = at.withColumn("_i", F.bround(F.col("point") * (F.col("_n") - 1) / F.lit(float(n - 1)), 0).cast("int")).drop("_n")
     return ranked.join(at, [run, "_i"]).drop("_i")
@@ -103,8 +107,14 @@ def rates(df: DataFrame, by: list[str], at: str, counters: list[str]) -> DataFra
     return d.withColumn("per_second", F.col(counters[0]) / F.greatest(F.col("seconds"), F.lit(1e-6)))
 
 
-def due(df: DataFrame, run: str, step: str, seconds: str, steps: int, minutes: float) -> DataFrame:
-    """STM-08: df with `due_steps`, true at every `steps`-th step, and `due_minutes`, true where the seconds so far pass another `minutes`."""
-    passed = F.floor(F.col(seconds) / F.lit(60.0 * minutes))
-    before = F.coalesce(F.lag(passed).over(Window.partitionBy(run).orderBy(step)), F.lit(0))
-    return df.withColumn("due_steps", F.col(step) % steps == 0).withColumn("due_minutes", passed > before)
+def cumulative(df: DataFrame, run: str, order: str, value: str, name: str) -> DataFrame:
+    """WIN-11: df with the sum of a run's values so far."""
+    return ranged(df, [run], order).running(**{name: ("sum", value)}).rows()
+
+
+def due(df: DataFrame, run: str, order: str, seconds: str, steps: int, minutes: float) -> DataFrame:
+    """STM-08: df with the number of each step of a run, its seconds so far, `due_steps`, true at every `steps`-th step, and `due_minutes`, true where the seconds pass another `minutes`."""
+    r = ranged(df, [run], order).running(step=("count", None), so_far=("sum", seconds))
+    r = r.with_columns({"_passed": F.floor(F.col("so_far") / F.lit(60.0 * minutes))}).shifted("_before", "_passed", 1)
+    made = {"due_steps": F.col("step") % steps == 0, "due_minutes": F.col("_passed") > F.coalesce("_before", F.lit(0))}
+    return r.with_columns(made).rows().drop("_passed", "_before")

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan.functions.hashing import order_key, u01
+from loomspan.operators.scan import ranged
+
+#: Deviations that the margin of a hash sample allows for.
+MARGIN = 6.0
 
 
 def shuffled_take(df: DataFrame, seed: str, key: str, n: int) -> DataFrame:
@@ -17,9 +21,28 @@ def shuffled_take(df: DataFrame, seed: str, key: str, n: int) -> DataFrame:
 
 
 def per_group(df: DataFrame, by: list[str], seed: str, key: str, n: Column | int) -> DataFrame:
-    """SRT-08, SRT-09: up to n rows of each group by hash."""
-    w = Window.partitionBy(*by).orderBy(order_key(seed, F.col(key)), key)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    """SRT-08, SRT-09, AGG-05: up to n rows of each group by hash; n may be a column that is one number a group.
+
+    Hashes are uniform, so the n smallest of a group of N lie below n / N and a margin with all but certainty. Only rows below
+    that leave their task: about n a group, whatever its size. Where fewer than n are found, the group's rows are taken
+    whole; so the result never rests on the margin. Places among the rows taken come from ranges of the hash, not from a window
+    over a group. A null key stands first.
+    """
+    wanted = n if isinstance(n, Column) else F.lit(n)
+    u = F.coalesce(u01(F.concat(F.lit(seed), F.col(key).cast("string"))), F.lit(-1.0))
+    rows = df.withColumns({"_wanted": wanted.cast("long"), "_u": u})
+    sizes = rows.groupBy(*[F.col(c).alias(f"_s{c}") for c in by]).agg(F.count("*").alias("_all"), F.max("_wanted").alias("_k"))
+    k, size = F.col("_k").cast("double"), F.col("_all")
+    sizes = sizes.withColumn("_below", (k + MARGIN * F.sqrt(F.greatest(k, F.lit(0.0))) + MARGIN * MARGIN) / size)
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in by], F.lit(True))
+    taken = rows.join(sizes, same)
+    found = taken.groupBy(*[F.col(f"_s{c}") for c in by]).agg(F.count_if(F.col("_u") <= F.col("_below")).alias("_found"), F.first("_all").alias("_all"), F.first("_k").alias("_k"))
+    # Groups whose margin was too small; as a rule there are none.
+    short = found.where(F.col("_found") < F.least("_k", "_all")).select(*[F.col(f"_s{c}").alias(f"_f{c}") for c in by], F.lit(True).alias("_whole"))
+    missed = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_f{c}")) for c in by], F.lit(True))
+    taken = taken.join(short, missed, "left").where((F.col("_u") <= F.col("_below")) | F.col("_whole")).withColumn("_order", order_key(seed, F.col(key)))
+    placed = ranged(taken.select(*df.columns, "_u", "_order", "_wanted"), by, F.col("_u"), ["_u", "_order", key])
+    return placed.running(_r=("count", None)).rows().where(F.col("_r") <= F.col("_wanted")).select(*df.columns)
 
 
 def strided(df: DataFrame, order: str, stride: int, need: int) -> DataFrame:
@@ -56,12 +79,13 @@ def weighted_source(draws: DataFrame, probabilities: DataFrame, seed: str) -> Da
 def mismatched(df: DataFrame, key: str, value: str, seed: str) -> DataFrame:
     """SRT-16: another row's value: shuffled by hash, and where a row would get its own value, the next one's.
 
-    Each row takes the value of the row that follows it in hash order inside its bucket of keys.
+    The order is one scan over ranges of the hash: no window holds the table.
     """
-    w = Window.orderBy(order_key(seed, F.col(key)), key)
-    nxt, after = F.lead(value, 1).over(w), F.lead(value, 2).over(w)
-    first = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumn("other", F.coalesce(F.when(nxt != F.col(value), nxt).otherwise(after), first))
+    d = df.withColumns({"_u": u01(F.concat(F.lit(seed), F.col(key).cast("string"))), "_order": order_key(seed, F.col(key))})
+    first = d.agg(F.min_by(value, F.struct("_order", key)).alias("_first"))
+    r = ranged(d, [], F.col("_u"), ["_order", key]).shifted("_next", value, -1).shifted("_after", value, -2)
+    other = F.coalesce(F.when(F.col("_next") != F.col(value), F.col("_next")).otherwise(F.col("_after")), F.col("_first"))
+    return r.rows().crossJoin(F.broadcast(first)).withColumn("other", other).drop("_u", "_order", "_next", "_after", "_first")
 
 
 #: Ranges of an ordering key that a group is dealt to.

@@ -123,8 +123,8 @@ def win10(t):
 
 @query("win11_cumulative", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS total FROM events")
 def win11(t):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return t("events").select("event_id", F.round(F.sum("value").over(w), 4).alias("total"))
+    d = L.cumulative(t("events").select("event_id", "user_id", "value"), "user_id", "event_id", "value", "total")
+    return d.select("event_id", F.round("total", 4).alias("total"))
 
 
 @query("flt11_relative", "WITH b AS (SELECT *, value <= 40 + 1e-2 AS ok, max((value <= 40 + 1e-2)::int) OVER (PARTITION BY user_id) = 1 AS found FROM events), c AS (SELECT *, min(event_id) OVER (PARTITION BY user_id) AS low FROM b WHERE ok OR NOT found) SELECT event_id FROM c WHERE event_id <= 101e-2 * low")
