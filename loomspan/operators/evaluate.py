@@ -97,27 +97,11 @@ def resampled(n_rows: int, n_draws: Column, seed: Column) -> Column:
     return F.floor(u01(F.concat_ws("/", seed, n_draws)) * F.lit(n_rows)).cast("int")
 
 
-def moments(df: DataFrame, by: list[str], vector: str) -> DataFrame:
-    """AGG-18: count, means and sample covariance of vectors per group; d x d rows a group, pre-aggregated."""
-    v = df.select(*by, F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
-    i = v.select(*by, "v", F.posexplode("v").alias("i", "x"))
-    ij = i.select(*by, "i", "x", F.posexplode("v").alias("j", "y"))
-    g = ij.groupBy(*by, "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count("*").alias("n"))
-    return g.select(*by, "i", "j", "n", (F.col("sx") / F.col("n")).alias("mean_i"), ((F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
-
-
-def frechet(a: list, b: list) -> float:
-    """AGG-18: distance of two groups from their moment rows; d x d work on the driver."""
+def frechet(a: tuple, b: tuple) -> float:
+    """AGG-18: distance of two groups from their (means, covariances); d x d work on the driver."""
     import numpy as np
 
-    def of(rows):
-        d = 1 + max(r.i for r in rows)
-        mean, cov = np.zeros(d), np.zeros((d, d))
-        for r in rows:
-            mean[r.i], cov[r.i, r.j] = r.mean_i, r.cov
-        return mean, cov
-
-    (ma, sa), (mb, sb) = of(a), of(b)
+    (ma, sa), (mb, sb) = a, b
     values = np.linalg.eigvals(sa @ sb)
     if not np.isfinite(values).all():
         values = np.linalg.eigvals((sa + 1e-6 * np.eye(len(ma))) @ (sb + 1e-6 * np.eye(len(ma))))

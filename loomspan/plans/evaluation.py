@@ -7,6 +7,7 @@ from loomspan.functions import numeric as N
 from loomspan.functions import text as S
 from loomspan.functions.hashing import u01
 from loomspan.operators import evaluate as E
+from loomspan.operators import gram
 from loomspan.operators import sampling as P
 
 from .registry import query, u01_sql, words_sql
@@ -106,14 +107,14 @@ def agg17(t):
 
 @query("agg18_frechet_parts", "WITH x AS (SELECT label, vec_id, i, embedding[i + 1]::double AS x FROM embeddings, (SELECT unnest(range(64)) AS i)) SELECT a.label, a.i::int AS i, b.i::int AS j, round(covar_samp(a.x, b.x), 6) AS cov, round(avg(a.x), 6) AS mean_i FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY ALL")
 def agg18p(t):
-    return rounded(E.moments(t("embeddings"), ["label"], "embedding").select("label", "i", "j", "cov", "mean_i"), "cov", "mean_i", places=6)
+    return rounded(gram.moments(t("embeddings"), ["label"], "embedding").select("label", "i", "j", "cov", "mean_i"), "cov", "mean_i", places=6)
 
 
 @query("agg18_frechet")
 def agg18(t):
     """Distance of labels 0 and 1 over all dimensions: d x d numbers a group come to the driver."""
-    m = E.moments(t("embeddings").where("label in (0, 1)").select("label", "embedding"), ["label"], "embedding").collect()
-    value = E.frechet([r for r in m if r.label == 0], [r for r in m if r.label == 1])
+    m = gram.matrices(t("embeddings").where("label in (0, 1)").select("label", "embedding"), ["label"], "embedding")
+    value = E.frechet(m[0,][1:], m[1,][1:])
     return t("embeddings").sparkSession.createDataFrame([(value,)], "frechet double")
 
 

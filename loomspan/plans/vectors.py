@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomspan.functions import numeric as N
-from loomspan.operators import nearest, probe
+from loomspan.operators import gram, nearest, probe
 
 from .registry import query
 
@@ -18,9 +18,12 @@ def mth01(t):
     return t("nation").select("n_nationkey", F.posexplode(N.schedule(20, 2.8)).alias("i", "t")).withColumn("t", F.round("t", 9))
 
 
-@query("mth01_uniform", "SELECT i::int AS i, i / 8e0 AS t FROM (SELECT unnest(range(9)) AS i)")
+@query("mth01_uniform", "SELECT event_id, i::int AS i, i / n AS t FROM (SELECT event_id, 4e0 + 4 * (event_id % 3) AS n FROM events), (SELECT unnest(range(13)) AS i) WHERE i <= n")
 def mth01u(t):
-    return t("region").where("r_regionkey = 0").select(F.posexplode(N.schedule(8)).alias("i", "t"))
+    """Each event is a sample that takes 4, 8 or 12 steps, evenly spaced."""
+    steps = [4, 8, 12]
+    each = [F.when(F.col("event_id") % 3 == k, N.schedule(n)) for k, n in enumerate(steps)]
+    return t("events").select("event_id", F.posexplode(F.coalesce(*each)).alias("i", "t"))
 
 
 @query("mth02_logit_normal", "SELECT event_id, round(1 / (1 + exp(-(value / 50 - 1 - ln(28e-1)))), 9) AS t FROM events")
@@ -38,11 +41,8 @@ def mth03(t):
 @query("mth04_dispersive", "WITH x AS (SELECT vec_id // 200 AS batch, vec_id, embedding::double[] AS v FROM embeddings), p AS (SELECT a.batch, -greatest(2 - 2 * list_cosine_similarity(a.v, b.v), 0) / 5e-1 AS e FROM x a JOIN x b ON a.batch = b.batch AND a.vec_id <> b.vec_id) SELECT batch::bigint AS batch, round(ln(avg(exp(e))), 6) AS loss FROM p GROUP BY 1")
 def mth04(t):
     """Every vector, in training batches of 200 ids: all pairs of a batch are the operator's definition."""
-    x = t("embeddings").select(F.floor(F.col("vec_id") / 200).alias("batch"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    p = x.alias("a").join(x.alias("b").hint("merge"), (F.col("a.batch") == F.col("b.batch")) & (F.col("a.vec_id") != F.col("b.vec_id")))
-    p = p.select("a.batch", (-F.greatest(2 - 2 * N.cosine(F.col("a.v"), F.col("b.v")), F.lit(0.0)) / 0.5).alias("e"))
-    # Exponents are in [-8, 0], so they need no shift by the largest.
-    return p.groupBy("batch").agg(F.round(F.log(F.avg(F.exp("e"))), 6).alias("loss"))
+    x = t("embeddings").select(F.floor(F.col("vec_id") / 200).alias("batch"), "vec_id", "embedding")
+    return gram.dispersive(x, "batch", "vec_id", "embedding", 0.5).select("batch", F.round("loss", 6).alias("loss"))
 
 
 @query("mth05_mse", "WITH m AS (SELECT label, vec_id, embedding::double[] AS v FROM embeddings) SELECT a.vec_id, round(list_sum(list_transform(range(64), lambda i: pow(a.v[i + 1] - b.v[i + 1], 2))) / 64, 9) AS mse FROM m a JOIN m b ON b.vec_id = a.vec_id + 1")

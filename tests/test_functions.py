@@ -10,6 +10,7 @@ from loomspan.functions import text as S
 from loomspan.functions.hashing import u01
 from loomspan.operators import curate as C
 from loomspan.operators import evaluate as E
+from loomspan.operators import gram
 from loomspan.operators import ledger as L
 from loomspan.operators.store import cover_box
 
@@ -164,6 +165,6 @@ def test_frechet_of_equal_groups(spark):
     r = random.Random(2)
     rows = [(i % 2, [float(x) for x in (r.random(), r.random(), r.random())]) for i in range(60)]
     rows += [(2, v) for k, v in rows if k == 0]
-    m = E.moments(spark.createDataFrame(rows, "g int, v array<double>"), ["g"], "v").collect()
-    of = lambda k: [x for x in m if x.g == k]
+    m = gram.matrices(spark.createDataFrame(rows, "g int, v array<double>"), ["g"], "v")
+    of = lambda k: m[k,][1:]
     assert E.frechet(of(0), of(2)) == pytest.approx(0, abs=1e-9) and E.frechet(of(0), of(1)) > 0
