@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan.functions.hashing import order_key, u01
+from loomspan.operators import scan
 from loomspan.operators.scan import ranged
 
 #: Deviations that the margin of a hash sample allows for.
@@ -20,29 +21,33 @@ def shuffled_take(df: DataFrame, seed: str, key: str, n: int) -> DataFrame:
     return df.orderBy(order_key(seed, F.col(key)), key).limit(n)
 
 
-def per_group(df: DataFrame, by: list[str], seed: str, key: str, n: Column | int) -> DataFrame:
-    """SRT-08, SRT-09, AGG-05: up to n rows of each group by hash; n may be a column that is one number a group.
+def per_group(df: DataFrame, by: list[str], seed: str, key: str, n: Column | int, most: int | None = None) -> DataFrame:
+    """SRT-08, SRT-09, AGG-05: up to n rows of each group by hash; n may be a column that is one number a group, `most` at most.
 
     Hashes are uniform, so the n smallest of a group of N lie below n / N and a margin with all but certainty. Only rows below
     that leave their task: about n a group, whatever its size. Where fewer than n are found, the group's rows are taken
-    whole; so the result never rests on the margin. Places among the rows taken come from ranges of the hash, not from a window
-    over a group. A null key stands first.
+    whole; so the result never rests on the margin. Places among the rows taken come from a window where a range holds n rows,
+    else from ranges of the hash. A null key stands first.
     """
+    most = n if isinstance(n, int) else most
     wanted = n if isinstance(n, Column) else F.lit(n)
     u = F.coalesce(u01(F.concat(F.lit(seed), F.col(key).cast("string"))), F.lit(-1.0))
-    rows = df.withColumns({"_wanted": wanted.cast("long"), "_u": u})
-    sizes = rows.groupBy(*[F.col(c).alias(f"_s{c}") for c in by]).agg(F.count("*").alias("_all"), F.max("_wanted").alias("_k"))
-    k, size = F.col("_k").cast("double"), F.col("_all")
-    sizes = sizes.withColumn("_below", (k + MARGIN * F.sqrt(F.greatest(k, F.lit(0.0))) + MARGIN * MARGIN) / size)
-    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in by], F.lit(True))
+    rows = df.withColumns({"_pg_wanted": wanted.cast("long"), "_pg_u": u})
+    sizes = rows.groupBy(*[F.col(c).alias(f"_pgs{c}") for c in by]).agg(F.count("*").alias("_pg_all"), F.max("_pg_wanted").alias("_pg_k"))
+    k, size = F.col("_pg_k").cast("double"), F.col("_pg_all")
+    sizes = sizes.withColumn("_pg_below", (k + MARGIN * F.sqrt(F.greatest(k, F.lit(0.0))) + MARGIN * MARGIN) / size)
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_pgs{c}")) for c in by], F.lit(True))
     taken = rows.join(sizes, same)
-    found = taken.groupBy(*[F.col(f"_s{c}") for c in by]).agg(F.count_if(F.col("_u") <= F.col("_below")).alias("_found"), F.first("_all").alias("_all"), F.first("_k").alias("_k"))
+    found = taken.groupBy(*[F.col(f"_pgs{c}") for c in by]).agg(F.count_if(F.col("_pg_u") <= F.col("_pg_below")).alias("_pg_found"), F.first("_pg_all").alias("_pg_all"), F.first("_pg_k").alias("_pg_k"))
     # Groups whose margin was too small; as a rule there are none.
-    short = found.where(F.col("_found") < F.least("_k", "_all")).select(*[F.col(f"_s{c}").alias(f"_f{c}") for c in by], F.lit(True).alias("_whole"))
-    missed = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_f{c}")) for c in by], F.lit(True))
-    taken = taken.join(short, missed, "left").where((F.col("_u") <= F.col("_below")) | F.col("_whole")).withColumn("_order", order_key(seed, F.col(key)))
-    placed = ranged(taken.select(*df.columns, "_u", "_order", "_wanted"), by, F.col("_u"), ["_u", "_order", key])
-    return placed.running(_r=("count", None)).rows().where(F.col("_r") <= F.col("_wanted")).select(*df.columns)
+    short = found.where(F.col("_pg_found") < F.least("_pg_k", "_pg_all")).select(*[F.col(f"_pgs{c}").alias(f"_pgf{c}") for c in by], F.lit(True).alias("_pg_whole"))
+    missed = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_pgf{c}")) for c in by], F.lit(True))
+    taken = taken.join(short, missed, "left").where((F.col("_pg_u") <= F.col("_pg_below")) | F.col("_pg_whole")).withColumn("_pg_order", order_key(seed, F.col(key)))
+    if most is not None and most <= scan.ROWS:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("_pg_order", key))
+        return taken.withColumn("_pg_r", place).where(F.col("_pg_r") <= F.col("_pg_wanted")).select(*df.columns)
+    placed = ranged(taken.select(*df.columns, "_pg_u", "_pg_order", "_pg_wanted"), by, F.col("_pg_u"), ["_pg_u", "_pg_order", key])
+    return placed.running(_pg_r=("count", None)).rows().where(F.col("_pg_r") <= F.col("_pg_wanted")).select(*df.columns)
 
 
 def strided(df: DataFrame, order: str, stride: int, need: int) -> DataFrame:

@@ -1,16 +1,24 @@
-"""A merged corpus on Parquet (SNK-01..07, C1..C8): staging by source and bucket, merge, late append, check.
+"""A merged corpus on Parquet (SNK-01..07, C1..C8): staging by source and bucket, merge, late append, snapshots, check.
 
-    root/staging/ingest_source=<s>/bucket=<b>/   rows as they come (SNK-01)
-    root/rows/part=<n>/bucket=<b>/               what a merge or a late append adds
-    root/manifest/v=<n>/                         one JSON row: parts, sources, whitening statistics
+    root/staging/load=<id>/ingest_source=<s>/bucket=<b>/   rows as they come (SNK-01), a folder for each load
+    root/rows/part=<id>/bucket=<b>/                        what a merge or a late append adds, with each row's place in its part
+    root/log/<version>.json                                parts in order, rows of each bucket in each part, sources, statistics
 
-Rows are written first and the manifest last, as a new version; readers take the newest version and read only the parts
-that it names. A crash between the two leaves what was valid before (C8).
+The log is the truth: rows are written first, under a name of their own, and a version that names them last. Versions are
+made by one writer each (the file is created only where it does not exist), so writers need no lock: one that loses a
+version reads the newest and tries again. It checks what it has read: an append still holds after other sources' appends, since a
+row's place in its bucket is its part's place plus what the log counts before that part, and no row is written again; an
+append of a source that has come in meanwhile, or a merge after any commit, is refused (Conflict). A crash between rows and
+log leaves what was valid before (C8); `vacuum` removes such rows later.
+
+On HDFS and local disks the creation is atomic. Object stores without a rename that fails on an existing name need one writer at a time.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,56 +26,120 @@ from pyspark.sql.window import Window
 
 from loomspan.operators.curate import channel_stats
 from loomspan.operators.sampling import ordinals, per_group
+from loomspan.session import qualified
 
 STATS_ROWS = 40_000
 #: Sequence numbers whose places one task counts.
 BLOCK = 1_000_000
+#: Times that a writer tries for a version.
+TRIES = 50
+
+
+class Conflict(ValueError):
+    """Another writer's commit contradicts what this one has read."""
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root = spark, qualified(spark, root).rstrip("/")
+
+    def _path(self, at: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{at}")
+
+    def _files(self):
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def _listed(self, at: str) -> list:
+        fs = self._files()
+        return list(fs.listStatus(self._path(at))) if fs.exists(self._path(at)) else []
 
     def versions(self) -> list[int]:
-        """SRT-14: known manifest versions, from names alone."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and self._exists(f"{self.root}/manifest/{n}/_SUCCESS"))
-
-    def manifest(self) -> dict | None:
-        v = self.versions()
-        if not v:
+        """SRT-14: known versions, from names alone."""
+        names = [s.getPath().getName() for s in self._listed("log")]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def manifest(self, version: int | None = None) -> dict | None:
+        """The log's entry of a version, the newest by default; None where nothing is merged yet."""
+        known = self.versions()
+        if version is None and not known:
             return None
-        return json.loads(self.spark.read.text(f"{self.root}/manifest/v={v[-1]}").first().value)
-
-    def _commit(self, manifest: dict) -> None:
-        v = self.versions()
-        n = (v[-1] if v else 0) + 1
-        self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{self.root}/manifest/v={n}")
+        if version is not None and version not in known:
+            raise FileNotFoundError(f"{self.root}: no version {version}")
+        version = known[-1] if version is None else version
+        return json.loads(self.spark.read.text(f"{self.root}/log/{version:020d}.json", wholetext=True).first().value)
+
+    def _created(self, manifest: dict) -> bool:
+        """SNK-07: the entry under its version's name; False where that version exists. It appears whole or not at all."""
+        fs, jvm = self._files(), self.spark._jvm
+        final, draft = f"log/{manifest['version']:020d}.json", f"log/.{uuid.uuid4().hex}"
+        out = fs.create(self._path(draft), False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        try:
+            if self.root.startswith("file://"):
+                try:
+                    os.link(f"{self.root[7:]}/{draft}", f"{self.root[7:]}/{final}")
+                except FileExistsError:
+                    return False
+                return True
+            if fs.exists(self._path(final)):
+                return False
+            try:
+                options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration()).rename(self._path(draft), self._path(final), options)
+            except Exception:  # the rename of a writer that came second
+                if fs.exists(self._path(final)):
+                    return False
+                raise
+            return True
+        finally:
+            fs.delete(self._path(draft), False)
+
+    def _commit(self, change) -> dict:
+        """The next version, made by change(newest entry or None); change raises Conflict where what it has read no longer holds."""
+        for _ in range(TRIES):
+            now = self.manifest()
+            new = change(now) | {"version": (now["version"] if now else 0) + 1}
+            if self._created(new):
+                return new
+        raise Conflict(f"{self.root}: other writers took {TRIES} versions in a row")
 
     def stage(self, rows: DataFrame, source: str) -> None:
-        """SNK-01: rows (seq, bucket, val, latent, ...) of an ingest source, appended by bucket."""
-        rows.withColumn("ingest_source", F.lit(source)).write.mode("append").partitionBy("ingest_source", "bucket").parquet(f"{self.root}/staging")
+        """SNK-01: rows (seq, bucket, val, latent, ...) of an ingest source by bucket; loads of several writers don't touch each other."""
+        rows.withColumn("ingest_source", F.lit(source)).write.partitionBy("ingest_source", "bucket").parquet(f"{self.root}/staging/load={uuid.uuid4().hex}x")
 
     def staged(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/staging")
+        """Rows of the loads that ended well."""
+        loads = [f"{self.root}/staging/{n}" for n in (s.getPath().getName() for s in self._listed("staging")) if self._files().exists(self._path(f"staging/{n}/_SUCCESS"))]
+        return self.spark.read.option("basePath", f"{self.root}/staging").parquet(*loads).drop("load")
 
-    def rows(self) -> DataFrame:
-        """Rows of the parts that the newest manifest names."""
-        m = self.manifest()
+    def rows(self, version: int | None = None) -> DataFrame:
+        """The rows of a version (the newest by default), with row_no, the place in the bucket."""
+        m = self.manifest(version)
         if m is None:
             raise FileNotFoundError(f"{self.root}: nothing merged")
-        return self.spark.read.option("basePath", f"{self.root}/rows").parquet(*[f"{self.root}/rows/part={p}" for p in m["parts"]])
+        before, starts = {}, []
+        for part in m["parts"]:
+            for bucket, n in part["counts"].items():
+                starts.append((part["name"], bucket, before.get(bucket, 0)))
+                before[bucket] = before.get(bucket, 0) + n
+        rows = self.spark.read.option("basePath", f"{self.root}/rows").parquet(*[f"{self.root}/rows/part={p['name']}" for p in m["parts"]])
+        # A row a part and bucket.
+        first = self.spark.createDataFrame(starts, "_part string, _bucket string, _before long")
+        placed = rows.join(F.broadcast(first), (F.col("part") == F.col("_part")) & (F.col("bucket").cast("string") == F.col("_bucket")))
+        return placed.withColumn("row_no", F.col("_before") + F.col("at")).drop("_part", "_bucket", "_before", "at", "part")
+
+    def _written(self, placed: DataFrame) -> tuple[dict, DataFrame]:
+        """(the log's record of a new part, its rows)."""
+        name = f"p{uuid.uuid4().hex}"
+        placed.write.partitionBy("bucket").parquet(f"{self.root}/rows/part={name}")
+        rows = self.spark.read.parquet(f"{self.root}/rows/part={name}")
+        counts = {str(r.bucket): r.n for r in rows.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # a row a bucket
+        return {"name": name, "counts": counts}, rows
 
     def merge(self, exclude: tuple[str, ...] = (), stats_rows: int = STATS_ROWS) -> dict:
-        """SNK-04, SET-09: all staged sources but `exclude`; position in a bucket goes by source, then by order in it (WIN-12)."""
+        """SNK-04, SET-09: all staged sources but `exclude`, instead of what was merged before; position in a bucket goes by source, then by order in it (WIN-12)."""
+        read = self.manifest()
         rows = self.staged().where(~F.col("ingest_source").isin(*exclude)) if exclude else self.staged()
         rows = rows.withColumn("_block", F.floor(F.col("seq") / BLOCK))
         keys = ["bucket", "ingest_source", "_block"]
@@ -75,43 +147,60 @@ class Store:
         before = F.coalesce(F.sum("_n").over(Window.partitionBy("bucket").orderBy("ingest_source", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         # Offsets of blocks come from their counts, so neither a bucket's nor a source's rows are ever one window.
         placed = rows.join(sizes.withColumn("_before", before).drop("_n"), keys)
-        placed = placed.withColumn("row_no", F.col("_before") + F.row_number().over(Window.partitionBy(*keys).orderBy("seq")) - 1).drop("_before", "_block")
-        n = self._next_part()
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/rows/part={n}")
-        merged = self.spark.read.parquet(f"{self.root}/rows/part={n}")
+        placed = placed.withColumn("at", F.col("_before") + F.row_number().over(Window.partitionBy(*keys).orderBy("seq")) - 1).drop("_before", "_block")
+        part, merged = self._written(placed)
         sources = sorted(r.ingest_source for r in merged.select("ingest_source").distinct().collect())
-        m = {"parts": [n], "merged": sources, **self._stats(merged, stats_rows)}
-        self._commit(m)
-        return m
+        made = {"parts": [part], "merged": sources, **self._stats(merged, stats_rows)}
+
+        def change(now: dict | None) -> dict:
+            if (now or {}).get("version") != (read or {}).get("version"):
+                raise Conflict(f"version {now['version']} was committed while this merge ran; merge again")
+            return made
 
-    def _next_part(self) -> int:
-        m = self.manifest()
-        return (max(m["parts"]) if m else 0) + 1
+        return self._commit(change)
 
     def _stats(self, rows: DataFrame, stats_rows: int) -> dict:
         """AGG-04, AGG-05: whitening statistics of a hash sample, one row of each bucket and source at least."""
         sizes = rows.groupBy("bucket", "ingest_source").agg(F.count("*").alias("_n"))
         per_bucket = Window.partitionBy("bucket")
         k = F.least("_n", F.greatest(F.lit(1), F.floor(F.lit(stats_rows) * F.col("_n") / F.greatest(F.lit(1), F.sum("_n").over(per_bucket) * 5)))).cast("int")
-        sample = per_group(rows.join(F.broadcast(sizes.withColumn("_k", k).drop("_n")), ["bucket", "ingest_source"]), ["bucket", "ingest_source"], "stats", "id", F.col("_k"))
+        sample = per_group(rows.join(F.broadcast(sizes.withColumn("_k", k).drop("_n")), ["bucket", "ingest_source"]), ["bucket", "ingest_source"], "stats", "id", F.col("_k"), stats_rows)
         s = channel_stats(sample, "latent").orderBy("channel").collect()
         return {"mean": [r.mean for r in s], "std": [r.std for r in s]}
 
     def append(self, source: str, force: bool = False) -> dict:
         """SNK-05: a staged source after the merge. Old rows, their places and the statistics stay; a known source is refused unless forced."""
-        m = self.manifest()
-        if m is None:
-            raise FileNotFoundError("merge first")
-        if source in m["merged"] and not force:
-            raise ValueError(f"{source} is merged already")
-        upto = self.rows().groupBy("bucket").agg((F.max("row_no") + 1).alias("_upto"))
-        new = ordinals(self.staged().where(F.col("ingest_source") == source), ["bucket"], [], "seq", "_at").join(F.broadcast(upto), "bucket", "left")
-        new = new.withColumn("row_no", F.coalesce("_upto", F.lit(0)) + F.col("_at") - 1).drop("_upto", "_at")
-        n = self._next_part()
-        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/rows/part={n}")
-        m = m | {"parts": [*m["parts"], n], "merged": [*m["merged"], source]}
-        self._commit(m)
-        return m
+
+        def known(m: dict | None) -> dict:
+            if m is None:
+                raise FileNotFoundError("merge first")
+            if source in m["merged"] and not force:
+                raise Conflict(f"{source} is merged already (version {m['version']})")
+            return m
+
+        known(self.manifest())
+        new = ordinals(self.staged().where(F.col("ingest_source") == source), ["bucket"], [], "seq", "at").withColumn("at", F.col("at") - 1)
+        part, _ = self._written(new)
+
+        def change(now: dict | None) -> dict:
+            m = known(now)
+            return m | {"parts": [*m["parts"], part], "merged": [*m["merged"], source]}
+
+        return self._commit(change)
+
+    def vacuum(self, keep: int = 2, hours: float = 24.0) -> list[str]:
+        """Removes parts that none of the last `keep` versions name and that are older than `hours`, so that no writer at work loses its rows; returns them.
+
+        Older versions can no longer be read afterwards.
+        """
+        named = {p["name"] for v in self.versions()[-keep:] for p in self.manifest(v)["parts"]}
+        now, gone = self.spark.sql("SELECT unix_millis(current_timestamp())").first()[0], []
+        for s in self._listed("rows"):
+            name = s.getPath().getName().removeprefix("part=")
+            if name not in named and now - s.getModificationTime() >= hours * 3_600_000:
+                self._files().delete(s.getPath(), True)
+                gone.append(name)
+        return gone
 
     def check(self) -> DataFrame:
         """AGG-03, AGG-07, C1: rows, hold-out rows, mean crop and gaps in the places of each bucket."""

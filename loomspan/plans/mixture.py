@@ -72,7 +72,7 @@ def agg05(t):
     sizes = e.groupBy("label").agg(F.count("*").alias("n"))
     total = e.agg(F.count("*").alias("total"))
     sizes = sizes.crossJoin(F.broadcast(total)).withColumn("k", F.least("n", F.greatest(F.lit(1), F.expr("200 * n div greatest(1, total)"))))
-    return P.per_group(e.join(F.broadcast(sizes), "label"), ["label"], "s", "vec_id", F.col("k")).groupBy("label").agg(F.count("*").alias("k"))
+    return P.per_group(e.join(F.broadcast(sizes), "label"), ["label"], "s", "vec_id", F.col("k"), 200).groupBy("label").agg(F.count("*").alias("k"))
 
 
 @query("agg06_sources", "SELECT DISTINCT source FROM documents")
@@ -144,7 +144,7 @@ def srt08(t):
 def srt09(t):
     d = t("documents").select("source", "doc_id")
     per = d.agg(F.floor(F.lit(100) / F.countDistinct("source")).alias("per"))
-    return P.per_group(d.crossJoin(F.broadcast(per)), ["source"], "0", "doc_id", F.col("per")).select("source", "doc_id")
+    return P.per_group(d.crossJoin(F.broadcast(per)), ["source"], "0", "doc_id", F.col("per"), 100).select("source", "doc_id")
 
 
 @query("srt10_smallest", "SELECT user_id FROM events GROUP BY 1 ORDER BY round(avg(value), 9), user_id LIMIT 8")

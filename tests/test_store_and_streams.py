@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan import cli
-from loomspan.operators.store import Store, log_row
+from loomspan.operators.store import Conflict, Store, log_row
 from loomspan.streaming import early_stop, ingest
 
 
@@ -35,8 +35,80 @@ def test_rows_without_their_manifest_do_not_count(spark, tmp_path):
         s.rows()
     s.stage(staged(spark, "a", 3), "a")
     s.merge()
-    staged(spark, "z", 9).withColumn("ingest_source", F.lit("z")).write.partitionBy("bucket").parquet(f"{tmp_path}/c/rows/part=2")
-    assert s.rows().count() == 3
+    staged(spark, "z", 9).withColumns({"ingest_source": F.lit("z"), "at": F.col("seq")}).write.partitionBy("bucket").parquet(f"{tmp_path}/c/rows/part=lost")
+    staged(spark, "y", 9).withColumn("ingest_source", F.lit("y")).write.partitionBy("ingest_source", "bucket").parquet(f"{tmp_path}/c/staging/load=cut")
+    (tmp_path / "c/staging/load=cut/_SUCCESS").unlink()
+    assert s.rows().count() == 3 and s.staged().count() == 3
+    assert s.vacuum() == [] and s.vacuum(hours=0) == ["lost"] and s.rows().count() == 3
+
+
+def test_a_crash_before_the_log(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "c"))
+    s.stage(staged(spark, "a", 3), "a")
+    s.merge()
+    s.stage(staged(spark, "b", 4), "b")
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_created", lambda self, manifest: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError, match="gone"):
+            s.append("b")
+    assert s.versions() == [1] and s.rows().count() == 3
+    assert s.append("b")["version"] == 2 and s.rows().count() == 7 and all(r.whole for r in s.check().collect())
+    assert len(s.vacuum(hours=0)) == 1 and s.rows().count() == 7
+
+
+def test_concurrent_writers(spark, tmp_path):
+    """Appends of other sources all land, with whole places; of one source one lands; a merge over a commit is refused."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = Store(spark, str(tmp_path / "c"))
+    for name, n in (("a", 5), ("b", 4), ("c", 3), ("d", 2)):
+        s.stage(staged(spark, name, n), name)
+    s.merge(exclude=("b", "c", "d"), stats_rows=10)
+    old = {(r.id, r.row_no) for r in s.rows().collect()}
+
+    def go(name):
+        try:
+            return Store(spark, s.root).append(name)["version"]
+        except Conflict as e:
+            return str(e)
+
+    with ThreadPoolExecutor(5) as pool:
+        out = list(pool.map(go, ["b", "c", "d", "b", "c"]))
+    assert sorted(x for x in out if isinstance(x, int)) == [2, 3, 4] and all("merged already" in x for x in out if isinstance(x, str))
+    rows = {(r.id, r.row_no) for r in s.rows().collect()}
+    assert sorted(n for _, n in rows) == list(range(14)) and old <= rows and all(r.whole for r in s.check().collect())
+    # Versions are snapshots, and their rows keep their places.
+    assert {(r.id, r.row_no) for r in s.rows(1).collect()} == old
+    for v in (2, 3):
+        assert {(r.id, r.row_no) for r in s.rows(v).collect()} <= rows
+    with pytest.raises(FileNotFoundError, match="no version 9"):
+        s.rows(9)
+
+    own = Store._written
+
+    def meanwhile(self, placed):
+        made = own(self, placed)
+        Store._written = own
+        Store(spark, s.root).append("a", force=True)
+        return made
+
+    Store._written = meanwhile
+    try:
+        with pytest.raises(Conflict, match="while this merge ran"):
+            s.merge()
+    finally:
+        Store._written = own
+    assert s.manifest()["version"] == 5
+
+
+def test_one_writer_a_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = Store(spark, str(tmp_path / "c"))
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: s._created({"version": 1 + k % 3, "writer": k}), range(24)))
+    assert sum(won) == 3 and s.versions() == [1, 2, 3]
+    assert won[s.manifest(2)["writer"]] and not [n for n in (tmp_path / "c/log").iterdir() if not n.name.endswith((".json", ".crc"))]
 
 
 def test_progress_and_log(spark, tmp_path):
