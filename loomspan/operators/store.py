@@ -10,14 +10,10 @@ version reads the newest and tries again. It checks what it has read: an append
 row's place in its bucket is its part's place plus what the log counts before that part, and no row is written again; an
 append of a source that has come in meanwhile, or a merge after any commit, is refused (Conflict). A crash between rows and
 log leaves what was valid before (C8); `vacuum` removes such rows later.
-
-On HDFS and local disks the creation is atomic. Object stores without a rename that fails on an existing name need one writer at a time.
 """
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,84 +21,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan.operators.curate import channel_stats
+from loomspan.operators.log import Conflict, Log
 from loomspan.operators.sampling import ordinals, per_group
-from loomspan.session import qualified
 
 STATS_ROWS = 40_000
 #: Sequence numbers whose places one task counts.
 BLOCK = 1_000_000
-#: Times that a writer tries for a version.
-TRIES = 50
-
-
-class Conflict(ValueError):
-    """Another writer's commit contradicts what this one has read."""
-
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, qualified(spark, root).rstrip("/")
-
-    def _path(self, at: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{at}")
-
-    def _files(self):
-        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _listed(self, at: str) -> list:
-        fs = self._files()
-        return list(fs.listStatus(self._path(at))) if fs.exists(self._path(at)) else []
+        self.spark, self.log = spark, Log(spark, root)
+        self.root = self.log.root
 
     def versions(self) -> list[int]:
-        """SRT-14: known versions, from names alone."""
-        names = [s.getPath().getName() for s in self._listed("log")]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+        return self.log.versions()
 
     def manifest(self, version: int | None = None) -> dict | None:
         """The log's entry of a version, the newest by default; None where nothing is merged yet."""
-        known = self.versions()
-        if version is None and not known:
-            return None
-        if version is not None and version not in known:
-            raise FileNotFoundError(f"{self.root}: no version {version}")
-        version = known[-1] if version is None else version
-        return json.loads(self.spark.read.text(f"{self.root}/log/{version:020d}.json", wholetext=True).first().value)
-
-    def _created(self, manifest: dict) -> bool:
-        """SNK-07: the entry under its version's name; False where that version exists. It appears whole or not at all."""
-        fs, jvm = self._files(), self.spark._jvm
-        final, draft = f"log/{manifest['version']:020d}.json", f"log/.{uuid.uuid4().hex}"
-        out = fs.create(self._path(draft), False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        try:
-            if self.root.startswith("file://"):
-                try:
-                    os.link(f"{self.root[7:]}/{draft}", f"{self.root[7:]}/{final}")
-                except FileExistsError:
-                    return False
-                return True
-            if fs.exists(self._path(final)):
-                return False
-            try:
-                options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-                jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration()).rename(self._path(draft), self._path(final), options)
-            except Exception:  # the rename of a writer that came second
-                if fs.exists(self._path(final)):
-                    return False
-                raise
-            return True
-        finally:
-            fs.delete(self._path(draft), False)
-
-    def _commit(self, change) -> dict:
-        """The next version, made by change(newest entry or None); change raises Conflict where what it has read no longer holds."""
-        for _ in range(TRIES):
-            now = self.manifest()
-            new = change(now) | {"version": (now["version"] if now else 0) + 1}
-            if self._created(new):
-                return new
-        raise Conflict(f"{self.root}: other writers took {TRIES} versions in a row")
+        return self.log.entry(version)
 
     def stage(self, rows: DataFrame, source: str) -> None:
         """SNK-01: rows (seq, bucket, val, latent, ...) of an ingest source by bucket; loads of several writers don't touch each other."""
@@ -110,7 +46,8 @@ class Store:
 
     def staged(self) -> DataFrame:
         """Rows of the loads that ended well."""
-        loads = [f"{self.root}/staging/{n}" for n in (s.getPath().getName() for s in self._listed("staging")) if self._files().exists(self._path(f"staging/{n}/_SUCCESS"))]
+        names = [s.getPath().getName() for s in self.log.listed("staging")]
+        loads = [f"{self.root}/staging/{n}" for n in names if self.log.files().exists(self.log.path(f"staging/{n}/_SUCCESS"))]
         return self.spark.read.option("basePath", f"{self.root}/staging").parquet(*loads).drop("load")
 
     def rows(self, version: int | None = None) -> DataFrame:
@@ -157,7 +94,7 @@ class Store:
                 raise Conflict(f"version {now['version']} was committed while this merge ran; merge again")
             return made
 
-        return self._commit(change)
+        return self.log.commit(change)
 
     def _stats(self, rows: DataFrame, stats_rows: int) -> dict:
         """AGG-04, AGG-05: whitening statistics of a hash sample, one row of each bucket and source at least."""
@@ -186,21 +123,15 @@ class Store:
             m = known(now)
             return m | {"parts": [*m["parts"], part], "merged": [*m["merged"], source]}
 
-        return self._commit(change)
+        return self.log.commit(change)
 
     def vacuum(self, keep: int = 2, hours: float = 24.0) -> list[str]:
         """Removes parts that none of the last `keep` versions name and that are older than `hours`, so that no writer at work loses its rows; returns them.
 
         Older versions can no longer be read afterwards.
         """
-        named = {p["name"] for v in self.versions()[-keep:] for p in self.manifest(v)["parts"]}
-        now, gone = self.spark.sql("SELECT unix_millis(current_timestamp())").first()[0], []
-        for s in self._listed("rows"):
-            name = s.getPath().getName().removeprefix("part=")
-            if name not in named and now - s.getModificationTime() >= hours * 3_600_000:
-                self._files().delete(s.getPath(), True)
-                gone.append(name)
-        return gone
+        named = {f"part={p['name']}" for v in self.versions()[-keep:] for p in self.manifest(v)["parts"]}
+        return [n.removeprefix("part=") for n in self.log.vacuum("rows", named, hours)]
 
     def check(self) -> DataFrame:
         """AGG-03, AGG-07, C1: rows, hold-out rows, mean crop and gaps in the places of each bucket."""

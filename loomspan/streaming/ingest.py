@@ -7,15 +7,15 @@ named by the batch and replaced.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructType
+from pyspark.sql.types import StructType
 
-#: Buckets of keys that batches have written.
-BUCKETS = 64
+from loomspan.operators.key_index import KeyIndex
 
 
 class _Stopped(Exception):
@@ -29,20 +29,23 @@ def split(df: DataFrame, ok) -> tuple[DataFrame, DataFrame]:
 
 
 def new_rows(batch: DataFrame, seen: DataFrame | None, keys: list[str]) -> DataFrame:
-    """STM-05: rows of a batch whose key is new, once each."""
+    """STM-05: rows of a batch whose key is new, once each; null keys are keys."""
     rows = batch.dropDuplicates(keys)
-    return rows if seen is None else rows.join(seen.select(*keys), keys, "left_anti")
+    if seen is None:
+        return rows
+    same = functools.reduce(lambda x, y: x & y, [rows[k].eqNullSafe(seen[k]) for k in keys])
+    return rows.join(seen, same, "left_anti")
 
 
 def run(spark: SparkSession, source: str, schema: StructType, where: str, checkpoint: str, ok, keys: list[str], files_per_trigger: int = 4, on_batch: Callable[[int], None] | None = None, stop: Callable[[], bool] | None = None) -> None:
     """Reads Parquet files under `source` until none is left; good rows go to where/rows, bad ones to where/dead.
 
-    A row's key is looked up among keys that earlier batches wrote in its own bucket of the hash space (STM-05), so a batch
-    reads the buckets that it has, and keys alone. Counters of each batch (read, kept, dead, repeated) go to where/ledger
-    (STM-06). `stop` is asked after every batch: where it says so, the stream ends there with its checkpoint (STM-07), and the
-    next run goes on. A batch that a stop or a crash cut short runs again and replaces what it wrote.
+    A row's key is looked up in an index of the keys that batches have taken (STM-05): filters first, then the keys that may be
+    known. Counters of each batch (read, kept, dead, repeated) go to where/ledger (STM-06); they are observed while the rows are
+    written, so a batch's rows are read once. `stop` is asked after every batch: where it says so, the stream ends there with
+    its checkpoint (STM-07), and the next run goes on. A batch that a stop or a crash cut short runs again and replaces what it wrote.
     """
-    seen_schema = StructType([schema[k] for k in keys]).add("batch", LongType()).add("bucket", IntegerType())
+    index = KeyIndex(spark, f"{where}/keys", StructType([schema[k] for k in keys]))
     stopping: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
@@ -50,23 +53,16 @@ def run(spark: SparkSession, source: str, schema: StructType, where: str, checkp
             raise _Stopped
         batch = batch.persist()
         good, dead = split(batch, ok)
-        good = good.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/keys")
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        seen = None
-        if there:
-            touched = [r.bucket for r in good.select("bucket").distinct().collect()]  # BUCKETS numbers at most
-            seen = spark.read.schema(seen_schema).option("basePath", f"{where}/keys").parquet(f"{where}/keys").where(F.col("bucket").isin(touched) & (F.col("batch") < number))
-        new = new_rows(good, seen, keys).drop("bucket")
+        seen, kept, bad = Observation(), Observation(), Observation()
+        n = F.count(F.lit(1)).alias("n")
+        new = new_rows(good.observe(seen, n), index.known(good, number), keys).observe(kept, n)
         new.write.mode("overwrite").parquet(f"{where}/rows/batch={number}")
-        kept = spark.read.schema(schema).parquet(f"{where}/rows/batch={number}")
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-        kept.select(*keys, bucket.alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{where}/keys/batch={number}")
-        dead.write.mode("overwrite").parquet(f"{where}/dead/batch={number}")
-        read = batch.agg(F.count("*").alias("read"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("dead")).first()
-        n = kept.count()
-        counts = spark.createDataFrame([(read.read, n, read.dead, read.read - n - read.dead)], "read long, kept long, dead long, repeated long")
+        dead.observe(bad, n).write.mode("overwrite").parquet(f"{where}/dead/batch={number}")
+        index.add(spark.read.schema(schema).parquet(f"{where}/rows/batch={number}"), number)
+        read, taken, failed = (o.get["n"] for o in (seen, kept, bad))
+        counts = spark.createDataFrame([(read + failed, taken, failed, read - taken)], "read long, kept long, dead long, repeated long")
         counts.coalesce(1).write.mode("overwrite").parquet(f"{where}/ledger/batch={number}")
+        index.release()
         batch.unpersist()
         if on_batch:
             on_batch(number)

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan import cli
-from loomspan.operators.store import Conflict, Store, log_row
+from loomspan.operators.log import Conflict, Log
+from loomspan.operators.store import Store, log_row
 from loomspan.streaming import early_stop, ingest
 
 
@@ -48,7 +49,7 @@ def test_a_crash_before_the_log(spark, tmp_path, monkeypatch):
     s.merge()
     s.stage(staged(spark, "b", 4), "b")
     with monkeypatch.context() as m:
-        m.setattr(Store, "_created", lambda self, manifest: (_ for _ in ()).throw(OSError("gone")))
+        m.setattr(Log, "created", lambda self, entry: (_ for _ in ()).throw(OSError("gone")))
         with pytest.raises(OSError, match="gone"):
             s.append("b")
     assert s.versions() == [1] and s.rows().count() == 3
@@ -106,7 +107,7 @@ def test_one_writer_a_version(spark, tmp_path):
 
     s = Store(spark, str(tmp_path / "c"))
     with ThreadPoolExecutor(8) as pool:
-        won = list(pool.map(lambda k: s._created({"version": 1 + k % 3, "writer": k}), range(24)))
+        won = list(pool.map(lambda k: s.log.created({"version": 1 + k % 3, "writer": k}), range(24)))
     assert sum(won) == 3 and s.versions() == [1, 2, 3]
     assert won[s.manifest(2)["writer"]] and not [n for n in (tmp_path / "c/log").iterdir() if not n.name.endswith((".json", ".crc"))]
 
