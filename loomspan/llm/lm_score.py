@@ -16,7 +16,9 @@ texts with words.
 2. An owner adds up and answers each chunk with the totals, in the order in which the chunk asked. Answers are
    written to one file a chunk in the shared folder.
 3. The texts are read again; each chunk finds its file by its name, which holds a checksum of the chunk's content.
-   Texts are never shuffled, and a chunk of other content than asked for is an error, not a wrong score.
+   Texts are never shuffled, and a chunk of other content than asked for is never scored wrongly: where the splits of
+   the input have changed between the passes (executors lost or gained, other settings), chunks that were not asked for
+   are missing, and all three steps run again. The scores are written, so that what reads them later depends on no split.
 
 The labels' ids are broadcast where they are few (BROADCAST_BYTES), else joined by merge; both give the same rows.
 
@@ -267,7 +269,13 @@ def kept(answers: DataFrame, parts: int, where: str) -> DataFrame:
     return answers.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "owner").mapInArrow(run, "words long, every long, target long")
 
 
+#: What a task says whose chunk nobody has asked for, and times that the steps run.
+MISSING, TRIES = "no counts of chunk", 4
+
+
 def _totals(fs, path: str, chunk: Chunk) -> list[tuple[np.ndarray, np.ndarray]]:
+    if fs.get_file_info(path).type.name != "File":
+        raise LookupError(f"{MISSING} {path}")
     with fs.open_input_stream(path, compression=None) as file:
         data = file.read()
     found: tuple = (([], []), ([], []))
@@ -328,10 +336,17 @@ def score(docs: DataFrame, labels: DataFrame, chunk_bytes: int = CHUNK_BYTES, br
     few = 8 * good.count() <= broadcast_bytes
     texts = docs.join(F.broadcast(good) if few else good.hint("merge"), F.col("doc_id") == F.col("good"), "left").select("doc_id", "text", F.col("good").isNotNull().alias("wanted"))
     texts = texts if few else common.written(texts)
-    where = common.shared_dir(spark)
-    sums = common.written(kept(answered(asked(texts, OWNERS_PER_PART * parts, chunk_bytes), parts), parts, where))
-    words, every, target = (x or 0 for x in sums.agg(F.sum("words"), F.sum("every"), F.sum("target")).first())
-    return _scored(texts, where, words, (every, target), chunk_bytes)
+    for attempt in range(TRIES):
+        where = common.shared_dir(spark)
+        sums = common.written(kept(answered(asked(texts, OWNERS_PER_PART * parts, chunk_bytes), parts), parts, where))
+        words, every, target = (x or 0 for x in sums.agg(F.sum("words"), F.sum("every"), F.sum("target")).first())
+        try:
+            # A plan of its own: splits are chosen when a plan is made, for both passes alike.
+            return common.written(_scored(texts.select("*"), where, words, (every, target), chunk_bytes))
+        except Exception as e:
+            if MISSING not in str(e) or attempt == TRIES - 1:
+                raise
+    raise AssertionError("unreachable")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

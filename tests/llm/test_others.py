@@ -482,3 +482,29 @@ def test_an_id_has_one_vote(spark, monkeypatch):
     monkeypatch.setattr(quality, "learn", lambda rows, names: seen.append(len(rows)) or [])
     quality.fit(docs, spark.createDataFrame([(1, 0, 0), (1, 0, 0), (2, 1, 0)], LABELS), bound=8)
     assert seen[0] <= 2
+
+
+def test_scores_recover_from_other_splits(spark, tmp_path, monkeypatch):
+    """Splits that change between the passes, or after them, change no score."""
+    r = random.Random(31)
+    docs = spark.createDataFrame([(i, " ".join(r.choice("abcdefgh") for _ in range(60)), None) for i in range(400)], "doc_id long, text string, extra string")
+    docs.repartition(6).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/documents.parquet")
+    docs, labels = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.createDataFrame([(i, int(i < 50), 0) for i in range(100)], LABELS)
+    want = sorted(map(tuple, lm_score.score(docs, labels, 2000).collect()))
+    own, tried = lm_score._scored, []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def moved(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        tried.append(1)
+        return own(*args)
+
+    monkeypatch.setattr(lm_score, "_scored", moved)
+    try:
+        got = lm_score.score(docs, labels, 2000)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        rows = sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(tried) == 2 and [x[:2] for x in rows] == [x[:2] for x in want]
+    assert all(a[2:] == pytest.approx(b[2:]) for a, b in zip(rows, want, strict=True))
