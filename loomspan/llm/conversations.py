@@ -177,13 +177,13 @@ def repaired(audit: bytes, rows):
 class _Texts:
     """The (role, text) pairs of the rows at hand; in a file from SPOOL bytes on."""
 
-    def __init__(self):
-        self.rows, self.size, self.file = [], 0, None
+    def __init__(self, spool: int):
+        self.rows, self.size, self.file, self.spool = [], 0, None, spool
 
     def add(self, rows: list[tuple[str, str]], size: int) -> None:
         self.rows += rows
         self.size += size
-        if self.file is None and self.size >= SPOOL:
+        if self.file is None and self.size >= self.spool:
             self.file = tempfile.TemporaryFile()
         if self.file is not None and self.rows:
             pickle.dump(self.rows, self.file)
@@ -234,7 +234,7 @@ def _figures(conv: np.ndarray, n: int, col: dict[str, np.ndarray]) -> tuple[list
     return [gaps, count(blank), count(double), count(cut), count(same & ~right)], codes
 
 
-def _repairs(batches):
+def _repairs(batches, most: int, most_bytes: int, spool: int):
     """Coded rows sorted by conversation, turn, role and text -> RESULT rows."""
     names = ("turn", "no_turn", "h1", "h2", "blank", "cut", "initial")
     schema = pa.schema([("conv_id", pa.int64()), *[(n, pa.int64()) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], ("audit", pa.string()), ("repaired_sha256", pa.string())])
@@ -276,10 +276,10 @@ def _repairs(batches):
         for end in ends.tolist():
             this = None if null[begin] else int(number[begin])
             if not ids or ids[-1] != this:
-                if rows >= ROWS or sum(t.size for t in texts) >= BYTES:
+                if rows >= most or sum(t.size for t in texts) >= most_bytes:
                     yield solved()
                 ids.append(this)
-                texts.append(_Texts())
+                texts.append(_Texts(spool))
             part = {f: x.slice(begin, end - begin) for f, x in c.items()}
             here = np.flatnonzero(~part["gone"].to_numpy(zero_copy_only=False))
             begin = end
@@ -296,12 +296,15 @@ def _repairs(batches):
         yield solved()
 
 
-def repair(rows: DataFrame) -> DataFrame:
-    """RESULT: faults, cost, audit and hash of each conversation of rows (conv_id, turn, role, text, and `gone` for rows that only name their conversation)."""
+def repair(rows: DataFrame, most: int = ROWS, most_bytes: int = BYTES, spool: int = SPOOL) -> DataFrame:
+    """RESULT: faults, cost, audit and hash of each conversation of rows (conv_id, turn, role, text, and `gone` for rows that only name their conversation).
+
+    most, most_bytes: rows, and bytes of text, that are solved at a time; spool: bytes of a conversation's texts from which a file holds them.
+    """
     columns = ["conv_id", "turn", "role", "text", "gone", "h1", "h2", "blank", "cut", "initial"]
     d = coded(rows).select(*columns)
     d = d.repartition(common.parts_for(rows, PART_MB), "conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
-    return d.mapInArrow(_repairs, RESULT)
+    return d.mapInArrow(lambda batches: _repairs(batches, most, most_bytes, spool), RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,13 +106,13 @@ def search(kinds, own):
     return min(x for s, x in inserts(best).items() if s in ("", "a"))
 
 
-def found(df):
-    got = [tuple(r) for r in cv.repair(cv.damaged(df)).select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256").collect()]
+def found(df, **limits):
+    got = [tuple(r) for r in cv.repair(cv.damaged(df), **limits).select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256").collect()]
     assert len({g[0] for g in got}) == len(got)
     return {g[0]: g[1:] for g in got}
 
 
-def test_odd_rows(spark, monkeypatch):
+def test_odd_rows(spark):
     r = random.Random(5)
     texts = [None, "", " \t\n", "One. Two! Three?", "no end", "Ends.  \n", "é 漢字 😀.", "a\n.b", "x" * 3000 + ".", "\x1c."]
     roles = ["user", "assistant", "system", "user", "assistant", None, "", "tool", "User", "superuser"]
@@ -123,17 +123,17 @@ def test_odd_rows(spark, monkeypatch):
         rows += [(conv, t, r.choice(roles), r.choice(texts)) for t in turns]
     rows += rows[:20] + [(7000, 3, "user", "the same.")] * 50 + [(7001, None, "user", "hello.")] * 3
     df = spark.createDataFrame(rows, ROWS).selectExpr("*", "1 as initial", "'x' as h1", "true as blank", "2 as cut").repartition(3)
-    monkeypatch.setattr(cv, "ROWS", 60)
-    assert found(df) == plain(rows)
+    want = plain(rows)
+    assert found(df) == want
+    assert found(df, most=60, most_bytes=4000, spool=300) == want
     assert found(spark.createDataFrame([], ROWS)) == {}
 
 
-def test_long_conversation_goes_through_a_file(spark, monkeypatch):
+def test_long_conversation_goes_through_a_file(spark):
     r = random.Random(6)
-    monkeypatch.setattr(cv, "SPOOL", 10_000)
     rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"text number {r.randint(0, 9000)}" + r.choice([".", "?", ""])) for t in range(6000)]
     rows += [(2, 0, "user", "y" * 1_500_000 + "."), (2, 1, "assistant", "ok.")]
-    assert found(spark.createDataFrame(rows, ROWS)) == plain(rows)
+    assert found(spark.createDataFrame(rows, ROWS), spool=10_000) == plain(rows)
 
 
 def test_all_rows_dropped(spark):
