@@ -56,6 +56,28 @@ def encoder(factory: Callable[[], Callable[[pd.Series], list]], size: int = 64)
     return run
 
 
+def sampler(factory: Callable[[], Callable[[list[str], list[int], int, int], list[bytes]]], size: int = 64) -> Callable[[Column, Column, Column, Column], Column]:
+    """UDF-09: (prompts, seeds, widths, heights) -> pictures. A batch has one size, at most `size` rows, and each row its own seed, so a picture does not depend on its batch."""
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = _loaded(factory)
+        for prompts, seeds, widths, heights in batches:
+            out = pd.Series([None] * len(prompts), dtype=object)
+            rows = pd.DataFrame({"p": prompts.to_numpy(), "s": seeds.to_numpy(), "w": widths.to_numpy(), "h": heights.to_numpy()})
+            for (w, h), part in rows.groupby(["w", "h"], sort=False):
+                for at in range(0, len(part), size):
+                    some = part.iloc[at : at + size]
+                    pictures = model(some["p"].tolist(), some["s"].tolist(), int(w), int(h))
+                    if len(pictures) != len(some):
+                        raise ValueError("a picture for each prompt")
+                    for i, x in zip(some.index, pictures, strict=True):
+                        out.iat[i] = x
+            yield out
+
+    return run
+
+
 def detector(factory: Callable[[], Callable[[pd.Series], list[list[tuple[str, float]]]]]) -> Callable[[Column], Column]:
     """UDF-10: pictures -> for each its (label, confidence) pairs."""
 

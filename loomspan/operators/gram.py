@@ -37,13 +37,13 @@ def _groups(rb: pa.RecordBatch, n: int):
     return at.items()
 
 
-def _cut(matrix: np.ndarray) -> list[bytes]:
-    """Blocks of rows of an augmented matrix; each starts with its first row (count and sums)."""
-    rows = max(1, BLOCK_BYTES // matrix[0].nbytes)
+def _cut(matrix: np.ndarray, size: int) -> list[bytes]:
+    """Blocks of rows of an augmented matrix, about `size` bytes each; each starts with its first row (count and sums)."""
+    rows = max(1, size // matrix[0].nbytes)
     return [np.concatenate([matrix[:1], matrix[k : k + rows]]).tobytes() for k in range(1, len(matrix), rows)]
 
 
-def _partial(n: int, schema: pa.Schema, spread: int):
+def _partial(n: int, schema: pa.Schema, spread: int, size: int, most: int):
     def run(batches):
         from pyspark import TaskContext
 
@@ -52,7 +52,7 @@ def _partial(n: int, schema: pa.Schema, spread: int):
 
         def sent():
             for key, matrix in held.items():
-                for b, block in enumerate(_cut(matrix)):
+                for b, block in enumerate(_cut(matrix, size)):
                     yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, b, salt, len(matrix), block), schema, strict=True)], schema=schema)
             held.clear()
 
@@ -64,7 +64,7 @@ def _partial(n: int, schema: pa.Schema, spread: int):
                 if key in held and held[key].shape != product.shape:
                     raise ValueError("vectors of several lengths")
                 held[key] = held[key] + product if key in held else product
-            if sum(m.nbytes for m in held.values()) > HELD_BYTES:
+            if sum(m.nbytes for m in held.values()) > most:
                 yield from sent()
         yield from sent()
 
@@ -104,13 +104,13 @@ def _arrow(df: DataFrame, by: list[str], tail: list[tuple[str, pa.DataType]]) ->
     return pa.schema([*to_arrow_schema(df.select(*by).schema), *tail]) if by else pa.schema(tail)
 
 
-def gram(df: DataFrame, by: list[str], vector: str) -> DataFrame:
-    """by, block, side, part: the augmented matrix of each group in blocks of rows, as bytes of doubles."""
+def gram(df: DataFrame, by: list[str], vector: str, size: int = BLOCK_BYTES, most: int = HELD_BYTES) -> DataFrame:
+    """by, block, side, part: the augmented matrix of each group in blocks of rows of `size` bytes, as bytes of doubles; a task holds `most` bytes."""
     v = df.where(F.col(vector).isNotNull()).select(*by, F.transform(F.col(vector), lambda x: x.cast("double")).alias("_v"))
     spread = max(1, int(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     salted = _arrow(v, by, [("block", pa.int32()), ("salt", pa.int32()), ("side", pa.int32()), ("part", pa.binary())])
     keys = StructType([v.schema[c] for c in by])
-    out = v.mapInArrow(_partial(len(by), salted, spread), keys.add("block", "integer").add("salt", "integer").add("side", "integer").add("part", "binary"))
+    out = v.mapInArrow(_partial(len(by), salted, spread, size, most), keys.add("block", "integer").add("salt", "integer").add("side", "integer").add("part", "binary"))
     schema = out.schema
     for level in (["salt"], []):
         on = [*by, "block", *level]
@@ -130,9 +130,9 @@ def _figures(part: bytes, side: int) -> tuple[float, np.ndarray, np.ndarray, np.
         return n, sums / n, rows, (rows - np.outer(own, sums) / n) / (n - 1)
 
 
-def moments(df: DataFrame, by: list[str], vector: str) -> DataFrame:
+def moments(df: DataFrame, by: list[str], vector: str, size: int = BLOCK_BYTES, most: int = HELD_BYTES) -> DataFrame:
     """AGG-18: by, i, j, n, mean_i, cov: count, means and sample covariances of vectors per group (null for one vector)."""
-    blocks = gram(df, by, vector)
+    blocks = gram(df, by, vector, size, most)
     tail = [("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64()), ("mean_i", pa.float64()), ("cov", pa.float64())]
     schema = _arrow(blocks, by, tail)
 
@@ -140,7 +140,7 @@ def moments(df: DataFrame, by: list[str], vector: str) -> DataFrame:
         for rb in batches:
             for *key, block, side, part in zip(*[c.to_pylist() for c in rb.columns], strict=True):
                 n, mean, rows, cov = _figures(part, side)
-                first = block * max(1, BLOCK_BYTES // (8 * side))
+                first = block * max(1, size // (8 * side))
                 for r in range(len(rows)):
                     d = side - 1
                     values = [*[pa.array([k] * d, f.type) for k, f in zip(key, schema, strict=False)], pa.array(np.full(d, first + r), pa.int32()), pa.array(np.arange(d), pa.int32()), pa.array(np.full(d, int(n)), pa.int64()), pa.array(np.full(d, mean[first + r])), pa.array(cov[r], mask=np.full(d, n < 2))]
@@ -158,14 +158,14 @@ def matrices(df: DataFrame, by: list[str], vector: str) -> dict[tuple, tuple[int
     return {k: (int(x[0][1]), x[0][2], np.concatenate([b[3] for b in sorted(x, key=lambda b: b[0])])) for k, x in out.items()}
 
 
-def dispersive(df: DataFrame, batch: str, key: str, vector: str, tau: float = 0.5) -> DataFrame:
+def dispersive(df: DataFrame, batch: str, key: str, vector: str, tau: float = 0.5, side: int = SIDE) -> DataFrame:
     """MTH-04: batch, loss: log of the mean of exp(-|a - b|^2 / tau) over all pairs of unit vectors of a batch with different keys.
 
     A batch is dealt by hash to blocks of about SIDE vectors, and pairs of blocks meet: that many vectors travel as one row, and
     their pairs never become rows. Exponents are in [-4 / tau, 0], so they need no shift by the largest.
     """
     v = df.where(F.col(vector).isNotNull()).select(F.col(batch).alias("batch"), F.col(key).cast("long").alias("key"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
-    sizes = v.groupBy(F.col("batch").alias("_batch")).agg(F.ceil(F.count("*") / F.lit(float(SIDE))).alias("_blocks"))
+    sizes = v.groupBy(F.col("batch").alias("_batch")).agg(F.ceil(F.count("*") / F.lit(float(side))).alias("_blocks"))
     dealt = v.join(sizes, F.col("batch").eqNullSafe(F.col("_batch"))).withColumn("block", F.pmod(F.xxhash64("key"), F.col("_blocks")))
     dealt = dealt.select("batch", "block", "key", "v").repartition("batch", "block").sortWithinPartitions("batch", "block")
     number = v.schema["batch"]
@@ -182,9 +182,9 @@ def dispersive(df: DataFrame, batch: str, key: str, vector: str, tau: float = 0.
 
         for rb in batches:
             for this, rows in _groups(rb, 2):
-                for k in range(0, len(rows), SIDE):
-                    part = pa.array(rows[k : k + SIDE])
-                    if held and (this != at or len(keys) + len(part) > SIDE):
+                for k in range(0, len(rows), side):
+                    part = pa.array(rows[k : k + side])
+                    if held and (this != at or len(keys) + len(part) > side):
                         yield row()
                         piece = piece + 1 if this == at else 0
                         keys, held = [], []

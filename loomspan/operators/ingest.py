@@ -64,19 +64,20 @@ def pictures(rows: DataFrame, store: Store, source: str, encode=mean_grid, real:
     """Stages rows (id, picture, long, short) as an ingest source and returns its counters, which the store's ledger gets too.
 
     failed: not decoded; dropped: out of the aspect range; no_caption: both caption lists empty. Each row counts once, in this order.
-    The first HOLD_OUT rows of the source are its hold-out. `limit` is a smoke test's.
+    The first HOLD_OUT rows of the source, by hash of their id, are its hold-out. `limit` is a smoke test's.
     """
     rows = rows.limit(limit) if limit else rows
-    d = rows.select(F.monotonically_increasing_id().alias("seq"), F.col("id").cast("string").alias("id"), "long", "short", images.rgb_of(F.col("picture") if picture is None else picture).alias("p"))
+    d = rows.select(F.xxhash64(F.col("id").cast("string")).alias("seq"), F.col("id").cast("string").alias("id"), "long", "short", images.rgb_of(F.col("picture") if picture is None else picture).alias("p"))
     aspect = F.col("p.width") / F.col("p.height")
     d = d.withColumn("caps", C.assemble(F.col("long"), F.col("short"))).withColumn("at", C.bucket(aspect, real, F.col("id")))
     state = F.when(F.col("p.rgb").isNull(), "failed").when(F.col("at").isNull(), "dropped").when(F.col("caps").isNull(), "no_caption").otherwise("ok")
-    # Written once: the place in the source must not change between counting, encoding and staging.
+    # Written once: pixels are decoded once.
     where = f"{store.root}/drafts/ingest_source={source}"
     d.select("seq", "id", state.alias("state"), "at.bucket", "at.crop", F.col("p.width").alias("w"), F.col("p.height").alias("h"), "caps.long", "caps.short", F.col("p.rgb").alias("rgb")).write.mode("overwrite").parquet(where)
     drafts = store.spark.read.parquet(where)
     good = encoded(drafts.where("state = 'ok'").drop("state"), encode, batch)
-    placed = ordinals(good.withColumn("_all", F.lit(0)), ["_all"], [], "seq", "_at").withColumn("val", F.col("_at") <= C.HOLD_OUT).drop("_all", "_at")
+    # Places go by the hash of the id, so neither they nor the hold-out depend on the layout of the files.
+    placed = ordinals(good.withColumn("_all", F.lit(0)), ["_all"], [], "seq", "_at").withColumns({"val": F.col("_at") <= C.HOLD_OUT, "seq": F.col("_at") - 1}).drop("_all", "_at")
     store.stage(placed, source)
     stats = {r.state: r.n for r in drafts.groupBy("state").agg(F.count("*").alias("n")).collect()}
     stats = {k: stats.get(k, 0) for k in ("ok", "failed", "dropped", "no_caption")}

@@ -8,7 +8,8 @@ from loomspan.functions import text as S
 from loomspan.functions.hashing import u01
 from loomspan.operators import evaluate as E
 from loomspan.operators import gram
-from loomspan.operators import sampling as P
+from loomspan.operators import orderstat as O
+from loomspan.operators.scan import ranged
 
 from .registry import query, u01_sql, words_sql
 
@@ -97,12 +98,13 @@ def agg16(t):
 
 @query("agg17_survey", f"WITH w AS (SELECT source, n_chars, {words_sql('text')} AS n FROM documents) SELECT source, list_sort(list(n_chars))[count(*) // 2 + 1] AS side_med, min(n_chars) AS side_min, floor(quantile_cont(n, 5e-1))::bigint AS words_med, round(100e0 * avg((n * 135e-2 > 64)::int), 4) AS over_pct FROM w GROUP BY 1")
 def agg17(t):
-    """The upper median is the value at that place of the source's order, not one of a collected list."""
-    d = t("documents").select("source", "n_chars", S.word_count(F.col("text")).alias("n"), S.over_limit(F.col("text")).cast("int").alias("over"))
-    middle = P.ordinals(d.select("source", "n_chars"), ["source"], [], "n_chars", "r").alias("m")
-    d = d.groupBy("source").agg(F.count("*").alias("c"), F.min("n_chars").alias("side_min"), F.floor(F.percentile("n", F.lit(0.5))).cast("bigint").alias("words_med"), F.round(F.lit(100.0) * F.avg("over"), 4).alias("over_pct")).alias("d")
-    at = F.col("m.source").eqNullSafe(F.col("d.source")) & (F.col("r") == F.floor(F.col("c") / 2) + 1)
-    return d.join(middle, at).select("d.source", F.col("m.n_chars").alias("side_med"), "side_min", "words_med", "over_pct")
+    """Both medians by refinement: no source's values meet on one task."""
+    d = t("documents").select("source", "n_chars", S.word_count(F.col("text")).alias("words"), S.over_limit(F.col("text")).cast("int").alias("over"))
+    side = O.at_ranks(d, ["source"], "n_chars", F.array(F.floor(F.col("n") / 2).cast("long"))).select(F.col("source").alias("s1"), F.col("value").cast("bigint").alias("side_med"))
+    words = O.quantiles(d, ["source"], "words", {"m": 0.5}).select(F.col("source").alias("s2"), F.floor("m").cast("bigint").alias("words_med"))
+    d = d.groupBy("source").agg(F.min("n_chars").alias("side_min"), F.round(F.lit(100.0) * F.avg("over"), 4).alias("over_pct"))
+    d = d.join(side, F.col("source").eqNullSafe(F.col("s1"))).join(words, F.col("source").eqNullSafe(F.col("s2")))
+    return d.select("source", "side_med", "side_min", "words_med", "over_pct")
 
 
 @query("agg18_frechet_parts", "WITH x AS (SELECT label, vec_id, i, embedding[i + 1]::double AS x FROM embeddings, (SELECT unnest(range(64)) AS i)) SELECT a.label, a.i::int AS i, b.i::int AS j, round(covar_samp(a.x, b.x), 6) AS cov, round(avg(a.x), 6) AS mean_i FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY ALL")
@@ -172,16 +174,31 @@ def agg22u(t):
     return hits(t).select("user_id", status.alias("status")).where("status is not null")
 
 
-@query("agg23_bootstrap", f"WITH p AS (SELECT row_number() OVER (ORDER BY r_regionkey, n_nationkey) - 1 AS i, n_nationkey::double AS gain FROM nation JOIN region ON n_regionkey = r_regionkey), d AS (SELECT b, floor({u01_sql('b || chr(47) || j')} * 25)::int AS i FROM (SELECT unnest(range(10000)) AS b), (SELECT unnest(range(25)) AS j)), m AS (SELECT b, avg(gain) AS g FROM d JOIN p USING (i) GROUP BY 1) SELECT round(quantile_cont(g, 25e-3), 6) AS lo, round(quantile_cont(g, 975e-3), 6) AS hi FROM m")
+#: Gain of each user: the mean of the events with even ids less that of the others.
+GAIN = "SELECT user_id, avg(value) FILTER (WHERE event_id % 2 = 0) - avg(value) FILTER (WHERE event_id % 2 = 1) AS gain FROM events GROUP BY 1"
+
+
+def gains(t):
+    side = lambda k: F.avg(F.when(F.col("event_id") % 2 == k, F.col("value")))
+    return t("events").groupBy("user_id").agg((side(0) - side(1)).alias("gain")).where("gain is not null")
+
+
+@query("agg23_bootstrap", f"WITH p AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS i, gain, count(*) OVER () AS n FROM ({GAIN}) WHERE gain IS NOT NULL), d AS (SELECT b, floor({u01_sql('b || chr(47) || j')} * n)::int AS i FROM (SELECT unnest(range(1000)) AS b), (SELECT i AS j, n FROM p)), m AS (SELECT b, avg(gain) AS g FROM d JOIN p USING (i) GROUP BY 1) SELECT round(quantile_cont(g, 25e-3), 6) AS lo, round(quantile_cont(g, 975e-3), 6) AS hi FROM m")
 def agg23(t):
-    """10,000 resampled means of a small paired table (one row a prompt): B x P rows, spread over tasks."""
-    p = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    p = p.select((F.row_number().over(Window.orderBy("r_regionkey", "n_nationkey")) - 1).alias("i"), F.col("n_nationkey").cast("double").alias("gain"))
-    d = t("nation").sparkSession.range(10_000).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("j"))
-    d = d.select("b", E.resampled(25, F.col("j").cast("string"), F.col("b").cast("string")).alias("i"))
-    m = d.join(F.broadcast(p), "i").groupBy("b").agg(F.avg("gain").alias("g"))
-    q = m.agg(F.percentile("g", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return q.select(F.round(F.get("q", 0), 6).alias("lo"), F.round(F.get("q", 1), 6).alias("hi"))
+    """1,000 resamples of all paired users, drawn by hash so that any engine draws the same."""
+    p = ranged(gains(t), [], "user_id").running(i=("count", None)).rows().select((F.col("i") - 1).alias("i"), "gain")
+    n = p.agg(F.count("*").alias("n"))
+    d = t("events").sparkSession.range(1000).select(F.col("id").alias("b")).crossJoin(F.broadcast(n)).select("b", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    d = d.select("b", F.floor(u01(F.concat_ws("/", F.col("b").cast("string"), F.col("j").cast("string"))) * F.col("n")).alias("i"))
+    m = d.join(p, "i").groupBy("b").agg(F.avg("gain").alias("g"))
+    return O.quantiles(m, [], "g", {"lo": 0.025, "hi": 0.975}).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query("agg23_bootstrap_weights")
+def agg23w(t):
+    """10,000 resamples of the same pairs as weights: users are read once, and a task sends one sum a resample."""
+    m = O.bootstrap(gains(t), "user_id", "gain", 10_000)
+    return O.quantiles(m, [], "mean", {"lo": 0.025, "mid": 0.5, "hi": 0.975}).select(*[F.round(c, 6).alias(c) for c in ("lo", "mid", "hi")])
 
 
 @query("agg24_object_acc", "WITH d AS (SELECT user_id, list(event_type) FILTER (WHERE value >= 50) AS found FROM events GROUP BY 1) SELECT round(avg((list_contains(coalesce(found, []), CASE WHEN user_id % 2 = 0 THEN 'view' ELSE 'click' END))::int), 9) AS accuracy FROM d")

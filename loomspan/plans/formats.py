@@ -314,6 +314,11 @@ def udf02(t):
 
 @query("agg29_by_shape", "SELECT round(avg(length(text))::double, 6) AS m FROM documents")
 def agg29(t):
-    """Batches of one language each, then the mean over all rows; what a batch gives is a column here, so no worker is needed."""
-    shapes = t("documents").groupBy("lang").agg(F.sum(F.length("text")).alias("s"), F.count("text").alias("n"))
-    return shapes.agg(F.round(F.sum("s") / F.sum("n"), 6).alias("m"))
+    """Batches of one language each go through a model contract that gives a mean a batch; then the mean over all rows."""
+
+    def mean_length(part):
+        return part.groupby("lang", as_index=False).agg(m=("n", "mean"), n=("n", "size"))
+
+    d = t("documents").where("text is not null").select("lang", F.length("text").alias("n"))
+    batches = models.by_shape(d, "lang", mean_length, "lang string, m double, n long")
+    return batches.agg(F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 6).alias("m"))

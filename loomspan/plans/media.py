@@ -74,10 +74,18 @@ def udf04(t):
     return t("customer").select("c_custkey", score(F.col("c_name"), F.col("c_mktsegment")).alias("score"))
 
 
-@query("udf09_generate_pictures", f"SELECT c_custkey, {WIDTH}::int AS width FROM customer")
+def _sampling_model():
+    return lambda prompts, seeds, w, h: [images.to_png(np.broadcast_to(np.array([len(p) % 256, s % 256, len(prompts) > 0], np.uint8), (h, w, 3))) for p, s in zip(prompts, seeds, strict=True)]
+
+
+@query("udf09_generate_pictures", "SELECT c_custkey, seed::bigint AS seed, (8 + 8 * (c_custkey % 3))::int AS width, 16 AS height, lower(printf('%02x%02x01', (length('a photo of ' || c_name) % 256)::int, ((c_custkey * 4 + seed) % 256)::int)) AS first FROM customer, (SELECT unnest(range(2)) AS seed)")
 def udf09(t):
-    """The contract of a picture sampler: rows in, pictures out; the model here draws one colour."""
-    return pictures(t("customer")).select("c_custkey", images.size_of("picture")["width"].alias("width"))
+    """Prompts with two seeds each through the sampler's contract, in batches of one size; the stand-in model draws one colour."""
+    draw = models.sampler(_sampling_model)
+    d = t("customer").select("c_custkey", F.concat(F.lit("a photo of "), "c_name").alias("prompt"), F.explode(F.array(F.lit(0), F.lit(1))).cast("bigint").alias("seed"))
+    d = d.select("c_custkey", "seed", draw(F.col("prompt"), F.col("c_custkey") * 4 + F.col("seed"), 8 + 8 * (F.col("c_custkey") % 3), F.lit(16)).alias("picture"))
+    p = d.select("c_custkey", "seed", images.rgb_of("picture").alias("p"))
+    return p.select("c_custkey", "seed", "p.width", "p.height", F.lower(F.hex(F.substring("p.rgb", 1, 3))).alias("first"))
 
 
 @query("udf10_detect", f"SELECT c_custkey, {RED} > 127 AS found FROM customer")
@@ -151,10 +159,13 @@ def snk11(t):
     return d.select("event_type", "ok", F.round("per_second", 9).alias("per_second"))
 
 
-@query("snk12_contact_sheet", "WITH c AS (SELECT c_mktsegment AS g, c_custkey, c_name, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) // 48 AS page FROM customer) SELECT g, page::bigint AS page, '<!doctype html><meta charset=\"utf-8\">' || string_agg('<figure><figcaption>&lt;' || c_name || '&gt;</figcaption></figure>', '' ORDER BY c_custkey) AS html FROM c GROUP BY ALL")
+@query("snk12_contact_sheet", "WITH c AS (SELECT c_mktsegment AS g, c_custkey, c_name, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) // 48 AS page FROM customer) SELECT g, page::bigint AS page, '<!doctype html><meta charset=\"utf-8\">' || string_agg('<figure><img><figcaption>&lt;' || c_name || '&gt;</figcaption></figure>', '' ORDER BY c_custkey) AS html, count(*)::bigint AS n_pictures FROM c GROUP BY ALL")
 def snk12(t):
-    d = t("customer").select(F.col("c_mktsegment").alias("g"), "c_custkey", "c_name")
-    return sinks.contact_sheets(d, ["g"], "c_custkey", None, F.concat(F.lit("<"), "c_name", F.lit(">")))
+    """Sheets with embedded pictures; SQL can't draw them, so they are counted and their data left out of what is compared."""
+    d = pictures(t("customer")).withColumnRenamed("c_mktsegment", "g")
+    d = sinks.contact_sheets(d, ["g"], "c_custkey", F.col("picture"), F.concat(F.lit("<"), "c_name", F.lit(">")))
+    image = F.lit('<img src="data:image/png;base64,[A-Za-z0-9+/]+=*">')
+    return d.select("g", "page", F.regexp_replace("html", image, F.lit("<img>")).alias("html"), F.regexp_count("html", image).cast("bigint").alias("n_pictures"))
 
 
 @query("stm08_cadence", "WITH s AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS step, sum(value) OVER (PARTITION BY event_type ORDER BY event_id) AS sec FROM events) SELECT event_id, step % 25 = 0 AS due_steps, floor(sec / 3e2) > coalesce(floor(lag(sec) OVER (PARTITION BY event_type ORDER BY event_id) / 3e2), 0) AS due_minutes FROM s")

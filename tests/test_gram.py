@@ -6,16 +6,14 @@ import pytest
 from loomspan.operators import gram
 
 
-def test_groups_of_odd_shapes(spark, monkeypatch):
+def test_groups_of_odd_shapes(spark):
     """Null keys and vectors, a group of one, blocks of a row, matrices sent again and again."""
-    monkeypatch.setattr(gram, "BLOCK_BYTES", 100)
-    monkeypatch.setattr(gram, "HELD_BYTES", 0)
     r = np.random.default_rng(1)
     data = {("a", 1): r.normal(size=(300, 9)) + 5, (None, 2): r.normal(size=(40, 9)), ("a", None): r.normal(size=(1, 4))}
     rows = [(*k, v.tolist()) for k, m in data.items() for v in m] + [("a", 1, None)] * 5
     df = spark.createDataFrame(rows, "g string, h int, v array<double>").repartition(7)
     got = {}
-    for x in gram.moments(df, ["g", "h"], "v").collect():
+    for x in gram.moments(df, ["g", "h"], "v", 100, 0).collect():
         got.setdefault((x.g, x.h), {})[x.i, x.j] = x
     for k, m in data.items():
         d = m.shape[1]
@@ -42,9 +40,8 @@ def test_a_thousand_dimensions_explode_no_rows(spark):
     assert n == 60 and np.allclose(mean, rows.mean(0)) and np.allclose(cov, np.cov(rows.T))
 
 
-def test_pairs_of_a_large_batch(spark, monkeypatch):
+def test_pairs_of_a_large_batch(spark):
     """A batch of several blocks, a null batch, repeated keys (no pair of their own) and zero vectors."""
-    monkeypatch.setattr(gram, "SIDE", 16)
     r = np.random.default_rng(3)
     rows = [(1, i % 90, v) for i, v in enumerate(r.normal(size=(120, 5)).tolist())] + [(None, i, v) for i, v in enumerate(r.normal(size=(7, 5)).tolist())]
     rows += [(2, 1, [0.0] * 5), (2, 2, [1.0] * 5), (3, 1, [1.0] * 5), (4, None, None)]
@@ -55,5 +52,5 @@ def test_pairs_of_a_large_batch(spark, monkeypatch):
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         e = np.exp(-np.maximum(2 - 2 * x @ x.T, 0) / 0.5)
         want[b] = np.log(e[keys[:, None] != keys[None]].mean())
-    got = gram.dispersive(spark.createDataFrame(rows, "b int, k long, v array<double>").repartition(4), "b", "k", "v").collect()
+    got = gram.dispersive(spark.createDataFrame(rows, "b int, k long, v array<double>").repartition(4), "b", "k", "v", 0.5, 16).collect()
     assert {x.batch: x.loss for x in got} == pytest.approx(want)

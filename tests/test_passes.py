@@ -21,8 +21,15 @@ def test_passes_over_all_events_of_a_user(spark, tmp_path):
     assert got("agg21_counts") == [(1, 1, pytest.approx(mean(shares), abs=1e-9))]
 
 
-def test_bootstrap_of_ten_thousand(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_regionkey", "n_nationkey").collect()
-    draw = lambda b, j: int(int(hashlib.md5(f"{b}/{j}".encode()).hexdigest()[:13], 16) / 2**52 * 25)
-    means = [mean(p[draw(b, j)].n_nationkey for j in range(25)) for b in range(10_000)]
+def test_bootstrap_of_all_users(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").collect()
+    users = sorted({e.user_id for e in events})
+    side = lambda u, k: [e.value for e in events if e.user_id == u and e.event_id % 2 == k]
+    gain = [mean(side(u, 0)) - mean(side(u, 1)) for u in users if side(u, 0) and side(u, 1)]
+    draw = lambda b, j: int(int(hashlib.md5(f"{b}/{j}".encode()).hexdigest()[:13], 16) / 2**52 * len(gain))
+    means = [mean(gain[draw(b, j)] for j in range(len(gain))) for b in range(1000)]
     assert tuple(catalog.queries()["agg23_bootstrap"](spark, sf_dir).first()) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=2e-6)
+    r = np.random.default_rng(5)
+    own = np.array(gain)[r.integers(0, len(gain), (10_000, len(gain)))].mean(axis=1)
+    got = catalog.queries()["agg23_bootstrap_weights"](spark, sf_dir).first()
+    assert (got.lo, got.mid, got.hi) == pytest.approx(tuple(np.quantile(own, [0.025, 0.5, 0.975])), abs=0.15 * own.std())
