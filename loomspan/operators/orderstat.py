@@ -2,7 +2,7 @@
 
 `at_ranks` counts equal values first, then narrows: each round deals the values of a group (later of the cells that hold a
 wanted rank) to CELLS cells by their ends, finds the cells that hold the ranks from the cells' counts, and drops all others. What
-is left after ROUNDS is ordered by a scan over ranges. So a round is an aggregate that combines before it shuffles, and no group,
+is left after ROUNDS is ordered by a scan over ranges. Counts and wanted ranks are written between rounds. So a round is an aggregate that combines before it shuffles, and no group,
 however large or lopsided, is ever on one task.
 
 `bootstrap` draws resamples as weights: how many of the draws fall into a block of rows comes from halving ranges of
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan.operators.scan import _beside, _cells, _finite, ranged
+from loomspan.operators.tables import written
 
-CELLS, ROUNDS = 1024, 2
+CELLS, ROUNDS = 1024, 1
 #: Rows of a block of the bootstrap, and resamples that a block weighs at a time.
 BLOCK, AT_ONCE = 1024, 1024
 
@@ -33,6 +34,7 @@ def at_ranks(df: DataFrame, by: list[str], value: str, ranks: Column) -> DataFra
     """by, rank, n, value: the values at the ranks (from 0) in the ascending order of each group's n values. ranks: an array made from `n`."""
     groups = by or ["_all"]
     counted = df.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0)).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    counted = written(counted)  # every round reads it twice
     sizes = counted.groupBy(*groups).agg(F.sum("_c").alias("n"))
     wanted = sizes.select(*groups, "n", F.explode(F.array_distinct(ranks)).alias("rank")).where("rank >= 0 and rank < n").withColumn("_left", F.col("rank"))
     at: list[str] = []
@@ -45,11 +47,12 @@ def at_ranks(df: DataFrame, by: list[str], value: str, ranks: Column) -> DataFra
         cells = cells.withColumn("_before", before)
         here = _same_as(wanted, cells, keys) & (F.col("_w._left") >= F.col("_c._before")) & (F.col("_w._left") < F.col("_c._before") + F.col("_c._m"))
         wanted = wanted.alias("_w").join(cells.alias("_c"), here).select("_w.*", F.col(f"_c.{cell}").alias(cell), F.col("_c._before").alias("_b"))
-        wanted = wanted.withColumn("_left", F.col("_left") - F.col("_b")).drop("_b")
+        wanted = written(wanted.withColumn("_left", F.col("_left") - F.col("_b")).drop("_b"))
         at.append(cell)
         # Only values of cells that hold a wanted rank go on.
         keep = wanted.select(*groups, *at).distinct().withColumn("_in", F.lit(True))
         counted = _beside(counted, keep, [*groups, *at]).where("_in").drop("_in")
+        counted = written(counted) if level + 1 < ROUNDS else counted
     keys = [*groups, *at]
     placed = ranged(counted, keys, "_v").running(_upto=("sum", "_c")).rows()
     here = _same_as(wanted, placed, keys) & (F.col("_w._left") >= F.col("_c._upto") - F.col("_c._c")) & (F.col("_w._left") < F.col("_c._upto"))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from loomspan.functions.hashing import order_key, u01
 from loomspan.operators import scan
 from loomspan.operators.scan import ranged
+from loomspan.operators.tables import written
 
 #: Deviations that the margin of a hash sample allows for.
 MARGIN = 6.0
@@ -36,6 +37,7 @@ def per_group(df: DataFrame, by: list[str], seed: str, key: str, n: Column | int
     sizes = rows.groupBy(*[F.col(c).alias(f"_pgs{c}") for c in by]).agg(F.count("*").alias("_pg_all"), F.max("_pg_wanted").alias("_pg_k"))
     k, size = F.col("_pg_k").cast("double"), F.col("_pg_all")
     sizes = sizes.withColumn("_pg_below", (k + MARGIN * F.sqrt(F.greatest(k, F.lit(0.0))) + MARGIN * MARGIN) / size)
+    sizes = written(sizes)  # three steps read them
     same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_pgs{c}")) for c in by], F.lit(True))
     taken = rows.join(sizes, same)
     found = taken.groupBy(*[F.col(f"_pgs{c}") for c in by]).agg(F.count_if(F.col("_pg_u") <= F.col("_pg_below")).alias("_pg_found"), F.first("_pg_all").alias("_pg_all"), F.first("_pg_k").alias("_pg_k"))
