@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspan.operators.scan import ranged
+from loomspan.operators.tables import written
+
 #: Queries that travel to the vectors at a time, and vectors that one multiplication takes.
 BLOCK, SLICE = 4096, 1024
 FOUND = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("sim", pa.float64())])
@@ -31,17 +34,17 @@ def _best(qid: np.ndarray, vec: np.ndarray, sim: np.ndarray, k: int):
 def top(queries: DataFrame, vectors: DataFrame, key: str, column: str, k: int, block: int = BLOCK, places: int = 6) -> DataFrame:
     """qid, vec_id, sim: the k vectors most similar to each query but itself, by similarity rounded to `places`, then by id.
 
-    The work is queries x vectors by definition. Queries go out in blocks of `block`, a broadcast of that proven size each;
-    a task keeps k rows a query, so nothing else is shuffled. Null vectors match nothing; all vectors have one length.
+    The work is queries x vectors by definition. Queries go out in blocks of `block` by their places, a broadcast of that proven
+    size each, which is released when the block's rows are written; a task keeps k rows a query, so nothing else is shuffled.
+    Null vectors match nothing; all vectors have one length.
     """
     spark = queries.sparkSession
     queries, vectors = queries.where(F.col(column).isNotNull()).select(key, column), vectors.where(F.col(column).isNotNull()).select(key, column)
-    blocks = -(-queries.count() // block)
+    queries = ranged(queries, [], key).running(_at=("count", None)).rows().withColumn("_block", F.floor((F.col("_at") - 1) / F.lit(block)))
+    queries = written(queries)
     out = spark.createDataFrame([], "qid long, vec_id long, sim double")
-    for b in range(blocks):
-        # Ranks by hash deal the queries to blocks; only the block at hand comes to the driver.
-        part = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) if blocks > 1 else queries
-        held = part.toArrow()
+    for b in range(-(-queries.count() // block)):
+        held = queries.where(F.col("_block") == b).toArrow()
         sent = spark.sparkContext.broadcast((held[key].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64), _unit(held[column].combine_chunks())))
 
         def run(batches, sent=sent):
@@ -65,6 +68,8 @@ def top(queries: DataFrame, vectors: DataFrame, key: str, column: str, k: int, b
             if len(found[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, FOUND, strict=True)], schema=FOUND)
 
-        out = out.union(vectors.mapInArrow(run, "qid long, vec_id long, sim double"))
-    ranked = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "vec_id"))
-    return out.withColumn("r", ranked).where(F.col("r") <= k).drop("r")
+        ranked = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "vec_id"))
+        found = vectors.mapInArrow(run, "qid long, vec_id long, sim double").withColumn("r", ranked)
+        out = out.union(written(found.where(F.col("r") <= k).drop("r")))
+        sent.unpersist()
+    return out
