@@ -1,7 +1,7 @@
 """Command line (CLI-01, CLI-02): thin calls of the same functions.
 
 python -m loomspan.cli ingest ROOT --source S --input PATH [--kind parquet|tar] [--id C] [--picture C] [--long C,...] [--short C,...]
-    [--synthetic] [--limit N] [--batch N] [--encoder module:function]
+    [--synthetic] [--limit N] [--target N] [--batch N] [--encoder module:function]
 python -m loomspan.cli merge|append|check ROOT [--source S] [--exclude S,...] [--force]
 python -m loomspan.cli tree|schema|sample PATH [--suffix .parquet] [--rows N] [--seed S] [--columns a,b]
 """
@@ -31,6 +31,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--short", default="")
     p.add_argument("--synthetic", action="store_true")
     p.add_argument("--limit", type=int, default=0)
+    p.add_argument("--target", type=int, default=0)
     p.add_argument("--batch", type=int, default=64)
     p.add_argument("--encoder")
     a = p.parse_args(argv)
@@ -88,7 +89,7 @@ def ingest(spark, a) -> dict[str, int]:
         module, _, name = a.encoder.partition(":")
         encode = getattr(import_module(module), name)
     rows = rows.select(key.cast("string").alias("id"), picture.alias("picture"), captions(a.long).alias("long"), captions(a.short).alias("short"))
-    return I.pictures(rows, Store(spark, a.path), a.source, encode, not a.synthetic, a.batch, a.limit)
+    return I.pictures(rows, Store(spark, a.path), a.source, encode, not a.synthetic, a.batch, a.limit, target=a.target)
 
 
 if __name__ == "__main__":

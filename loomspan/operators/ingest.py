@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import images
 from loomspan.operators import curate as C
+from loomspan.operators import orderstat as O
 from loomspan.operators.sampling import ordinals
 from loomspan.operators.store import Store
 
@@ -60,14 +61,16 @@ def encoded(rows: DataFrame, encode: Callable[[list[np.ndarray]], list[np.ndarra
     return rows.mapInPandas(run, ENCODED)
 
 
-def pictures(rows: DataFrame, store: Store, source: str, encode=mean_grid, real: bool = True, batch: int = BATCH, limit: int = 0, picture: Column | None = None) -> dict[str, int]:
+def pictures(rows: DataFrame, store: Store, source: str, encode=mean_grid, real: bool = True, batch: int = BATCH, limit: int = 0, picture: Column | None = None, target: int = 0) -> dict[str, int]:
     """Stages rows (id, picture, long, short) as an ingest source and returns its counters, which the store's ledger gets too.
 
     failed: not decoded; dropped: out of the aspect range; no_caption: both caption lists empty. Each row counts once, in this order.
     The first HOLD_OUT rows of the source, by hash of their id, are its hold-out. `limit` is a smoke test's.
+    `target` is how many rows the source is to have in all (SRT-05): what earlier runs have staged counts, rows beyond it, by the same
+    hash, are not encoded and count as `beyond`; a source that has enough gets none. Without it there is no bound.
     """
     rows = rows.limit(limit) if limit else rows
-    d = rows.select(F.xxhash64(F.col("id").cast("string")).alias("seq"), F.col("id").cast("string").alias("id"), "long", "short", images.rgb_of(F.col("picture") if picture is None else picture).alias("p"))
+    d = rows.select(F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string")), 12).alias("seq"), F.col("id").cast("string").alias("id"), "long", "short", images.rgb_of(F.col("picture") if picture is None else picture).alias("p"))
     aspect = F.col("p.width") / F.col("p.height")
     d = d.withColumn("caps", C.assemble(F.col("long"), F.col("short"))).withColumn("at", C.bucket(aspect, real, F.col("id")))
     state = F.when(F.col("p.rgb").isNull(), "failed").when(F.col("at").isNull(), "dropped").when(F.col("caps").isNull(), "no_caption").otherwise("ok")
@@ -75,11 +78,19 @@ def pictures(rows: DataFrame, store: Store, source: str, encode=mean_grid, real:
     where = f"{store.root}/drafts/ingest_source={source}"
     d.select("seq", "id", state.alias("state"), "at.bucket", "at.crop", F.col("p.width").alias("w"), F.col("p.height").alias("h"), "caps.long", "caps.short", F.col("p.rgb").alias("rgb")).write.mode("overwrite").parquet(where)
     drafts = store.spark.read.parquet(where)
-    good = encoded(drafts.where("state = 'ok'").drop("state"), encode, batch)
+    fine, n = drafts.where("state = 'ok'").drop("state"), drafts.where("state = 'ok'").count()
+    before = store.staged_rows(source)
+    need = n if not target else min(n, max(0, target - before))
+    if need < n:
+        # The hash that the last wanted row has; hashes have 52 bits, which doubles hold.
+        last = O.at_ranks(fine.select("seq"), [], "seq", F.array(F.lit(max(0, need - 1)).cast("long"))).first()["value"]
+        fine = fine.where(F.col("seq") <= last) if need else fine.limit(0)
+    good = encoded(fine, encode, batch)
     # Places go by the hash of the id, so neither they nor the hold-out depend on the layout of the files.
-    placed = ordinals(good.withColumn("_all", F.lit(0)), ["_all"], [], "seq", "_at").withColumns({"val": F.col("_at") <= C.HOLD_OUT, "seq": F.col("_at") - 1}).drop("_all", "_at")
+    placed = ordinals(good.withColumn("_all", F.lit(0)), ["_all"], [], "seq", "_at").where(F.col("_at") <= need).withColumns({"val": F.col("_at") <= C.HOLD_OUT, "seq": F.col("_at") + (before - 1)}).drop("_all", "_at")
     store.stage(placed, source)
     stats = {r.state: r.n for r in drafts.groupBy("state").agg(F.count("*").alias("n")).collect()}
-    stats = {k: stats.get(k, 0) for k in ("ok", "failed", "dropped", "no_caption")}
+    stats = {k: stats.get(k, 0) for k in ("ok", "failed", "dropped", "no_caption")} | {"ok": need}
+    stats |= {"beyond": n - need} if target else {}
     store.progress(source, stats)
     return stats

@@ -50,6 +50,9 @@ class Store:
         loads = [f"{self.root}/staging/{n}" for n in names if self.log.files().exists(self.log.path(f"staging/{n}/_SUCCESS"))]
         return self.spark.read.option("basePath", f"{self.root}/staging").parquet(*loads).drop("load")
 
+    def staged_rows(self, source: str) -> int:
+        return self.staged().where(F.col("ingest_source") == source).count() if self.log.listed("staging") else 0
+
     def rows(self, version: int | None = None) -> DataFrame:
         """The rows of a version (the newest by default), with row_no, the place in the bucket."""
         m = self.manifest(version)

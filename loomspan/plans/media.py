@@ -121,6 +121,17 @@ def cli01(spark, sf_dir):
     return s.totals().groupBy().pivot("name", ["ok", "failed", "dropped", "no_caption"]).agg(F.first("n"))
 
 
+@fixed("cli01_target", f"SELECT least(20, n)::bigint AS first, n - least(20, n) AS beyond, least(30, n) - least(20, n) AS later, least(30, n)::bigint AS staged, count(DISTINCT id)::bigint AS ids FROM (SELECT count(*)::bigint AS n FROM customer WHERE {WIDTH} / {HEIGHT}::double BETWEEN 5e-1 AND 2e0), (SELECT unnest(range(30)) AS id) WHERE id < n GROUP BY ALL")
+def cli01t(spark, sf_dir):
+    """A source that is to have 20 rows, then 30: the second run stages what is missing."""
+    d = pictures(spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    s, rows = Store(spark, folder(spark)), d.select(F.col("c_custkey").cast("string").alias("id"), "picture", F.array("c_name").alias("long"), F.array().cast("array<string>").alias("short"))
+    a = ingest.pictures(rows, s, "customers", target=20)
+    staged = s.staged()
+    b = ingest.pictures(rows.join(staged.select("id"), "id", "left_anti"), s, "customers", target=30)
+    return s.staged().agg(F.count("*").alias("staged"), F.countDistinct("id").alias("ids")).select(F.lit(a["ok"]).cast("long").alias("first"), F.lit(a["beyond"]).cast("long").alias("beyond"), F.lit(b["ok"]).cast("long").alias("later"), "staged", "ids")
+
+
 @fixed("udf06_encode", f"SELECT c_custkey::varchar AS id, round({RED} / 1275e-1 - 1, 4) AS red FROM customer WHERE {WIDTH} / {HEIGHT}::double BETWEEN 5e-1 AND 2e0")
 def udf06(spark, sf_dir):
     """Latents of the encoder without a model: mean colours."""
