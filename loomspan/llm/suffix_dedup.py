@@ -4,9 +4,10 @@ A string of that length has at least one sampled place: the gram with the least
 choice depends on the string alone, so equal strings are sampled at equal places and meet under one gram.
 Strings that follow one another and share their sampled place are one context, aligned at the gram.
 
-1. Each task samples its texts. Contexts that are equal byte for byte are collapsed where they stand, so a
+1. Each task samples its texts. Contexts with equal 128-bit hashes are collapsed where they stand, so a
    passage in many documents sends one row a batch.
-2. Under each gram, equal contexts are collapsed into one weighted string: all its strings repeat. Grams with
+2. Under each gram, contexts with equal hashes are collapsed into one weighted string: all its strings repeat, and
+   their bytes are not compared. Grams with
    one light context are dropped.
 3. For the grams with several contexts their bytes are fetched and indexed: the aligned Burrows-Wheeler transform
    (positional, since all contexts are aligned at their gram). Intervals of suffixes that start at the gram are expanded
