@@ -119,8 +119,8 @@ def join_first(c: Column, n: int = 5, sep: str = " | ") -> Column:
 
 
 def data_url(c: Column, kind: str) -> Column:
-    """STR-14."""
-    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(c))
+    """STR-14: one line, whatever its length (Spark may break base64 into lines of 76)."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.translate(F.base64(c), "\r\n", ""))
 
 
 def number_or_dash(c: Column, places: int = 2) -> Column:

@@ -268,6 +268,13 @@ def str14(t):
     return t("nation").select("n_nationkey", S.data_url(F.col("n_name").cast("binary"), "text/plain").alias("u"))
 
 
+@query("str14_long_data_url", "SELECT doc_id, md5('data:text/plain;base64,' || base64(encode(coalesce(text, '')))) AS h FROM documents")
+def str14l(t):
+    """Texts of any length stay on one line."""
+    url = S.data_url(F.coalesce(F.col("text"), F.lit("")).cast("binary"), "text/plain")
+    return t("documents").select("doc_id", F.md5(url).alias("h"))
+
+
 @query("str15_md5", "SELECT doc_id, md5(doc_id::varchar) AS h FROM documents")
 def str15(t):
     return t("documents").select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("h"))

@@ -82,7 +82,7 @@ def _sampling_model():
 def udf09(t):
     """Prompts with two seeds each through the sampler's contract, in batches of one size; the stand-in model draws one colour."""
     draw = models.sampler(_sampling_model)
-    d = t("customer").select("c_custkey", F.concat(F.lit("a photo of "), "c_name").alias("prompt"), F.explode(F.array(F.lit(0), F.lit(1))).cast("bigint").alias("seed"))
+    d = t("customer").select("c_custkey", F.concat(F.lit("a photo of "), "c_name").alias("prompt"), F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("seed"))
     d = d.select("c_custkey", "seed", draw(F.col("prompt"), F.col("c_custkey") * 4 + F.col("seed"), 8 + 8 * (F.col("c_custkey") % 3), F.lit(16)).alias("picture"))
     p = d.select("c_custkey", "seed", images.rgb_of("picture").alias("p"))
     return p.select("c_custkey", "seed", "p.width", "p.height", F.lower(F.hex(F.substring("p.rgb", 1, 3))).alias("first"))
