@@ -1,9 +1,10 @@
 """Segmented scan: running aggregates and neighbours along runs of any length, without a window over a whole run.
 
 `ranged` deals each run (the rows with equal `by`) to ranges of its ordering key, by the run's own row count and ends;
-ranges that turn out too full, since keys come in clumps, are cut at their own quantiles into CUTS + 1 parts. A scan is then a window inside each range, one carry row a range (what
-the ranges before it add up to), and their combination. Carries are joined by run and range, which is how the windows have
-dealt the rows already. The dealt rows are written to the shared folder, since each scan reads them twice.
+ranges that turn out too full, since keys come in clumps, are cut at their own quantiles into CUTS + 1 parts. A scan is
+then a window inside each range, one carry row a range (what the ranges before it add up to), and their combination.
+Carries are joined by run and range, which is how the windows have dealt the rows already. What fixes the ranges, a row a
+run, is written; each scan reads the rows twice, so rows that are dear to make are best written by the caller first.
 
 Nulls of `by` are a run. Rows with a null key stand first, those with NaN last. Equal keys go by the other ordering
 columns and are never parted, so a range holds more rows than ROWS only where that many share one key. Runs of one row
@@ -157,15 +158,18 @@ def ranged(df: DataFrame, by: list[str], key: Column | str, order: list[str] | N
         d = d.withColumn("_gall", F.lit(0))
     k = F.col("_gkey")
     ends = d.groupBy(*groups).agg(F.min(_finite(k)).alias("_glo"), F.max(_finite(k)).alias("_ghi"), F.count("*").alias("_gn"))
+    # Written: a row a run fixes the ranges, and plans that read the rows again don't make it again.
+    ends = written(ends)
     d = _beside(d, ends, groups)
     wanted = F.ceil(F.col("_gn") / F.lit(float(rows))).cast("long")
-    # Written, since every scan reads the dealt rows twice: for the ranges' totals and for the rows.
-    d = written(d.withColumn(_RANGE, _cells(k, F.col("_glo"), F.col("_ghi"), wanted)).drop("_glo", "_ghi", "_gn"))
+    d = d.withColumn(_RANGE, _cells(k, F.col("_glo"), F.col("_ghi"), wanted)).drop("_glo", "_ghi", "_gn")
+    if ends.where(F.col("_gn") > FULL * rows).isEmpty():  # no run is so large that a range of it could be too full
+        return Ranged(d.withColumn(_PART, F.lit(0)), groups, sorting, names)
     at = [*groups, _RANGE]
     full = d.groupBy(*at).agg(F.count("*").alias("_gn")).where(F.col("_gn") > FULL * rows)
     if full.isEmpty():
         return Ranged(d.withColumn(_PART, F.lit(0)), groups, sorting, names)
     crowded = _beside(d.select(*at, "_gkey"), full, at).where("_gn is not null")
     cuts = crowded.groupBy(*at).agg(F.percentile_approx(_finite(k), [i / (CUTS + 1) for i in range(1, CUTS + 1)], 16 * CUTS).alias("_gcuts"))
-    d = _beside(d, cuts, at).withColumn(_PART, F.coalesce(_below(F.col("_gcuts"), k), F.lit(0))).drop("_gcuts")
-    return Ranged(written(d), groups, sorting, names)
+    d = _beside(d, written(cuts), at).withColumn(_PART, F.coalesce(_below(F.col("_gcuts"), k), F.lit(0))).drop("_gcuts")
+    return Ranged(d, groups, sorting, names)
