@@ -14,6 +14,7 @@ from loomspan.operators import curate as C
 from loomspan.operators import orderstat as O
 from loomspan.operators.sampling import ordinals
 from loomspan.operators.store import Store
+from loomspan.operators.tables import spread
 
 #: Pictures that an encoder gets at once.
 BATCH = 64
@@ -25,8 +26,10 @@ def mean_grid(pictures: list[np.ndarray], n: int = 4) -> list[np.ndarray]:
     out = []
     for x in pictures:
         h, w, _ = x.shape
-        rows = np.add.reduceat(x.astype(float), np.arange(n) * h // n, axis=0)
-        cells = np.add.reduceat(rows, np.arange(n) * w // n, axis=1)
+        ends = np.append(np.arange(n) * h // n, h)
+        # Lines of bytes add up exactly as integers, and n lines are left to be cut.
+        rows = np.stack([x[a : max(b, a + 1)].reshape(-1, w * 3).sum(axis=0, dtype=np.uint32) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+        cells = np.add.reduceat(rows.reshape(n, w, 3).astype(float), np.arange(n) * w // n, axis=1)
         area = np.diff(np.append(np.arange(n) * h // n, h))[:, None] * np.diff(np.append(np.arange(n) * w // n, w))[None, :]
         out.append((cells / area[:, :, None] / 127.5 - 1).ravel())
     return out
@@ -85,7 +88,9 @@ def pictures(rows: DataFrame, store: Store, source: str, encode=mean_grid, real:
         # The hash that the last wanted row has; hashes have 52 bits, which doubles hold.
         last = O.at_ranks(fine.select("seq"), [], "seq", F.array(F.lit(max(0, need - 1)).cast("long"))).first()["value"]
         fine = fine.where(F.col("seq") <= last) if need else fine.limit(0)
-    good = encoded(fine, encode, batch)
+    # Written once: places read them several times, and each would encode anew. A task encodes some rows, whatever their files hold.
+    encoded(spread(fine, "id", n=need), encode, batch).write.mode("overwrite").parquet(f"{store.root}/drafts/encoded_source={source}")
+    good = store.spark.read.schema(ENCODED).parquet(f"{store.root}/drafts/encoded_source={source}")
     # Places go by the hash of the id, so neither they nor the hold-out depend on the layout of the files.
     placed = ordinals(good.withColumn("_all", F.lit(0)), ["_all"], [], "seq", "_at").where(F.col("_at") <= need).withColumns({"val": F.col("_at") <= C.HOLD_OUT, "seq": F.col("_at") + (before - 1)}).drop("_all", "_at")
     store.stage(placed, source)
