@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomspan.operators.log import Log
+from loomspan.operators.tables import spread
 
 #: Runs of a level that are merged; keys of a prefix; bits of a filter for each key, and of these those that a key sets.
 FANOUT, PREFIX_KEYS, BITS, PROBES = 8, 500_000, 10, 7
@@ -62,6 +63,11 @@ def may_hold(filter_: bytes, h: np.ndarray) -> np.ndarray:
     return bits[_places(h, len(bits))].all(axis=1)
 
 
+def _bits(n: int) -> int:
+    """Bits of a prefix that leave about PREFIX_KEYS of n keys to each."""
+    return max(0, math.ceil(math.log2(max(1, n) / PREFIX_KEYS)))
+
+
 class KeyIndex:
     def __init__(self, spark: SparkSession, root: str, keys: StructType):
         self.spark, self.log, self.keys = spark, Log(spark, root), keys
@@ -87,9 +93,9 @@ class KeyIndex:
 
     def _write(self, rows: DataFrame, n: int, level: int, batches: list[int]) -> dict:
         """A run of the distinct keys in rows, and its filters."""
-        bits = max(0, math.ceil(math.log2(max(1, n) / PREFIX_KEYS)))
+        bits = _bits(n)
         run = {"name": f"r{uuid.uuid4().hex}", "level": level, "batches": batches, "bits": bits}
-        dealt = self._hashed(rows, bits).repartition(1 << bits, "p").sortWithinPartitions("p", "_h")
+        dealt = self._hashed(rows, bits).repartitionById(1 << bits, F.col("p").cast("int")).sortWithinPartitions("p", "_h")
         dealt.write.partitionBy("p").parquet(f"{self.root}/runs/{run['name']}")
         written = self._read(run)
         schema = pa.schema([("p", pa.int64()), ("filter", pa.binary()), ("keys", pa.int64())])
@@ -98,8 +104,10 @@ class KeyIndex:
             h = group["_h"].combine_chunks().to_numpy()
             return pa.table([pa.array([group["p"][0].as_py()]), pa.array([bloom(h)], pa.binary()), pa.array([len(h)])], schema=schema)
 
-        # A prefix holds about PREFIX_KEYS hashes, so a group is bounded.
-        written.select("p", "_h").groupBy("p").applyInArrow(build, "p long, filter binary, keys long").coalesce(max(1, (1 << bits) // 64)).write.parquet(f"{self.root}/filters/{run['name']}")
+        # A prefix holds about PREFIX_KEYS hashes, so a group is bounded; a task gets some of them, whatever the session's partitions.
+        # Filters are shuffled into few files: a coalesce would have one task sort the hashes of all prefixes of a file.
+        built = written.select("p", "_h").repartition(1 << bits, "p").groupBy("p").applyInArrow(build, "p long, filter binary, keys long")
+        built.repartition(max(1, (1 << bits) // 64)).write.parquet(f"{self.root}/filters/{run['name']}")
         run["keys"] = self._filters(run).agg(F.coalesce(F.sum("keys"), F.lit(0))).first()[0]
         return run
 
@@ -112,18 +120,24 @@ class KeyIndex:
         The result reads a cached table of the keys that filters let pass, until `release`.
         """
         runs = [r for r in self.runs() if r["keys"] and r["batches"] != [batch]]
-        wanted = rows.select(*self.names).distinct()
         none = self.spark.createDataFrame([], self.keys)
         if not runs:
             return none
+        n = rows.count()
+        wanted = spread(rows.select(*self.names), *self.names, rows=PREFIX_KEYS, n=n).distinct()
         maybe = []
         kind = StructType([*self.keys.fields]).add("_h", "long").add("p", "long").add("run", "string")
+        names = self.names
         for bits in sorted({r["bits"] for r in runs}):
-            keyed = self._hashed(wanted, bits)
+            # A batch may have far more keys than the runs: its groups have longer prefixes then, each with its run's filters.
+            more = max(0, _bits(n) - bits)
+            keyed = self._hashed(wanted, bits).withColumn("_q", F.shiftrightunsigned("_h", 64 - bits - more) if bits + more else F.lit(0).cast("long")).repartition(1 << (bits + more), "_q")
             filters = functools.reduce(DataFrame.union, [self._filters(r).select("p", "filter", F.lit(r["name"]).alias("run")) for r in runs if r["bits"] == bits])
             filters = filters.join(keyed.select("p").distinct(), "p", "left_semi")
+            filters = filters.select("filter", "run", F.explode(F.sequence(F.shiftleft("p", more), F.shiftleft("p", more) + ((1 << more) - 1))).alias("_q"))
 
             def probe(keys: pa.Table, found: pa.Table) -> pa.Table:
+                keys = keys.select([*names, "_h", "p"])
                 h = keys["_h"].combine_chunks().to_numpy() if len(keys) else np.zeros(0, np.int64)
                 out = []
                 for run, f in zip(found["run"].to_pylist(), found["filter"].to_pylist(), strict=True):
@@ -132,7 +146,7 @@ class KeyIndex:
                 return pa.concat_tables(out) if out else keys.slice(0, 0).append_column("run", pa.array([], pa.string()))
 
             # A group: the batch's keys of one prefix, and a filter for each run that has it.
-            maybe.append(keyed.groupBy("p").cogroup(filters.groupBy("p")).applyInArrow(probe, kind))
+            maybe.append(keyed.groupBy("_q").cogroup(filters.groupBy("_q")).applyInArrow(probe, kind))
         maybe = functools.reduce(DataFrame.union, maybe).persist()
         self.held.append(maybe)
         named = maybe.select("run", "p").distinct().limit(NAMED + 1).collect()
@@ -163,7 +177,7 @@ class KeyIndex:
         runs = self.runs()
         if any(batch in r["batches"] and len(r["batches"]) > 1 for r in runs):
             return self.log.entry()  # merged already, so it was complete
-        wanted = rows.select(*self.names).distinct().persist()
+        wanted = spread(rows.select(*self.names), *self.names, rows=PREFIX_KEYS).distinct().persist()
         run = self._write(wanted, wanted.count(), 0, [batch])
         wanted.unpersist()
         entry = self.log.commit(lambda now: {"runs": [*[r for r in (now or {"runs": []})["runs"] if r["batches"] != [batch]], run]})
@@ -176,7 +190,8 @@ class KeyIndex:
         if all(r["keys"] == 0 for r in due):
             run = {**due[0], "level": due[0]["level"] + 1, "batches": [b for r in due for b in r["batches"]]}
         else:
-            run = self._write(rows.distinct(), sum(r["keys"] for r in due), due[0]["level"] + 1, [b for r in due for b in r["batches"]])
+            n = sum(r["keys"] for r in due)
+            run = self._write(spread(rows, *self.names, rows=PREFIX_KEYS, n=n).distinct(), n, due[0]["level"] + 1, [b for r in due for b in r["batches"]])
         gone = {r["name"] for r in due}
 
         def change(now: dict) -> dict:

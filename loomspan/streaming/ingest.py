@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomspan.operators.key_index import KeyIndex
+from loomspan.operators.key_index import PREFIX_KEYS, KeyIndex
+from loomspan.operators.tables import spread
 
 
 class _Stopped(Exception):
@@ -41,8 +42,8 @@ def run(spark: SparkSession, source: str, schema: StructType, where: str, checkp
     """Reads Parquet files under `source` until none is left; good rows go to where/rows, bad ones to where/dead.
 
     A row's key is looked up in an index of the keys that batches have taken (STM-05): filters first, then the keys that may be
-    known. Counters of each batch (read, kept, dead, repeated) go to where/ledger (STM-06); they are observed while the rows are
-    written, so a batch's rows are read once. `stop` is asked after every batch: where it says so, the stream ends there with
+    known. A batch is counted and dealt by key to tasks of some rows, so a large file is not one task's sort. Counters of each
+    batch (read, kept, dead, repeated) go to where/ledger (STM-06); they are observed while the rows are written. `stop` is asked after every batch: where it says so, the stream ends there with
     its checkpoint (STM-07), and the next run goes on. A batch that a stop or a crash cut short runs again and replaces what it wrote.
     """
     index = KeyIndex(spark, f"{where}/keys", StructType([schema[k] for k in keys]))
@@ -51,11 +52,12 @@ def run(spark: SparkSession, source: str, schema: StructType, where: str, checkp
     def write(batch: DataFrame, number: int) -> None:
         if stopping:
             raise _Stopped
-        batch = batch.persist()
+        batch = spread(batch, *keys, rows=PREFIX_KEYS).persist()
         good, dead = split(batch, ok)
         seen, kept, bad = Observation(), Observation(), Observation()
         n = F.count(F.lit(1)).alias("n")
-        new = new_rows(good.observe(seen, n), index.known(good, number), keys).observe(kept, n)
+        known = index.known(good, number) if index.runs() else None
+        new = new_rows(good.observe(seen, n), known, keys).observe(kept, n)
         new.write.mode("overwrite").parquet(f"{where}/rows/batch={number}")
         dead.observe(bad, n).write.mode("overwrite").parquet(f"{where}/dead/batch={number}")
         index.add(spark.read.schema(schema).parquet(f"{where}/rows/batch={number}"), number)

@@ -66,3 +66,26 @@ def test_new_keys_read_no_run(spark, tmp_path):
     index.add(spark.range(1000), 0)
     found = index.known(spark.range(5000, 5003))
     assert "runs/" not in str(found.inputFiles()) and found.count() == 0
+
+
+def test_filters_of_many_prefixes_are_many_tasks(spark, tmp_path, monkeypatch):
+    """One task sorted the hashes of 64 prefixes, and a batch beside a small run was one group."""
+    monkeypatch.setattr(ki, "PREFIX_KEYS", 50)
+    real, seen = ki.bloom, tmp_path / "seen"
+    seen.mkdir()
+
+    def noted(h):
+        from pyspark import TaskContext
+
+        (seen / str(TaskContext.get().partitionId())).touch()
+        return real(h)
+
+    index = ki.KeyIndex(spark, f"file://{tmp_path}/few", StructType().add("id", "long"))
+    index.add(spark.range(0, 4), 0)
+    found = sorted(r.id for r in index.known(spark.range(1600), 1).collect())
+    index.release()
+    assert found == [0, 1, 2, 3]
+    monkeypatch.setattr(ki, "bloom", noted)
+    index = ki.KeyIndex(spark, f"file://{tmp_path}/many", StructType().add("id", "long"))
+    assert index.add(spark.range(1600), 0)["runs"][0]["keys"] == 1600
+    assert len(list(seen.iterdir())) > 8
