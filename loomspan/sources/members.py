@@ -197,7 +197,7 @@ def stream(spark: SparkSession, where: str, progress: str, bytes_per_batch: int
 
 
 def write(df: DataFrame, name: str, data: str, where: str, most: int = TAR_BYTES) -> None:
-    """Rows as members of tar shards of about `most` bytes, some a task. A shard gets its name when it is whole; tasks that run again replace theirs."""
+    """Rows as members of tar shards of about `most` bytes, some a task. Members are written as they come, so a task holds one, not a shard. A shard gets its name when it is whole; tasks that run again replace theirs."""
     rows = df.select(F.col(name).cast("string"), F.col(data).cast("binary"))
 
     def run(batches):
@@ -207,27 +207,32 @@ def write(df: DataFrame, name: str, data: str, where: str, most: int = TAR_BYTES
 
         system, base = filesystem(where)
         system.create_dir(base, recursive=True)
-        task, held, size, n = TaskContext.get().partitionId(), [], 0, 0
+        task, shard, size, held, n = TaskContext.get().partitionId(), None, 0, 0, 0
 
-        def put():
+        def whole():
+            """Closes the shard and gives it its name."""
+            tar, sink = shard
+            tar.close()
+            sink.close()
             at = f"{base}/shard-{task:06d}-{n:04d}.tar"
-            with system.open_output_stream(f"{at}.part") as sink, tarfile.open(fileobj=sink, mode="w|") as tar:
-                for key, body in held:
-                    info = tarfile.TarInfo(key)
-                    info.size = len(body)
-                    tar.addfile(info, io.BytesIO(body))
             system.move(f"{at}.part", at)
-            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([len(held)], pa.int64())], ["path", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([held], pa.int64())], ["path", "n"])
 
         for rb in batches:
-            for key, body in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
-                held.append((key or "", body or b""))
-                size += len(held[-1][1])
+            for key, body in zip(rb.column(0), rb.column(1), strict=True):
+                if shard is None:
+                    sink = system.open_output_stream(f"{base}/shard-{task:06d}-{n:04d}.tar.part")
+                    shard = tarfile.open(fileobj=sink, mode="w|"), sink
+                info, body = tarfile.TarInfo(key.as_py() or ""), body.as_py() or b""
+                info.size = len(body)
+                shard[0].addfile(info, io.BytesIO(body))
+                shard[0].members = []  # a TarFile keeps all headers
+                size, held = size + len(body), held + 1
                 if size >= most:
-                    yield put()
-                    held, size, n = [], 0, n + 1
-        if held:
-            yield put()
+                    yield whole()
+                    shard, size, held, n = None, 0, 0, n + 1
+        if shard is not None:
+            yield whole()
 
     rows.mapInArrow(run, "path string, n long").write.format("noop").mode("overwrite").save()
 

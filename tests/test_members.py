@@ -98,3 +98,28 @@ def test_late_shards_are_taken_next(spark, shards, tmp_path):
     go()
     go()
     assert got(spark.read.parquet(f"{tmp_path}/out")) == want
+
+
+def test_members_are_written_as_they_come(spark, tmp_path):
+    """A task held its shard, 256 MB, until it was whole."""
+    where, seen = tmp_path / "tars", tmp_path / "seen"
+
+    def made(batches):
+        import pyarrow as pa
+
+        for k in range(60):
+            written = sum(f.stat().st_size for f in where.iterdir()) if where.exists() else 0
+            with open(seen, "a") as f:
+                f.write(f"{written}\n")
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([bytes([k]) * (1 << 20)])], ["id", "data"])
+
+    rows = spark.range(1).coalesce(1).mapInArrow(made, "id long, data binary")
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        members.write(rows, "id", "data", f"file://{where}")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    assert max(map(int, seen.read_text().split())) > 10 << 20
+    members.index(spark, f"file://{where}", f"file://{tmp_path}/marks", 8 << 20)
+    assert sorted((int(r.name), bytes(r.data)) for r in members.read(spark, f"file://{tmp_path}/marks").collect()) == [(k, bytes([k]) * (1 << 20)) for k in range(60)]
