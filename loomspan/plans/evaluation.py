@@ -10,6 +10,7 @@ from loomspan.operators import evaluate as E
 from loomspan.operators import gram
 from loomspan.operators import orderstat as O
 from loomspan.operators.scan import ranged
+from loomspan.operators.tables import written
 
 from .registry import query, u01_sql, words_sql
 
@@ -183,14 +184,22 @@ def gains(t):
     return t("events").groupBy("user_id").agg((side(0) - side(1)).alias("gain")).where("gain is not null")
 
 
+#: Users that one row of a resample draws for; users up to which their gains are broadcast (16 bytes each).
+DRAWN, SENT_USERS = 8_192, 1 << 20
+
+
 @query("agg23_bootstrap", f"WITH p AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS i, gain, count(*) OVER () AS n FROM ({GAIN}) WHERE gain IS NOT NULL), d AS (SELECT b, floor({u01_sql('b || chr(47) || j')} * n)::int AS i FROM (SELECT unnest(range(1000)) AS b), (SELECT i AS j, n FROM p)), m AS (SELECT b, avg(gain) AS g FROM d JOIN p USING (i) GROUP BY 1) SELECT round(quantile_cont(g, 25e-3), 6) AS lo, round(quantile_cont(g, 975e-3), 6) AS hi FROM m")
 def agg23(t):
     """1,000 resamples of all paired users, drawn by hash so that any engine draws the same."""
-    p = ranged(gains(t), [], "user_id").running(i=("count", None)).rows().select((F.col("i") - 1).alias("i"), "gain")
-    n = p.agg(F.count("*").alias("n"))
-    d = t("events").sparkSession.range(1000).select(F.col("id").alias("b")).crossJoin(F.broadcast(n)).select("b", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
-    d = d.select("b", F.floor(u01(F.concat_ws("/", F.col("b").cast("string"), F.col("j").cast("string"))) * F.col("n")).alias("i"))
-    m = d.join(p, "i").groupBy("b").agg(F.avg("gain").alias("g"))
+    p = written(ranged(written(gains(t)), [], "user_id").running(i=("count", None)).rows().select((F.col("i") - 1).alias("i"), "gain"))
+    n = p.count()
+    blocks = -(-n // DRAWN)
+    # A row a resample and block of users, some a task, so that tasks keep their size and partial means are few.
+    d = p.sparkSession.range(0, 1000 * blocks, 1, max(1, -(-1000 * blocks // 128))).select(F.expr(f"id div {max(1, blocks)}").alias("b"), F.expr(f"id % {max(1, blocks)}").alias("k"))
+    d = d.select("b", F.explode(F.sequence(F.col("k") * DRAWN, F.least(F.lit(n), (F.col("k") + 1) * DRAWN) - 1)).alias("j"))
+    d = d.select("b", F.floor(u01(F.concat_ws("/", F.col("b").cast("string"), F.col("j").cast("string"))) * F.lit(n)).alias("i"))
+    # 1,000 draws a user would be sorted and shuffled; the users, two numbers each, go to the draws as long as they are small.
+    m = d.join(F.broadcast(p) if n <= SENT_USERS else p.hint("merge"), "i").groupBy("b").agg(F.avg("gain").alias("g"))
     return O.quantiles(m, [], "g", {"lo": 0.025, "hi": 0.975}).select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
