@@ -6,6 +6,7 @@ because they repeat; extra input columns are ignored unless an operator says tha
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -48,6 +49,15 @@ def written(df: DataFrame, where: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more, after a large step has been written.
+
+    Spark drops them when the driver's garbage is collected, and a driver with little to do may not collect any for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], least: int = 1000) -> DataFrame:
     """left with the columns of right (a row per key), by a merge join; keys without a row in right give nulls.
 
@@ -141,7 +151,6 @@ def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
 def release() -> None:
     """Gives a worker's freed memory back: workers outlive their task, and others of their executor need room."""
     import ctypes
-    import gc
 
     from . import shingles
 

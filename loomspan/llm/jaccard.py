@@ -45,6 +45,8 @@ SAMPLE_DOCS, FREQUENT = 10_000, 65_536
 FREQUENT_DOCS = 4
 SIGNED = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("pairs", pa.binary())])
 SIGNS, EDGES = 0, 1
+#: A signature travels without what its bucket says, cut to 32 bits: one that agrees by chance makes a candidate, which is compared.
+SIGN = np.dtype([("rest", "<u4"), ("key", "<u8")])
 
 
 def classes(percent: int, upto: int) -> list[tuple[int, int, int]]:
@@ -167,7 +169,9 @@ def candidate_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
             held, size = [], 0
             if len(edges):
                 yield dealt(edges, mixed(edges[:, 0]) % np.uint64(buckets), EDGES)
-            yield dealt(firsts, firsts[:, 0] % np.uint64(buckets), SIGNS)
+            signs = np.empty(len(firsts), SIGN)
+            signs["rest"], signs["key"] = (firsts[:, 0] // np.uint64(buckets)).astype(np.uint32), firsts[:, 1]
+            yield dealt(signs, firsts[:, 0] % np.uint64(buckets), SIGNS)
 
         for rb in batches:
             for _, s in _sets(rb, 0, k):
@@ -191,8 +195,12 @@ def candidate_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def join(batches):
         rows: tuple[list, list] = ([], [])
         for rb in batches:
-            for kind, x in zip(rb.column(1).to_pylist(), rb.column(2), strict=True):
-                rows[kind].append(np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2))
+            for bucket, kind, x in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2), strict=True):
+                if kind == EDGES:
+                    rows[kind].append(np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2))
+                else:
+                    signs = np.frombuffer(x.as_py(), SIGN)
+                    rows[kind].append(np.stack([signs["rest"].astype(np.uint64) | np.uint64(bucket << 32), signs["key"]], axis=1))
         edges = rows[EDGES]
         if rows[SIGNS]:
             edges.append(tied(np.concatenate(rows[SIGNS]))[1])
@@ -222,6 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round at least halves the longest way of labels, so rounds grow with the logarithm of the nodes.
     """
     edges = common.written(edges.select("a", "b").where("a <> b").distinct())
+    common.cleared(edges.sparkSession)
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = common.written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     # Nodes with a thousandth of the edges, and so 1,000 at most, are joined by broadcast: all others tie to one of a large group.
@@ -434,9 +443,11 @@ def linked_sets(docs: DataFrame, k: int, percent: int, tokens: int = TOKENS) ->
     text = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").hint("merge")
     texts = live.join(text, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")))
     texts = common.written(texts.select("cluster", "chunk", "k1", "k2", "text", "several"))
+    common.cleared(docs.sparkSession)
     found = common.written(link_chunks(texts, parts, k, percent))
     if not live.where("several").isEmpty():
         found = common.written(_across(live, texts.where("several"), found, parts, k, percent))
+    common.cleared(docs.sparkSession)
     return rows, sets, found
 
 

@@ -151,3 +151,14 @@ def test_nested_sets_share_a_signature(percent):
             signer = jaccard.Signer(percent, np.sort(r.permutation(tokens)[: large * 7 // 10]))
             a, b = signer.sign(np.sort(tokens[:small])), signer.sign(np.sort(tokens))
             assert len(np.intersect1d(a, b)), (small, large)
+
+
+def test_signatures_travel_in_twelve_bytes(spark):
+    """Sixteen before: signatures are most of what the stage shuffles. Cut ones still find every link."""
+    from loomspan.llm import jaccard
+
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i % 40 : i % 40 + 60] + ([f"x{i}"] if i >= 40 else []))) for i in range(80)]
+    out = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    roots = {r.doc_id: r.component_id for r in out}
+    assert jaccard.SIGN.itemsize == 12 and all(roots[i] == roots[i + 40] for i in range(40)) and set(roots.values()) == {0}
