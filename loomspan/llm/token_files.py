@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 from . import common, simple8b
 from .tokenize import default_path, ids_of
 
-#: Ids in a frame: what a reader holds at once.
-FRAME_IDS = 1 << 20
+#: Ids in a frame: what a reader holds at once; packing takes some hundred bytes an id meanwhile.
+FRAME_IDS = 1 << 18
 #: MB of the input's files in one token file.
 FILE_MB = 64
 #: Tasks that read at most: beyond so many files each task reads several.
@@ -67,6 +67,8 @@ def write_files(docs: DataFrame, where: str, vocabulary: str, kind: str, end_id:
         flush()
         if sink is not None:
             sink.close()
+        common.release()
+        if sink is not None:
             yield common.batch({"part": [task.partitionId()], "path": [name], "n_docs": [n_docs], "n_ids": [n_ids]}, schema)
 
     parts = common.parts_for(docs, file_mb)
@@ -95,6 +97,7 @@ def read_files(spark: SparkSession, where: str, manifest: DataFrame) -> DataFram
                         crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays([pa.array(keys, mask=nulls), pa.array(at + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                         at += int(ends[-1])
+        common.release()
 
     return planned(manifest).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
