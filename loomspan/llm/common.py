@@ -11,15 +11,22 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType, arrow_udf
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window
 
 from loomspan.session import shared_base
 
 #: White space that separates words: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of documents that one part of a table beside them says something about.
+LOOKUP_ROWS = 65_536
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +125,64 @@ def row_keyed(docs: DataFrame) -> DataFrame:
         return written(docs).select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
 
+def beside_rows(docs: DataFrame, small: DataFrame, n: int) -> DataFrame:
+    """The rows of docs that small names (`_file` and `_row` of `row_keyed`, each once), with small's other columns; n: docs' rows.
+
+    Rows of docs stay in the tasks that read them, so texts are not shuffled: small is written in parts of LOOKUP_ROWS rows of docs, by
+    file and place, and a task reads the parts that its own rows are in.
+    """
+    parts = max(1, -(-n // LOOKUP_ROWS))
+    part = F.pmod(F.xxhash64("_file", F.floor(F.col("_row") / F.lit(LOOKUP_ROWS))), F.lit(parts)).cast("int")
+    where = shared_dir(docs.sparkSession)
+    small.withColumn("_part", part).repartition(parts, "_part").write.partitionBy("_part").parquet(where)
+    names, more = [c for c in docs.columns if c not in ("_file", "_row")], [c for c in small.columns if c not in ("_file", "_row")]
+
+    def read(part):
+        """By file: the sorted places of small's rows in this part, and those rows."""
+        fs, path = filesystem(f"{where}/_part={part}")
+        if fs.get_file_info(path).type != pa.fs.FileType.Directory:
+            return {}
+        table = pq.read_table(path, filesystem=fs, partitioning=None).combine_chunks()
+        files, found = table["_file"].to_numpy(), {}
+        for f in np.unique(files).tolist():
+            rows = table.filter(pa.array(files == f)).sort_by("_row")
+            found[f] = rows["_row"].to_numpy(), rows.select(more)
+        return found
+
+    fields = [(c, small.schema[c].dataType) for c in more]
+    said = StructType([StructField("_here", BooleanType()), *[StructField(c, t) for c, t in fields]])
+    types = to_arrow_schema(said)
+
+    def look(batches):
+        held: dict = {}
+        for columns in batches:
+            files, rows, of = (c.to_numpy() for c in columns)
+            tables, at, beside = [types.empty_table()], np.full(len(of), -1), 0
+            for p in np.unique(of).tolist():
+                if p not in held:
+                    if len(held) >= 4:
+                        held.clear()
+                    held[p] = read(p)
+                for f in np.unique(files[of == p]).tolist():
+                    if f not in held[p]:
+                        continue
+                    places, table = held[p][f]
+                    mine = np.flatnonzero((of == p) & (files == f))
+                    to = np.minimum(np.searchsorted(places, rows[mine]), len(places) - 1)
+                    hit = places[to] == rows[mine]
+                    at[mine[hit]] = beside + np.arange(hit.sum())
+                    beside += int(hit.sum())
+                    taken = [c.take(pa.array(to[hit])) for c in table.columns]
+                    tables.append(pa.table([pa.array(np.ones(hit.sum(), bool)), *taken], names=types.names).cast(types))
+            found = pa.concat_tables(tables).take(pa.array(at, mask=at < 0))
+            yield pa.StructArray.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.nulls(0, c.type) for c in found.columns], names=types.names)
+
+    # Only keys go to Python; it is asked once a row, since what might change is neither repeated nor pushed down.
+    asked = arrow_udf(look, said, ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    keyed = docs.select(*names, "_file", "_row", part.alias("_part")).withColumn("_said", asked("_file", "_row", "_part"))
+    return keyed.where("_said._here").select(*names, *[F.col(f"_said.{c}").alias(c) for c in more])
+
+
 def parts_for(df: DataFrame, mb: float) -> int:
     """Partitions so that each holds about that many MB of the files below the plan; one wave of cores at least.
 

@@ -121,15 +121,16 @@ def _sets(rb: pa.RecordBatch, column: int, k: int):
 
 
 def sizes_and_keys(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, a hash of the text, n_shingles and the 128-bit key of each row's set."""
+    """doc_id, a hash of the text, n_shingles, the 128-bit key of each row's set, and the row's own key (`row_keyed`)."""
 
     def run(batches):
         for rb in batches:
-            rows = [(len(s), *set_key(s)) for _, s in _sets(rb, 2, k)]
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]], ["doc_id", "th", "n_shingles", "k1", "k2"])
+            rows = [(len(s), *set_key(s)) for _, s in _sets(rb, 4, k)]
+            yield pa.RecordBatch.from_arrays([*rb.columns[:4], *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]], ["doc_id", "th", "_file", "_row", "n_shingles", "k1", "k2"])
         common.release()
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, th long, n_shingles long, k1 long, k2 long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), "_file", "_row", text).mapInArrow(run, "doc_id long, th long, _file long, _row long, n_shingles long, k1 long, k2 long")
 
 
 def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
@@ -426,22 +427,20 @@ def link_across(base: DataFrame, queries: DataFrame, parts: int, k: int, percent
 
 def linked_sets(docs: DataFrame, k: int, percent: int, tokens: int = TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows with their set's key, distinct sets, (node, root) of the sets that were compared)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = common.row_keyed(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "_file", "_row")
     parts = common.parts_for(docs, 4 * SIGNATURE_MB)
     rows = common.written(sizes_and_keys(docs, k))
-    # A set's text is read from one of its rows, told by doc_id and text.
-    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    # A set's text is read from one of its rows, told by file and place.
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "_file", "_row"))
     sets = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.max("n_shingles").alias("n"), row.alias("row"))
     # Written, since Catalyst would push joins of the sets below their aggregation, to all rows of a set with very many copies.
-    sets = common.written(sets.select("k1", "k2", "n", F.col("row.doc_id").alias("d"), F.col("row.th").alias("h")))
+    sets = common.written(sets.select("k1", "k2", "n", F.col("row.doc_id").alias("d"), F.col("row.th").alias("h"), "row._file", "row._row"))
     nodes = components(candidate_edges(docs, k, percent)).select(F.col("node").alias("k1"), F.col("root").alias("cluster"))
-    live = common.written(sets.join(nodes, "k1").select("cluster", "k1", "k2", "d", "h", "n"))
+    live = common.written(sets.join(nodes, "k1").select("cluster", "k1", "k2", "_file", "_row", "n"))
     totals = live.groupBy("cluster").agg(F.sum("n").alias("all"))
     live = live.join(totals, "cluster").withColumn("chunk", F.pmod(F.xxhash64("k1"), F.ceil(F.col("all") / tokens)))
     live = common.written(live.withColumn("several", F.col("all") > tokens).drop("all", "n"))
-    # A merge join at every size: what is live grows with the input, so it is never broadcast.
-    text = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").hint("merge")
-    texts = live.join(text, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")))
+    texts = common.beside_rows(docs.select("text", "_file", "_row"), live, rows.count())
     texts = common.written(texts.select("cluster", "chunk", "k1", "k2", "text", "several"))
     common.cleared(docs.sparkSession)
     found = common.written(link_chunks(texts, parts, k, percent))
@@ -463,13 +462,14 @@ def link(docs: DataFrame, k: int, percent: int, tokens: int = TOKENS) -> DataFra
 
 
 def representatives(docs: DataFrame, k: int, percent: int, tokens: int = TOKENS) -> DataFrame:
-    """(doc_id, th) of one document of each component: that with the smallest doc_id, unknown ids last, then hash of the text; and of all without shingles."""
+    """Of docs (`row_keyed`) one row of each component: that with the smallest doc_id, unknown ids last, then hash of the text; and one of each id and text without shingles."""
     rows, sets, found = linked_sets(docs, k, percent, tokens)
     of = found.select(F.col("node").alias("k1"), "root").hint("merge")
-    best = F.min(F.struct(F.col("d").isNull().alias("none"), "d", "h")).alias("row")
-    first = sets.join(of, "k1").groupBy("root").agg(best).select(F.col("row.d").alias("doc_id"), F.col("row.h").alias("th"))
-    alone = sets.join(of, "k1", "left_anti").select(F.col("d").alias("doc_id"), F.col("h").alias("th"))
-    return first.union(alone).union(rows.where("n_shingles = 0").select("doc_id", "th").distinct())
+    best = F.min(F.struct(F.col("d").isNull().alias("none"), "d", "h", "_file", "_row")).alias("row")
+    first = sets.join(of, "k1").groupBy("root").agg(best).select("row._file", "row._row")
+    alone = sets.join(of, "k1", "left_anti").select("_file", "_row")
+    empty = rows.where("n_shingles = 0").groupBy("doc_id", "th").agg(F.min(F.struct("_file", "_row")).alias("row")).select("row._file", "row._row")
+    return common.beside_rows(docs, first.union(alone).union(empty), rows.count())
 
 
 def _across(live: DataFrame, texts: DataFrame, found: DataFrame, parts: int, k: int, percent: int) -> DataFrame:

@@ -124,3 +124,31 @@ def test_mix_of_repeated_and_null_ids(spark):
         letters = {w[0] for w in r.text.split()}
         assert len(letters) == 1 and len(r.text.split()) <= 2 * size[letters.pop()]
     assert sum("e0" in r.text.split() for r in out) <= 2 and all(r.doc_id == 1 for r in out if r.text[0] in "ab")
+
+
+def test_near_duplicates_leave_texts_in_their_tasks(spark, tmp_path):
+    """Texts of all documents were shuffled twice at the end of the stage; rows that stay are named beside them now."""
+    words = [f"w{i}" for i in range(300)]
+    near = [(i, " ".join([*words[i % 20 : i % 20 + 60], *([f"x{i}"] if i >= 20 else [])])) for i in range(60)]
+    rows = [*near, (1, near[1][1]), (1, "another text with the id"), (None, near[2][1]), (None, "alone"), (None, "alone"), (7, ""), (7, ""), (8, None), (8, None)]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert out.schema == docs.schema
+    want = [near[0], (1, "another text with the id"), (None, "alone"), (7, ""), (8, None)]
+    assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, want))
+
+
+def test_rows_beside_others(spark, tmp_path, monkeypatch):
+    """Parts of few rows, files without any, and other columns than numbers."""
+    monkeypatch.setattr(common, "LOOKUP_ROWS", 7)
+    spark.range(100).selectExpr("id", "concat('t', id) AS text").repartition(4).write.parquet(f"{tmp_path}/t")
+    docs = common.row_keyed(spark.read.parquet(f"{tmp_path}/t"))
+    small = docs.where("id % 3 = 0 and id < 60").selectExpr("_file", "_row", "id * 2 AS twice", "if(id % 2 = 0, text, null) AS name")
+    out = common.beside_rows(docs, small, 100).collect()
+    assert sorted((r.id, r.text, r.twice, r.name) for r in out if r.name) == [(i, f"t{i}", 2 * i, f"t{i}") for i in range(0, 60, 6)]
+    assert sorted(r.id for r in out) == list(range(0, 60, 3)) and all(r.twice == 2 * r.id for r in out)
+    assert common.beside_rows(docs, small.where("twice < 0"), 100).collect() == []
